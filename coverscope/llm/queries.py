@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverscope.llm import pii, quality_rules
-from coverscope.llm.shared import table
+from coverscope.llm import html_extract, language_id, pii, quality_classifier, quality_rules
+from coverscope.llm.shared import crc_remainder, table
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +20,35 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.classify(docs, model).select(
+        "doc_id",
+        (crc_remainder(F.col("doc_id"), 3) == 1).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        F.col("quality_predicted").alias("predicted"),
+    )
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    filters = language_id.learn(docs.where(crc_remainder(F.col("doc_id"), 4) != 2))
+    return language_id.predict(docs.select("doc_id", "text"), filters).select(
+        "doc_id", (crc_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score")
+    )
+
+
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_pii": op5_pii,
+    "op6_language_id": op6_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
 
