@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverscope.llm import html_extract, language_id, pii, quality_classifier, quality_rules
+from coverscope.llm import html_extract, language_id, pii, quality_classifier, quality_rules, sentencepiece_codec
 from coverscope.llm.shared import crc_remainder, table
 
 
@@ -44,8 +44,23 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+#: A public merge model with byte pieces; any other model file can be given instead.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = sentencepiece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
+    return sentencepiece_codec.decode(docs, PIECES).select(
+        "doc_id",
+        F.coalesce(F.size("token_ids"), F.lit(0)).alias("n_tokens"),
+        "token_ids",
+        F.col("decoded_text").eqNullSafe(F.translate("text", "▁", " ")).alias("round_trip"),
+    )
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_pii": op5_pii,
     "op6_language_id": op6_language_id,
