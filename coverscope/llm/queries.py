@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverscope.llm import html_extract, language_id, pii, quality_classifier, quality_rules, sentencepiece_codec
+from coverscope.llm import decontaminate, html_extract, language_id, pii, quality_classifier, quality_rules, sentencepiece_codec
 from coverscope.llm.shared import crc_remainder, table
 
 
@@ -58,12 +58,17 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_pii": op5_pii,
     "op6_language_id": op6_language_id,
+    "op7_decontaminate": op7_decontaminate,
     "op10_quality_rules": op10_quality_rules,
 }
 
