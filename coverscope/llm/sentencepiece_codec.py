@@ -29,6 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 MARK = "▁"
@@ -36,8 +37,8 @@ UNIT = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 UNIGRAM, MERGES = 1, 2
 #: The vocabulary goes to every executor: a larger model file is refused.
 MAX_MODEL_BYTES = 64 << 20
-CHUNK_CHARS = 4_000_000
-MAX_CACHED = 600_000
+CHUNK_BYTES = 2_000_000
+MAX_CACHED = 250_000
 
 
 @dataclass
@@ -209,16 +210,14 @@ class Decoder:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-def chunks(texts: list[str | None]) -> Iterator[list[str | None]]:
-    part, n = [], 0
-    for t in texts:
-        part.append(t)
-        n += len(t or "")
-        if n >= CHUNK_CHARS:
-            yield part
-            part, n = [], 0
-    if part:
-        yield part
+def chunks(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about CHUNK_BYTES of text."""
+    ends = np.cumsum([0, *(n or 0 for n in pc.binary_length(batch[text]).to_pylist())])
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(ends, ends[start] + CHUNK_BYTES, "right")) - 1)
+        yield batch.slice(start, end - start)
+        start = end
 
 
 def _schema(df: DataFrame) -> str:
@@ -232,11 +231,8 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Encoder(shared.value)
         for b in batches:
-            start = 0
-            for part in chunks(b[text].to_pylist()):
-                own = b.slice(start, len(part))
-                start += len(part)
-                ids = e.encode(part)
+            for own in chunks(b, text):
+                ids = e.encode(own[text].to_pylist())
                 offsets = np.cumsum([0, *(0 if x is None else len(x) for x in ids)]).astype(np.int32)
                 values = np.concatenate([x for x in ids if x is not None]) if offsets[-1] else np.zeros(0, np.int32)
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([x is None for x in ids]))
