@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverscope.llm import decontaminate, html_extract, language_id, pii, quality_classifier, quality_rules, sentencepiece_codec
+from coverscope.llm import decontaminate, html_extract, language_id, pii, quality_classifier, quality_rules, sentencepiece_codec, simhash
 from coverscope.llm.shared import crc_remainder, table
 
 
@@ -62,6 +62,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op3_sentencepiece": op3_sentencepiece,
@@ -69,6 +74,7 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
+    "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
 
