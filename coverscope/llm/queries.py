@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverscope.llm import decontaminate, html_extract, language_id, pii, quality_classifier, quality_rules, sentencepiece_codec, simhash
+from coverscope.llm import decontaminate, html_extract, language_id, lm_trie, pii, quality_classifier, quality_rules, sentencepiece_codec, simhash
 from coverscope.llm.shared import crc_remainder, table
 
 
@@ -67,6 +67,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_remainder(F.col("doc_id"), 7) == 2
+    model = lm_trie.train(docs.where(~held_out))
+    return lm_trie.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", F.col("lm_score").alias("score")
+    )
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op3_sentencepiece": op3_sentencepiece,
@@ -74,6 +83,7 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
+    "op8_lm_score": op8_lm_score,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }

@@ -29,9 +29,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from coverscope.llm.shared import chunks
+
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 UNIGRAM, MERGES = 1, 2
@@ -210,16 +211,6 @@ class Decoder:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-def chunks(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about CHUNK_BYTES of text."""
-    ends = np.cumsum([0, *(n or 0 for n in pc.binary_length(batch[text]).to_pylist())])
-    start = 0
-    while start < batch.num_rows:
-        end = max(start + 1, int(np.searchsorted(ends, ends[start] + CHUNK_BYTES, "right")) - 1)
-        yield batch.slice(start, end - start)
-        start = end
-
-
 def _schema(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
@@ -231,7 +222,7 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Encoder(shared.value)
         for b in batches:
-            for own in chunks(b, text):
+            for own in chunks(b, text, CHUNK_BYTES):
                 ids = e.encode(own[text].to_pylist())
                 offsets = np.cumsum([0, *(0 if x is None else len(x) for x in ids)]).astype(np.int32)
                 values = np.concatenate([x for x in ids if x is not None]) if offsets[-1] else np.zeros(0, np.int32)

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +53,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def chunks(batch: pa.RecordBatch, text: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about size bytes of text, of one row at least."""
+    ends = np.cumsum([0, *(n or 0 for n in pc.binary_length(batch[text]).to_pylist())])
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(ends, ends[start] + size, "right")) - 1)
+        yield batch.slice(start, end - start)
+        start = end
