@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverscope.llm import decontaminate, html_extract, language_id, lm_trie, pii, quality_classifier, quality_rules, sentencepiece_codec, simhash
+from coverscope.llm import decontaminate, html_extract, language_id, lm_trie, pii, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup
 from coverscope.llm.shared import crc_remainder, table
 
 
@@ -76,8 +76,13 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_pii": op5_pii,
