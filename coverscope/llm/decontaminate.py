@@ -179,8 +179,16 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = 0.1, min_chars: int
     return spark.createDataFrame([], schema) if found is None else found
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, rate: float = 0.1, min_chars: int = 30) -> DataFrame:
-    """docs without those that hold an item. A row with a null id stays if nothing is found in it."""
-    marked = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    hit = matches(marked, items, rate, min_chars, doc_id="_row").select(F.col("doc_id").alias("_row")).distinct()
-    return marked.join(hit, "_row", "left_anti").drop("_row")
+def decontaminate(docs: DataFrame, items: DataFrame, rate: float = 0.1, min_chars: int = 30, text: str = "text") -> DataFrame:
+    """docs without the rows that hold an item; one pass over docs for a block of items, no shuffle."""
+    schema = docs.schema
+    for block in item_blocks(items, "item_id", "text", min_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(shared.value, rate)
+            for b in batches:
+                yield b.filter(pa.array([not (t and matcher.find(plain(t))) for t in b[text].to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, schema)
+    return docs

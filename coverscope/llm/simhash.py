@@ -183,9 +183,9 @@ def near_duplicates(docs: DataFrame, bits: int = 2, doc_id: str = "doc_id", text
     return fps.join(named, "fp")
 
 
-def representatives(docs: DataFrame, bits: int = 2) -> DataFrame:
+def representatives(docs: DataFrame, bits: int = 3, size: int = 5) -> DataFrame:
     """docs with one row of each component: that of the smallest id, and of equal ids the one first by text. Rows without an id stay."""
-    near = near_duplicates(docs, bits).where("doc_id is not null")
+    near = near_duplicates(docs, bits, size=size).where("doc_id is not null")
     first = near.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi")
     columns = [c for c in kept.columns if c != "doc_id"]
