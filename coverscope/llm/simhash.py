@@ -136,7 +136,7 @@ def link(points: np.ndarray, queries: np.ndarray, targets: np.ndarray, bits: int
             unite(parent, part[i], targets[j])
 
 
-def fingerprint_links(distinct: DataFrame, bits: int = 2, sample: int = 16384, shard: int = 3000, block: int = 16384) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, bits: int = 2, sample: int = 16384, shard: int = 32768, block: int = 65536) -> DataFrame:
     """a and b: a forest with the same components as all pairs of the column fp (distinct values) within bits."""
     n = distinct.count()
     picked = distinct.orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas().fp.to_numpy(np.int64).view(np.uint64)
