@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from coverscope.functions.columns import fill_category, squared
 from coverscope.operators import cover, graph
+from coverscope.operators.joins import pairs
 from coverscope.operators.stats import long
 
 
@@ -126,3 +127,19 @@ def profile_wide(balls: DataFrame, membership: DataFrame, edges: DataFrame, valu
 def profile_matrix(profile: DataFrame, balls: Sequence[int]) -> DataFrame:
     """variable by ball: the standardised differences, a column for each of the given balls."""
     return profile.groupBy("variable").pivot("ball_id", list(balls)).agg(F.first("standardised_difference"))
+
+
+def ball_spread(membership: DataFrame, places: DataFrame) -> DataFrame:
+    """Of each ball: median, 90 % and largest distance (km) of its members to their centroid. places: unit, x and y in metres."""
+    rows = membership.select("ball_id", "unit").join(places, "unit")
+    centre = rows.groupBy("ball_id").agg(F.avg("x").alias("_x"), F.avg("y").alias("_y"))
+    km = F.sqrt(squared([F.col("x"), F.col("y")], [F.col("_x"), F.col("_y")])) / 1000
+    return rows.join(centre, "ball_id").groupBy("ball_id").agg(F.percentile(km, 0.5).alias("median_km"), F.percentile(km, 0.9).alias("q90_km"), F.max(km).alias("max_km"))
+
+
+def pair_spread(membership: DataFrame, places: DataFrame) -> DataFrame:
+    """Of each pair of balls: shared members, their Jaccard index, and the distance (km) of the centroids."""
+    ball = membership.select("ball_id", "unit").join(places, "unit").groupBy("ball_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
+    p = pairs(ball, "ball_id").withColumnsRenamed({"ball_id_a": "a", "ball_id_b": "b"}).join(cover.edges(membership), ["a", "b"], "left")
+    shared = F.coalesce("strength", F.lit(0))
+    return p.select("a", "b", shared.alias("shared_members"), (shared / (F.col("n_a") + F.col("n_b") - shared)).alias("jaccard"), (F.sqrt(squared([F.col("x_a"), F.col("y_a")], [F.col("x_b"), F.col("y_b")])) / 1000).alias("centroid_km"))
