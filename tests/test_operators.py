@@ -1,0 +1,185 @@
+"""Operators on small tables with known results."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from coverscope.functions import columns as C
+from coverscope.operators import bins, contract, cover, geo, graph, joins, near, profile, scale, stability, stats
+from coverscope.operators.joins import ContractError
+from coverscope.sources import cells, files
+from coverscope.streaming.assign import assign_stream
+
+
+@pytest.fixture(scope="module")
+def hand(spark):
+    """Three balls {1,2,3}, {3,4,5}, {5,6} and a value of each unit."""
+    rows = [(1, 1, 1), (1, 1, 2), (1, 1, 3), (2, 4, 3), (2, 4, 4), (2, 4, 5), (3, 6, 5), (3, 6, 6)]
+    m = spark.createDataFrame(rows, "ball_id bigint, landmark bigint, unit bigint")
+    y = spark.createDataFrame([(1, 10.0, "a"), (2, 12.0, "a"), (3, 14.0, "b"), (4, 20.0, None), (5, 22.0, "b"), (6, 30.0, " ")], "id bigint, y double, c string")
+    return m, y
+
+
+def line(spark, order=("b", "a", "c")):
+    at = {"a": 0.0, "b": 2.0, "c": 4.0}
+    return spark.createDataFrame([(k, at[k], 0.0) for k in order], "id string, x double, y double")
+
+
+@pytest.mark.parametrize("order", [("b", "a", "c"), ("c", "b", "a")])
+def test_cover_does_not_depend_on_row_order(spark, order):
+    balls, m = cover.build_cover(line(spark, order), ["x", "y"], 2.1)
+    assert [(r.ball_id, r.landmark) for r in balls.orderBy("ball_id").collect()] == [(1, "a"), (2, "c")]
+    assert sorted((r.ball_id, r.unit) for r in m.collect()) == [(1, "a"), (1, "b"), (2, "b"), (2, "c")]
+
+
+@pytest.mark.parametrize("head", [2, 2048])
+def test_cover_of_random_points_equals_the_walk(spark, head):
+    import numpy as np
+
+    x = np.random.default_rng(3).normal(size=(200, 2))
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id int, x double, y double")
+    got = [r.landmark for r in cover.landmarks(df.withColumn("eps", F.lit(0.7)), ["x", "y"], head=head).orderBy("ball_id").collect()]
+    free, want = np.ones(len(x), bool), []
+    for i in range(len(x)):
+        if free[i]:
+            want.append(i)
+            free &= ((x - x[i]) ** 2).sum(axis=1) > 0.7**2
+    assert got == want
+
+
+def test_degenerate_radii(spark):
+    p = line(spark)
+    assert cover.build_cover(p, ["x", "y"], 0.1)[0].count() == 3
+    assert cover.edges(cover.build_cover(p, ["x", "y"], 0.1)[1]).count() == 0
+    assert cover.build_cover(p, ["x", "y"], 99.0)[0].count() == 1
+
+
+def test_hand_cover(hand):
+    m, y = hand
+    assert sorted((r.a, r.b, r.strength) for r in cover.edges(m).collect()) == [(1, 2, 1), (2, 3, 1)]
+    local = {r.unit: r.y for r in cover.local_colour(m, y, "id", ["y"]).collect()}
+    assert local[3] == pytest.approx((12 + (14 + 20 + 22) / 3) / 2)
+    s = profile.topology_summary(m.select("ball_id", "landmark").distinct(), m, cover.edges(m)).first()
+    assert (s.n_balls, s.n_edges, s.n_components) == (3, 2, 1)
+    assert s.share_multicovered == pytest.approx(2 / 6)
+    mix = {(r.ball_id, r.level): r.n for r in profile.category_mix(m, y, "id", "c").collect()}
+    assert mix[2, "UNRESOLVED"] == 1 and mix[2, "a"] == 0 and mix[3, "UNRESOLVED"] == 1
+
+
+def test_components_of_a_chain_and_of_isolates(spark):
+    nodes = spark.createDataFrame([(i,) for i in range(12)], "node bigint")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(9)], "a bigint, b bigint")
+    assert {r.node: r.component for r in graph.components(nodes, edges).collect()} == {**{i: 0 for i in range(10)}, 10: 10, 11: 11}
+
+
+def test_grid_and_broadcast_radius_joins_agree(spark):
+    p = spark.range(400).select("id", ((F.col("id") * 37) % 101).cast("double").alias("x"), ((F.col("id") * 53) % 97).cast("double").alias("y"))
+    q = p.where("id % 9 = 0").select(F.col("id").alias("c"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+    by = [near.within_radius(p, q, ["x", "y"], ["cx", "cy"], F.lit(7.0), n_centres=n, cell=7.0).select("id", "c") for n in (1, near.MAX_BROADCAST + 1)]
+    assert sorted(by[0].collect()) == sorted(by[1].collect())
+
+
+def test_knn_with_duplicate_points_and_few_rows(spark):
+    p = spark.createDataFrame([(1, 0.0), (2, 0.0), (3, 5.0)], "id bigint, x double")
+    assert [(r.id, r.neighbour, r["rank"]) for r in near.knn(p, "id", ["x"], 5).orderBy("id", "rank").collect()] == [(1, 2, 1), (1, 3, 2), (2, 1, 1), (2, 3, 2), (3, 1, 1), (3, 2, 2)]
+
+
+def test_facilities_out_of_range_still_count(spark):
+    q = spark.createDataFrame([(1, 0.0, 0.0)], "id bigint, x double, y double")
+    f = spark.createDataFrame([(7, 30.0, 0.0), (8, 40.0, 0.0)], "fid bigint, x double, y double")
+    r = near.facility_access(q, f, "id", "fid", ["x", "y"], [5], [2], 10.0).first()
+    assert (r.nearest_id, r.distance_1, r.distance_3, r.n_within_5, r.access_2) == (7, 30.0, None, 0, 0.0)
+
+
+def test_points_on_a_boundary_are_hits(spark):
+    square = "array(struct(0D as x, 0D as y), struct(2D as x, 0D as y), struct(2D as x, 2D as y), struct(0D as x, 2D as y))"
+    poly = spark.range(1).select(F.lit(5).alias("p"), F.expr(square).alias("ring"))
+    pts = spark.createDataFrame([(1, 1.0, 1.0), (2, 2.0, 1.0), (3, 2.1, 1.0)], "id int, x double, y double")
+    assert {r.id: r.n_hits for r in geo.assign_points(pts, poly, "id", "p", "ring", 1.0).collect()} == {1: 1, 2: 1, 3: 0}
+
+
+def test_broken_contracts_raise(spark):
+    a, twice = spark.createDataFrame([(1, "x")], "k int, v string"), spark.createDataFrame([(1, "y"), (1, "z")], "k int, w string")
+    with pytest.raises(ContractError):
+        joins.left_join_preserving(a, twice, "k")
+    with pytest.raises(ContractError):
+        joins.align_exact(a, twice, "k")
+    with pytest.raises(ContractError):
+        contract.exclude_values(a, "k", [1])
+    with pytest.raises(ContractError):
+        contract.enforce(contract.table_contract(twice, key="k"))
+
+
+def test_columns_with_odd_values(spark):
+    df = spark.createDataFrame([("1,234.5",), ("..",), (None,), ("x",), (" 7 ",)], "t string")
+    assert [r[0] for r in df.select(C.to_number(F.col("t"))).collect()] == [1234.5, None, None, None, 7.0]
+    n = spark.createDataFrame([(float("nan"),), (float("inf"),), (-0.0,), (1234567.0,), (2.346,), (None,)], "x double")
+    assert [r[0] for r in n.select(C.format_number_strict(F.col("x"))).collect()] == ["NA", "NA", "0", "1,234,567", "2.35", "NA"]
+    ids = spark.createDataFrame([("ball 1, and 10 B1 1.0",), ("only 10",)], "t string")
+    assert [r[0] for r in ids.select(C.mentions_id(F.col("t"), F.lit(1))).collect()] == [True, False]
+
+
+def test_statistics_of_constant_and_short_columns(spark):
+    df = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (3.0, 5.0)], "x double, y double")
+    assert df.agg(stats.correlation(F.col("x"), F.col("y"))).first()[0] is None
+    assert df.limit(2).agg(stats.correlation(F.col("x"), F.col("x"))).first()[0] is None
+    flagged = stats.outliers(df, "x", ["y"]).first()
+    assert flagged.status == "zero_robust_scale" and flagged.flag is False
+    q = spark.createDataFrame([(v,) for v in (1.0, 2.0, 4.0, 10.0)], "v double")
+    assert stats.quantile_type8(q, "v", 0.5).first()[0] == pytest.approx(3.0)
+    assert scale.z_score(df, {"y": "z"}).first().z is None
+
+
+def test_average_ranks_with_ties_and_nulls(spark):
+    df = spark.createDataFrame([(1, 5.0), (2, 5.0), (3, 1.0), (4, None)], "id int, v double")
+    assert {r.id: r.k and float(r.k) for r in scale.average_rank(df, "v", "k").collect()} == {1: 2.5, 2: 2.5, 3: 1.0, 4: None}
+
+
+def test_first_crossing_statuses(spark):
+    grid = lambda ys: spark.createDataFrame([(float(i + 1), y) for i, y in enumerate(ys)], "x double, y double")
+    assert bins.first_crossing(grid([0.1, 0.2]), "x", "y", 0.5).first().status == "NO_CROSSING_IN_GRID"
+    assert bins.first_crossing(grid([0.6, 0.7]), "x", "y", 0.5).first().status == "CROSSING_AT_OR_BELOW_GRID_MINIMUM"
+    r = bins.first_crossing(grid([0.0, 1.0]), "x", "y", 0.5).first()
+    assert r.status == "LOG_RADIUS_INTERPOLATED" and r.crossing == pytest.approx(math.sqrt(2))
+
+
+def test_quantile_bins_of_tied_values(spark):
+    df = spark.createDataFrame([(float(v),) for v in [1] * 8 + [2, 3]], "v double")
+    got = [r.bin for r in bins.quantile_bins(df, "v", 4).orderBy("v").collect()]
+    assert got[:8] == [1] * 8 and got[8] >= 1 and got == sorted(got)
+
+
+def test_published_benchmark_value(spark):
+    one = spark.range(1).select(C.zero_overlap_chance(F.lit(33754), F.lit(25)))
+    assert one.first()[0] == pytest.approx(0.98164084547110, abs=1e-12)
+
+
+def test_grids(spark):
+    assert [r.radius for r in stability.arithmetic_grid(spark, 1.4, 1.6, 0.05).orderBy("radius").collect()] == [1.4, 1.45, 1.5, 1.55, 1.6]
+    with pytest.raises(ValueError):
+        stability.arithmetic_grid(spark, 1.0, 2.0, 0.3)
+
+
+def test_header_tokens_must_be_unique(spark):
+    heads = spark.createDataFrame([(1, "A b"), (2, "ab")], "col int, value string")
+    with pytest.raises(ContractError):
+        cells.resolve_header_tokens(heads, spark.createDataFrame([("ab",)], "token string"))
+
+
+def test_sink_refuses_an_existing_path(spark, tmp_path):
+    df = spark.createDataFrame([(1, None), (2, "x")], "k int, v string")
+    files.write_table(df, f"{tmp_path}/t")
+    assert sorted(files.read_table(spark, f"{tmp_path}/t", "k int, v string").collect()) == [(1, None), (2, "x")]
+    with pytest.raises(Exception, match="exists"):
+        files.write_table(df, f"{tmp_path}/t")
+
+
+def test_stream_of_units_meets_a_frozen_cover(spark, tmp_path):
+    p = line(spark)
+    balls, m = cover.build_cover(p, ["x", "y"], 2.1)
+    p.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(p.schema).parquet(f"{tmp_path}/in")
+    q = assign_stream(stream, balls, ["x", "y"]).writeStream.format("memory").queryName("assigned").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted((r.ball_id, r.id) for r in spark.table("assigned").collect()) == sorted((r.ball_id, r.unit) for r in m.collect())
