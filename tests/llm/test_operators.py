@@ -1,0 +1,367 @@
+"""The training-data operators on small tables: odd rows, and plain versions of what they compute."""
+
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from coverscope.llm import decontaminate, elias_fano, html_extract, language_id, lm_trie, pii, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup
+from coverscope.llm.components import components
+from coverscope.llm.queries import PIECES
+
+LONG = "the cat sat on the mat and " * 4000
+SCHEMA = "doc_id bigint, text string, lang string, source string, score double, _key string, shard int, n_docs int"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and long texts, repeated rows, and columns with names that operators use."""
+    rows = [
+        (1, "One plain line of text.\nAnother line, with more words in it.", "en", "a", 0.1, "k", 1, 1),
+        (1, "One plain line of text.\nAnother line, with more words in it.", "en", "a", 0.1, "k", 1, 1),
+        (2, "", "en", "a", None, None, None, None),
+        (3, None, None, None, None, None, None, None),
+        (None, "A text without an id", "de", "b", 0.2, "k", 1, 1),
+        (5, LONG, "en", "a", 0.3, "k", 1, 1),
+        (6, " \n\t\n 123 ### ", "fr", None, 0.3, "k", 1, 1),
+    ]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# 1
+
+
+def test_html_drops_what_is_not_the_article():
+    page = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href="/x">Home</a></nav>
+    <div id="content"><h2>News &amp; more</h2><p>First  part,<br>with a break. And more, of it.</p><p>Second part; it goes on, and on.<div class="ad">Buy!</div>
+    <p>Third &eacute;part.</div><aside>See also</aside><form>Search <input></form><div class=comments><p>Nice, nice. Very nice, indeed. Thanks, all.</p></div>
+    <script>var t = "<p>no</p>";</script><!-- <p>no</p> --><footer>Imprint</footer></body></html>"""
+    assert html_extract.main_text(page) == "News & more\nFirst part, with a break. And more, of it.\nSecond part; it goes on, and on.\nThird épart."
+
+
+@pytest.mark.parametrize("page", [None, "", "   ", "<p>", "<html><body><nav>Menu</nav></body></html>", "<!-- open", "<script>x"])
+def test_html_without_an_article_is_empty(page):
+    assert html_extract.main_text(page) == ""
+
+
+def test_html_of_plain_text_and_deep_nesting():
+    assert html_extract.main_text("just words") == "just words"
+    assert html_extract.main_text("<div>" * 3000 + "<p>deep, very deep.</p>") == "deep, very deep."
+
+
+def test_html_query_keeps_other_columns(spark):
+    df = spark.createDataFrame([(1, "<p>a, b.</p>", "u", "x")], "page_id bigint, html string, url string, main_text string")
+    assert html_extract.extract(df).first().main_text == "a, b."
+
+
+# 2
+
+
+def test_passages_are_found_and_clean_documents_left_alone(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    text = lambda n: [word() for _ in range(n)]
+    shared, other = text(70), text(60)
+    fuzzy = shared.copy()
+    fuzzy[20], fuzzy[45] = "changed", "again"
+    del fuzzy[33]
+    docs = {1: text(100) + shared + text(50), 2: text(30) + shared + text(80), 3: fuzzy + text(40), 4: text(300), 5: text(20) + other[:40], 6: text(9) + other[:40] + text(10), 7: text(5) + other, 8: text(11) + other + text(3)}
+    docs[9] = docs[4][:]
+    df = spark.createDataFrame([(k, " ".join(v), "x") for k, v in docs.items()] + [(None, " ".join(shared), "y"), (10, None, "z"), (11, "", "z")], "doc_id bigint, text string, seed string")
+    found = {(r.doc_id, r.source_id): (r.start, r.end) for r in substring_dedup.passages(df).collect()}
+    assert {d for d, _ in found} == {2, 3, 8, 9}  # 5 to 7 share 40 words with an earlier one, 8 shares 60 with 7
+    assert found[2, 1] == (30, 100) and found[9, 4] == (0, 300)
+    lo, hi = found[3, 1]
+    assert lo <= 2 and hi >= 66
+
+
+def test_chains_equal_the_quadratic_rule():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        n = int(rng.integers(1, 12))
+        parts = np.stack([rng.integers(0, 60, n), rng.integers(0, 60, n), rng.integers(3, 9, n)], axis=1)
+        score = [0.0] * n
+        for i in sorted(range(n), key=lambda i: parts[i, 0]):
+            a, b, size = parts[i]
+            score[i] = size + max([0.0, *(score[j] - 0.05 * (a - parts[j, 0] - parts[j, 2] + b - parts[j, 1] - parts[j, 2]) for j in range(n) if parts[j, 0] + parts[j, 2] <= a and parts[j, 1] + parts[j, 2] <= b)])
+        chains = substring_dedup.chain(parts, 0.05)
+        assert sorted(i for c in chains for i in c) == list(range(n))
+        c = chains[0]
+        total = sum(parts[i, 2] for i in c) - 0.05 * sum(parts[j, 0] - parts[i, 0] - parts[i, 2] + parts[j, 1] - parts[i, 1] - parts[i, 2] for i, j in zip(c, c[1:], strict=False))
+        assert total == pytest.approx(max(score))
+
+
+# 3
+
+
+def test_encoding_equals_the_library_and_round_trips(spark, odd):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(1)
+    texts = ["", " ", "\n", "  two  ", "漢字 テスト\t\n\n x", " " * 40 + "x", "a" * 300, "1234567890" * 30, "é é ﬁ \x00​"]
+    texts += ["".join(rng.choice("  \nabcdeéthingerontion<>0x漢") for _ in range(rng.randint(1, 80))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").unionByName(odd.select(F.col("doc_id").cast("int"), "text"))
+    rows = sentencepiece_codec.decode(sentencepiece_codec.encode(df, PIECES), PIECES).collect()
+    for r in rows:
+        assert r.decoded_text == r.text
+        assert (r.token_ids is None) == (r.text is None)
+        if r.text is not None:
+            assert r.token_ids == library.encode(r.text)
+
+
+def test_unigram_scores_rule_a_unigram_model():
+    pieces = ["<unk>", "▁", "a", "b", "ab", "▁a", "bb"]
+    scores = [0.0, -3.0, -2.0, -2.0, -3.5, -4.0, -1.0]
+    v = sentencepiece_codec.Vocabulary(pieces, scores, {p: i for i, p in enumerate(pieces) if i}, None, 0, sentencepiece_codec.UNIGRAM, True)
+    words = ["▁a", "▁ab", "▁abb", "▁ax"]
+    assert [[pieces[i] for i in ids] for ids in sentencepiece_codec.encode_words(words, v)] == [["▁a"], ["▁a", "b"], ["▁a", "bb"], ["▁a", "<unk>"]]
+
+
+# 4
+
+
+def test_classifier_separates_and_bounds_its_scores(spark, odd, empty):
+    rng = random.Random(3)
+    good = [" ".join(rng.choice(["the", "of", "and", "house", "tree", "walks"]) for _ in range(40)) for _ in range(60)]
+    bad = [" ".join(rng.choice(["BUY!!", "$$$", "###", "NOW!!"]) for _ in range(40)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad)] + [(500, None), (501, "")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)] + [(1, None), (None, 1), (777, 0)], "doc_id bigint, quality int")
+    model = quality_classifier.train(docs, labels)
+    rows = {r.doc_id: r for r in quality_classifier.classify(docs, model).collect()}
+    assert all(rows[i].quality_predicted == int(i < 60) for i in range(120))
+    assert all(0 <= r.quality_score <= 1 for r in rows.values()) and rows[500].quality_score == rows[501].quality_score
+    assert quality_classifier.classify(odd, model).count() == odd.count()
+    nothing = quality_classifier.train(empty, labels)
+    assert quality_classifier.classify(docs.limit(1), nothing).first().quality_score == 0.5
+
+
+# 5
+
+
+def test_pseudonyms_keep_formats_and_links(spark):
+    texts = ["card 4111 1111 1111 1111 and 4111-1111-1111-1111.", "born 1985-02-28, 28/02/1985 or 28.02.1985", "ip 193.195.198.107!!", "call +1 (830) 555-5433 or +1 830 555 5433", "x that.92@mail2.example.com y", "ssn 123-45-6789", 'token = "2321bac4d15ec8f90433955bf9d3cf61da5bdd1e"###', "4111111111111112 2021-02-30 000-12-3456 999.1.1.1 Version 2.0.", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumns({"pii": F.lit("x"), "_found": F.lit(1)})
+    out = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    a, b = re.findall(r"[0-9][0-9 -]+[0-9]", out[0].text)
+    assert re.fullmatch(r"\d{4} \d{4} \d{4} \d{4}", a) and a.replace(" ", "") == b.replace("-", "") != "4111111111111111"
+    digits = [int(c) for c in a if c.isdigit()][::-1]
+    assert sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(digits)) % 10 == 0
+    y, m, d = re.search(r"(\d{4})-(\d\d)-(\d\d)", out[1].text).groups()
+    assert f"{d}/{m}/{y}" in out[1].text and f"{d}.{m}.{y}" in out[1].text and (y, m, d) != ("1985", "02", "28")
+    assert all(int(o) < 256 for o in re.search(r"ip ([\d.]+)!!", out[2].text)[1].split("."))
+    p, q = re.search(r"call (.*) or (.*)", out[3].text).groups()
+    assert p.startswith("+1 (") and re.sub(r"\D", "", p) == re.sub(r"\D", "", q) != "18305555433"
+    assert "that.92" not in out[4].text and "@" in out[4].text
+    assert re.fullmatch(r"ssn \d{3}-\d\d-\d{4}", out[5].text) and "123-45-6789" not in out[5].text
+    assert re.fullmatch(r'token = "[0-9a-f]{40}"###', out[6].text) and "2321bac4" not in out[6].text
+    assert out[7].text == texts[7] and out[7].pii == []
+    assert out[8].text is None and out[9].text == ""
+    assert [x.kind for x in out[0].pii] == ["card", "card"]
+
+
+def test_digits_are_permuted(spark):
+    """All 1,000 numbers of three digits go to different ones."""
+    df = spark.range(1000).select(pii.permuted(F.lpad(F.col("id").cast("string"), 3, "0"), 10, "k", "t").alias("p"))
+    got = [r.p for r in df.collect()]
+    assert len(set(got)) == 1000 and all(re.fullmatch(r"\d{3}", g) for g in got)
+
+
+def test_pii_runs_on_odd_rows(odd, empty):
+    assert pii.pseudonymise(odd).count() == odd.count() and pii.pseudonymise(empty).count() == 0
+
+
+# 6
+
+
+def test_languages_are_told_apart(spark, odd, empty):
+    de, en = "der die das und nicht ist ein haus steht dort", "the cat and this house are not there with them"
+    rng = random.Random(2)
+    mixed = lambda s: " ".join(rng.choice(s.split()) for _ in range(30))
+    rows = [(i, mixed(de if i % 2 else en), "de" if i % 2 else "en") for i in range(80)] + [(90, mixed(de) + " " + en, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    filters = language_id.learn(docs)
+    got = {r.doc_id: r for r in language_id.predict(docs, filters).collect()}
+    assert all(got[i].lang_pred == rows[i][2] for i in range(80)) and got[90].lang_pred == "de"
+    odd_rows = {r.text: r for r in language_id.predict(odd, filters).collect()}
+    assert odd_rows[None].lang_pred == odd_rows[""].lang_pred == odd_rows[" \n\t\n 123 ### "].lang_pred == "und"
+    assert odd_rows[LONG].lang_pred == "en" and all(0 <= r.lang_score <= 1 for r in odd_rows.values())
+    assert {r.lang_pred for r in language_id.predict(docs, language_id.learn(empty)).collect()} == {"und"}
+
+
+def test_filters_have_no_false_negatives(spark):
+    docs = spark.createDataFrame([("hello world", "en"), ("bonjour monde", "fr")], "text string, lang string")
+    f = language_id.learn(docs)
+    hits, n = f.votes([b"hello", b"bonjour"])
+    assert hits[0][0] == n[0] and hits[1][1] == n[1]
+
+
+# 7
+
+
+def brute_distance(item, text):
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(item, 1):
+        new = [i]
+        for j, b in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+        row = new
+    return min(row)
+
+
+def test_items_are_found_within_their_budget_and_only_there(spark):
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+    items = [(i, letters(60)) for i in range(4)] + [(8, None), (9, "short")]
+    texts = []
+    for i in range(40):
+        x = list(items[i % 4][1])
+        for _ in range(rng.randint(0, 12)):
+            at = rng.randrange(len(x))
+            x[at : at + 1] = rng.choice(["", "a", "bc", "d"])
+        texts.append(letters(30) + "".join(x).upper() + letters(20))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(100, None), (101, "")], "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.matches(docs, bench, rate=0.12).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        for k, item in items[:4]:
+            p = decontaminate.plain(item)
+            d = brute_distance(p, decontaminate.plain(t))
+            if d <= int(0.12 * len(p)):
+                want[i, k] = d
+    assert got == want and len(want) > 10
+    kept = {r.doc_id for r in decontaminate.decontaminate(docs, bench, rate=0.12).collect()}
+    assert kept == {i for i in range(40) if not any(i == d for d, _ in want)} | {100, 101}
+
+
+def test_decontamination_without_items(spark, odd):
+    none = spark.createDataFrame([], "item_id bigint, text string")
+    assert decontaminate.matches(odd, none).count() == 0 and decontaminate.decontaminate(odd, none).count() == odd.count()
+
+
+# 8
+
+
+@pytest.mark.parametrize("top", [9, 1 << 40, 2**63])
+def test_elias_fano_finds_and_returns_all(top):
+    rng = np.random.default_rng(1)
+    values = np.sort(rng.integers(0, top, 3000, dtype=np.uint64))
+    bits, a = elias_fano.EliasFano.arrays(values)
+    e = elias_fano.EliasFano(len(values), bits, a["low"], a["high"], a["ones"], a["zeros"])
+    assert (e.access(np.arange(len(values))) == values).all()
+    probe = np.concatenate([values, rng.integers(0, top, 500, dtype=np.uint64)])
+    at = np.searchsorted(values, probe)
+    want = np.where((at < len(values)) & (values[np.minimum(at, len(values) - 1)] == probe), at, -1)
+    assert (e.find(probe) == want).all()
+
+
+@pytest.mark.parametrize(("order", "per_shard"), [(2, 1 << 20), (3, 16)])
+def test_model_equals_the_plain_formula(spark, order, per_shard):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["A", "b", "cc", "d", "e e", "f"]) for _ in range(rng.randint(1, 25))) for _ in range(60)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    model = lm_trie.train(docs.where("doc_id < 50"), order=order, per_shard=per_shard, prior=5.0)
+    words = lambda t: (t or "").encode().lower().split() + [b" "]
+    counts = {n: Counter() for n in range(1, order + 1)}
+    for t in texts[:50]:
+        w = words(t)
+        for n in counts:
+            counts[n].update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    total, size = sum(counts[1].values()), len(counts[1])
+    kept = {n: {g: c for g, c in counts[n].items() if c >= 2} for n in counts}
+    after = {n: Counter() for n in counts}
+    for n in kept:
+        for g, c in kept[n].items():
+            after[n][g[:-1]] += c
+
+    def p(h, w):
+        if not h:
+            return (counts[1][(w,)] + 1) / (total + size + 1)
+        n = len(h) + 1
+        return (kept[n].get((*h, w), 0) + 5 * p(h[1:], w)) / (after[n].get(h, 0) + 5)
+
+    assert (model.n_tokens, model.size) == (total, size)
+    for r in lm_trie.score(docs, model).collect():
+        w = words(r.text)
+        base = sum(math.log10(p((), x)) for x in w)
+        full = sum(math.log10(p(tuple(w[max(0, i - order + 1) : i]), x)) for i, x in enumerate(w))
+        assert r.n_tokens == len(w) and r.n_known == sum((x,) in counts[1] for x in w)
+        assert r.base_score == pytest.approx(base, abs=1e-9) and r.lm_score == pytest.approx(full, abs=2e-3 * len(w))
+
+
+def test_model_of_nothing(spark, odd, empty):
+    model = lm_trie.train(empty)
+    assert {r.base_score for r in lm_trie.score(odd, model).collect()} == {0.0}
+
+
+# 9
+
+
+def test_fingerprints_equal_the_plain_rule():
+    for text in ("", None, "One", "one two", "One two three", "A b c d e f g a b c", "é É ü\x1cx y z w"):
+        words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) > 2 else ([" ".join(words)] if words else [])
+        h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        assert simhash.fingerprint(text) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+@pytest.mark.parametrize(("shard", "block"), [(50, 16384), (50, 16)])
+def test_trees_lose_no_link(spark, shard, block):
+    rng = np.random.default_rng(0)
+    points = set(rng.integers(0, 2**63, 300, dtype=np.uint64).tolist())
+    for x in list(points)[:40]:
+        for _ in range(15):
+            y = x
+            for bit in rng.choice(64, rng.integers(1, 4), replace=False):
+                y ^= 1 << int(bit)
+            points.add(y)
+    p = np.array(sorted(points), np.uint64)
+    df = spark.createDataFrame([(int(x),) for x in p.view(np.int64)], "fp bigint")
+    got = {r.node: r.component for r in components(simhash.fingerprint_links(df, 2, sample=512, shard=shard, block=block)).collect()}
+    signed, near = p.view(np.int64), np.bitwise_count(p[:, None] ^ p[None, :]) <= 2
+    label = signed.copy()
+    while not np.array_equal(label, new := np.array([label[row].min() for row in near])):
+        label = new
+    assert all(got.get(int(x), int(x)) == int(c) for x, c in zip(signed, label, strict=True))
+
+
+def test_groups_of_copies(spark, odd, empty):
+    near = simhash.near_duplicates(odd)
+    assert near.count() == odd.count()
+    ids = {(r.doc_id, r.component_id) for r in near.collect()}
+    assert (3, 2) in ids and (2, 2) in ids  # no words: both have fingerprint zero
+    kept = simhash.representatives(odd)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "5", "6", "None"] and kept.columns == odd.columns
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+# 10
+
+
+def test_line_frequency_and_rules_on_odd_rows(spark, odd, empty):
+    got = {r.doc_id: r for r in quality_rules.quality_rules(odd).collect()}
+    assert got[3].n_words == got[2].n_words == 0 and got[3].base_failed and not got[2].kept
+    assert got[5].n_words == 28000 and got[5].n_repeat_words == 28000 and got[6].n_symbols == 3
+    assert quality_rules.quality_rules(empty).count() == 0
+
+
+def test_boilerplate_lines_deplete_documents(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    own = lambda n: " ".join(word() for _ in range(n))
+    notice = own(30)
+    rows = [(i, f"{notice}\n{own(25)}" if i % 4 == 0 else f"{notice.upper()}\n{own(60)}" if i % 4 == 1 else own(50), "h") for i in range(40)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert all(r.kept == (i % 4 != 0) for i, r in got.items())
+    assert got[1].n_removed_words == 30 and "\n" not in got[1].clean_text and got[2].clean_text == rows[2][1]
