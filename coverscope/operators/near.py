@@ -101,23 +101,35 @@ def facility_access(queries: DataFrame, facilities: DataFrame, item: str, facili
     qa = [f"_q{a}" for a in xy]
     n = f.count()
     d = F.sqrt(squared([F.col(a) for a in qa], [F.col(a) for a in xy]))
+    def ranked(found: DataFrame) -> DataFrame:
+        """The first max(ks) facilities of each point as columns; a window keeps no more than that of a point."""
+        k = F.row_number().over(Window.partitionBy(item).orderBy("d", facility))
+        first = found.withColumn("_k", k).where(F.col("_k") <= max(ks))
+        return first.groupBy(item).agg(F.count("*").alias("_n"), F.min(F.when(F.col("_k") == 1, F.col(facility))).alias("nearest_id"), *[F.min(F.when(F.col("_k") == i, F.col("d"))).alias(f"distance_{i}") for i in ks])
+
     pairs = within_radius(q, f, qa, xy, F.lit(float(max_radius)), n_centres=n, cell=float(max_radius)).select(item, facility, d.alias("d"))
-    near = pairs.groupBy(item).agg(
-        F.min_by(facility, F.struct("d", facility)).alias("_nearest"),
-        F.array_sort(F.collect_list("d")).alias("_ds") if n <= MAX_BROADCAST and max(ks) > 1 else F.array(F.min("d")).alias("_ds"),
-        *[F.count_if(F.col("d") <= t).alias(f"n_within_{int(t)}") for t in thresholds],
-        *[F.sum(F.exp(-F.col("d") / s)).alias(f"access_{int(s)}") for s in scales],
-    )
-    out = q.select(item, *qa).join(near, item, "left")
-    # points with fewer facilities in range than k look beyond it
-    short = out.where(F.coalesce(F.size("_ds"), F.lit(0)) < max(ks)).select(item, *qa)
-    beyond = short.crossJoin(F.broadcast(f)) if n <= MAX_BROADCAST else within_radius(short, f, qa, xy, F.lit(16.0 * max_radius), n_centres=n, cell=16.0 * max_radius)
-    far = beyond.select(item, facility, d.alias("d")).groupBy(item).agg(F.min_by(facility, F.struct("d", facility)).alias("_far_id"), F.slice(F.array_sort(F.collect_list("d")), 1, max(ks)).alias("_far"))
-    both = out.join(far, item, "left").withColumn("_all", F.coalesce("_far", "_ds"))
-    return both.select(
+    counts = pairs.groupBy(item).agg(*[F.count_if(F.col("d") <= t).alias(f"n_within_{int(t)}") for t in thresholds], *[F.sum(F.exp(-F.col("d") / s)).alias(f"access_{int(s)}") for s in scales])
+    near = cut(ranked(pairs))
+    # points with fewer facilities in range than k look beyond it, in doubled radii if the facilities are many
+    short, full = q.join(near.where(F.col("_n") == max(ks)).select(item), item, "left_anti"), near.where(F.col("_n") == max(ks))
+    if n <= MAX_BROADCAST:
+        far = ranked(short.crossJoin(F.broadcast(f)).select(item, facility, d.alias("d")))
+    else:
+        reach, far, short = 2.0 * max_radius, None, cut(short)
+        wide = f.agg(*[(F.max(a) - F.min(a)).alias(a) for a in xy]).crossJoin(q.agg(*[F.max(F.abs(a)).alias(a) for a in qa])).first()
+        end = 2 * float(sum(abs(x or 0) for x in wide)) + max_radius
+        while not short.isEmpty():
+            got = cut(ranked(within_radius(short, f, qa, xy, F.lit(reach), n_centres=n, cell=reach).select(item, facility, d.alias("d"))))
+            done = got if reach >= end else got.where(F.col("_n") == max(ks))
+            far = done if far is None else far.unionByName(done)
+            short = cut(short.join(done.select(item), item, "left_anti")) if reach < end else short.limit(0)
+            reach *= 2
+        far = full.limit(0) if far is None else far
+    out = q.select(item).join(full.unionByName(far), item, "left").join(counts, item, "left")
+    return out.select(
         item,
-        F.coalesce("_nearest", "_far_id").alias("nearest_id"),
-        *[F.get("_all", F.lit(k - 1)).alias(f"distance_{k}") for k in ks],
+        "nearest_id",
+        *[f"distance_{k}" for k in ks],
         *[F.coalesce(f"n_within_{int(t)}", F.lit(0)).alias(f"n_within_{int(t)}") for t in thresholds],
         *[F.coalesce(f"access_{int(s)}", F.lit(0.0)).alias(f"access_{int(s)}") for s in scales],
     )
