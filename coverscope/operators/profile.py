@@ -143,3 +143,24 @@ def pair_spread(membership: DataFrame, places: DataFrame) -> DataFrame:
     p = pairs(ball, "ball_id").withColumnsRenamed({"ball_id_a": "a", "ball_id_b": "b"}).join(cover.edges(membership), ["a", "b"], "left")
     shared = F.coalesce("strength", F.lit(0))
     return p.select("a", "b", shared.alias("shared_members"), (shared / (F.col("n_a") + F.col("n_b") - shared)).alias("jaccard"), (F.sqrt(squared([F.col("x_a"), F.col("y_a")], [F.col("x_b"), F.col("y_b")])) / 1000).alias("centroid_km"))
+
+
+def ball_adjacency(membership: DataFrame, adjacency: DataFrame) -> DataFrame:
+    """Of each ball: edges between its members, mean degree, components they form, share of the largest, and single units. adjacency: a, b once each."""
+    own = membership.select("ball_id", F.col("unit").alias("a"))
+    inside = adjacency.select("a", "b").join(own, "a").join(own.withColumnRenamed("a", "b"), ["ball_id", "b"]).select("ball_id", "a", "b")
+    labels = graph.components(membership.select("ball_id", F.col("unit").alias("node")), inside, ["ball_id"])
+    parts = labels.groupBy("ball_id", "component").agg(F.count("*").alias("_n")).groupBy("ball_id")
+    shape = parts.agg(F.sum("_n").alias("n_units"), F.count("*").alias("n_components"), (F.max("_n") / F.sum("_n")).alias("largest_share"), F.count_if(F.col("_n") == 1).alias("n_singletons"))
+    out = shape.join(inside.groupBy("ball_id").agg(F.count("*").alias("n_edges")), "ball_id", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
+    return out.withColumn("mean_degree", 2 * F.col("n_edges") / F.col("n_units"))
+
+
+def cross_adjacency(membership: DataFrame, adjacency: DataFrame) -> DataFrame:
+    """a < b of balls, and the number of adjacent pairs with one unit in either ball alone."""
+    pair = adjacency.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    pair = pair.unionByName(pair.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    m = membership.select("unit", "ball_id")
+    crossed = pair.join(m.withColumnsRenamed({"unit": "u", "ball_id": "a"}), "u").join(m.withColumnsRenamed({"unit": "v", "ball_id": "b"}), "v").where("a < b")
+    alone = crossed.join(m.withColumnsRenamed({"unit": "u", "ball_id": "b"}), ["u", "b"], "left_anti").join(m.withColumnsRenamed({"unit": "v", "ball_id": "a"}), ["v", "a"], "left_anti")
+    return alone.groupBy("a", "b").agg(F.count("*").alias("n_cross"))

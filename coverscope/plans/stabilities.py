@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from coverscope.functions.columns import squared
-from coverscope.operators import bins, contract, contrast, cover, profile, stability
+from coverscope.operators import bins, contract, contrast, cover, near, profile, stability
 from coverscope.plans.covers import COVER, canonical
 from coverscope.plans.frames import AXES, POINTS, points, xy, x_of, y_of
 from coverscope.plans.registry import Registry
@@ -341,3 +341,35 @@ def _(spark, d):
 def _(spark, d):
     xy_, _, m = ground(spark, d)
     return rounded(profile.pair_spread(m, xy_))
+
+
+NEAR_KM = 2000.0
+ADJACENT = f", pl AS (SELECT id, {xy('id')} FROM points), ad AS (SELECT p.id AS a, q.id AS b FROM pl p JOIN pl q ON p.id < q.id AND (p.x-q.x)*(p.x-q.x) + (p.y-q.y)*(p.y-q.y) <= {NEAR_KM**2})"
+
+
+def adjacency(places):
+    """Pairs of units at most NEAR_KM metres apart."""
+    other = places.select(F.col("unit").alias("b"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    pairs = near.within_radius(places.withColumnRenamed("unit", "a"), other, ["x", "y"], ["_x", "_y"], F.lit(NEAR_KM), n_centres=near.MAX_BROADCAST + 1, cell=NEAR_KM)
+    return pairs.where("a < b").select("a", "b")
+
+
+@R.add(
+    "i59_ball_adjacency",
+    f"""WITH RECURSIVE {COVER}{ADJACENT}, ins AS (SELECT m.ball_id, a, b FROM ad JOIN member m ON m.unit = a JOIN member n ON n.unit = b AND n.ball_id = m.ball_id), bw AS (SELECT ball_id, a, b FROM ins UNION ALL SELECT ball_id, b, a FROM ins),
+re AS (SELECT ball_id, unit AS a, unit AS b FROM member UNION SELECT re.ball_id, re.a, bw.b FROM re JOIN bw ON re.ball_id = bw.ball_id AND re.b = bw.a), co AS (SELECT ball_id, a, min(b) AS c FROM re GROUP BY ALL), sz AS (SELECT ball_id, c, count(*) AS n FROM co GROUP BY ALL)
+SELECT ball_id, sum(n)::BIGINT AS n_units, count(*) AS n_components, round(max(n) / sum(n), 6) AS largest_share, count(*) FILTER (n = 1) AS n_singletons, (SELECT count(*) FROM ins WHERE ins.ball_id = sz.ball_id) AS n_edges, round(2 * (SELECT count(*) FROM ins WHERE ins.ball_id = sz.ball_id) / sum(n), 6) AS mean_degree FROM sz GROUP BY ball_id""",
+)
+def _(spark, d):
+    places, _, m = ground(spark, d)
+    return rounded(profile.ball_adjacency(m, adjacency(places)))
+
+
+@R.add(
+    "i60_cross_adjacency",
+    f"""WITH RECURSIVE {COVER}{ADJACENT}, bw AS (SELECT a AS u, b AS v FROM ad UNION ALL SELECT b, a FROM ad), cr AS (SELECT m.ball_id AS a, n.ball_id AS b, u, v FROM bw JOIN member m ON m.unit = u JOIN member n ON n.unit = v AND m.ball_id < n.ball_id)
+SELECT a, b, count(*) AS n_cross FROM cr WHERE NOT EXISTS (SELECT 1 FROM member k WHERE k.unit = u AND k.ball_id = cr.b) AND NOT EXISTS (SELECT 1 FROM member k WHERE k.unit = v AND k.ball_id = cr.a) GROUP BY a, b""",
+)
+def _(spark, d):
+    places, _, m = ground(spark, d)
+    return profile.cross_adjacency(m, adjacency(places))

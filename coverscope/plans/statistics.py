@@ -379,3 +379,8 @@ def _(spark, d):
 def _(spark, d):
     n = table(spark, d, "customer").agg((F.count("*") - 1).alias("m"))
     return n.select("m", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("k")).select("k", F.round(C.zero_overlap_chance(F.col("m"), F.col("k")), 6).alias("chance"))
+
+
+@R.add("f1_byte_order_sort", "SELECT p_name, p_partkey FROM part ORDER BY p_name COLLATE C, p_partkey LIMIT 200")
+def _(spark, d):
+    return table(spark, d, "part").select("p_name", "p_partkey").orderBy("p_name", "p_partkey").limit(200)

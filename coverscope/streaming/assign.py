@@ -1,7 +1,6 @@
 """New units against a frozen cover, as they come in.
 
-The reference works on tables alone; this is its cover from supplied landmarks on a
-stream: each unit gets its balls without any state, so late or repeated rows do no harm."""
+Each unit gets its balls without any state, so late or repeated rows do no harm."""
 
 from __future__ import annotations
 
