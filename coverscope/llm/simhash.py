@@ -32,17 +32,24 @@ from coverscope.llm.components import components
 from coverscope.llm.shared import written
 
 SEED = 42
+WIDE = 32  # words of 64 bits in a wide fingerprint
+ANCHORS = 8
 #: A fingerprint goes out as a signed number.
 BIT_ORDER = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
-def fingerprint(text: str | None, size: int = 3) -> int:
-    """Bit by bit the majority of the XXH64 hashes of all shingles of `size` lower-cased words, repeats included."""
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """The XXH64 hashes of all shingles of `size` lower-cased words, repeats included; of fewer words the whole is one."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     runs = zip(*(words[i:] for i in range(size)), strict=False) if len(words) >= size else [words]
-    h = np.array([xxhash.xxh64_intdigest(b" ".join(r), SEED) for r in runs], "<u8")
+    return np.array([xxhash.xxh64_intdigest(b" ".join(r), SEED) for r in runs], "<u8")
+
+
+def fingerprint(text: str | None, size: int = 3) -> int:
+    """Bit by bit the majority of the shingles' hashes; without a word 0."""
+    h = shingle_hashes(text, size)
     ones = np.zeros(64, np.int64)
     for start in range(0, len(h), 8192):
         ones += np.unpackbits(h[start : start + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -114,8 +121,8 @@ def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = up
 
 
-def link(points: np.ndarray, queries: np.ndarray, targets: np.ndarray, bits: int, parent: np.ndarray) -> None:
-    """Unites every query with every target within bits of it."""
+def link(points: np.ndarray, queries: np.ndarray, targets: np.ndarray, bits: int, parent: np.ndarray, distance=distance, join=unite) -> None:
+    """Joins every query with every target within bits of it. Points are numbers, or rows of them with their own distance."""
     if not len(queries) or not len(targets):
         return
     if len(targets) > 256:
@@ -125,15 +132,15 @@ def link(points: np.ndarray, queries: np.ndarray, targets: np.ndarray, bits: int
         inside = d <= radius
         if not inside.all():
             q = distance(points[queries], vantage).astype(np.int64)
-            link(points, queries[q - bits <= radius], targets[inside], bits, parent)
-            link(points, queries[q + bits > radius], targets[~inside], bits, parent)
+            link(points, queries[q - bits <= radius], targets[inside], bits, parent, distance, join)
+            link(points, queries[q + bits > radius], targets[~inside], bits, parent, distance, join)
             return
-    step = max(1, (1 << 20) // len(targets))
+    step = max(1, (1 << 20) // (len(targets) * points[0].size))
     for start in range(0, len(queries), step):
         part = queries[start : start + step]
         i, j = np.nonzero(distance(points[part][:, None], points[targets][None, :]) <= bits)
         if len(i):
-            unite(parent, part[i], targets[j])
+            join(parent, part[i], targets[j])
 
 
 def fingerprint_links(distinct: DataFrame, bits: int = 2, sample: int = 16384, shard: int = 32768, block: int = 65536) -> DataFrame:
@@ -191,3 +198,118 @@ def representatives(docs: DataFrame, bits: int = 3, size: int = 5) -> DataFrame:
     columns = [c for c in kept.columns if c != "doc_id"]
     once = kept.groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("_row")).select("doc_id", "_row.*").select(*kept.columns)
     return once.unionByName(docs.where("doc_id is null"))
+
+
+def mixed(h: np.ndarray, salt: int) -> np.ndarray:
+    """Another hash of every h, by the finaliser of SplitMix64."""
+    x = h + np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def sketch(text: str | None, size: int = 5) -> tuple[list[int], bytes, bytes]:
+    """The anchors of a text, its fingerprint of 64 * WIDE bits and its shingles as sorted 32-bit hashes; no anchors without a word.
+
+    An anchor is a pair of shingles that are least under two hashes of their own: texts of
+    similarity J have the same one with probability J * J.
+    """
+    h = np.unique(shingle_hashes(text, size))
+    if not len(h):
+        return [], b"", b""
+    least = np.array([mixed(h, k).min() for k in range(1, 2 * ANCHORS + 1)])
+    anchors = mixed(least[::2], 1) ^ mixed(least[1::2], 2) ^ mixed(np.arange(ANCHORS, dtype=np.uint64), 3)
+    ones = np.zeros(64 * WIDE, np.int64)
+    for start in range(0, len(h), 2048):
+        part = np.stack([mixed(h[start : start + 2048], 1000 + k) for k in range(WIDE)], axis=1)
+        ones += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return anchors.view(np.int64).tolist(), np.packbits(2 * ones > len(h), bitorder="little").tobytes(), np.unique(h.astype("<u4")).tobytes()
+
+
+def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
+    """doc_id, anchors, wide and shingles, the sketch of each row's text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [sketch(t.as_py(), size) for t in b["text"]]
+            yield pa.record_batch({"doc_id": b["doc_id"], "anchors": pa.array([a for a, _, _ in found], pa.list_(pa.int64())), "wide": pa.array([w for _, w, _ in found], pa.binary()), "shingles": pa.array([s for _, _, s in found], pa.binary())})
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, anchors array<bigint>, wide binary, shingles binary")
+
+
+def wide_distance(points: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(points ^ other).sum(axis=-1, dtype=np.int64)
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """The index of two sets, given as sorted arrays."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / max(1, len(x) + len(y) - common)
+
+
+def unite_alike(parent: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Tells of the pairs that may tie trees of parent together, nearest first, which ones do by their sets; returns these."""
+    order, tied = np.argsort(d, kind="stable"), []
+    while len(order := order[parent[i[order]] != parent[j[order]]]):
+        tried = min(len(order), 64)
+        for at in order[:tried]:
+            p, q = int(i[at]), int(j[at])
+            if parent[p] != parent[q] and jaccard(sets[p], sets[q]) >= similarity:
+                unite(parent, i[at : at + 1], j[at : at + 1])
+                tied.append((p, q))
+        order = order[tried:]
+    return tied
+
+
+def similar_links(docs: DataFrame, similarity: float = 0.8, size: int = 5, rows: int = 8192, block: int = 8192) -> DataFrame:
+    """a and b: ids of documents whose sets of shingles have a Jaccard index of `similarity` or more, as forests.
+
+    Fingerprints of texts so far apart differ in so many bits that a tree of all of them has
+    nothing to prune. So documents meet at their anchors (two texts of similarity 0.8 miss
+    all eight with probability 0.0003), where wide fingerprints are compared, by a tree where
+    they are many. Their bits tell the index to about 0.02; pairs down to 0.07 below are
+    told by the sets themselves, which keeps every link between trees. An anchor emits fewer
+    links than it has documents. At one with more than `block`, slices of them meet two by
+    two, so that no task has more than two slices of one. Null ids and null or empty texts
+    have no links.
+    """
+    near = 2 * max(0.0, similarity - 0.07) / (1 + max(0.0, similarity - 0.07))
+    bits = int(64 * WIDE * np.arccos(near) / np.pi)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    known = written(sketches(docs.where("doc_id is not null"), size), "sketches")
+    met = known.select("doc_id", F.explode("anchors").alias("anchor"))
+    crowds = met.groupBy("anchor").agg(F.ceil(F.count("*") / block).cast("int").alias("n_slices"), F.count("*").alias("n")).where("n > 1").drop("n")
+    cut = F.pmod(F.xxhash64("doc_id"), F.col("n_slices")).cast("int")
+    dealt = met.join(crowds, "anchor").select("doc_id", "anchor", cut.alias("own"), F.explode(F.sequence(F.lit(0), F.col("n_slices") - 1)).alias("other"))
+    n_buckets = -(-known.count() * ANCHORS // rows) or 1
+    placed = dealt.select(
+        "doc_id", F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other")).alias("place")
+    ).withColumn("bucket", F.pmod("place", F.lit(n_buckets)).cast("int"))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["place", "doc_id"], ignore_index=True)
+        points = np.frombuffer(b"".join(rows.wide), "<u8").reshape(-1, WIDE)
+        sets = [np.frombuffer(x, "<u4") for x in rows.shingles]
+        ids, place = rows.doc_id.to_numpy(), rows.place.to_numpy()
+        starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True])
+        links = []
+        for start, end in zip(starts[:-1], starts[1:], strict=True):
+            own, each = points[start:end], np.arange(end - start)
+
+            def join(parent: np.ndarray, i: np.ndarray, j: np.ndarray, start=start, end=end, own=own) -> None:
+                links.extend((start + p, start + q) for p, q in unite_alike(parent, i, j, wide_distance(own[i], own[j]), sets[start:end], similarity))
+
+            link(own, each, each, bits, each.copy(), wide_distance, join)
+        at = np.array(links, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": ids[at[:, 0]], "b": ids[at[:, 1]]})
+
+    return placed.join(known.select("doc_id", "wide", "shingles"), "doc_id").groupBy("bucket").applyInPandas(compare, f"a {id_type}, b {id_type}")
+
+
+def deduplicated(docs: DataFrame, bits: int = 3, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group: first of the copies within bits of each other, by the
+    tree, then of what is left and linked by similarity; the one with the smallest id stays.
+    Rows without an id stay. Texts without a word are copies of each other."""
+    first = written(representatives(docs, bits, size), "representatives")
+    groups = components(similar_links(first, similarity, size))
+    return first.join(groups.where("node <> component").select(F.col("node").alias("doc_id")), "doc_id", "left_anti").select(*docs.columns)

@@ -344,6 +344,39 @@ def test_groups_of_copies(spark, odd, empty):
     kept = simhash.representatives(odd)
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "5", "6", "None"] and kept.columns == odd.columns
     assert simhash.near_duplicates(empty).count() == 0
+    once = simhash.deduplicated(odd)
+    assert sorted(str(r.doc_id) for r in once.collect()) == ["1", "2", "5", "6", "None"] and once.columns == odd.columns
+    assert simhash.deduplicated(empty).count() == 0
+
+
+@pytest.mark.parametrize("block", [16384, 40])
+def test_edited_copies_are_found_and_others_stay(spark, block):
+    """Families of one text with more and more words replaced; a block of 40 cuts the crowded anchors into slices."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for family in range(40):
+        base = [word() for _ in range(rng.randint(60, 300))]
+        for copy in range(12 if family else 150):
+            edited = list(base)
+            for _ in range(rng.randint(0, 6)):
+                edited[rng.randrange(len(edited))] = word()
+            texts.append(" ".join(edited))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    links = simhash.similar_links(df, block=block).where("a <> b")
+    assert links.distinct().count() <= simhash.ANCHORS * len(texts) * (1 if block > 150 else 4)  # forests, not all pairs
+    label = {r.node: r.component for r in components(links).collect()}
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert near and all(label[i] == label[j] for i, j in near)
+    want = list(range(len(texts)))
+    for _ in range(len(texts)):
+        before = list(want)
+        for i, j in near:
+            want[i] = want[j] = min(want[i], want[j])
+        if before == want:
+            break
+    assert all(label.get(i, i) == w for i, w in enumerate(want))
 
 
 # 10
