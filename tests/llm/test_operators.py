@@ -85,6 +85,16 @@ def test_passages_are_found_and_clean_documents_left_alone(spark):
     assert lo <= 2 and hi >= 66
 
 
+def test_a_passage_keeps_the_spans_of_all_its_sources(spark):
+    rng = random.Random(8)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(n)]
+    one, two = text(60), text(55)
+    docs = {1: text(20) + one + text(9), 2: text(7) + two + text(30), 3: text(12) + one + two + text(5)}
+    rows = substring_dedup.passages(spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id bigint, text string")).collect()
+    assert [(r.doc_id, r.start, r.end, r.n_sources) for r in rows] == [(3, 12, 127, 2)]
+    assert [tuple(x) for x in rows[0].spans] == [(12, 72, 1, 20, 80, 0), (72, 127, 2, 7, 62, 0)]
+
+
 def test_chains_equal_the_quadratic_rule():
     rng = np.random.default_rng(2)
     for _ in range(60):
