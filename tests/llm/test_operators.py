@@ -95,6 +95,25 @@ def test_a_passage_keeps_the_spans_of_all_its_sources(spark):
     assert [tuple(x) for x in rows[0].spans] == [(12, 72, 1, 20, 80, 0), (72, 127, 2, 7, 62, 0)]
 
 
+def test_a_fragment_in_an_earlier_document_hides_no_passage(spark):
+    rng = random.Random(11)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(n)]
+    docs: list[list[str]] = []
+    for n, cuts in [(60, [(7, 54)]), (55, [(3, 52)]), (60, [(0, 49)]), (60, [(0, 30), (30, 60)]), (50, [(2, 47)]), (90, [(0, 55), (40, 88)])] * 4:
+        whole = text(n)
+        docs += [text(20) + whole[lo:hi] + text(15) for lo, hi in cuts] + [text(rng.randint(0, 20)) + whole + text(9), text(rng.randint(0, 20)) + whole + text(12)]
+    rows = substring_dedup.passages(spark.createDataFrame([(i, " ".join(v)) for i, v in enumerate(docs)], "doc_id bigint, text string")).collect()
+    spans = [(r.doc_id, *x) for r in rows for x in r.spans]
+    seen: set = set()
+    for i, v in enumerate(docs):  # all runs of 50 words that an earlier document has
+        runs = [tuple(v[j : j + 50]) for j in range(len(v) - 49)]
+        for j in [j for j, x in enumerate(runs) if x in seen]:
+            assert any(d == i and a <= j and j + 50 <= b for d, a, b, *_ in spans), (i, j)
+        seen.update(runs)
+    for d, a, b, source, t, u, wrong in spans:
+        assert source < d and (wrong or docs[d][a:b] == docs[source][t:u])
+
+
 def test_chains_equal_the_quadratic_rule():
     rng = np.random.default_rng(2)
     for _ in range(60):
