@@ -70,7 +70,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_remainder(F.col("doc_id"), 7) == 2
-    model = lm_trie.train(docs.where(~held_out))
+    model = lm_trie.train(docs.where(~held_out), order=3)
     return lm_trie.score(docs, model).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", F.col("lm_score").alias("score")
     )

@@ -334,6 +334,15 @@ def test_model_of_nothing(spark, odd, empty):
     assert {r.base_score for r in lm_trie.score(odd, model).collect()} == {0.0}
 
 
+def test_the_scoring_query_tells_texts_with_the_same_pairs_apart(spark, tmp_path):
+    from coverscope.llm.queries import op8_lm_score
+
+    rows = [(i, "s b c b d b e") for i in range(60)] + [(60, "s b d b c b e")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    score = {r.doc_id: r.score for r in op8_lm_score(spark, str(tmp_path)).collect()}
+    assert score[0] > score[60] + 1e-6
+
+
 # 9
 
 
