@@ -49,8 +49,9 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = sentencepiece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
-    return sentencepiece_codec.decode(docs, PIECES).select(
+    """Ids by shared-prefix Viterbi. PIECES is a model of merges: its forward states are told by agreement, not by sums of scores (see the operator)."""
+    docs = sentencepiece_codec.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
+    return docs.select(
         "doc_id",
         F.coalesce(F.size("token_ids"), F.lit(0)).alias("n_tokens"),
         "token_ids",

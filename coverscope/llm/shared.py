@@ -55,6 +55,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def schema_of(df: DataFrame) -> str:
+    """The columns of df as a schema text."""
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 def chunks(batch: pa.RecordBatch, text: str, size: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about size bytes of text, of one row at least."""
     ends = np.cumsum([0, *(n or 0 for n in pc.binary_length(batch[text]).to_pylist())])

@@ -133,7 +133,7 @@ def test_chains_equal_the_quadratic_rule():
 # 3
 
 
-def test_encoding_equals_the_library_and_round_trips(spark, odd):
+def test_encoding_equals_the_library_and_round_trips(spark, odd, empty):
     import sentencepiece
 
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
@@ -147,6 +147,71 @@ def test_encoding_equals_the_library_and_round_trips(spark, odd):
         assert (r.token_ids is None) == (r.text is None)
         if r.text is not None:
             assert r.token_ids == library.encode(r.text)
+    once = sentencepiece_codec.encode_and_decode(df.withColumns({"token_ids": F.lit("x"), "decoded_text": F.lit(1)}), PIECES)
+    assert sorted(map(str, once.select(*rows[0].__fields__).collect())) == sorted(map(str, rows))
+    nothing = sentencepiece_codec.encode_and_decode(empty, PIECES)
+    assert nothing.columns == [*empty.columns, "token_ids", "decoded_text"] and nothing.count() == 0
+
+
+def test_foreign_ids_decode_as_the_library_does(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(9)
+    lists = [[rng.randrange(259, 32000) for _ in range(20)] for _ in range(50)] + [[], [3 + 0xC3, 3 + 0xA9], [300, 3 + 0xFF], None]
+    df = spark.createDataFrame(list(enumerate(lists)), "doc_id int, token_ids array<int>")
+    for r in sentencepiece_codec.decode(df, PIECES).collect():
+        assert r.decoded_text == (None if r.token_ids is None else library.decode(r.token_ids))
+
+
+def test_words_outlive_their_generation(monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "MAX_CACHED", 3)
+    e = sentencepiece_codec.Encoder(sentencepiece_codec.load(PIECES))
+    texts = ["one two three", "two four five six", "one seven", "five two nine ten", "", "two"]
+    fresh = [sentencepiece_codec.Encoder(e.v).encode([t])[0].tolist() for t in texts]
+    assert [e.encode([t])[0].tolist() for t in texts] == fresh
+
+
+def test_seams_agree_as_merging_says():
+    v = sentencepiece_codec.load(PIECES)
+    pieces, rng = list(v.usable), random.Random(4)
+    for _ in range(6000):
+        text = rng.choice(pieces) + rng.choice(pieces)
+        at = rng.randint(1, len(text) - 1)
+        a, b = v.usable.get(text[:at]), v.usable.get(text[at:])
+        if a and b:
+            assert v.agrees(a[0], b[0]) == (v.merged(text) == [a[0], b[0]])
+
+
+def best_segmentation(word, scores, missing):
+    """All ways to cut a word, by brute force: the best sum of scores; characters without a piece cost `missing`."""
+    found = []
+    for cuts in range(1 << (len(word) - 1)):
+        parts, start = [], 0
+        for i in range(1, len(word) + 1):
+            if i == len(word) or cuts >> (i - 1) & 1:
+                parts.append(word[start:i])
+                start = i
+        if all(p in scores or len(p) == 1 for p in parts):
+            found.append(sum(scores.get(p, missing) for p in parts))
+    return max(found)
+
+
+def test_unigram_walk_equals_brute_force_viterbi():
+    rng = random.Random(12)
+    for _ in range(40):
+        pieces = ["<unk>", *{"".join(rng.choice("ab▁") if i == 0 else rng.choice("abcd") for i in range(rng.randint(1, 6))) for _ in range(25)}]
+        scores = [0.0] + [-rng.random() * 5 for _ in pieces[1:]]
+        v = sentencepiece_codec.Vocabulary(pieces, scores, {p: i for i, p in enumerate(pieces) if i}, None, 0, sentencepiece_codec.UNIGRAM, True)
+        words = sorted({"▁" + "".join(rng.choice("abcde") for _ in range(rng.randint(0, 9))) for _ in range(30)})
+        by_piece, missing = dict(zip(pieces[1:], scores[1:], strict=True)), min(scores) - 10
+        for word, ids in zip(words, sentencepiece_codec.encode_words(words, v), strict=True):
+            at, total = 0, 0.0
+            for i in ids:
+                piece = pieces[i] if i else word[at]
+                assert word.startswith(piece, at)
+                at, total = at + len(piece), total + (scores[i] if i else missing)
+            assert at == len(word) and total == pytest.approx(best_segmentation(word, by_piece, missing))
 
 
 def test_unigram_scores_rule_a_unigram_model():
