@@ -9,9 +9,14 @@ from coverscope.llm import decontaminate, html_extract, language_id, lm_trie, pi
 from coverscope.llm.shared import crc_remainder, table
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The secret key of the session (spark.coverscope.pii.key). Without one a key for demonstration, which protects nothing."""
+    return spark.conf.get("spark.coverscope.pii.key", "demonstration")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", "text", F.coalesce(F.size("pii"), F.lit(0)).alias("n_found"), F.array_join("pii.kind", ",").alias("kinds"))
+    docs = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
+    return docs.select("doc_id", "text", F.size("pii").alias("n_found"), F.array_join("pii.kind", ",").alias("kinds"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
