@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coverscope.llm import decontaminate, pii, quality_classifier, sentencepiece_codec, simhash
-from coverscope.llm.queries import PIECES
+from coverscope.llm.queries import PIECES, pii_key
 from coverscope.llm.shared import table, written
 
 
@@ -33,7 +33,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes pseudonyms; n_chars follows the new text."""
-    return pii.pseudonymise(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    return pii.pseudonymise(docs, pii_key(spark)).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
