@@ -1,66 +1,99 @@
 """Main-text extraction by tag-path ratios.
 
-A page is read as a run of text nodes, each with its root-to-leaf tag path. Nodes of the
-same path are taken together: their characters and their punctuation marks, both per
-node. Both ratios are smoothed along the page with a Gaussian, fused by a product and cut
-at a share of their standard deviation; the paths above it are content. The page's text
-is then every block of the element that holds the selected nodes, so that a short heading
-or line between long paragraphs isn't lost. Menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments are left out by element name or by class and id words.
+A page is read as a run of text nodes, each with its root-to-leaf tag path (names and
+classes). Nodes of the same path are taken together: their characters and their
+punctuation marks, both per node. Both ratios are smoothed along the page with a Gaussian,
+fused by a product of logarithms, and each path gets the mean of its nodes, times a weight:
+menus, footers, sidebars, forms and page headers, told by their element, weigh nothing;
+article and main weigh more; an element whose class, id or role has more words of page
+furniture than of articles weighs less. Paths at or above a share of the standard deviation
+(and of the best path) are content.
+
+The text is made of the content paths' nodes. The smallest element with nearly all of them
+is the article's home; shorter lines inside it (of the whole home, if that is a part of the
+page, else between the first and the last content node) belong to the text as well, unless
+something below the home lowers their path's weight.
 
 Character references are decoded; white space inside a block (line breaks too) becomes one
 space; blocks are trimmed and joined in page order by a newline. A null or empty page, or
 one without text, gives an empty string. Unclosed tags close as HTML's own rules have it
-(a paragraph ends at the next block). Pages don't depend on each other, so repeated rows
-get equal results.
+(a paragraph ends at the next block); a tag without its end stops at the next one. Time
+grows with the page's length, however its tags are nested or broken. Pages don't depend on
+each other, so repeated rows get equal results. A column main_text gives way to the result.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from coverscope.llm.shared import schema_of
+
+ATTRS = r"(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+(?:>|(?=<)|\Z)"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|object|select|title|head)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*+>?"
+    rf"|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|object|select|title|head)\b{ATTRS}.*?(?:</(?P=raw)\s*+>|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*+)(?P<attrs>{ATTRS})",
     re.S | re.I,
 )
-HINT = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+HINT = re.compile(r"(?<!\S)(class|id|role)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 ENDS_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
-LEFT_OUT = frozenset("nav footer aside form button menu dialog".split())
-#: Words of a class, id or role that tell what is not the article.
-HINTS = frozenset(
+SHUTS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Elements that by HTML's own meaning hold no article.
+NEVER = frozenset("nav footer aside form button menu dialog".split())
+#: Blocks that are a part of an article, not its home.
+PARTS = frozenset("p li h1 h2 h3 h4 h5 h6 td th tr tbody pre dd dt caption figcaption".split())
+WHOLE = frozenset(("", "html", "body"))
+#: Words of a class, id or role that speak against an article, and for one.
+AGAINST = frozenset(
     "ad ads adv advert adverts advertisement banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent notice notices alert disclaimer comment comments disqus reply replies share sharing social related recommended newsletter subscribe signup login popup modal overlay widget toolbar pagination pager copyright".split()
 )
+FOR = frozenset("article body content contents entry main page post story text".split())
+HINTED, CONTAINER = 0.05, 4.0
 MARKS = ".,;:!?"
 
 
 class Node:
-    __slots__ = ("tag", "path", "out", "parent", "chars")
+    """An element: path is a number, equal for equal paths; weight is that of its path; holds is where the nearest block starts, itself included."""
+
+    __slots__ = ("tag", "path", "weight", "parent", "depth", "block", "inner", "chars", "inside")
+
+    def __init__(self, tag: str, path: int, weight: float, parent: Node | None, inner: bool):
+        self.tag, self.path, self.weight, self.parent, self.inner = tag, path, weight, parent, inner
+        self.depth = parent.depth + 1 if parent else 0
+        self.block = self if parent is None or tag in BLOCK else parent.block
+        self.chars, self.inside = 0, False
+
 
-    def __init__(self, tag: str, path: str, out: bool, parent: Node | None):
-        self.tag, self.path, self.out, self.parent, self.chars = tag, path, out, parent, 0.0
+def hint(attrs: str) -> int:
+    """Words for an article less words against one."""
+    words = [w for m in HINT.finditer(attrs) for w in re.split(r"[^a-z]+", (m[2] or m[3] or m[4] or "").lower())]
+    return sum(w in FOR for w in words) - sum(w in AGAINST for w in words)
 
 
-def hinted(attrs: str) -> bool:
-    return any(w in HINTS for m in HINT.finditer(attrs) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()))
+def own_weight(tag: str, attrs: str, inner: bool) -> float:
+    """What an element multiplies the weight of paths through it by; inner: it is inside an article or main element."""
+    if tag in NEVER or tag == "header" and not inner:
+        return 0.0
+    low = HINTED if attrs and tag not in ("html", "body", "main") and hint(attrs) < 0 else 1.0
+    return low * (CONTAINER if tag in ("article", "main") and not inner else 1.0)
 
 
-def nodes(page: str) -> list[tuple[Node, str, int]]:
-    """Text nodes: the element, the decoded text, the number of the block."""
-    top = Node("", "", False, None)
-    at, block, found, last = top, 0, [], 0
+def nodes(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
+    """The elements, parents first, and the text nodes: element, decoded text, number of the block."""
+    top = Node("", 0, 1.0, None, False)
+    every, found, paths, open_ = [top], [], {}, Counter()
+    at, block, last = top, 0, 0
 
     def text(end: int) -> None:
         if end > last and not page[last:end].isspace():
@@ -69,6 +102,14 @@ def nodes(page: str) -> list[tuple[Node, str, int]]:
         elif end > last and found and found[-1][2] == block:
             found.append((at, " ", block))
 
+    def leave(node: Node) -> Node:
+        """Closes all elements from the present one up to node; its parent."""
+        up = at
+        while up is not node.parent:
+            open_[up.tag] -= 1
+            up = up.parent
+        return up
+
     for m in TOKEN.finditer(page):
         text(m.start())
         last = m.end()
@@ -78,11 +119,11 @@ def nodes(page: str) -> list[tuple[Node, str, int]]:
         if tag in BLOCK:
             block += 1
         if m["end"]:
-            up = at
-            while up is not top and up.tag != tag:
-                up = up.parent
-            if up is not top:
-                at = up.parent
+            if open_[tag]:
+                up = at
+                while up.tag != tag:
+                    up = up.parent
+                at = leave(up)
             continue
         if tag == "br":
             if found and found[-1][2] == block:
@@ -90,70 +131,66 @@ def nodes(page: str) -> list[tuple[Node, str, int]]:
             continue
         if tag in VOID:
             continue
-        shut = ("p",) if tag in ENDS_P else ()
-        shut += {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ())
-        up = at
-        while shut and up is not top:  # an open paragraph or item ends here, unless a container stands between
+        shut = SHUTS.get(tag, ()) + (("p",) if tag in ENDS_P else ())
+        up = at.block if tag != "option" else at
+        while up is not top and any(open_[t] for t in shut):  # an open paragraph or item ends here, unless a container stands between
             if up.tag in shut:
-                at = up.parent
+                at = leave(up)
                 break
-            if up.tag in BLOCK and up.tag != "p" and up.tag not in shut:
+            if up.tag in BLOCK and up.tag != "p" or tag == "option":
                 break
-            up = up.parent
-        outside = all(t not in ("article", "main") for t in at.path.split("/"))
-        out = at.out or tag in LEFT_OUT or tag == "header" and outside or tag not in ("html", "body", "article", "main") and bool(m["attrs"]) and hinted(m["attrs"])
-        at = Node(tag, f"{at.path}/{tag}", out, at)
+            up = up.parent.block
+        attrs = m["attrs"]
+        classes = next((x[2] or x[3] or x[4] or "" for x in HINT.finditer(attrs) if x[1].lower() == "class"), "") if "lass" in attrs.lower() else ""
+        path = paths.setdefault((at.path, tag, re.sub(r"[0-9]+", "", classes)), len(paths) + 1)
+        weight = at.weight * own_weight(tag, attrs, at.inner)
+        at = Node(tag, path, weight, at, at.inner or tag in ("article", "main"))
+        every.append(at)
+        open_[tag] += 1
     text(len(page))
-    return found
+    return every, found
+
 
+def path_scores(path: np.ndarray, chars: np.ndarray, marks: np.ndarray, width: float) -> np.ndarray:
+    """For each text node its path's mean of the smoothed and fused ratios. Nodes without a character don't count in the ratios."""
+    real = np.bincount(path, chars > 0)
+    kernel = np.exp(-(np.arange(-np.ceil(2 * width), np.ceil(2 * width) + 1) ** 2) / (2 * width**2))
+    around = lambda x: np.convolve(x, kernel)[len(kernel) // 2 :][: len(x)]
+    ratios = [(np.bincount(path, x) / np.maximum(real, 1))[path] for x in (chars, marks)]
+    smooth = [around(r) / around(np.ones(len(path))) for r in ratios]
+    fused = np.log1p(smooth[0]) * np.log(2 + smooth[1])
+    return (np.bincount(path, fused) / np.maximum(np.bincount(path), 1))[path]
 
-def selected(found: list[tuple[Node, str, int]], width: float, cut: float) -> list[bool]:
+
+def selected(found: list[tuple[Node, str, int]], width: float, cut: float, least: float) -> np.ndarray:
     """Which of the text nodes stand on a content path."""
-    paths: dict[str, list[int]] = defaultdict(list)
-    for i, (node, _, _) in enumerate(found):
-        paths[node.path].append(i)
     chars = np.array([len(t.strip()) for _, t, _ in found], float)
     marks = np.array([sum(map(t.count, MARKS)) for _, t, _ in found], float)
-    ratios = np.zeros((2, len(found)))
-    for own in paths.values():
-        n = sum(1 for i in own if chars[i]) or 1
-        ratios[0, own], ratios[1, own] = chars[own].sum() / n, marks[own].sum() / n
-    reach = max(1, int(np.ceil(2 * width)))
-    kernel = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * width**2))
-    weight = np.convolve(np.ones(len(found)), kernel)[reach : reach + len(found)]
-    smooth = [np.convolve(r, kernel)[reach : reach + len(found)] / weight for r in ratios]
-    fused = smooth[0] * (1 + smooth[1])
-    score = {p: fused[own].mean() for p, own in paths.items()}
-    limit = cut * fused.std()
-    return [score[node.path] >= limit for node, _, _ in found]
-
-
-def main_text(page: str | None, width: float = 1.0, cut: float = 0.8) -> str:
-    found = [x for x in nodes(page or "") if not x[0].out]
+    _, path = np.unique([n.path for n, _, _ in found], return_inverse=True)
+    score = path_scores(path, chars, marks, width) * np.array([n.weight for n, _, _ in found])
+    return (score > 0) & (score >= max(cut * score.std(), least * score.max()))
+
+
+def main_text(page: str | None, width: float = 1.0, cut: float = 0.8, least: float = 0.1) -> str:
+    every, found = nodes(page or "")
     if not any(t.strip() for _, t, _ in found):
         return ""
-    picked = selected(found, width, cut)
-    holders: dict[int, Node] = {}
-    total = 0.0
-    for (node, t, _), good in zip(found, picked, strict=True):
-        if good:
-            total += len(t)
-            up = node
-            while up is not None:
-                up.chars += len(t)
-                holders[id(up)] = up
-                up = up.parent
-    inner = [n for n in holders.values() if n.tag in ("article", "main") and n.chars >= 0.5 * total]
-    # the deepest element with nearly all of the selected text
-    home = max(inner, key=lambda n: n.path.count("/")) if inner else max((n for n in holders.values() if n.chars >= 0.9 * total and n.tag in BLOCK | {""}), key=lambda n: n.path.count("/"))
-    while not inner and home.tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "pre", "dd", "dt"):
-        home = home.parent  # a single paragraph isn't an article: its neighbours belong to it
+    good = selected(found, width, cut, least)
+    if not good.any():
+        return ""
+    for (node, t, _), own in zip(found, good, strict=True):
+        node.chars += len(t) if own else 0
+    for node in reversed(every[1:]):
+        node.parent.chars += node.chars
+    home = max((n for n in every if n.chars >= 0.9 * every[0].chars and n.tag not in PARTS and (n.tag in BLOCK or n is every[0])), key=lambda n: n.depth)
+    for node in every:
+        node.inside = node is home or node.parent is not None and node.parent.inside
+    first, last = (0, len(found)) if home.tag not in WHOLE else (int(good.argmax()), len(good) - 1 - int(good[::-1].argmax()))
+    while first > 0 and home.tag in WHOLE and re.fullmatch("h[1-6]", found[first - 1][0].block.tag):
+        first -= 1  # a heading belongs to the text under it
     blocks: dict[int, list[str]] = {}
-    for node, t, block in found:
-        up = node
-        while up is not None and up is not home:
-            up = up.parent
-        if up is home:
+    for i, (node, t, block) in enumerate(found):
+        if good[i] or node.inside and node.weight >= home.weight and first <= i <= last:
             blocks.setdefault(block, []).append(t)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n".join(x for x in lines if x)
@@ -169,5 +206,5 @@ def extract(pages: DataFrame, page: str = "html") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[b[n] for n in rest], texts], [*rest, "main_text"])
 
     kept = pages.drop("main_text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != page)
-    return kept.mapInArrow(run, f"{schema}, main_text string")
+    rest = schema_of(kept.drop(page))
+    return kept.mapInArrow(run, f"{rest}, main_text string" if rest else "main_text string")

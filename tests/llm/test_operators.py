@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -60,9 +61,56 @@ def test_html_of_plain_text_and_deep_nesting():
     assert html_extract.main_text("<div>" * 3000 + "<p>deep, very deep.</p>") == "deep, very deep."
 
 
+ARTICLE = "<h1>T</h1><p>One long paragraph, with words. And more of it; all of it.</p><p>Second paragraph, with more words, and dots.</p>"
+ARTICLE_TEXT = "T\nOne long paragraph, with words. And more of it; all of it.\nSecond paragraph, with more words, and dots."
+
+
+@pytest.mark.parametrize("name", ["content no-sidebar", "post comments-open", "entry ad-free", "story related-work", "x"])
+def test_html_words_of_a_class_are_weighed(name):
+    page = f'<nav><a>x</a></nav><div class="{name}">{ARTICLE}</div><div class="comments"><p>Nice, nice. Very nice, indeed. Thanks, all.</p></div><footer>f</footer>'
+    assert html_extract.main_text(page) == ARTICLE_TEXT
+
+
+def test_html_paths_decide(monkeypatch):
+    page = f"<div><ul><li><a>Home</a></li><li><a>Shop</a></li><li><a>About</a></li></ul></div><nav>Menu</nav><div><div>{ARTICLE * 3}</div><div><a>Next</a> <a>Last</a></div></div><footer>f</footer>"
+    assert html_extract.main_text(page) == "\n".join([ARTICLE_TEXT] * 3)
+    monkeypatch.setattr(html_extract, "selected", lambda found, *_: np.ones(len(found), bool))
+    assert "Home" in html_extract.main_text(page) and "Menu" in html_extract.main_text(page)
+
+
+def test_html_ratios_equal_the_plain_rule():
+    rng = random.Random(7)
+    for n in (1, 2, 9, 60):
+        path, chars, marks = [rng.randrange(5) for _ in range(n)], [rng.choice([0, 3, 40, 300]) for _ in range(n)], [rng.randrange(9) for _ in range(n)]
+        own = {p: [i for i in range(n) if path[i] == p] for p in path}
+
+        def ratio(x):
+            per = {p: sum(x[i] for i in own[p]) / max(1, sum(chars[i] > 0 for i in own[p])) for p in own}
+            near = lambda i: [(j, math.exp(-((i - j) ** 2) / (2 * 1.5**2))) for j in range(n) if abs(i - j) <= 3]
+            return [sum(per[path[j]] * k for j, k in near(i)) / sum(k for _, k in near(i)) for i in range(n)]
+
+        fused = [math.log(1 + c) * math.log(2 + m) for c, m in zip(ratio(chars), ratio(marks), strict=True)]
+        want = [sum(fused[i] for i in own[p]) / len(own[p]) for p in path]
+        assert html_extract.path_scores(np.array(path), np.array(chars, float), np.array(marks, float), 1.5) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div>", '<a "', "<b><div></div>", "<!", "<p>x, y. ", "<ul><li>a, b. ", "</x></div>", "<a '\"", "<p><table><td><b><div></div>"])
+def test_html_time_grows_with_the_length(part):
+    def seconds(n):
+        page, start = "<div>" * 2000 + part * n + "end", time.process_time()
+        html_extract.main_text(page)
+        return time.process_time() - start
+
+    seconds(100)
+    assert seconds(16000) < 10 * max(seconds(4000), 0.02)
+
+
 def test_html_query_keeps_other_columns(spark):
-    df = spark.createDataFrame([(1, "<p>a, b.</p>", "u", "x")], "page_id bigint, html string, url string, main_text string")
-    assert html_extract.extract(df).first().main_text == "a, b."
+    rows = [(1, "<p>a, b.</p>", "u", "x"), (1, "<p>a, b.</p>", "u", "x"), (None, None, None, None), (2, "<p>c, d. " * 30000, "v", "y")]
+    df = spark.createDataFrame(rows, "page_id bigint, html string, url string, main_text string")
+    got = html_extract.extract(df)
+    assert got.columns == ["page_id", "url", "main_text"] and sorted(r.main_text[:5] for r in got.collect()) == ["", "a, b.", "a, b.", "c, d."]
+    assert html_extract.extract(df.limit(0)).count() == 0 and html_extract.extract(df.select("html")).count() == 4
 
 
 # 2
