@@ -10,8 +10,8 @@ own fingerprints prunes in the same way down to small blocks, which are compared
 bit. The pairs are exact, none is dropped; a shard emits a spanning forest of its links
 (never more rows than it has fingerprints), and components() joins the forests.
 
-Shards with more than `block` members are compared block by block, so that memory doesn't
-grow with a crowded region.
+Shards with more than `block` rows are cut into parts, and parts are compared two by two, so
+that memory doesn't grow with a crowded region; the comparisons of one region do.
 
 A null text has no words and fingerprint zero, as an empty one. Null ids stay; a group
 without any other id has a null component. Equal rows get equal results.
@@ -34,6 +34,7 @@ from coverscope.llm.shared import written
 SEED = 42
 WIDE = 32  # words of 64 bits in a wide fingerprint
 ANCHORS = 8
+SMALL = 64
 #: A fingerprint goes out as a signed number.
 BIT_ORDER = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
@@ -167,17 +168,19 @@ def fingerprint_links(distinct: DataFrame, bits: int = 2, sample: int = 16384, s
         rows = rows.sort_values("fp", ignore_index=True)
         points = rows.fp.to_numpy(np.int64).view(np.uint64)
         parent = np.arange(len(points))
-        link(points, np.arange(len(points)), np.flatnonzero(rows.target), bits, parent)
+        link(points, np.flatnonzero(rows["query"]), np.flatnonzero(rows.target), bits, parent)
         tied = np.flatnonzero(parent != np.arange(len(points)))
         return pd.DataFrame({"a": rows.fp.to_numpy()[tied], "b": rows.fp.to_numpy()[parent[tied]]})
 
     routed = distinct.select("fp").mapInArrow(route, "shard int, fp bigint, member boolean")
-    sizes = routed.where("member").groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("n_parts"))
-    own = F.pmod(F.xxhash64("fp"), F.col("n_parts")).cast("int")
-    dealt = routed.join(F.broadcast(sizes), "shard").select(  # a row for each shard
-        "shard", "fp", "member", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part")
-    )
-    return dealt.select("shard", "part", "fp", (F.col("member") & (F.col("own") == F.col("part"))).alias("target")).groupBy("shard", "part").applyInPandas(compare, "a bigint, b bigint")
+    sizes = routed.groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
+    parts = F.sequence(F.lit(0), F.col("n") - 1)
+    cut = routed.join(F.broadcast(sizes), "shard").withColumn("own", own)  # sizes: a row for each shard
+    # part q asks, part t answers: members ask parts from their own on, visitors all; members answer all
+    asking = cut.withColumn("t", F.explode(F.filter(parts, lambda t: ~F.col("member") | (t >= F.col("own"))))).select("shard", F.col("own").alias("q"), "t", "fp", F.lit(True).alias("query"), (F.col("member") & (F.col("own") == F.col("t"))).alias("target"))
+    answering = cut.where("member").withColumn("q", F.explode(F.filter(parts, lambda q: q != F.col("own")))).select("shard", "q", F.col("own").alias("t"), "fp", F.lit(False).alias("query"), F.lit(True).alias("target"))
+    return asking.unionByName(answering).groupBy("shard", "q", "t").applyInPandas(compare, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, bits: int = 2, doc_id: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
@@ -190,16 +193,6 @@ def near_duplicates(docs: DataFrame, bits: int = 2, doc_id: str = "doc_id", text
     return fps.join(named, "fp")
 
 
-def representatives(docs: DataFrame, bits: int = 3, size: int = 5) -> DataFrame:
-    """docs with one row of each component: that of the smallest id, and of equal ids the one first by text. Rows without an id stay."""
-    near = near_duplicates(docs, bits, size=size).where("doc_id is not null")
-    first = near.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi")
-    columns = [c for c in kept.columns if c != "doc_id"]
-    once = kept.groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("_row")).select("doc_id", "_row.*").select(*kept.columns)
-    return once.unionByName(docs.where("doc_id is null"))
-
-
 def mixed(h: np.ndarray, salt: int) -> np.ndarray:
     """Another hash of every h, by the finaliser of SplitMix64."""
     x = h + np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
@@ -261,55 +254,98 @@ def unite_alike(parent: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray,
     return tied
 
 
-def similar_links(docs: DataFrame, similarity: float = 0.8, size: int = 5, rows: int = 8192, block: int = 8192) -> DataFrame:
-    """a and b: ids of documents whose sets of shingles have a Jaccard index of `similarity` or more, as forests.
-
-    Fingerprints of texts so far apart differ in so many bits that a tree of all of them has
-    nothing to prune. So documents meet at their anchors (two texts of similarity 0.8 miss
-    all eight with probability 0.0003), where wide fingerprints are compared, by a tree where
-    they are many. Their bits tell the index to about 0.02; pairs down to 0.07 below are
-    told by the sets themselves, which keeps every link between trees. An anchor emits fewer
-    links than it has documents. At one with more than `block`, slices of them meet two by
-    two, so that no task has more than two slices of one. Null ids and null or empty texts
-    have no links.
-    """
+def reach_bits(similarity: float) -> tuple[int, int]:
+    """The bits in which wide fingerprints can differ, of sets with SMALL members or more, and of smaller ones, whose majorities are coarse."""
     near = 2 * max(0.0, similarity - 0.07) / (1 + max(0.0, similarity - 0.07))
     bits = int(64 * WIDE * np.arccos(near) / np.pi)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    known = written(sketches(docs.where("doc_id is not null"), size), "sketches")
+    return bits, int(1.35 * bits)
+
+
+def alike(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """a and b: a forest of the links at each place. rows: doc_id, place, query and target (which sides a document is on), wide and shingles."""
+    rows = rows.sort_values(["place", "doc_id"], ignore_index=True)
+    points = np.frombuffer(b"".join(rows.wide), "<u8").reshape(-1, WIDE)
+    sets = [np.frombuffer(x, "<u4") for x in rows.shingles]
+    size = np.array([len(x) for x in sets])
+    ids, place, query, target = (rows[c].to_numpy() for c in ("doc_id", "place", "query", "target"))
+    starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True])
+    links: list[tuple[int, int]] = []
+    bits, coarse = reach_bits(similarity)
+    for start, end in zip(starts[:-1], starts[1:], strict=True):
+        own, parent = points[start:end], np.arange(end - start)
+
+        def join(parent: np.ndarray, i: np.ndarray, j: np.ndarray, start=start, end=end, own=own) -> None:
+            links.extend((start + p, start + q) for p, q in unite_alike(parent, i, j, wide_distance(own[i], own[j]), sets[start:end], similarity))
+
+        # a small set has none but small partners: their sizes differ by no more than the similarity
+        for members, most in ((size[start:end] >= SMALL, bits), (size[start:end] * similarity < SMALL, coarse)):
+            link(own, np.flatnonzero(members & query[start:end]), np.flatnonzero(members & target[start:end]), most, parent, wide_distance, join)
+    at = np.array(links, np.int64).reshape(-1, 2)
+    return pd.DataFrame({"a": ids[at[:, 0]], "b": ids[at[:, 1]]})
+
+
+def similar_links(known: DataFrame, similarity: float = 0.8, rows: int = 8192, block: int = 8192, pivots: int = 16) -> DataFrame:
+    """a and b: forests that join the same documents as all pairs whose sets of shingles have a Jaccard index of `similarity` or more.
+
+    known: a written table of sketches, an id once. Fingerprints of texts so far apart differ
+    in so many bits that one tree of all of them has nothing to prune. So documents meet at
+    their anchors (two texts of similarity 0.8 miss all eight with probability 0.0003), where
+    a vantage-point tree of wide fingerprints finds the pairs near enough, and these are told
+    by the sets themselves. The bits tell the index to about 0.02; the trees' radius takes in
+    pairs down to 0.07 below, and small sets within a wider one.
+
+    An anchor with more than `block` documents is cut into slices. Each slice is compared with
+    itself and with about `pivots` documents of the whole anchor. That makes most of a family
+    of copies one component, whose members need no more comparing; only the others then meet
+    all slices. No task has more than about two slices of an anchor at once.
+    """
+    id_type = known.schema["doc_id"].dataType.simpleString()
     met = known.select("doc_id", F.explode("anchors").alias("anchor"))
-    crowds = met.groupBy("anchor").agg(F.ceil(F.count("*") / block).cast("int").alias("n_slices"), F.count("*").alias("n")).where("n > 1").drop("n")
-    cut = F.pmod(F.xxhash64("doc_id"), F.col("n_slices")).cast("int")
-    dealt = met.join(crowds, "anchor").select("doc_id", "anchor", cut.alias("own"), F.explode(F.sequence(F.lit(0), F.col("n_slices") - 1)).alias("other"))
+    crowds = met.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").withColumn("n_slices", F.ceil(F.col("n") / block).cast("int"))
     n_buckets = -(-known.count() * ANCHORS // rows) or 1
-    placed = dealt.select(
-        "doc_id", F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other")).alias("place")
-    ).withColumn("bucket", F.pmod("place", F.lit(n_buckets)).cast("int"))
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["place", "doc_id"], ignore_index=True)
-        points = np.frombuffer(b"".join(rows.wide), "<u8").reshape(-1, WIDE)
-        sets = [np.frombuffer(x, "<u4") for x in rows.shingles]
-        ids, place = rows.doc_id.to_numpy(), rows.place.to_numpy()
-        starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True])
-        links = []
-        for start, end in zip(starts[:-1], starts[1:], strict=True):
-            own, each = points[start:end], np.arange(end - start)
-
-            def join(parent: np.ndarray, i: np.ndarray, j: np.ndarray, start=start, end=end, own=own) -> None:
-                links.extend((start + p, start + q) for p, q in unite_alike(parent, i, j, wide_distance(own[i], own[j]), sets[start:end], similarity))
-
-            link(own, each, each, bits, each.copy(), wide_distance, join)
-        at = np.array(links, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": ids[at[:, 0]], "b": ids[at[:, 1]]})
-
-    return placed.join(known.select("doc_id", "wide", "shingles"), "doc_id").groupBy("bucket").applyInPandas(compare, f"a {id_type}, b {id_type}")
-
-
-def deduplicated(docs: DataFrame, bits: int = 3, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each group: first of the copies within bits of each other, by the
-    tree, then of what is left and linked by similarity; the one with the smallest id stays.
-    Rows without an id stay. Texts without a word are copies of each other."""
-    first = written(representatives(docs, bits, size), "representatives")
-    groups = components(similar_links(first, similarity, size))
-    return first.join(groups.where("node <> component").select(F.col("node").alias("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    at = written(met.join(crowds, "anchor").withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("n_slices")).cast("int")), "anchors")
+
+    def compared(placed: DataFrame, what: str) -> DataFrame:
+        """placed: doc_id, place, query, target."""
+        bucketed = placed.withColumn("bucket", F.pmod("place", F.lit(n_buckets)).cast("int"))
+        both = bucketed.join(known.select("doc_id", "wide", "shingles"), "doc_id")
+        return written(both.groupBy("bucket").applyInPandas(lambda x: alike(x, similarity), f"a {id_type}, b {id_type}"), what)
+
+    at_slice = lambda s: F.xxhash64("anchor", s)
+    own = at.select("doc_id", at_slice(F.col("slice")).alias("place"), F.lit(True).alias("query"), F.lit(True).alias("target"))
+    hot = at.where("n_slices > 1")
+    pivot = hot.where(F.pmod(F.xxhash64("doc_id", F.lit("pivot")), F.col("n")) < pivots)
+    others = lambda s: F.filter(F.sequence(F.lit(0), F.col("n_slices") - 1), lambda x: x != s)
+    asked = pivot.select("doc_id", "anchor", F.explode(others(F.col("slice"))).alias("s")).select("doc_id", at_slice(F.col("s")).alias("place"), F.lit(True).alias("query"), F.lit(False).alias("target"))
+    links = compared(own.unionByName(asked), "links")
+    if hot.isEmpty():
+        return links
+    grouped = components(links)
+    named = hot.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    counts = named.groupBy("anchor", "component").agg(F.count("*").alias("m"))
+    main = counts.groupBy("anchor").agg(F.max_by("component", F.struct("m", "component")).alias("main"))
+    named = written(named.join(main, "anchor"), "named")
+    rest = named.where("component <> main")
+    turns = rest.groupBy("anchor").agg(F.ceil(F.count("*") / block).cast("int").alias("n_turns"))
+    place = F.xxhash64("anchor", F.lit("rest"), "turn", "s")
+    asking = rest.join(turns, "anchor").withColumn("turn", F.pmod(F.xxhash64("doc_id"), F.col("n_turns")).cast("int"))
+    asking = asking.select("doc_id", "anchor", "turn", F.explode(F.sequence(F.lit(0), F.col("n_slices") - 1)).alias("s")).select("doc_id", place.alias("place"), F.lit(True).alias("query"), F.lit(False).alias("target"))
+    answering = named.join(turns, "anchor").select("doc_id", "anchor", F.col("slice").alias("s"), F.explode(F.sequence(F.lit(0), F.col("n_turns") - 1)).alias("turn")).select("doc_id", place.alias("place"), F.lit(False).alias("query"), F.lit(True).alias("target"))
+    return links.unionByName(compared(asking.unionByName(answering), "links"))
+
+
+def deduplicated(docs: DataFrame, size: int = 5, similarity: float = 0.8, block: int = 8192) -> DataFrame:
+    """docs with one row of each group, that with the smallest id, of equal ids the one first by its columns.
+
+    A group is what links join: equal sets of shingles, and sets with a Jaccard index of
+    `similarity` or more. Rows without an id stay. Texts without a word are copies of each
+    other. Of an id with several texts the first one by its columns is compared."""
+    columns = [c for c in docs.columns if c != "doc_id"]
+    once = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("_row")).select("doc_id", "_row.*").select(*docs.columns)
+    once = written(once, "once")
+    known = written(sketches(once, size), "sketches").withColumn("same", F.struct(F.xxhash64("shingles"), F.xxhash64("wide")))
+    first = known.groupBy("same").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    firsts = written(known.join(first, "doc_id", "left_semi").drop("same"), "firsts")
+    groups = components(similar_links(firsts, similarity, block=block))
+    left = firsts.select("doc_id").join(groups.where("node <> component").select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
+    return once.join(left, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
