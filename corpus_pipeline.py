@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, 3 of 64 bits or a similarity of 0.8) stays, that with the smallest id."""
-    return simhash.deduplicated(docs, bits=3, size=5, similarity=0.8)
+    """One document of each near-duplicate group (five-word shingles, a similarity of 0.8 or more) stays, that with the smallest id."""
+    return simhash.deduplicated(docs, size=5, similarity=0.8)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
