@@ -6,13 +6,15 @@ pieces are looked for at once by an Aho-Corasick automaton; around each hit the
 where the item could lie is verified with Myers' bit-parallel edit distance, so that the
 result is exact: every (document, item) whose best passage is within the budget.
 
-Texts and items are compared in lower case with white space runs as one space. Items
-shorter than min_chars after that (null and empty ones too) aren't looked for, as they
-could stand anywhere; a null text holds none. Repeated documents each give rows; items
-with equal text each give a row.
-
-The items are a query set: they are read in blocks of a bounded number of characters,
-each block sent to all tasks, and every document is searched for every block.
+Texts and items are compared in lower case with white space runs as one space. An item
+shorter than whole_chars after that has no edits to spend, as a few letters could be made
+of anything: it must stand whole, between word edges. Null and empty items stand nowhere; a
+null text holds none. Repeated documents each give rows; items with equal text each give a
+row.
+
+The items are a query set: they are read in blocks of a bounded number of characters (about
+200 bytes of automaton each), each block sent to all tasks and made into one automaton by
+each worker, and every document is searched whole for every block.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 400_000
 
 
 def plain(text: str) -> str:
@@ -87,11 +89,12 @@ def groups(n: int) -> list[list[tuple[int, int]]]:
 class Matcher:
     """Finds items. Pigeonhole holds for groups of pieces as well: of a split into groups, one with p pieces has at most p - 1 of the edits. So a hit is checked in growing groups, and most chance hits end at the first, short one."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, whole_chars: int):
         import ahocorasick
 
         self.items = items
-        self.errors = [int(rate * len(t)) for _, t in items]
+        self.short = [len(t) < whole_chars for _, t in items]
+        self.errors = [0 if short else int(rate * len(t)) for (_, t), short in zip(items, self.short, strict=True)]
         self.masks = [masks(t) for _, t in items]
         places: dict[str, list[tuple[int, int, list]]] = defaultdict(list)
         for k, (_, t) in enumerate(items):
@@ -112,9 +115,14 @@ class Matcher:
     def find(self, text: str) -> list[tuple[int, int, int]]:
         """(number of the item, distance, end in the plain text) of the items within their budgets."""
         windows: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        whole: dict[int, int] = {}
         for end, (length, where) in self.automaton.iter(text):
             start = end + 1 - length
             for k, at, around in where:
+                if self.short[k]:
+                    if k not in whole and not text[max(0, start - 1) : start].isalnum() and not text[end + 1 : end + 2].isalnum():
+                        whole[k] = end + 1
+                    continue
                 begin = start - at  # of the item, if there are no edits before the piece
                 for offset, n, bits, most in around:
                     lo = begin + offset - most
@@ -123,7 +131,7 @@ class Matcher:
                 else:
                     e = self.errors[k]
                     windows[k].append((max(0, begin - e), begin + len(self.items[k][1]) + e))
-        found = []
+        found = [(k, 0, end) for k, end in whole.items()]
         for k, spans in windows.items():
             spans.sort()
             best = (self.errors[k] + 1, 0)
@@ -140,30 +148,45 @@ class Matcher:
         return found
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, min_chars: int) -> Iterator[list[tuple[int, str]]]:
+class Block:
+    """Items for all tasks; the automaton is made once by each worker."""
+
+    def __init__(self, items: list[tuple[int, str]], rate: float, whole_chars: int):
+        self.items, self.rate, self.whole_chars, self.made = items, rate, whole_chars, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"made": None}
+
+    def matcher(self) -> Matcher:
+        if self.made is None:
+            self.made = Matcher(self.items, self.rate, self.whole_chars)
+        return self.made
+
+
+def item_blocks(items: DataFrame, item_id: str, text: str, rate: float, whole_chars: int) -> Iterator[Block]:
     """The items in plain form, in blocks of BLOCK_CHARS characters: the driver holds one block at a time."""
     block, n = [], 0
-    for r in items.select(item_id, text).where(F.col(text).isNotNull()).toLocalIterator():
-        t = plain(r[1])
-        if len(t) >= min_chars:
-            block.append((r[0], t))
+    for r in items.select(F.col(item_id).alias("item"), F.col(text).alias("text")).where("text is not null").toLocalIterator():
+        t = plain(r["text"])
+        if t:
+            block.append((r["item"], t))
             n += len(t)
         if n >= BLOCK_CHARS:
-            yield block
+            yield Block(block, rate, whole_chars)
             block, n = [], 0
     if block:
-        yield block
+        yield Block(block, rate, whole_chars)
 
 
-def matches(docs: DataFrame, items: DataFrame, rate: float = 0.1, min_chars: int = 30, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, rate: float = 0.1, whole_chars: int = 30, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, distance and end (characters of the plain text) of each item found in each document."""
     schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}, distance int, end int"
     spark, found = docs.sparkSession, None
-    for block in item_blocks(items, item_id, item_text, min_chars):
+    for block in item_blocks(items, item_id, item_text, rate, whole_chars):
         shared = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, rate)
+            matcher = shared.value.matcher()
             for b in batches:
                 rows = [
                     (i, matcher.items[k][0], distance, end)
@@ -179,14 +202,14 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = 0.1, min_chars: int
     return spark.createDataFrame([], schema) if found is None else found
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, rate: float = 0.1, min_chars: int = 30, text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, rate: float = 0.1, whole_chars: int = 30, text: str = "text") -> DataFrame:
     """docs without the rows that hold an item; one pass over docs for a block of items, no shuffle."""
     schema = docs.schema
-    for block in item_blocks(items, "item_id", "text", min_chars):
+    for block in item_blocks(items, "item_id", "text", rate, whole_chars):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, rate)
+            matcher = shared.value.matcher()
             for b in batches:
                 yield b.filter(pa.array([not (t and matcher.find(plain(t))) for t in b[text].to_pylist()], pa.bool_()))
 

@@ -12,7 +12,8 @@ filter's false positives.
 `und` with score 0: null texts and texts without a letter, and all texts if nothing could
 be learned. A text with letters of which no n-gram is known gets the language with most
 training documents and score 0. Ties go to the language first by name. Documents with a
-null lang teach nothing. Repeated rows count as often as they stand.
+null lang teach nothing. Repeated rows count as often as they stand. Columns named lang_pred
+and lang_score give way to the result's.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coverscope.llm.shared import schema_of, written
+
 SIZES = (3, 4)
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII bytes that aren't letters become spaces; others stay.
@@ -109,6 +112,7 @@ def learn(docs: DataFrame, rate: float = 2e-5, relative: float = 0.2, k: int = 3
     """docs: text and lang. None if there is no language to learn."""
     docs = docs.where("lang is not null").select("text", "lang")
     counts = docs.mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = written(counts, "grams")  # it is read three times
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rated = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total")).where(F.col("rate") >= rate)
     top = rated.groupBy("gram").agg(F.max("rate").alias("top"))
@@ -145,5 +149,4 @@ def predict(docs: DataFrame, filters: Filters | None, text: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], [*b.schema.names, "lang_pred", "lang_score"])
 
     kept = docs.drop("lang_pred", "lang_score")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(guess, f"{schema}, lang_pred string, lang_score double")
+    return kept.mapInArrow(guess, f"{schema_of(kept)}, lang_pred string, lang_score double")

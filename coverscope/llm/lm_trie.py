@@ -16,7 +16,8 @@ word; p(w) = (c + 1) / (N + V + 1), with N tokens and V distinct ones in trainin
 
 Tokens: words between ASCII white space with A-Z lowered, then one end for each text.
 Null texts have just the end, like empty ones. Without training rows every token has
-probability 1 / (0 + 0 + 1). Repeated rows count as often as they stand.
+probability 1 / (0 + 0 + 1). Repeated rows count as often as they stand. Columns with the
+names of the result's give way to them.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coverscope.llm.elias_fano import EliasFano, mapped, save
-from coverscope.llm.shared import chunks, shared_dir, written
+from coverscope.llm.shared import chunks, schema_of, shared_dir, written
 
 #: A word has no blank, so the end of a text is none.
 END = xxhash.xxh64_intdigest(b" ")
@@ -270,7 +271,7 @@ def _counted(docs: DataFrame, run, what: str, cutoff: int) -> DataFrame:
     return written(docs.mapInArrow(run, f"{what} bigint, n bigint").groupBy(what).agg(F.sum("n").alias("n")).where(F.col("n") >= cutoff), "ngrams")
 
 
-def train(docs: DataFrame, text: str = "text", order: int = 2, cutoff: int = 2, prior: float = 50.0, per_shard: int = 1 << 20) -> Model:
+def train(docs: DataFrame, text: str = "text", order: int = 3, cutoff: int = 2, prior: float = 50.0, per_shard: int = 1 << 20) -> Model:
     """The model of the texts of docs."""
     docs, folder = docs.select(F.col(text).alias("text")), f"{shared_dir(docs.sparkSession)}/trie"
 
@@ -364,5 +365,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(got[c].astype(np.int64 if kind == "bigint" else np.float64)) for c, kind in names.items())], [*own.schema.names, *names])
 
     kept = docs.drop(*names)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), *(f"{c} {kind}" for c, kind in names.items())])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, ", ".join([schema_of(kept), *(f"{c} {kind}" for c, kind in names.items())]))

@@ -3,12 +3,13 @@
 Features are the distinct byte n-grams (1 to 3 bytes, upper and lower case kept, since
 capitals and symbol runs tell) of the whole text, hashed to 2**18 places. The model is
 fitted on a bounded sample of the labelled rows: the max_train ones with the smallest
-hash of their id. Everything else covers all rows.
+hash of their id, one text each. Everything else covers all rows.
 
 A null text counts as an empty one; an empty text has no features and gets the score of
 the intercept. Rows with a null label aren't learned from. Without any label, or with
 one class alone, there is nothing to separate: every score is then that class's share
-(0.5 without labels). Repeated rows get equal scores.
+(0.5 without labels). Repeated rows get equal scores. Columns named quality_score and
+quality_predicted give way to the result's.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coverscope.llm.shared import crc_remainder
+from coverscope.llm.shared import crc_remainder, schema_of
 
 BITS = 18
 SIZES = (1, 2, 3)
@@ -117,7 +118,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     mark = np.zeros(1 << BITS, bool)
     for b in batches:
         out = [grams(t, mark).astype(np.int32).tobytes() for t in b["text"].to_pylist()]
-        yield pa.record_batch({"good": b["good"], "places": pa.array(out, pa.binary())})
+        yield pa.record_batch({"doc_id": b["doc_id"], "good": b["good"], "places": pa.array(out, pa.binary())})
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = 4000) -> Model:
@@ -129,10 +130,10 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 4000) -> Model:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_train)
     )
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("good", "text")
-    got = sample.mapInArrow(_features, "good boolean, places binary").toPandas().sort_values(["places", "good"])
-    # a repeated id brings its rows along: no more than the bound is learned from
-    got = got.iloc[:max_train]
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "text")
+    # of an id with several rows the first by its features is learned from: max_train rows come to the driver at most
+    each = sample.mapInArrow(_features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, good boolean, places binary").groupBy("doc_id").agg(F.first("good").alias("good"), F.min("places").alias("places"))
+    got = each.select("good", "places").toPandas().sort_values(["places", "good"])
     return fit([np.frombuffer(x, np.int32) for x in got.places], got.good.to_numpy(bool))
 
 
@@ -147,5 +148,4 @@ def classify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))], [*b.schema.names, "quality_score", "quality_predicted"])
 
     kept = docs.drop("quality_score", "quality_predicted")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(score, f"{schema}, quality_score double, quality_predicted int")
+    return kept.mapInArrow(score, f"{schema_of(kept)}, quality_score double, quality_predicted int")

@@ -36,11 +36,13 @@ def crc_remainder(doc_id: Column, modulus: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (tests on one machine), a new temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset and all runs on one machine (tests), a new temporary one."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where and sc._jsc.sc().getCheckpointDir().isDefined():
         where = sc._jsc.sc().getCheckpointDir().get()
+    if not where and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if not where:
         where = "file://" + tempfile.mkdtemp(prefix="coverscope-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():

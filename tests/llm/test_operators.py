@@ -290,6 +290,43 @@ def test_classifier_separates_and_bounds_its_scores(spark, odd, empty):
     assert quality_classifier.classify(docs.limit(1), nothing).first().quality_score == 0.5
 
 
+def test_the_fit_equals_a_plain_descent():
+    """Ratios and the hinge-loss optimum by plain Python, with dense vectors and until nothing moves."""
+    rng = random.Random(2)
+    rows = [np.array(sorted(rng.sample(range(12), rng.randint(2, 6))), np.int64) for _ in range(30)]
+    good = np.array([len(set(r.tolist()) & {0, 1, 2, 3}) >= 2 for r in rows])
+    ratio = quality_classifier.log_count_ratio(rows, good, 1.0)
+    n = {g: [1 + sum(p in r for r, own in zip(rows, good, strict=True) if own == g) for p in range(12)] for g in (True, False)}
+    total = {g: sum(n[g]) + (1 << quality_classifier.BITS) - 12 for g in n}
+    for p in range(12):
+        assert ratio[p] == pytest.approx(math.log(n[True][p] / total[True]) - math.log(n[False][p] / total[False]))
+    values = [ratio[r] / math.sqrt(sum(ratio[r] ** 2)) for r in rows]
+    dense = [[dict(zip(r.tolist(), v.tolist(), strict=True)).get(p, 0.0) for p in range(12)] + [1.0] for r, v in zip(rows, values, strict=True)]
+    sign, cost = [1 if g else -1 for g in good], [2.0 if g else 1.0 for g in good]
+    dual, w = [0.0] * 30, [0.0] * 13
+    for _ in range(20000):
+        moved = 0.0
+        for i, x in enumerate(dense):
+            new = min(max(dual[i] - (sign[i] * sum(a * b for a, b in zip(w, x, strict=True)) - 1) / sum(a * a for a in x), 0.0), cost[i])
+            step = (new - dual[i]) * sign[i]
+            w = [a + step * b for a, b in zip(w, x, strict=True)]
+            dual[i], moved = new, max(moved, abs(step))
+        if moved < 1e-10:
+            break
+    got = quality_classifier.descend(rows, values, np.array(sign, float), np.array(cost), 5000, 7)
+    assert [*got[:12], got[-1]] == pytest.approx(w, abs=2e-3) and not got[12:-1].any()
+
+
+def test_a_repeated_id_is_learned_from_once(spark, empty):
+    rows = [(1, "good words here")] + [(2, f"bad {i}") for i in range(300)] + [(4, "good words there")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"quality_predicted": F.lit("x"), "good": F.lit(1)})
+    labels = spark.createDataFrame([(i, int(i != 2)) for i in range(6)] * 3, "doc_id bigint, quality int")
+    model = quality_classifier.train(docs, labels, max_train=5)
+    out = quality_classifier.classify(docs, model)
+    assert out.columns == ["doc_id", "text", "good", "quality_score", "quality_predicted"] and out.count() == len(rows)
+    assert quality_classifier.classify(empty, model).count() == 0
+
+
 # 5
 
 
@@ -401,6 +438,31 @@ def test_languages_are_told_apart(spark, odd, empty):
     assert {r.lang_pred for r in language_id.predict(docs, language_id.learn(empty)).collect()} == {"und"}
 
 
+def test_predictions_equal_plain_sets(spark, odd, empty):
+    """With room in the filters the popcounts are those of plain sets, and the correction takes off next to nothing."""
+    rng = random.Random(14)
+    syllables = {"en": "the and ing tion er st".split(), "de": "der sch ein ung ich en".split(), "fr": "eau oui ment les tion que".split()}
+    text = lambda lang: " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 3))) for _ in range(25))
+    rows = [(i, text(lang), lang) for i in range(60) for lang in [list(syllables)[i % 3]]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    rate, relative = 2e-3, 0.2
+    filters = language_id.learn(docs, rate=rate, relative=relative, bits_per_gram=1 << 12)
+
+    def grams(t):
+        return [f" {w} "[i : i + n] for w in t.lower().split() for n in (3, 4) for i in range(len(w) + 3 - n)]
+
+    counts = {lang: Counter(g for _, t, own in rows if own == lang for g in grams(t)) for lang in syllables}
+    rates = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    kept = {lang: {g for g, r in rates[lang].items() if r >= rate and r >= relative * max(x.get(g, 0) for x in rates.values())} for lang in rates}
+    names = sorted(kept)
+    for r in language_id.predict(docs.withColumn("lang_pred", F.lit(1)), filters).collect():
+        hits = [sum(g in kept[lang] for g in grams(r.text)) for lang in names]
+        assert r.lang_pred == names[hits.index(max(hits))] and r.lang_score == pytest.approx(max(hits) / sum(hits), abs=1e-3)
+    assert language_id.predict(empty, filters).count() == 0
+    fair = language_id.Filters(["a", "b"], [np.zeros(1024, np.uint64)], np.array([0.5, 0.1]), 1, 3)
+    assert fair.decide(np.array([60.0, 40.0]), 100) == ("b", pytest.approx((30 / 0.9) / (30 / 0.9 + 10 / 0.5)))
+
+
 def test_filters_have_no_false_negatives(spark):
     docs = spark.createDataFrame([("hello world", "en"), ("bonjour monde", "fr")], "text string, lang string")
     f = language_id.learn(docs)
@@ -447,6 +509,21 @@ def test_items_are_found_within_their_budget_and_only_there(spark):
     assert kept == {i for i in range(40) if not any(i == d for d, _ in want)} | {100, 101}
 
 
+def test_short_items_stand_whole_between_word_edges(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 10)  # a block for each item
+    items = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, "42"), (3, ""), (4, None), (5, "Who  wrote hamlet?")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "So: who wrote\nHamlet? He did."), (2, "who wrote hamlets?"), (3, "it is 42."), (4, "1942 and 421"), (5, None), (3, "it is 42.")], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.item_id, r.distance, r.end) for r in decontaminate.matches(docs, items).collect()) == [(1, 1, 0, 21), (1, 5, 0, 21), (3, 2, 0, 8), (3, 2, 0, 8)]
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, items).collect()) == [2, 4, 5]
+
+
+def test_items_in_odd_documents(spark, odd, empty):
+    items = spark.createDataFrame([(1, "another line, with more words in it")], "item_id bigint, text string")
+    assert [r.doc_id for r in decontaminate.matches(odd, items).collect()] == [1, 1]
+    left = decontaminate.decontaminate(odd, items)
+    assert left.columns == odd.columns and left.count() == 5 and decontaminate.matches(empty, items).count() == 0
+
+
 def test_decontamination_without_items(spark, odd):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.matches(odd, none).count() == 0 and decontaminate.decontaminate(odd, none).count() == odd.count()
