@@ -35,6 +35,8 @@ SEED = 42
 WIDE = 32  # words of 64 bits in a wide fingerprint
 ANCHORS = 8
 SMALL = 64
+#: Ids that are sent to all tasks; more are joined by a shuffle.
+MAX_BROADCAST = 1_000_000
 #: A fingerprint goes out as a signed number.
 BIT_ORDER = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
@@ -220,14 +222,16 @@ def sketch(text: str | None, size: int = 5) -> tuple[list[int], bytes, bytes]:
 
 
 def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id, anchors, wide and shingles, the sketch of each row's text."""
+    """key (128 bits of the sketch in hex), first_id (the smallest of the documents with it), anchors, wide and shingles of each distinct sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [sketch(t.as_py(), size) for t in b["text"]]
-            yield pa.record_batch({"doc_id": b["doc_id"], "anchors": pa.array([a for a, _, _ in found], pa.list_(pa.int64())), "wide": pa.array([w for _, w, _ in found], pa.binary()), "shingles": pa.array([s for _, _, s in found], pa.binary())})
+            keys = [xxhash.xxh128_hexdigest(w + x) for _, w, x in found]
+            yield pa.record_batch({"doc_id": b["doc_id"], "key": pa.array(keys), "anchors": pa.array([a for a, _, _ in found], pa.list_(pa.int64())), "wide": pa.array([w for _, w, _ in found], pa.binary()), "shingles": pa.array([x for _, _, x in found], pa.binary())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, anchors array<bigint>, wide binary, shingles binary")
+    each = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key string, anchors array<bigint>, wide binary, shingles binary")
+    return written(each.groupBy("key").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("anchors", "wide", "shingles")]), "sketches")
 
 
 def wide_distance(points: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -262,12 +266,12 @@ def reach_bits(similarity: float) -> tuple[int, int]:
 
 
 def alike(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """a and b: a forest of the links at each place. rows: doc_id, place, query and target (which sides a document is on), wide and shingles."""
-    rows = rows.sort_values(["place", "doc_id"], ignore_index=True)
+    """a and b: a forest of the links at each place. rows: key, place, query and target (which sides a sketch is on), wide and shingles."""
+    rows = rows.sort_values(["place", "key"], ignore_index=True)
     points = np.frombuffer(b"".join(rows.wide), "<u8").reshape(-1, WIDE)
     sets = [np.frombuffer(x, "<u4") for x in rows.shingles]
     size = np.array([len(x) for x in sets])
-    ids, place, query, target = (rows[c].to_numpy() for c in ("doc_id", "place", "query", "target"))
+    ids, place, query, target = (rows[c].to_numpy() for c in ("key", "place", "query", "target"))
     starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True])
     links: list[tuple[int, int]] = []
     bits, coarse = reach_bits(similarity)
@@ -285,67 +289,72 @@ def alike(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
 
 
 def similar_links(known: DataFrame, similarity: float = 0.8, rows: int = 8192, block: int = 8192, pivots: int = 16) -> DataFrame:
-    """a and b: forests that join the same documents as all pairs whose sets of shingles have a Jaccard index of `similarity` or more.
+    """a and b: keys, forests that join the same sketches as all pairs whose sets of shingles have a Jaccard index of `similarity` or more.
 
-    known: a written table of sketches, an id once. Fingerprints of texts so far apart differ
-    in so many bits that one tree of all of them has nothing to prune. So documents meet at
-    their anchors (two texts of similarity 0.8 miss all eight with probability 0.0003), where
-    a vantage-point tree of wide fingerprints finds the pairs near enough, and these are told
-    by the sets themselves. The bits tell the index to about 0.02; the trees' radius takes in
-    pairs down to 0.07 below, and small sets within a wider one.
+    Fingerprints of texts so far apart differ in so many bits that one tree of all of them has
+    nothing to prune. So sketches meet at their anchors (two texts of similarity 0.8 miss all
+    eight with probability 0.0003), where a vantage-point tree of wide fingerprints finds the
+    pairs near enough, and these are told by the sets themselves. The bits tell the index to
+    about 0.02; the trees' radius takes in pairs down to 0.07 below, and small sets within a
+    wider one. Of anchors with the same sketches one is enough.
 
-    An anchor with more than `block` documents is cut into slices. Each slice is compared with
-    itself and with about `pivots` documents of the whole anchor. That makes most of a family
+    An anchor with more than `block` sketches is cut into slices. Each slice is compared with
+    itself and with about `pivots` sketches of the whole anchor. That makes most of a family
     of copies one component, whose members need no more comparing; only the others then meet
     all slices. No task has more than about two slices of an anchor at once.
     """
-    id_type = known.schema["doc_id"].dataType.simpleString()
-    met = known.select("doc_id", F.explode("anchors").alias("anchor"))
-    crowds = met.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").withColumn("n_slices", F.ceil(F.col("n") / block).cast("int"))
-    n_buckets = -(-known.count() * ANCHORS // rows) or 1
-    at = written(met.join(crowds, "anchor").withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("n_slices")).cast("int")), "anchors")
+    met = known.select("key", F.explode("anchors").alias("anchor"))
+    members = F.sum(F.xxhash64("key").cast("decimal(38,0)"))
+    crowds = met.groupBy("anchor").agg(F.count("*").alias("n"), members.alias("members")).where("n > 1")
+    crowds = crowds.groupBy("n", "members").agg(F.min("anchor").alias("anchor")).select("anchor", "n", F.ceil(F.col("n") / block).cast("int").alias("n_slices"))
+    at = written(met.join(crowds, "anchor").withColumn("slice", F.pmod(F.xxhash64("key"), F.col("n_slices")).cast("int")), "anchors")
+    n_buckets = -(-at.count() // rows) or 1
 
     def compared(placed: DataFrame, what: str) -> DataFrame:
-        """placed: doc_id, place, query, target."""
+        """placed: key, place, query, target."""
         bucketed = placed.withColumn("bucket", F.pmod("place", F.lit(n_buckets)).cast("int"))
-        both = bucketed.join(known.select("doc_id", "wide", "shingles"), "doc_id")
-        return written(both.groupBy("bucket").applyInPandas(lambda x: alike(x, similarity), f"a {id_type}, b {id_type}"), what)
+        both = bucketed.join(known.select("key", "wide", "shingles"), "key")
+        return written(both.groupBy("bucket").applyInPandas(lambda x: alike(x, similarity), "a string, b string"), what)
 
     at_slice = lambda s: F.xxhash64("anchor", s)
-    own = at.select("doc_id", at_slice(F.col("slice")).alias("place"), F.lit(True).alias("query"), F.lit(True).alias("target"))
+    own = at.select("key", at_slice(F.col("slice")).alias("place"), F.lit(True).alias("query"), F.lit(True).alias("target"))
     hot = at.where("n_slices > 1")
-    pivot = hot.where(F.pmod(F.xxhash64("doc_id", F.lit("pivot")), F.col("n")) < pivots)
+    pivot = hot.where(F.pmod(F.xxhash64("key", F.lit("pivot")), F.col("n")) < pivots)
     others = lambda s: F.filter(F.sequence(F.lit(0), F.col("n_slices") - 1), lambda x: x != s)
-    asked = pivot.select("doc_id", "anchor", F.explode(others(F.col("slice"))).alias("s")).select("doc_id", at_slice(F.col("s")).alias("place"), F.lit(True).alias("query"), F.lit(False).alias("target"))
+    asked = pivot.select("key", "anchor", F.explode(others(F.col("slice"))).alias("s")).select("key", at_slice(F.col("s")).alias("place"), F.lit(True).alias("query"), F.lit(False).alias("target"))
     links = compared(own.unionByName(asked), "links")
     if hot.isEmpty():
         return links
-    grouped = components(links)
-    named = hot.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    grouped = components(links).withColumnRenamed("node", "key")
+    named = hot.join(grouped, "key", "left").withColumn("component", F.coalesce("component", "key"))
     counts = named.groupBy("anchor", "component").agg(F.count("*").alias("m"))
     main = counts.groupBy("anchor").agg(F.max_by("component", F.struct("m", "component")).alias("main"))
     named = written(named.join(main, "anchor"), "named")
     rest = named.where("component <> main")
     turns = rest.groupBy("anchor").agg(F.ceil(F.count("*") / block).cast("int").alias("n_turns"))
     place = F.xxhash64("anchor", F.lit("rest"), "turn", "s")
-    asking = rest.join(turns, "anchor").withColumn("turn", F.pmod(F.xxhash64("doc_id"), F.col("n_turns")).cast("int"))
-    asking = asking.select("doc_id", "anchor", "turn", F.explode(F.sequence(F.lit(0), F.col("n_slices") - 1)).alias("s")).select("doc_id", place.alias("place"), F.lit(True).alias("query"), F.lit(False).alias("target"))
-    answering = named.join(turns, "anchor").select("doc_id", "anchor", F.col("slice").alias("s"), F.explode(F.sequence(F.lit(0), F.col("n_turns") - 1)).alias("turn")).select("doc_id", place.alias("place"), F.lit(False).alias("query"), F.lit(True).alias("target"))
+    asking = rest.join(turns, "anchor").withColumn("turn", F.pmod(F.xxhash64("key"), F.col("n_turns")).cast("int"))
+    asking = asking.select("key", "anchor", "turn", F.explode(F.sequence(F.lit(0), F.col("n_slices") - 1)).alias("s")).select("key", place.alias("place"), F.lit(True).alias("query"), F.lit(False).alias("target"))
+    answering = named.join(turns, "anchor").select("key", "anchor", F.col("slice").alias("s"), F.explode(F.sequence(F.lit(0), F.col("n_turns") - 1)).alias("turn")).select("key", place.alias("place"), F.lit(False).alias("query"), F.lit(True).alias("target"))
     return links.unionByName(compared(asking.unionByName(answering), "links"))
 
 
 def deduplicated(docs: DataFrame, size: int = 5, similarity: float = 0.8, block: int = 8192) -> DataFrame:
     """docs with one row of each group, that with the smallest id, of equal ids the one first by its columns.
 
-    A group is what links join: equal sets of shingles, and sets with a Jaccard index of
+    A group is what links join: equal sketches, and sets of shingles with a Jaccard index of
     `similarity` or more. Rows without an id stay. Texts without a word are copies of each
-    other. Of an id with several texts the first one by its columns is compared."""
-    columns = [c for c in docs.columns if c != "doc_id"]
-    once = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("_row")).select("doc_id", "_row.*").select(*docs.columns)
-    once = written(once, "once")
-    known = written(sketches(once, size), "sketches").withColumn("same", F.struct(F.xxhash64("shingles"), F.xxhash64("wide")))
-    first = known.groupBy("same").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    firsts = written(known.join(first, "doc_id", "left_semi").drop("same"), "firsts")
-    groups = components(similar_links(firsts, similarity, block=block))
-    left = firsts.select("doc_id").join(groups.where("node <> component").select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
-    return once.join(left, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    other. Of an id with several texts each is compared, and the id stays if it is the
+    smallest of any of its groups."""
+    named = docs.where("doc_id is not null")
+    known = sketches(named, size)
+    groups = components(similar_links(known, similarity, block=block)).withColumnRenamed("node", "key")
+    firsts = known.select("key", "first_id").join(groups, "key", "left").groupBy(F.coalesce("component", "key")).agg(F.min("first_id").alias("doc_id"))
+    ids = named.groupBy("doc_id").agg(F.count("*").alias("n"))
+    lost = written(ids.join(firsts.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id"), "lost")
+    # texts needn't be shuffled while the ids that go fit a broadcast
+    kept = named.join(F.broadcast(lost) if lost.count() <= MAX_BROADCAST else lost, "doc_id", "left_anti")
+    if not ids.where("n > 1").isEmpty():
+        columns = [c for c in docs.columns if c != "doc_id"]
+        kept = kept.groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("_row")).select("doc_id", "_row.*")
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
