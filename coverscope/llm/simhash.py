@@ -288,7 +288,7 @@ def alike(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
     return pd.DataFrame({"a": ids[at[:, 0]], "b": ids[at[:, 1]]})
 
 
-def similar_links(known: DataFrame, similarity: float = 0.8, rows: int = 8192, block: int = 8192, pivots: int = 16) -> DataFrame:
+def similar_links(known: DataFrame, similarity: float = 0.8, rows: int = 2048, block: int = 4096, pivots: int = 16) -> DataFrame:
     """a and b: keys, forests that join the same sketches as all pairs whose sets of shingles have a Jaccard index of `similarity` or more.
 
     Fingerprints of texts so far apart differ in so many bits that one tree of all of them has
@@ -339,7 +339,7 @@ def similar_links(known: DataFrame, similarity: float = 0.8, rows: int = 8192, b
     return links.unionByName(compared(asking.unionByName(answering), "links"))
 
 
-def deduplicated(docs: DataFrame, size: int = 5, similarity: float = 0.8, block: int = 8192) -> DataFrame:
+def deduplicated(docs: DataFrame, size: int = 5, similarity: float = 0.8, block: int = 4096) -> DataFrame:
     """docs with one row of each group, that with the smallest id, of equal ids the one first by its columns.
 
     A group is what links join: equal sketches, and sets of shingles with a Jaccard index of
