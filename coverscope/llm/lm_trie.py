@@ -267,19 +267,37 @@ def _bits(n: int, per_shard: int) -> int:
     return max(0, int(np.ceil(np.log2(max(n, 1) / per_shard))))
 
 
+def _merged(parts: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Counts of fewer, larger parts: successive ones are added up until they have more than `most` keys."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for part in parts:
+        held.append(part)
+        if sum(len(k) for k, _ in held) > most:
+            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            held = [(keys, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64))]
+            if len(keys) > most // 2:
+                yield held.pop()
+    yield from held
+
+
 def _counted(docs: DataFrame, run, what: str, cutoff: int) -> DataFrame:
-    return written(docs.mapInArrow(run, f"{what} bigint, n bigint").groupBy(what).agg(F.sum("n").alias("n")).where(F.col("n") >= cutoff), "ngrams")
+    """The keys with their sums, as a written table. run gives the keys and counts of batches."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, n in _merged(run(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], [what, "n"])
+
+    return written(docs.mapInArrow(rows, f"{what} bigint, n bigint").groupBy(what).agg(F.sum("n").alias("n")).where(F.col("n") >= cutoff), "ngrams")
 
 
 def train(docs: DataFrame, text: str = "text", order: int = 3, cutoff: int = 2, prior: float = 50.0, per_shard: int = 1 << 20) -> Model:
     """The model of the texts of docs."""
     docs, folder = docs.select(F.col(text).alias("text")), f"{shared_dir(docs.sparkSession)}/trie"
 
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for b in batches:
             for c in chunks(b, "text", CHUNK_BYTES):
-                codes, n = np.unique(tokens(c["text"].to_pylist())[0], return_counts=True)
-                yield pa.record_batch({"code": pa.array(codes.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+                yield np.unique(tokens(c["text"].to_pylist())[0].view(np.int64), return_counts=True)
 
     words = _counted(docs, count_words, "code", 1)
     size, n_tokens = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -303,14 +321,15 @@ def _grow(model: Model, docs: DataFrame, n: int, per_shard: int, folder: str) ->
     """Adds level n."""
     size, known = max(model.size, 1), replace(model, levels=list(model.levels))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for b in batches:
             for c in chunks(b, "text", CHUNK_BYTES):
                 _, _, kept, orders = known.read(c["text"].to_pylist(), n)
                 context = orders[-1][0]
                 both = (context >= 0) & (kept >= 0)
-                keys, times = np.unique(context[both] * size + kept[both], return_counts=True)
-                yield pa.record_batch({"key": pa.array(keys), "n": pa.array(times.astype(np.int64))})
+                if n > 2:  # an n-gram is no more frequent than its last n - 1 words
+                    both &= orders[-2][1] >= 0
+                yield np.unique(context[both] * size + kept[both], return_counts=True)
 
     grams = _counted(docs, count, "key", model.cutoff)
     below = known.levels[-1]

@@ -578,8 +578,23 @@ def test_model_equals_the_plain_formula(spark, order, per_shard):
         assert r.base_score == pytest.approx(base, abs=1e-9) and r.lm_score == pytest.approx(full, abs=2e-3 * len(w))
 
 
+def test_parts_of_counts_are_added_up():
+    rng = np.random.default_rng(4)
+    parts = [np.unique(rng.integers(0, 50, 30), return_counts=True) for _ in range(40)]
+    got = Counter()
+    for keys, n in lm_trie._merged(iter(parts), most=60):
+        assert len(set(keys.tolist())) == len(keys)
+        got.update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
+    want = Counter()
+    for keys, n in parts:
+        want.update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
+    assert got == want
+
+
 def test_model_of_nothing(spark, odd, empty):
     model = lm_trie.train(empty)
+    named = lm_trie.score(odd.withColumns({"n_tokens": F.lit("x"), "lm_score": F.lit("y")}), model)
+    assert named.columns == [*odd.columns, "n_tokens", "n_known", "base_score", "lm_score"] and lm_trie.score(empty, model).count() == 0
     assert {r.base_score for r in lm_trie.score(odd, model).collect()} == {0.0}
 
 
