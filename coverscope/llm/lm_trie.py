@@ -112,13 +112,21 @@ class Level:
         out = np.full(len(context), -1, np.int64)
         for s, own in self._each((hash_long(context * size + word) & np.uint64((1 << self.bits) - 1)).astype(np.int64)):
             part = self.parts[s]
-            at = part.sequence("contexts").find(context[own].astype(np.uint64))
-            own, at = own[at >= 0], at[at >= 0]
-            if not len(own):
+            # callers sort by context: a run of equal ones is looked up once
+            own_context = context[own]
+            first = np.concatenate([[True], own_context[1:] != own_context[:-1]])
+            at = part.sequence("contexts").find(own_context[first].astype(np.uint64))
+            known = np.flatnonzero(at >= 0)
+            if not len(known):
                 continue
+            number = np.full(len(at), -1, np.int64)
+            number[known] = np.arange(len(known))
+            run = number[np.cumsum(first) - 1]
+            own, run = own[run >= 0], run[run >= 0]
             pointers, successors = part.sequence("pointers"), part.sequence("successors")
-            lo, hi = pointers.access(at).astype(np.int64), pointers.access(at + 1).astype(np.int64)
+            lo, hi = pointers.access(at[known]).astype(np.int64), pointers.access(at[known] + 1).astype(np.int64)
             base = np.where(lo > 0, successors.access(np.maximum(lo - 1, 0)), np.uint64(0))
+            lo, hi, base = lo[run], hi[run], base[run]
             i = successors.find(base + word[own].astype(np.uint64) + np.uint64(1))
             out[own] = np.where((i >= lo) & (i < hi), i + self.offsets[s], -1)
         return out
