@@ -29,12 +29,13 @@ def nearest_row(df: DataFrame, by: Sequence[str], x: str, target: float) -> Data
     return top_n(df, by, [F.abs(F.col(x) - target), F.col(x)], 1).drop("rank")
 
 
-def canonical_order(df: DataFrame, item: str, new: str = "point_index") -> DataFrame:
-    """df with the place (from 1) of each row by id: a range partition each, counted and offset, so that no task sorts all rows."""
-    ranged = df.repartitionByRange(item).withColumn("_p", F.spark_partition_id()).persist()
+def canonical_order(df: DataFrame, item: str | Sequence[Column], new: str = "point_index") -> DataFrame:
+    """df with the place (from 1) of each row by id or by several sort columns: a range partition each, counted and offset, so that no task sorts all rows."""
+    order = [item] if isinstance(item, str) else list(item)
+    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).persist()
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     offsets = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
-    return ranged.join(F.broadcast(offsets), "_p").withColumn(new, F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy(item))).drop("_p", "_before")
+    return ranged.join(F.broadcast(offsets), "_p").withColumn(new, F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy(*order))).drop("_p", "_before")
 
 
 def first_crossing(curve: DataFrame, x: str, y: str, target: float) -> DataFrame:

@@ -123,11 +123,14 @@ def check_cover(points: DataFrame, balls: DataFrame, membership: DataFrame, item
 
 
 def fingerprint(balls: DataFrame, membership: DataFrame, edge: DataFrame) -> DataFrame:
-    """sha256 of the sorted hashes of each ball's text (landmark and members) and of the edges' text: each ball is hashed on its own first."""
-    ball = membership.groupBy("ball_id", "landmark").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("unit")), ","), 256).alias("h"))
-    text = ball.select("ball_id", F.concat_ws("|", F.lit("BALL"), "ball_id", "landmark", "h").alias("line"))
-    lines = edge.select(F.concat_ws("|", F.lit("EDGE"), "a", "b", "strength").alias("line"))
-    return text.select("line").unionByName(lines).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("fingerprint"))
+    """sha256 of the number and the summed hashes of the balls' texts (landmark, number and summed hashes of the members) and of the edges' texts.
+
+    Sums don't depend on the order of rows, so nothing is gathered."""
+    hashed = lambda x: F.sum(F.conv(F.substring(F.sha2(x.cast("string"), 256), 1, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    ball = membership.groupBy("ball_id", "landmark").agg(F.count("*").alias("n"), hashed(F.col("unit")).alias("h"))
+    lines = ball.select(F.concat_ws("|", F.lit("BALL"), "ball_id", "landmark", "n", "h").alias("line"))
+    lines = lines.unionByName(edge.select(F.concat_ws("|", F.lit("EDGE"), "a", "b", "strength").alias("line")))
+    return lines.agg(F.sha2(F.concat_ws("|", F.count("*"), hashed(F.col("line"))), 256).alias("fingerprint"))
 
 
 def covers_equal(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed and kept in spark.checkpoint.dir; where that is unset (on one machine) a new temporary folder is set."""
+    """df computed and kept in spark.checkpoint.dir; where that is unset and all runs on one machine, a new temporary folder is set."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="coverscope-"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="coverscope-"))
     return df.checkpoint(eager=True)

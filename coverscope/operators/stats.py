@@ -92,10 +92,10 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
     cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("o"))
     rows, cols = cells.groupBy(a).agg(F.sum("o").alias("r")), cells.groupBy(b).agg(F.sum("o").alias("c"))
     total = cells.agg(F.sum("o").alias("n"))
-    full = rows.crossJoin(cols).join(cells, [a, b], "left").crossJoin(total)  # a row for each pair of levels
-    e = F.col("r") * F.col("c") / F.col("n")
-    o = F.coalesce("o", F.lit(0))
-    one = full.agg(F.max("n").alias("n"), F.sum((o - e) * (o - e) / e).alias("chi2"), F.least(F.count_distinct(a), F.count_distinct(b)).alias("k"))
+    # the squares over all pairs of levels come to n * (sum of o * o / (r * c) - 1), a sum over those that occur
+    share = cells.join(rows, a).join(cols, b).agg(F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))).alias("s"))
+    levels = rows.agg(F.count("*").alias("ka")).crossJoin(cols.agg(F.count("*").alias("kb")))
+    one = total.crossJoin(share).crossJoin(levels).select("n", (F.col("n") * (F.col("s") - 1)).alias("chi2"), F.least("ka", "kb").alias("k"))
     return one.select("n", "chi2", F.when(F.col("k") > 1, F.sqrt(F.col("chi2") / (F.col("n") * (F.col("k") - 1)))).alias("v"))
 
 

@@ -174,15 +174,23 @@ def _(spark, d):
     return rounded(profile.local_category_probs(m, profile.category_mix(m, p, "id", "category")))
 
 
-@R.add("i19_check_cover", "SELECT unnest(['all_covered', 'known_units', 'nonempty', 'one_landmark', 'landmark_inside']) AS \"check\", true AS passed")
+@R.add(
+    "i19_check_cover",
+    W
+    + """SELECT 'all_covered' AS "check", (SELECT count(*) FROM points WHERE id NOT IN (SELECT unit FROM member)) = 0 AS passed
+UNION ALL SELECT 'known_units', (SELECT count(*) FROM member WHERE unit NOT IN (SELECT id FROM points)) = 0
+UNION ALL SELECT 'nonempty', (SELECT count(*) FROM balls) > 0
+UNION ALL SELECT 'one_landmark', (SELECT count(*) = count(DISTINCT landmark) FROM balls)
+UNION ALL SELECT 'landmark_inside', (SELECT count(*) FROM balls b WHERE NOT EXISTS (SELECT 1 FROM member m WHERE m.ball_id = b.ball_id AND m.unit = b.landmark)) = 0""",
+)
 def _(spark, d):
     return cover.check_cover(*canonical(spark, d))
 
 
 @R.add(
     "i20_fingerprint",
-    f"""WITH RECURSIVE {COVER}, h AS (SELECT ball_id, landmark, sha256(string_agg(unit, ',' ORDER BY unit)) AS h FROM member GROUP BY ALL), t AS (SELECT 'BALL|' || ball_id || '|' || landmark || '|' || h AS line FROM h UNION ALL SELECT 'EDGE|' || a || '|' || b || '|' || strength FROM edge)
-SELECT sha256(string_agg(line, chr(10) ORDER BY line)) AS fingerprint FROM t""",
+    f"""WITH RECURSIVE {COVER}, h AS (SELECT ball_id, landmark, count(*) AS n, sum(('0x' || substr(sha256(unit::VARCHAR), 1, 15))::HUGEINT) AS h FROM member GROUP BY ALL), t AS (SELECT 'BALL|' || ball_id || '|' || landmark || '|' || n || '|' || h AS line FROM h UNION ALL SELECT 'EDGE|' || a || '|' || b || '|' || strength FROM edge)
+SELECT sha256(count(*) || '|' || sum(('0x' || substr(sha256(line), 1, 15))::HUGEINT)) AS fingerprint FROM t""",
 )
 def _(spark, d):
     _, b, m = canonical(spark, d)
@@ -238,9 +246,9 @@ def _(spark, d):
     return rounded(profile.resolution_metrics(cover.sizes(m), p.agg(F.count("*").alias("n")))).select("n_balls", "effective_balls", "normalised_entropy", "largest_share")
 
 
-@R.add("c20_comembership", W + "SELECT DISTINCT m.unit AS id1, n.unit AS id2 FROM member m JOIN member n ON m.ball_id = n.ball_id AND m.unit < n.unit WHERE m.unit % 50 = 0")
+@R.add("c20_comembership", W + "SELECT DISTINCT m.unit AS id1, n.unit AS id2 FROM member m JOIN member n ON m.ball_id = n.ball_id AND m.unit < n.unit WHERE m.unit % 20 = 0")
 def _(spark, d):
-    return comembership(canonical(spark, d)[2], F.col("id1") % 50 == 0)
+    return comembership(canonical(spark, d)[2], F.col("id1") % 20 == 0)
 
 
 def comembership(membership, focal, keys=()):

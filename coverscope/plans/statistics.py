@@ -270,7 +270,7 @@ def _(spark, d):
     return rounded(stats.with_weighted_total(rows, "class", "n", ["a2"]))
 
 
-@R.add("d32_partitions_equivalent", "SELECT true AS equivalent, count(DISTINCT c_mktsegment) AS n_pairs FROM customer")
+@R.add("d32_partitions_equivalent", "WITH p AS (SELECT DISTINCT c_mktsegment AS a, md5(c_mktsegment) AS b FROM customer) SELECT count(DISTINCT a) = count(*) AND count(DISTINCT b) = count(*) AS equivalent, count(*) AS n_pairs FROM p")
 def _(spark, d):
     return stats.partitions_equivalent(table(spark, d, "customer").withColumn("other", F.md5("c_mktsegment")), "c_mktsegment", "other")
 
@@ -324,12 +324,10 @@ def _(spark, d):
     return rounded(bins.review_rows(curve(spark, d), "x", 25.2, 3), "y")
 
 
-@R.add("f2_multi_key_sort", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus DESC, o_totalprice > 100000 DESC, o_orderkey) AS place FROM orders QUALIFY place <= 100")
+@R.add("f2_multi_key_sort", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus DESC, o_totalprice > 100000 DESC, o_orderkey) AS place FROM orders")
 def _(spark, d):
-    from pyspark.sql import Window
-
-    first = table(spark, d, "orders").orderBy(F.desc("o_orderstatus"), F.desc(F.col("o_totalprice") > 100000), "o_orderkey").limit(100)
-    return first.select("o_orderkey", F.row_number().over(Window.orderBy(F.desc("o_orderstatus"), F.desc(F.col("o_totalprice") > 100000), "o_orderkey")).cast("bigint").alias("place"))
+    keys = [F.desc("o_orderstatus"), F.desc(F.col("o_totalprice") > 100000), F.col("o_orderkey")]
+    return bins.canonical_order(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), keys, "place").select("o_orderkey", "place")
 
 
 @R.add("f3_top_k", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 500")
@@ -381,6 +379,6 @@ def _(spark, d):
     return n.select("m", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("k")).select("k", F.round(C.zero_overlap_chance(F.col("m"), F.col("k")), 6).alias("chance"))
 
 
-@R.add("f1_byte_order_sort", "SELECT p_name, p_partkey FROM part ORDER BY p_name COLLATE C, p_partkey LIMIT 200")
+@R.add("f1_byte_order_sort", "SELECT p_name, p_partkey, row_number() OVER (ORDER BY p_name COLLATE C, p_partkey) AS place FROM part")
 def _(spark, d):
-    return table(spark, d, "part").select("p_name", "p_partkey").orderBy("p_name", "p_partkey").limit(200)
+    return bins.canonical_order(table(spark, d, "part").select("p_name", "p_partkey"), [F.col("p_name"), F.col("p_partkey")], "place")
