@@ -41,9 +41,9 @@ MARK = "▁"
 UNIGRAM, MERGES = 1, 2
 #: The vocabulary goes to every executor: a larger model file is refused.
 MAX_MODEL_BYTES = 64 << 20
-CHUNK_BYTES = 3_000_000
+CHUNK_BYTES = 4_000_000
 #: Words that a worker keeps (twice as many at most), pairs of pieces, and endings of KEY characters.
-MAX_CACHED, MAX_AGREED, MAX_ENDINGS = 80_000, 300_000, 100_000
+MAX_CACHED, MAX_AGREED, MAX_ENDINGS = 100_000, 500_000, 150_000
 KEY = 4
 
 
