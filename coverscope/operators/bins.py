@@ -7,14 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coverscope.operators.scale import with_stats
+from coverscope.operators.scale import quantiles
+from coverscope.operators.scratch import cut
 
 
 def quantile_bins(df: DataFrame, x: str, n: int = 10, new: str = "bin", by: Sequence[str] = ()) -> DataFrame:
     """df with the number of the interval (lowest, b1], (b1, b2] ... between the distinct type-7 quantiles; the least value is in the first."""
-    levels = F.lit([i / n for i in range(n + 1)])
-    breaks = F.array_distinct(F.percentile(F.col(x), levels)).alias("_breaks")
-    out = df.join(F.broadcast(df.groupBy(*by).agg(breaks)), list(by)) if by else with_stats(df, [breaks])
+    levels = [i / n for i in range(n + 1)]
+    if by:
+        out = df.join(df.groupBy(*by).agg(F.array_distinct(F.percentile(F.col(x), F.lit(levels))).alias("_breaks")), list(by))
+    else:
+        out = df.crossJoin(F.broadcast(quantiles(df, x, levels, "_breaks").select(F.array_distinct("_breaks").alias("_breaks"))))
     above = F.size(F.filter(F.slice("_breaks", 2, n), lambda b: F.col(x) > b))
     return out.withColumn(new, F.when(F.col(x).isNotNull(), F.least(above + 1, F.greatest(F.size("_breaks") - 1, F.lit(1))))).drop("_breaks")
 
@@ -32,7 +35,7 @@ def nearest_row(df: DataFrame, by: Sequence[str], x: str, target: float) -> Data
 def canonical_order(df: DataFrame, item: str | Sequence[Column], new: str = "point_index") -> DataFrame:
     """df with the place (from 1) of each row by id or by several sort columns: a range partition each, counted and offset, so that no task sorts all rows."""
     order = [item] if isinstance(item, str) else list(item)
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).persist()
+    ranged = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     offsets = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
     return ranged.join(F.broadcast(offsets), "_p").withColumn(new, F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy(*order))).drop("_p", "_before")

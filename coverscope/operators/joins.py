@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from coverscope.operators.near import nearest_distance
+
 
 class ContractError(ValueError):
     """A table broke the contract of an operator."""
@@ -72,11 +74,9 @@ def pairs(df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
     return both.where(F.col(f"{key}_a") < F.col(f"{key}_b"))
 
 
-def set_gap(a: DataFrame, b: DataFrame, item: str, distance: Column, axes: Sequence[str]) -> DataFrame:
+def set_gap(a: DataFrame, b: DataFrame, item: str, axes: Sequence[str]) -> DataFrame:
     """One row: the least and the median distance of the units in a alone to their nearest unit in b alone."""
-    only_a = a.join(b.select(item), item, "left_anti")
-    only_b = b.join(a.select(item), item, "left_anti").select(*[F.col(x).alias(f"_{x}") for x in axes])
-    near = only_a.crossJoin(F.broadcast(only_b)).groupBy(item).agg(F.min(distance).alias("d"))
+    near = nearest_distance(a.join(b.select(item), item, "left_anti"), b.join(a.select(item), item, "left_anti"), item, axes)
     return near.agg(F.min("d").alias("min_gap"), F.percentile("d", 0.5).alias("median_gap"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coverscope.functions.columns import squared
-from coverscope.operators.scratch import cut
+from coverscope.operators.scratch import cut, folder
 
 #: Up to so many centres are sent to all tasks; more go by grid cells.
 MAX_BROADCAST = 20_000
@@ -66,32 +66,40 @@ def knn(df: DataFrame, item: str, axes: Sequence[str], k: int, by: str | None =
 def knn_search(df: DataFrame, queries: DataFrame, item: str, vector: str, k: int, block: int = 512) -> DataFrame:
     """query, neighbour, distance and rank of the k rows nearest to each query vector, itself left out; exact, ties by id.
 
-    The queries go out in blocks of a bounded size, each against all rows; a task keeps k rows for each query."""
-    out = None
-    rows = queries.select(item, vector)
-    blocks, part = [], []
-    for r in rows.toLocalIterator():
-        part.append((r[0], r[1]))
-        if len(part) == block:
-            blocks, part = [*blocks, part], []
-    blocks += [part] if part else []
-    for b in blocks:
-        shared = df.sparkSession.sparkContext.broadcast((np.array([x[0] for x in b]), np.array([x[1] for x in b], np.float64)))
+    The queries go out in blocks, each against all rows; a task gives k rows for each query of
+    the block. A block's result is written as soon as the block is full, so the driver holds one block."""
+    spark = df.sparkSession
+    out, part = folder(spark, "knn"), []
+    ranked = Window.partitionBy("query").orderBy("distance", "neighbour")
+
+    def answer(rows: list) -> None:
+        shared = spark.sparkContext.broadcast((np.array([x[0] for x in rows], np.int64), np.array([x[1] for x in rows], np.float64)))
 
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, q = shared.value
             for pdf in batches:
                 x, own = np.stack(pdf[vector].to_numpy()).astype(np.float64), pdf[item].to_numpy()
-                d = np.sqrt(np.maximum(((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2), 0)) if len(x) * len(q) * q.shape[1] < 1 << 24 else np.stack([np.sqrt(((x - row) ** 2).sum(axis=1)) for row in q])
-                d[ids[:, None] == own[None, :]] = np.inf
-                for i, row in enumerate(d):
-                    at = np.lexsort((own, row))[:k]
-                    at = at[np.isfinite(row[at])]
-                    yield pd.DataFrame({"query": np.full(len(at), ids[i]), "neighbour": own[at], "distance": row[at]})
-
-        part_df = df.select(item, vector).mapInPandas(search, "query bigint, neighbour bigint, distance double")
-        out = part_df if out is None else out.unionByName(part_df)
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour"))).where(F.col("rank") <= k)
+                found = []
+                for i, row in enumerate(q):
+                    d = np.sqrt(((x - row) ** 2).sum(axis=1))
+                    d[own == ids[i]] = np.inf
+                    at = np.lexsort((own, d))[:k]
+                    found.append((i, at[np.isfinite(d[at])], d))
+                yield pd.DataFrame({"query": np.concatenate([np.full(len(at), ids[i]) for i, at, _ in found]), "neighbour": np.concatenate([own[at] for _, at, _ in found]), "distance": np.concatenate([d[at] for _, at, d in found])})
+
+        near = df.select(item, vector).where(F.col(vector).isNotNull()).mapInPandas(search, "query bigint, neighbour bigint, distance double")
+        near.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).write.mode("append").parquet(out)
+        shared.unpersist()
+
+    for r in queries.select(item, vector).where(F.col(vector).isNotNull()).toLocalIterator():
+        part.append((r[0], r[1]))
+        if len(part) == block:
+            answer(part)
+            part = []
+    if part:
+        answer(part)
+    spark.createDataFrame([], "query bigint, neighbour bigint, distance double, rank int").write.mode("append").parquet(out)  # so that no queries give a table too
+    return spark.read.schema("query bigint, neighbour bigint, distance double, rank int").parquet(out)
 
 
 def facility_access(queries: DataFrame, facilities: DataFrame, item: str, facility: str, xy: Sequence[str], thresholds: Sequence[float], scales: Sequence[float], max_radius: float, ks: Sequence[int] = (1, 3, 5)) -> DataFrame:
@@ -135,10 +143,59 @@ def facility_access(queries: DataFrame, facilities: DataFrame, item: str, facili
     )
 
 
+def nearest_distance(a: DataFrame, b: DataFrame, item: str, axes: Sequence[str], max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """item and d, the distance of each row of a to its nearest row of b; rows with a null axis, or all if b is empty, are left out.
+
+    Up to max_broadcast rows of b are broadcast; more go by grid cells, and rows without a find look on in doubled radii."""
+    others = [f"_{x}" for x in axes]
+    left = a.select(item, *axes).dropna()
+    q = b.select(*[F.col(x).alias(o) for x, o in zip(axes, others, strict=True)]).dropna().distinct()
+    d = F.min(F.sqrt(squared([F.col(x) for x in axes], [F.col(o) for o in others]))).alias("d")
+    n = q.count()
+    if n <= max_broadcast:
+        return left.crossJoin(F.broadcast(q)).groupBy(item).agg(d)
+    ends = left.select(*axes).unionByName(q.toDF(*axes)).agg(*[(F.max(x) - F.min(x)).alias(x) for x in axes]).first()
+    wide = [float(ends[x] or 0) for x in axes]
+    end = (float(np.sqrt(sum(w * w for w in wide))) or 1.0) * (1 + 1e-9)
+    reach, done = max(end * 1e-9, float(np.prod([w or 1.0 for w in wide]) * 3 / n) ** (1 / len(axes)) / 2), None
+    while True:
+        found = cut(within_radius(left, q, axes, others, F.lit(reach), n_centres=MAX_BROADCAST + 1, cell=reach).groupBy(item).agg(d))
+        done = found if done is None else done.unionByName(found)
+        left = cut(left.join(found, item, "left_anti"))
+        if reach >= end or left.isEmpty():
+            return done
+        reach *= 2
+
+
 def directed_hausdorff(a: DataFrame, b: DataFrame, item: str, axes: Sequence[str]) -> DataFrame:
-    """One row: the largest distance of a point of a to its nearest point of b. The points of b must be few enough to broadcast."""
-    if b.count() > MAX_BROADCAST:
-        raise ValueError("b is too large to broadcast; use knn on the union")
-    q = b.select(*[F.col(x).alias(f"_{x}") for x in axes])
-    nearest = a.crossJoin(F.broadcast(q)).groupBy(item).agg(F.min(squared([F.col(x) for x in axes], [F.col(f"_{x}") for x in axes])).alias("d"))
-    return nearest.agg(F.sqrt(F.max("d")).alias("hausdorff"))
+    """One row: the largest distance of a point of a to its nearest point of b."""
+    return nearest_distance(a, b, item, axes).agg(F.max("d").alias("hausdorff"))
+
+
+def diameter(df: DataFrame, axes: Sequence[str], per_axis: int = 8) -> DataFrame:
+    """One row, `diameter`: the largest distance of two rows, exact; rows with a null axis are left out, null for no rows, 0 for one.
+
+    Boxes of a coarse grid on up to three axes (per_axis**3 at most) are collected with their
+    bounds. Two sweeps to a farthest point give a distance that occurs; only pairs of boxes whose
+    farthest corners reach it can hold the largest one, and only their points are compared."""
+    points = df.select(*[F.col(a).cast("double").alias(a) for a in axes]).dropna().distinct()
+    ends = points.agg(F.count("*").alias("n"), *[f(a).alias(f"{name}_{a}") for a in axes for name, f in (("lo", F.min), ("hi", F.max), ("mid", F.avg))]).first()
+    if ends["n"] < 2:
+        return df.sparkSession.range(1).select(F.lit(0.0 if ends["n"] else None).cast("double").alias("diameter"))
+    at = [ends[f"mid_{a}"] for a in axes]
+    for _ in range(2):
+        d2 = squared([F.col(a) for a in axes], [F.lit(float(x)) for x in at])
+        *at, known = points.agg(F.max_by(F.struct(*axes), d2).alias("p"), F.max(d2).alias("d")).select("p.*", "d").first()
+    cell = F.lit(0)
+    for a in list(axes)[:3]:
+        width = (ends[f"hi_{a}"] - ends[f"lo_{a}"]) / per_axis or 1.0
+        cell = cell * per_axis + F.least(F.floor((F.col(a) - ends[f"lo_{a}"]) / width), F.lit(per_axis - 1))
+    dealt = points.withColumn("_box", cell)
+    boxes = dealt.groupBy("_box").agg(*[f(a).alias(f"{name}_{a}") for a in axes for name, f in (("lo", F.min), ("hi", F.max))]).toPandas()
+    lo, hi = boxes[[f"lo_{a}" for a in axes]].to_numpy(), boxes[[f"hi_{a}" for a in axes]].to_numpy()
+    reach = sum(np.maximum(hi[:, None, i] - lo[None, :, i], hi[None, :, i] - lo[:, None, i]) ** 2 for i in range(len(axes)))
+    x, y = np.nonzero(np.triu(reach >= known * (1 - 1e-9)))
+    pairs = df.sparkSession.createDataFrame(pd.DataFrame({"_box": boxes["_box"].to_numpy()[x], "_other": boxes["_box"].to_numpy()[y]}), "_box bigint, _other bigint")
+    far = dealt.withColumnsRenamed({a: f"_{a}" for a in axes} | {"_box": "_other"})
+    met = dealt.join(F.broadcast(pairs), "_box").join(far, "_other")
+    return met.agg(F.sqrt(F.max(squared([F.col(a) for a in axes], [F.col(f"_{a}") for a in axes]))).alias("diameter"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from coverscope.operators.scratch import cut
+
 
 def with_stats(df: DataFrame, stats: Sequence[Column]) -> DataFrame:
     """df with global aggregates as columns."""
@@ -23,30 +25,52 @@ def z_score(df: DataFrame, columns: dict[str, str], digits: int | None = None) -
     return out.drop(*[f"_{n}_{c}" for c in columns for n in "ms"])
 
 
-def mad(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """df with each column less its median, divided by 1.4826 times the median absolute deviation; null where that is 0."""
-    out = with_stats(df, [F.percentile(c, 0.5).alias(f"_m_{c}") for c in columns])
-    for c in columns:
-        out = out.withColumn(f"_d_{c}", F.abs(F.col(c) - F.col(f"_m_{c}")))
-    out = with_stats(out, [(1.4826 * F.percentile(f"_d_{c}", 0.5)).alias(f"_s_{c}") for c in columns])
-    for c, new in columns.items():
-        out = out.withColumn(new, (F.col(c) - F.col(f"_m_{c}")) / F.nullif(F.col(f"_s_{c}"), F.lit(0.0)))
-    return out.drop(*[f"_{n}_{c}" for c in columns for n in "mds"])
+def places(df: DataFrame, column: str) -> DataFrame:
+    """_v, _n and _upto: the distinct values of a column, their counts and how many rows have a value up to it; nulls are left out.
 
-
-def average_rank(df: DataFrame, column: str, new: str) -> DataFrame:
-    """df with the rank of a column, ties at their mean; nulls have none.
-
-    The distinct values are counted, range-partitioned and counted again by partition, so that no task sorts all rows."""
+    The values are counted, range-partitioned and counted again by partition, so that no task sorts or holds all of them."""
     values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
-    ranged = values.repartitionByRange("_v").withColumn("_p", F.spark_partition_id()).persist()
+    ranged = cut(values.repartitionByRange("_v").withColumn("_p", F.spark_partition_id()))
     sizes = ranged.groupBy("_p").agg(F.sum("_n").alias("_size"))
     offsets = sizes.select("_p", (F.sum("_size").over(Window.orderBy("_p")) - F.col("_size")).alias("_before"))  # a row for each partition
     within = F.sum("_n").over(Window.partitionBy("_p").orderBy("_v"))
-    ranks = ranged.join(F.broadcast(offsets), "_p").select("_v", (F.col("_before") + within - F.col("_n") + (F.col("_n") + 1) / 2).alias(new))
+    return ranged.join(F.broadcast(offsets), "_p").select("_v", "_n", (F.col("_before") + within).alias("_upto"))
+
+
+def quantiles(df: DataFrame, column: str, levels: Sequence[float], new: str = "quantiles") -> DataFrame:
+    """One row with an array: the type-7 quantiles of a column at the levels, nulls where it has no values. Read from the places of its values."""
+    placed = places(df, column)
+    rows = placed.crossJoin(F.broadcast(placed.agg((F.max("_upto") - 1).alias("_last"))))
+    at = lambda i: F.min(F.when(F.col("_upto") > i, F.col("_v").cast("double")))
+    found = rows.agg(F.max("_last").alias("_last"), *[at(f(F.lit(p) * F.col("_last"))).alias(f"_{side}{i}") for i, p in enumerate(levels) for side, f in (("a", F.floor), ("b", F.ceil))])
+    share = lambda p: F.lit(p) * F.col("_last") - F.floor(F.lit(p) * F.col("_last"))
+    return found.select(F.array(*[F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * share(p) for i, p in enumerate(levels)]).alias(new))
+
+
+def with_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """df with quantiles as columns. wanted: new column to (column, level)."""
+    for new, (column, level) in wanted.items():
+        df = df.crossJoin(F.broadcast(quantiles(df, column, [level]).select(F.col("quantiles")[0].alias(new))))
+    return df
+
+
+def average_rank(df: DataFrame, column: str, new: str) -> DataFrame:
+    """df with the rank of a column, ties at their mean; nulls have none."""
+    ranks = places(df, column).select("_v", (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(new))
     return df.join(ranks, F.col(column) == F.col("_v"), "left").drop("_v")
 
 
+def mad(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """df with each column less its median, divided by 1.4826 times the median absolute deviation; null where that is 0."""
+    out = with_quantiles(df, {f"_m_{c}": (c, 0.5) for c in columns})
+    for c in columns:
+        out = out.withColumn(f"_d_{c}", F.abs(F.col(c) - F.col(f"_m_{c}")))
+    out = with_quantiles(out, {f"_s_{c}": (f"_d_{c}", 0.5) for c in columns})
+    for c, new in columns.items():
+        out = out.withColumn(new, (F.col(c) - F.col(f"_m_{c}")) / F.nullif(1.4826 * F.col(f"_s_{c}"), F.lit(0.0)))
+    return out.drop(*[f"_{n}_{c}" for c in columns for n in "mds"])
+
+
 def rank_score(df: DataFrame, column: str, new: str) -> DataFrame:
     return z_score(average_rank(df, column, "_rank"), {"_rank": new}).drop("_rank")
 
@@ -64,7 +88,7 @@ def min_max(df: DataFrame, column: str, new: str) -> DataFrame:
 
 def quartile_flags(df: DataFrame, spec: dict[str, str]) -> DataFrame:
     """df with <column>_high or <column>_low for each column of spec ('high': in the top quartile), and all_flags for all of them at once."""
-    out = with_stats(df, [F.percentile(c, 0.75 if side == "high" else 0.25).alias(f"_q_{c}") for c, side in spec.items()])
+    out = with_quantiles(df, {f"_q_{c}": (c, 0.75 if side == "high" else 0.25) for c, side in spec.items()})
     both = F.lit(True)
     for c, side in spec.items():
         flag = F.col(c) >= F.col(f"_q_{c}") if side == "high" else F.col(c) <= F.col(f"_q_{c}")

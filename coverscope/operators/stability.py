@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coverscope.functions.columns import squared
-from coverscope.operators import cover
+from coverscope.operators import cover, scale
+from coverscope.operators.contract import exclude_values
 from coverscope.operators.cover import order_key
+from coverscope.operators.near import diameter, knn
+from coverscope.operators.scale import quantiles
+from coverscope.operators.scratch import cut
 from coverscope.operators.stats import correlation, long
 
 KEYS = ["radius", "replicate"]
@@ -104,13 +109,28 @@ def order_robustness(points: DataFrame, canonical: DataFrame, variable: str) ->
     return both.groupBy("radius").agg(F.avg(F.abs(F.col("_c") - F.col("mean"))).alias("mean_abs_difference"), F.avg(F.col("_c").between(F.col("q10"), F.col("q90")).cast("double")).alias("share_inside"))
 
 
-def distance_diagnostics(df: DataFrame, item: str, axes: Sequence[str]) -> DataFrame:
-    """n_pairs, n_duplicates, least positive, median and largest distance of all pairs of a bounded sample."""
-    a = df.select(item, *axes)
-    b = df.select(F.col(item).alias("_i"), *[F.col(x).alias(f"_{x}") for x in axes])
+NN_LEVELS = {"nn_q05": 0.05, "nn_q25": 0.25, "nn_q50": 0.5, "nn_q75": 0.75, "nn_q95": 0.95}
+PAIR_LEVELS = {"pair_q01": 0.01, "pair_q05": 0.05, "pair_q10": 0.1, "pair_q25": 0.25, "pair_q50": 0.5, "pair_q75": 0.75, "pair_q90": 0.9, "pair_q95": 0.95, "pair_q99": 0.99}
+
+
+def distance_diagnostics(df: DataFrame, item: str, axes: Sequence[str], sample: int = 256, seed: int = 7) -> DataFrame:
+    """One row of distances; rows with a null axis are left out.
+
+    Over all units: n_units, n_duplicates (pairs at distance 0), min_positive, max, and the least,
+    quantiles and largest of the distances to the nearest unit (units that have a double left out).
+    pair_q01 to pair_q99 are quantiles over the pairs of `sample` units by hash."""
+    base = df.select(item, *[F.col(a).cast("double").alias(a) for a in axes]).dropna()
+    places = cut(base.groupBy(*axes).agg(F.min(item).alias(item), F.count("*").alias("_n")))
+    near = cut(knn(places, item, axes, 1).join(places.select(item, "_n"), item).select("distance", "_n"))
+    alone = near.where("_n = 1")
+    row = places.agg(F.sum("_n").alias("n_units"), (F.sum(F.col("_n") * (F.col("_n") - 1)) / 2).cast("bigint").alias("n_duplicates"))
+    ends = near.agg(F.min("distance").alias("min_positive")).crossJoin(diameter(places, axes).withColumnRenamed("diameter", "max")).crossJoin(alone.agg(F.min("distance").alias("nn_min"), F.max("distance").alias("nn_max")))
+    nearest = quantiles(alone, "distance", list(NN_LEVELS.values())).select(*[F.col("quantiles")[i].alias(c) for i, c in enumerate(NN_LEVELS)])
+    few = cut(base.join(F.broadcast(audit_sample(base, item, sample, seed)), item))
+    b = few.select(F.col(item).alias("_i"), *[F.col(x).alias(f"_{x}") for x in axes])
     d = F.sqrt(squared([F.col(x) for x in axes], [F.col(f"_{x}") for x in axes]))
-    pairs = a.crossJoin(F.broadcast(b)).where(F.col(item) < F.col("_i")).select(d.alias("d"))
-    return pairs.agg(F.count("*").alias("n_pairs"), F.count_if(F.col("d") == 0).alias("n_duplicates"), F.min(F.when(F.col("d") > 0, F.col("d"))).alias("min_positive"), F.percentile("d", 0.5).alias("median"), F.max("d").alias("max"))
+    pairs = few.crossJoin(F.broadcast(b)).where(F.col(item) < F.col("_i")).agg(F.percentile(d, F.lit(list(PAIR_LEVELS.values()))).alias("q"))
+    return row.crossJoin(ends).crossJoin(nearest).crossJoin(pairs.select(*[F.col("q")[i].alias(c) for i, c in enumerate(PAIR_LEVELS)]))
 
 
 def geometric_grid(diagnostics: DataFrame, n: int) -> DataFrame:
@@ -161,14 +181,60 @@ def family_robustness(runs: DataFrame, pattern: str) -> DataFrame:
     return runs.groupBy(family.alias("family")).agg(F.count("*").alias("n"), F.min("pearson").alias("worst"), F.percentile("pearson", 0.5).alias("median"))
 
 
-def scenario_sweep(scenarios: dict[str, DataFrame], axes: Sequence[str], radii: Sequence[float], replicates: Sequence[int], item: str = "id") -> DataFrame:
-    """scenario, radius, replicate, n_units, n_balls and largest_share of the covers of each scenario's points."""
-    out = None
-    for name, points in scenarios.items():
-        _, m = cover.cover_grid(points, axes, radii, replicates, item)
+SCALES = {"z": scale.z_score, "mad": scale.mad, "none": None}
+
+
+def scenario_points(df: DataFrame, axes: dict[str, str], scenarios: dict[str, dict], item: str = "id", digits: int = 9) -> dict[str, DataFrame]:
+    """The points of each scenario. axes: raw column to scaled one.
+
+    A scenario may exclude values of a column ("exclude": (column, values), under the contract of
+    exclude_values) and names its "scaling" (z, mad or none), taken over the rows that it keeps."""
+    out = {}
+    for name, spec in scenarios.items():
+        kept = exclude_values(df, *spec["exclude"])[0] if "exclude" in spec else df
+        how = SCALES[spec.get("scaling", "z")]
+        scaled = how(kept, axes) if how else kept.withColumns({new: F.col(a).cast("double") for a, new in axes.items()})
+        out[name] = scaled.select(item, *[F.round(c, digits).alias(c) for c in axes.values()])
+    return out
+
+
+def scenario_audit(df: DataFrame, points: dict[str, DataFrame], scenarios: dict[str, dict]) -> DataFrame:
+    """scenario, scaling, n_before, n_removed and n_after of each scenario's points."""
+    before = df.agg(F.count("*").alias("n_before"))
+    rows = [before.crossJoin(p.agg(F.count("*").alias("n_after"))).select(F.lit(name).alias("scenario"), F.lit(scenarios[name].get("scaling", "z")).alias("scaling"), "n_before", (F.col("n_before") - F.col("n_after")).alias("n_removed"), "n_after") for name, p in points.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def scenario_sweep(points: dict[str, DataFrame], axes: Sequence[str], radii: Sequence[float], replicates: Sequence[int], item: str = "id") -> DataFrame:
+    """scenario, radius, replicate, n_units, n_balls and largest_share of the covers of each scenario's points. Scenarios are few; each builds its covers once."""
+    out = []
+    for name, p in points.items():
+        p = cut(p)
+        _, m = cover.cover_grid(p, axes, radii, replicates, item)
         size = m.groupBy(*KEYS, "ball_id").agg(F.count("*").alias("n")).groupBy(*KEYS).agg(F.count("*").alias("n_balls"), F.max("n").alias("_max"))
-        n = points.agg(F.count("*").alias("n_units"))
-        rows = size.crossJoin(F.broadcast(n)).select(F.lit(name).alias("scenario"), *KEYS, "n_units", "n_balls", (F.col("_max") / F.col("n_units")).alias("largest_share"))
+        n = p.agg(F.count("*").alias("n_units"))
+        out.append(size.crossJoin(F.broadcast(n)).select(F.lit(name).alias("scenario"), *KEYS, "n_units", "n_balls", (F.col("_max") / F.col("n_units")).alias("largest_share")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def run_matrix(datasets: dict[str, DataFrame], specs: Sequence[dict], item: str = "id", tiers: Sequence | None = None) -> DataFrame:
+    """run_id and the outcome statistics of each cover of the runs of some tiers (all, if none are named).
+
+    A spec has run_id, dataset, axes, colour, radius_min, radius_max, radius_step, repetitions and
+    tier. Specs of one data set and the same axes, radii and repetitions share their covers."""
+    chosen = [s for s in specs if tiers is None or s["tier"] in tiers]
+    if not chosen:
+        raise ValueError("no run is selected")
+    covers, out = {}, None
+    for s in chosen:
+        points, n = datasets[s["dataset"]], round((s["radius_max"] - s["radius_min"]) / s["radius_step"])
+        if n < 0 or abs(s["radius_min"] + n * s["radius_step"] - s["radius_max"]) > 1e-9:
+            raise ValueError(f"the span of {s['run_id']} is no whole number of steps")
+        key = (s["dataset"], *s["axes"], s["radius_min"], s["radius_step"], n, s["repetitions"])
+        if key not in covers:
+            radii = [round(s["radius_min"] + i * s["radius_step"], 9) for i in range(n + 1)]
+            covers[key] = cover.cover_grid(points, s["axes"], radii, range(1, s["repetitions"] + 1), item)[1]
+        rows = outcome_stats(covers[key], points, item, s["colour"]).select(F.lit(s["run_id"]).alias("run_id"), "*")
         out = rows if out is None else out.unionByName(rows)
     return out
 

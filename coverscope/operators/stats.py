@@ -246,12 +246,17 @@ def ols(df: DataFrame, y: str, terms: dict[str, Column]) -> DataFrame:
     return df.sparkSession.createDataFrame([(t, float(b), float(e), float(r2), float(adj), float(aic)) for t, b, e in zip(names, beta, se, strict=True)], "term string, coefficient double, std_error double, r2 double, adj_r2 double, aic double")
 
 
+def _vectors(df: DataFrame, item: str, axes: Sequence[str]) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=list(axes), outputCol="features").transform(df.select(item, *axes).dropna())
+
+
 def kmeans_benchmark(df: DataFrame, item: str, axes: Sequence[str], ks: Sequence[int], seed: int = 7) -> DataFrame:
-    """k, within_ss, total_ss, between_share, calinski_harabasz and smallest and largest cluster for each k (1: total alone)."""
+    """k, within_ss, total_ss, between_share, calinski_harabasz, smallest and largest cluster for each k (1: total alone), and chosen for the k of the largest index (the least of equals). Rows with a null axis are left out."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
 
-    vectors = VectorAssembler(inputCols=list(axes), outputCol="features").transform(df.select(item, *axes)).persist()
+    vectors = _vectors(df, item, axes).persist()
     n, total = vectors.agg(F.count("*"), sum((F.var_pop(a) for a in axes), F.lit(0.0))).first()
     rows = []
     for k in ks:
@@ -261,4 +266,23 @@ def kmeans_benchmark(df: DataFrame, item: str, axes: Sequence[str], ks: Sequence
         model = KMeans(k=k, seed=seed, maxIter=50).fit(vectors)
         within, sizes = model.summary.trainingCost, model.summary.clusterSizes
         rows.append((k, within, n * total, 1 - within / (n * total), ((n * total - within) / (k - 1)) / (within / (n - k)), min(sizes), max(sizes)))
-    return df.sparkSession.createDataFrame(rows, "k int, within_ss double, total_ss double, between_share double, calinski_harabasz double, smallest bigint, largest bigint")
+    vectors.unpersist()
+    best = min((r for r in rows if r[4] is not None), key=lambda r: (-r[4], r[0]), default=(None,))[0]
+    return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows], "k int, within_ss double, total_ss double, between_share double, calinski_harabasz double, smallest bigint, largest bigint, chosen boolean")
+
+
+def kmeans_clusters(df: DataFrame, item: str, axes: Sequence[str], ks: Sequence[int], seed: int = 7) -> DataFrame:
+    """item and cluster (from 1, by the first centre coordinate) under the k that kmeans_benchmark chooses."""
+    from pyspark.ml.clustering import KMeans
+
+    k = kmeans_benchmark(df, item, axes, ks, seed).where("chosen").first()["k"]
+    vectors = _vectors(df, item, axes)
+    model = KMeans(k=k, seed=seed, maxIter=50).fit(vectors)
+    place = {i: n for n, i in enumerate(sorted(range(k), key=lambda i: tuple(model.clusterCenters()[i])), 1)}
+    number = F.element_at(F.create_map(*[F.lit(x) for pair in place.items() for x in pair]), F.col("prediction"))
+    return model.transform(vectors).select(item, number.alias("cluster"))
+
+
+def cluster_profiles(clusters: DataFrame, df: DataFrame, item: str, columns: Sequence[str]) -> DataFrame:
+    """cluster, n and the mean of each column."""
+    return clusters.join(df.select(item, *columns), item).groupBy("cluster").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in columns])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import uuid
 import zipfile
 
 import pandas as pd
@@ -18,15 +17,9 @@ from coverscope.sources import cells, files
 R = Registry()
 
 
-def folder(spark):
-    """A new folder where the cluster keeps checkpoints."""
-    scratch.cut(spark.range(1))
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/files-{uuid.uuid4().hex}"
-
-
 @R.add("a1_read_table", 'SELECT n_nationkey AS "Area code (2021)", n_name AS "Area name", n_regionkey AS "Region" FROM nation')
 def _(spark, d):
-    out = folder(spark)
+    out = scratch.folder(spark, "files")
     files.write_table(table(spark, d, "nation").select(F.col("n_nationkey").alias("Area code (2021)"), F.col("n_name").alias("Area name"), F.col("n_regionkey").alias("Region")), out)
     return files.read_table(spark, out, "`Area code (2021)` int, `Area name` string, `Region` int")
 
@@ -54,7 +47,7 @@ def pages(spark, d, size=400):
 
 @R.add("a3_read_feature_pages", "SELECT c_custkey AS code, CASE WHEN c_custkey % 7 = 0 THEN '-' ELSE c_name END AS name, c_custkey * 2.0::DOUBLE AS x, c_custkey + 0.5::DOUBLE AS y FROM customer")
 def _(spark, d):
-    out = folder(spark)
+    out = scratch.folder(spark, "files")
     pages(spark, d).select("value").repartition(4).write.text(out)
     lines = spark.read.text(out).select(F.explode(F.from_json("value", "features array<struct<attributes: struct<code: bigint, name: string>, geometry: struct<x: double, y: double>>>")["features"]).alias("f"))
     return lines.select("f.attributes.code", F.coalesce("f.attributes.name", F.lit("-")).alias("name"), "f.geometry.x", "f.geometry.y")
@@ -109,14 +102,17 @@ def _(spark, d):
     return cells.select_covered_columns(s.where("row > 2"), cells.merge_headers(s.where("row <= 2")), "^Counts", 20)
 
 
-@R.add("a12_resolve_readout")
+CANDIDATE = "SELECT {0} AS priority, '{1}' AS source, '{2}' AS column, count({2}) / count(*) AS coverage, count(DISTINCT {2}) AS n_distinct, min({2})::DOUBLE AS lo, max({2})::DOUBLE AS hi, round(avg({2}), 6) AS mean, bool_and(abs({2} - round({2})) < 1e-8) AS integer_like, {3} AS score, {4} AS rank FROM {1}"
+
+
+@R.add("a12_resolve_readout", " UNION ALL ".join(CANDIDATE.format(*x) for x in ((0, "orders", "o_totalprice", 2, 1), (1, "lineitem", "l_extendedprice", 1, 2), (2, "part", "p_retailprice", 1, 3))))
 def _(spark, d):
-    return cells.resolve_readout({"orders": table(spark, d, "orders"), "lineitem": table(spark, d, "lineitem"), "part": table(spark, d, "part")}, "o_totalprice|price", low=0.0)
+    return cells.resolve_readout({"orders": table(spark, d, "orders"), "lineitem": table(spark, d, "lineitem"), "part": table(spark, d, "part")}, "o_totalprice|extendedprice|retailprice", low=0.0, mean_low=100.0).withColumn("mean", F.round("mean", 6))
 
 
 @R.add("a13_write_table", "SELECT c_custkey, c_name, c_acctbal FROM customer")
 def _(spark, d):
-    out = folder(spark)
+    out = scratch.folder(spark, "files")
     files.write_table(table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), out, gzip=True)
     return files.read_table(spark, out, "c_custkey bigint, c_name string, c_acctbal double")
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from coverscope.functions.columns import squared
-from coverscope.operators import bins, contract, contrast, cover, near, profile, stability
+from coverscope.operators import bins, contrast, cover, near, profile, scratch, stability
 from coverscope.plans.covers import COVER, canonical
-from coverscope.plans.frames import AXES, POINTS, points, xy, x_of, y_of
+from coverscope.plans.frames import AXES, POINTS, UNITS, points, units, xy, x_of, y_of
 from coverscope.plans.registry import Registry
 from coverscope.plans.statistics import rounded
 
@@ -76,12 +78,12 @@ def _(spark, d):
     return rounded(stability.diagnostic_summary(runs(p, m), ["n_balls"]), "n_balls_q10", "n_balls_q90")
 
 
-SAMPLE = "sample AS (SELECT id FROM points ORDER BY md5(id || ':7'), id LIMIT 64)"
+SAMPLE = "sample AS (SELECT id FROM points ORDER BY md5(id || ':7'), id LIMIT 256)"
 
 
 @R.add("i29_audit_sample", f"WITH {POINTS}, {SAMPLE} SELECT id FROM sample")
 def _(spark, d):
-    return stability.audit_sample(points(spark, d), "id", 64, 7)
+    return stability.audit_sample(points(spark, d), "id", 256, 7)
 
 
 def _jaccard(sets):
@@ -101,21 +103,31 @@ def _(spark, d):
 )
 def _(spark, d):
     p, _, m = grid(spark, d)
-    sample = stability.audit_sample(p, "id", 64, 7).withColumnRenamed("id", "unit")
+    sample = stability.audit_sample(p, "id", 256, 7).withColumnRenamed("id", "unit")
     pairs = stability.comembership(m.join(F.broadcast(sample), "unit"))
     return rounded(stability.set_stability(pairs, ["id1", "id2"], "cover"), "cover_mean", "cover_min").select("radius", "cover_mean", "cover_min")
 
 
-@R.add("i30_distance_diagnostics", f"WITH {POINTS}, {SAMPLE}, s AS (SELECT * FROM points WHERE id IN (SELECT id FROM sample)), p AS (SELECT sqrt((a.z1-b.z1)*(a.z1-b.z1) + (a.z2-b.z2)*(a.z2-b.z2) + (a.z3-b.z3)*(a.z3-b.z3)) AS d FROM s a JOIN s b ON a.id < b.id) SELECT count(*) AS n_pairs, count(*) FILTER (d = 0) AS n_duplicates, round(min(d) FILTER (d > 0), 6) AS min_positive, round(median(d), 6) AS median, round(max(d), 6) AS max FROM p")
+GAP = "sqrt((a.z1-b.z1)*(a.z1-b.z1) + (a.z2-b.z2)*(a.z2-b.z2) + (a.z3-b.z3)*(a.z3-b.z3))"
+PAIRWISE = f"ap AS (SELECT a.id AS i, b.id AS j, {GAP} AS d FROM points a JOIN points b ON a.id < b.id)"
+NEAREST = "nn AS (SELECT i, min(d) AS d FROM (SELECT i, d FROM ap UNION ALL SELECT j, d FROM ap) GROUP BY i HAVING min(d) > 0)"
+
+
+@R.add(
+    "i30_distance_diagnostics",
+    f"""WITH {POINTS}, {SAMPLE}, {PAIRWISE}, {NEAREST}, sp AS (SELECT d FROM ap WHERE i IN (SELECT id FROM sample) AND j IN (SELECT id FROM sample)),
+x AS (SELECT count(*) FILTER (d = 0) AS n_duplicates, round(min(d) FILTER (d > 0), 6) AS min_positive, round(max(d), 6) AS max FROM ap),
+y AS (SELECT round(min(d), 6) AS nn_min, round(max(d), 6) AS nn_max, {', '.join(f'round(quantile_cont(d, {q}), 6) AS {c}' for c, q in stability.NN_LEVELS.items())} FROM nn),
+z AS (SELECT {', '.join(f'round(quantile_cont(d, {q}), 6) AS {c}' for c, q in stability.PAIR_LEVELS.items())} FROM sp)
+SELECT (SELECT count(*) FROM points) AS n_units, x.*, y.*, z.* FROM x, y, z""",
+)
 def _(spark, d):
-    p = points(spark, d)
-    return rounded(stability.distance_diagnostics(p.join(F.broadcast(stability.audit_sample(p, "id", 64, 7)), "id"), "id", AXES))
+    return rounded(stability.distance_diagnostics(points(spark, d), "id", AXES), "min_positive", "max", "nn_min", "nn_max", *stability.NN_LEVELS, *stability.PAIR_LEVELS)
 
 
-@R.add("i31_radius_grid", f"WITH {POINTS}, {SAMPLE}, s AS (SELECT * FROM points WHERE id IN (SELECT id FROM sample)), p AS (SELECT sqrt((a.z1-b.z1)*(a.z1-b.z1) + (a.z2-b.z2)*(a.z2-b.z2) + (a.z3-b.z3)*(a.z3-b.z3)) AS d FROM s a JOIN s b ON a.id < b.id), e AS (SELECT 0.75 * min(d) FILTER (d > 0) AS lo, (1 + 1e-9) * max(d) AS hi FROM p) SELECT i::INT AS radius_index, round(lo * pow(hi / lo, (i - 1) / 10.0), 6) AS radius FROM e, range(1, 12) r(i)")
+@R.add("i31_radius_grid", f"WITH {POINTS}, {PAIRWISE}, e AS (SELECT 0.75 * min(d) FILTER (d > 0) AS lo, (1 + 1e-9) * max(d) AS hi FROM ap) SELECT i::INT AS radius_index, round(lo * pow(hi / lo, (i - 1) / 10.0), 6) AS radius FROM e, range(1, 12) r(i)")
 def _(spark, d):
-    p = points(spark, d)
-    return rounded(stability.geometric_grid(stability.distance_diagnostics(p.join(F.broadcast(stability.audit_sample(p, "id", 64, 7)), "id"), "id", AXES), 11))
+    return rounded(stability.geometric_grid(stability.distance_diagnostics(points(spark, d), "id", AXES), 11), "radius")
 
 
 SUMMARY = ", sm AS (SELECT radius, median(largest_share) AS share, median(n_balls) AS balls FROM runs GROUP BY radius)"
@@ -166,7 +178,7 @@ def _(spark, d):
 )
 def _(spark, d):
     p, b, m = grid(spark, d)
-    sample = stability.audit_sample(p, "id", 64, 7).withColumnRenamed("id", "unit")
+    sample = stability.audit_sample(p, "id", 256, 7).withColumnRenamed("id", "unit")
     return rounded(stability.comembership_frequency(stability.comembership(m.join(F.broadcast(sample), "unit")), b.select("radius", "replicate").distinct()), "frequency")
 
 
@@ -223,22 +235,46 @@ def _(spark, d):
     return stability.cross_radius_range(runs(p, m), "n_balls")
 
 
-@R.add("i43_run_matrix")
+RUNS = [
+    {"run_id": "r1", "dataset": "all", "axes": AXES, "colour": "a1", "radius_min": 1.4, "radius_max": 1.6, "radius_step": 0.1, "repetitions": 3, "tier": 1},
+    {"run_id": "r2", "dataset": "all", "axes": AXES, "colour": "a2", "radius_min": 1.5, "radius_max": 1.6, "radius_step": 0.1, "repetitions": 2, "tier": 1},
+    {"run_id": "r3", "dataset": "all", "axes": AXES[:2], "colour": "a3", "radius_min": 1.0, "radius_max": 1.5, "radius_step": 0.25, "repetitions": 2, "tier": 2},
+]
+OUTCOME = "SELECT '{run}' AS run_id, radius, replicate, count(*) AS n_balls, round(min(m), 6) AS min_colour, round(max(m), 6) AS max_colour, round(stddev_samp(m), 6) AS sd_colour, round(avg(n), 6) AS mean_size, round(avg(s) FILTER (n > 1), 6) AS within_sd, round(avg(r) FILTER (n > 1), 6) AS within_range FROM (SELECT radius, replicate, ball_id, avg({c}) AS m, count(*) AS n, stddev_samp({c}) AS s, max({c}) - min({c}) AS r FROM gm JOIN points ON unit = id GROUP BY ALL) WHERE {rows} GROUP BY ALL"
+
+
+@R.add("i43_run_matrix", G + OUTCOME.format(run="r1", c="a1", rows="true") + " UNION ALL " + OUTCOME.format(run="r2", c="a2", rows="radius >= 1.5 AND replicate <= 2"))
 def _(spark, d):
-    p = points(spark, d).persist()
-    out = None
-    for colour in ("a1", "a2"):
-        _, m = cover.cover_grid(p, AXES, [1.5], [1, 2])
-        rows = stability.outcome_stats(m, p, "id", colour).withColumn("colour", F.lit(colour))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    p = scratch.cut(points(spark, d))
+    return rounded(stability.run_matrix({"all": p}, RUNS, tiers=[1]), "min_colour", "max_colour", "sd_colour", "mean_size", "within_sd", "within_range")
+
+
+def grid_on(name: str, end: str) -> str:
+    """The grid's SQL over another table of points, its tables with another ending."""
+    return re.sub(r"\b(points|cfg|opts|garr|gstep|gballs|gm|gsize|runs|gbm|glocal)\b", lambda m: name if m[1] == "points" else m[1] + end, GRID[len(POINTS) :])
+
+
+SWEEP = {"primary": {}, "without_machinery": {"exclude": ("category", ["MACHINERY"])}, "robust": {"scaling": "mad"}}
+SCENARIOS = f"""{GRID}, kept AS (SELECT * FROM units WHERE category <> 'MACHINERY'),
+p2 AS (SELECT id, a1, {', '.join(f'round((a{i} - avg(a{i}) OVER ()) / stddev_samp(a{i}) OVER (), 9) AS z{i}' for i in (1, 2, 3))} FROM kept),
+off AS (SELECT id, a1, {', '.join(f'a{i} - median(a{i}) OVER () AS o{i}' for i in (1, 2, 3))} FROM units),
+p3 AS (SELECT id, a1, {', '.join(f'round(o{i} / (1.4826 * median(abs(o{i})) OVER ()), 9) AS z{i}' for i in (1, 2, 3))} FROM off){grid_on('p2', '2')}{grid_on('p3', '3')}"""
+SHARES = "SELECT '{0}' AS scenario, radius, replicate, (SELECT count(*) FROM {1}) AS n_units, n_balls, round(largest_share, 6) AS largest_share FROM {2} WHERE radius = 1.5 AND replicate <= 2"
+AUDIT = "SELECT '{0}' AS scenario, '{1}' AS scaling, (SELECT count(*) FROM units) AS n_before, (SELECT count(*) FROM units) - (SELECT count(*) FROM {2}) AS n_removed, (SELECT count(*) FROM {2}) AS n_after"
+
+
+def scenarios(spark, d):
+    return stability.scenario_points(units(spark, d), {"a1": "z1", "a2": "z2", "a3": "z3"}, SWEEP)
+
+
+@R.add("i62_scenario_sweep", f"WITH RECURSIVE {SCENARIOS} " + " UNION ALL ".join(SHARES.format(*x) for x in (("primary", "points", "runs"), ("without_machinery", "p2", "runs2"), ("robust", "p3", "runs3"))))
+def _(spark, d):
+    return rounded(stability.scenario_sweep(scenarios(spark, d), AXES, [1.5], [1, 2]), "largest_share")
 
 
-@R.add("i62_scenario_sweep")
+@R.add("i62_sweep_audit", f"WITH {UNITS} " + " UNION ALL ".join(AUDIT.format(*x) for x in (("primary", "z", "units"), ("without_machinery", "z", "(SELECT * FROM units WHERE category <> 'MACHINERY')"), ("robust", "mad", "units"))))
 def _(spark, d):
-    p = points(spark, d).select("id", "category", *AXES).persist()
-    kept, _ = contract.exclude_values(p, "category", ["MACHINERY"])
-    return stability.scenario_sweep({"primary": p, "without_machinery": kept.select("id", "category", *AXES)}, AXES, [1.5], [1, 2])
+    return stability.scenario_audit(units(spark, d), scenarios(spark, d), SWEEP)
 
 
 BALLZ = ", bz AS (SELECT ball_id, avg(z1) AS z1, avg(z2) AS z2, avg(z3) AS z3 FROM member JOIN points ON unit = id GROUP BY ball_id), sc AS (SELECT *, (z1 + z2 + z3) / 3 AS s FROM bz), pr AS (SELECT x.ball_id AS a, y.ball_id AS b, abs(x.s - y.s) AS score_gap, sqrt((x.z1-y.z1)**2 + (x.z2-y.z2)**2 + (x.z3-y.z3)**2) AS axis_distance, sqrt((x.z1-x.s-y.z1+y.s)**2 + (x.z2-x.s-y.z2+y.s)**2 + (x.z3-x.s-y.z3+y.s)**2) AS profile_distance, x.z1 - y.z1 AS d1, x.z2 - y.z2 AS d2, x.z3 - y.z3 AS d3 FROM sc x JOIN sc y ON x.ball_id < y.ball_id)"
@@ -252,7 +288,8 @@ def ball_axes(spark, d):
 
 @R.add("i47_contrasts", C + "SELECT a, b, round(score_gap, 6) AS score_gap, round(axis_distance, 6) AS axis_distance, round(profile_distance, 6) AS profile_distance, score_gap <= 0.25 AND profile_distance >= 1 AS candidate, coalesce(strength, 0) AS strength FROM pr LEFT JOIN edge USING (a, b)")
 def _(spark, d):
-    return rounded(contrast.contrasts(*[x for x in (ball_axes(spark, d)[0], AXES)], ball_axes(spark, d)[1])).drop("sign_disagreements")
+    means, edges = ball_axes(spark, d)
+    return rounded(contrast.contrasts(means, AXES, edges)).drop("sign_disagreements")
 
 
 GAPS, DISTANCES = [0.05, 0.1, 0.15, 0.2, 0.25, 0.3], [1.0, 1.5, 2.0, 2.5, 3.0]

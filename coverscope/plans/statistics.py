@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from coverscope.functions import columns as C
 from coverscope.operators import bins, scale, stats
-from coverscope.plans.frames import POINTS, UNITS, points, table, units
+from coverscope.plans.frames import AXES, POINTS, UNITS, points, table, units
 from coverscope.plans.registry import Registry
 
 R = Registry()
@@ -47,9 +47,9 @@ def _(spark, d):
     return units(spark, d).groupBy("class").agg(F.round(F.avg("urgent"), 6).alias("mean"), F.count_distinct("category").alias("n_categories"), F.array_join(F.array_sort(F.collect_set("category")), ", ").alias("categories"))
 
 
-@R.add("d5_count_by_key", "SELECT p_partkey, count(l_orderkey) AS n, count(l_orderkey) > 0 AS present FROM part LEFT JOIN lineitem ON p_partkey = l_partkey AND l_returnflag = 'R' AND l_quantity < 5 GROUP BY p_partkey")
+@R.add("d5_count_by_key", "SELECT p_partkey, count(l_orderkey) AS n, count(l_orderkey) > 0 AS present FROM part LEFT JOIN lineitem ON p_partkey = l_partkey AND l_returnflag = 'R' GROUP BY p_partkey")
 def _(spark, d):
-    counts = table(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity < 5").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
+    counts = table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
     return table(spark, d, "part").select("p_partkey").join(counts, "p_partkey", "left").select("p_partkey", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNotNull().alias("present"))
 
 
@@ -180,6 +180,26 @@ def _(spark, d):
     return stats.kmeans_benchmark(points(spark, d), "id", ["z1", "z2", "z3"], range(1, 7)).select("k", "within_ss")
 
 
+@R.add("d20_kmeans_profiles")
+def _(spark, d):
+    p = points(spark, d)
+    found = stats.kmeans_clusters(p, "id", AXES, range(2, 9))
+    return stats.cluster_profiles(found, p, "id", AXES)
+
+
+FIT = "SELECT regr_count(z1, m) AS n, regr_slope(z1, m) AS b, regr_intercept(z1, m) AS a, regr_r2(z1, m) AS r2, regr_sxx(z1, m) AS sxx, regr_syy(z1, m) * (1 - regr_r2(z1, m)) AS rss, avg(m) AS mx FROM (SELECT z1, (category = 'MACHINERY')::INT::DOUBLE AS m FROM points)"
+
+
+@R.add(
+    "d22_ols_factor",
+    f"""WITH {POINTS}, f AS ({FIT}), t AS (SELECT 'intercept' AS term, a AS c, sqrt(rss / (n - 2) * (1 / n + mx * mx / sxx)) AS se, f.* FROM f UNION ALL SELECT 'machinery', b, sqrt(rss / (n - 2) / sxx), f.* FROM f)
+SELECT term, round(c, 6) AS coefficient, round(se, 6) AS std_error, round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 2), 6) AS adj_r2, round(n * (ln(2 * pi() * rss / n) + 1) + 6, 4) AS aic FROM t""",
+)
+def _(spark, d):
+    fit = stats.ols(points(spark, d), "z1", {"machinery": (F.col("category") == "MACHINERY").cast("int")})
+    return rounded(fit, "coefficient", "std_error", "r2", "adj_r2").withColumn("aic", F.round("aic", 4))
+
+
 @R.add("d22_ols")
 def _(spark, d):
     u = points(spark, d)
@@ -343,10 +363,10 @@ def _(spark, d):
 
 @R.add(
     "g2_set_operations",
-    "WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A' AND l_quantity < 3), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'N' AND l_quantity < 3) SELECT 'both' AS part, k FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'a_only', k FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'b_only', k FROM (SELECT * FROM b EXCEPT SELECT * FROM a)",
+    "WITH a AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'N') SELECT 'both' AS part, k FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'a_only', k FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'b_only', k FROM (SELECT * FROM b EXCEPT SELECT * FROM a)",
 )
 def _(spark, d):
-    side = lambda v: table(spark, d, "lineitem").where((F.col("l_returnflag") == v) & (F.col("l_quantity") < 3)).select(F.col("l_partkey").alias("k"))
+    side = lambda v: table(spark, d, "lineitem").where(F.col("l_returnflag") == v).select(F.col("l_orderkey").alias("k"))
     a, b = side("A"), side("N")
     named = lambda n, df: df.select(F.lit(n).alias("part"), "k")
     return named("both", a.intersect(b)).unionByName(named("a_only", a.subtract(b))).unionByName(named("b_only", b.subtract(a)))

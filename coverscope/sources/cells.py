@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coverscope.functions.columns import to_number
 from coverscope.operators.joins import ContractError
+from coverscope.operators.scratch import cut
+from coverscope.operators.stats import partitions_equivalent
 
 
 def detect_code_column(cells: DataFrame, pattern: str, at_least: int = 100) -> DataFrame:
@@ -44,21 +48,34 @@ def select_covered_columns(cells: DataFrame, labels: DataFrame, pattern: str, mo
     return labels.where(F.col("label").rlike(pattern)).join(numbers, ["sheet", "col"]).where(F.col("n") > more_than)
 
 
-def resolve_readout(tables: dict[str, DataFrame], pattern: str, min_coverage: float = 0.9, min_distinct: int = 2, low: float | None = None, high: float | None = None) -> DataFrame:
+def resolve_readout(tables: dict[str, DataFrame], pattern: str, min_coverage: float = 0.9, min_distinct: int = 2, low: float | None = None, high: float | None = None, mean_low: float | None = None, mean_high: float | None = None, integer: bool = False) -> DataFrame:
     """source, column, score and profile of the candidates, best first by the order of `tables`, then score, then name; one pass over each table.
 
-    A candidate is a numeric column whose name matches; it must be covered, vary, and keep to the range."""
+    A candidate is a numeric column whose name matches; it must be covered, vary, keep to the
+    range, have its mean in the band and, if `integer` asks so, hold whole numbers alone. Several
+    best ones of one table and score must part its rows alike, or it is an error."""
     out = None
     for priority, (name, df) in enumerate(tables.items()):
-        columns = [c for c, kind in df.dtypes if kind in ("double", "float", "int", "bigint")]
-        stats = [F.struct(F.lit(c).alias("column"), F.avg(F.col(c).isNotNull().cast("double")).alias("coverage"), F.count_distinct(c).alias("n_distinct"), F.min(F.col(c).cast("double")).alias("lo"), F.max(F.col(c).cast("double")).alias("hi")) for c in columns]
+        columns = [c for c, kind in df.dtypes if kind in ("double", "float", "int", "bigint") and re.search(pattern, c)]
+        if not columns:
+            continue
+        whole = lambda c: F.coalesce(F.every(F.abs(F.col(c) - F.round(c)) < 1e-8), F.lit(True))
+        profile = lambda c: [F.avg(F.col(c).isNotNull().cast("double")).alias("coverage"), F.count_distinct(c).alias("n_distinct"), F.min(F.col(c).cast("double")).alias("lo"), F.max(F.col(c).cast("double")).alias("hi"), F.avg(c).alias("mean"), whole(c).alias("integer_like")]
+        stats = [F.struct(F.lit(c).alias("column"), *profile(c)) for c in columns]
         rows = df.agg(F.array(*stats).alias("r")).select(F.lit(priority).alias("priority"), F.lit(name).alias("source"), F.inline("r"))
         out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ContractError(f"no numeric column matches {pattern}")
     fits = (F.col("coverage") >= min_coverage) & (F.col("n_distinct") >= min_distinct)
-    if low is not None:
-        fits = fits & (F.col("lo") >= low)
-    if high is not None:
-        fits = fits & (F.col("hi") <= high)
-    score = F.when(F.col("column").rlike(f"^(?:{pattern})$"), 2).when(F.col("column").rlike(pattern), 1).otherwise(0)
-    ranked = out.withColumn("score", score).where((F.col("score") > 0) & fits)
-    return ranked.withColumn("rank", F.row_number().over(Window.orderBy("priority", F.desc("score"), "source", "column")))  # a row for each candidate column
+    for bound, test in ((low, F.col("lo") >= F.lit(low)), (high, F.col("hi") <= F.lit(high)), (mean_low, F.col("mean") >= F.lit(mean_low)), (mean_high, F.col("mean") <= F.lit(mean_high)), (integer or None, F.col("integer_like"))):
+        if bound is not None:
+            fits = fits & test
+    score = F.when(F.col("column").rlike(f"^(?:{pattern})$"), 2).otherwise(1)
+    ranked = cut(out.where(fits).withColumn("score", score).withColumn("rank", F.row_number().over(Window.orderBy("priority", F.desc("score"), "source", "column"))))  # a row for each candidate column
+    best = ranked.where("rank = 1").first()
+    if best:
+        rivals = ranked.where((F.col("priority") == best["priority"]) & (F.col("score") == best["score"]) & (F.col("rank") > 1)).collect()
+        for r in rivals:
+            if not partitions_equivalent(tables[best["source"]], best["column"], r["column"]).first()["equivalent"]:
+                raise ContractError(f"{best['column']} and {r['column']} of {best['source']} part the rows differently")
+    return ranked

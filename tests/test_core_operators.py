@@ -183,3 +183,112 @@ def test_stream_of_units_meets_a_frozen_cover(spark, tmp_path):
     q = assign_stream(stream, balls, ["x", "y"]).writeStream.format("memory").queryName("assigned").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted((r.ball_id, r.id) for r in spark.table("assigned").collect()) == sorted((r.ball_id, r.unit) for r in m.collect())
+
+
+def cloud(spark, n, seed, axes=("x", "y", "z")):
+    """(rows of id and axes, the same as an array), with doubles and a null row."""
+    import numpy as np
+
+    x = np.random.default_rng(seed).normal(size=(n, len(axes))).round(3)
+    x[1] = x[0]
+    rows = [(i, *map(float, v)) for i, v in enumerate(x)] + [(n, *[None] * len(axes))]
+    return spark.createDataFrame(rows, "id bigint, " + ", ".join(f"{a} double" for a in axes)), x
+
+
+@pytest.mark.parametrize("bound", [0, 20_000])
+def test_nearest_distances_equal_all_pairs(spark, bound):
+    import numpy as np
+
+    (a, x), (b, y) = cloud(spark, 60, 1), cloud(spark, 80, 2)
+    want = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2)).min(axis=1)
+    got = {r.id: r.d for r in near.nearest_distance(a, b, "id", ["x", "y", "z"], bound).collect()}
+    assert sorted(got) == list(range(60)) and np.allclose([got[i] for i in range(60)], want)
+    assert near.nearest_distance(a, b.limit(0), "id", ["x", "y", "z"], bound).count() == 0
+
+
+@pytest.mark.parametrize("n", [2, 3, 300])
+def test_diameter_equals_all_pairs(spark, n):
+    import numpy as np
+
+    df, x = cloud(spark, n, n)
+    assert near.diameter(df, ["x", "y", "z"]).first()["diameter"] == pytest.approx(float(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)).max()))
+
+
+def test_diameter_of_no_and_one_row(spark):
+    df, _ = cloud(spark, 2, 5)
+    assert near.diameter(df.limit(0), ["x", "y"]).first()["diameter"] is None
+    assert near.diameter(df, ["x", "y"]).first()["diameter"] == 0
+
+
+def test_distance_diagnostics_equal_all_pairs(spark):
+    import numpy as np
+
+    df, x = cloud(spark, 50, 7, ("x", "y"))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    pairs = d[np.triu_indices(50, 1)]
+    np.fill_diagonal(d, np.inf)
+    nearest = d.min(axis=1)
+    nearest = nearest[nearest > 0]
+    r = stability.distance_diagnostics(df, "id", ["x", "y"])
+    r = r.first()
+    assert (r.n_units, r.n_duplicates) == (50, (pairs == 0).sum())
+    want = {"min_positive": pairs[pairs > 0].min(), "max": pairs.max(), "nn_min": nearest.min(), "nn_q25": np.quantile(nearest, 0.25), "nn_q95": np.quantile(nearest, 0.95), "nn_max": nearest.max(), "pair_q10": np.quantile(pairs, 0.1), "pair_q99": np.quantile(pairs, 0.99)}
+    assert {k: r[k] for k in want} == pytest.approx(want)
+
+
+def test_quantiles_from_places(spark):
+    import numpy as np
+
+    x = [1.0, 5.0, 2.0, 2.0, 9.0, -3.0, 2.0]
+    df = spark.createDataFrame([(v,) for v in [*x, None]], "x double").repartition(3)
+    levels = [0.0, 0.1, 0.5, 0.77, 1.0]
+    assert scale.quantiles(df, "x", levels).first()[0] == pytest.approx(list(np.quantile(x, levels)))
+    assert scale.quantiles(df.limit(0), "x", [0.5]).first()[0] == [None]
+
+
+def test_vector_search_equals_all_pairs(spark):
+    import numpy as np
+
+    x = np.random.default_rng(9).normal(size=(70, 4)).round(2)
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(99, None)], "id bigint, v array<double>").repartition(3)
+    got = near.knn_search(df, df.where("id % 5 = 0"), "id", "v", 3, block=4).collect()
+    for q in range(0, 70, 5):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        want = [int(i) for i in np.lexsort((np.arange(70), d)) if i != q][:3]
+        assert [r.neighbour for r in sorted(got, key=lambda r: r["rank"]) if r.query == q] == want
+    assert near.knn_search(df, df.limit(0), "id", "v", 3).count() == 0
+
+
+def test_readouts_are_held_to_their_rules(spark):
+    df = spark.createDataFrame([(1, 1, 1.5, 7), (2, 2, 2.5, 7), (3, 2, 2.5, 9)], "id int, count_a int, count_b double, count_c int")
+    pick = lambda d, **rules: [r.column for r in cells.resolve_readout({"t": d}, "^count_", **rules).orderBy("rank").collect()]
+    assert pick(df.drop("count_c")) == ["count_a", "count_b"]
+    assert pick(df.drop("count_c"), integer=True) == ["count_a"]
+    assert pick(df, mean_low=5.0) == ["count_c"] and pick(df.drop("count_c"), mean_high=2.0) == ["count_a"]
+    with pytest.raises(ContractError):  # a and c part the rows differently
+        pick(df)
+    with pytest.raises(ContractError):
+        pick(df.select("id"))
+
+
+def test_run_matrix_with_several_axes_and_tiers(spark):
+    df = spark.createDataFrame([(i, float(i), float(i % 3), float(i)) for i in range(12)], "id bigint, x double, y double, c double")
+    spec = {"run_id": "a", "dataset": "d", "axes": ["x", "y"], "colour": "c", "radius_min": 1.0, "radius_max": 2.0, "radius_step": 0.5, "repetitions": 2, "tier": 1}
+    rows = stability.run_matrix({"d": df}, [spec, spec | {"run_id": "b", "axes": ["x"]}, spec | {"run_id": "no", "tier": 2}], tiers=[1]).collect()
+    assert sorted((r.run_id, r.radius, r.replicate) for r in rows) == [(n, q, k) for n in "ab" for q in (1.0, 1.5, 2.0) for k in (1, 2)]
+    with pytest.raises(ValueError):
+        stability.run_matrix({"d": df}, [spec], tiers=[3])
+    with pytest.raises(ValueError):
+        stability.run_matrix({"d": df}, [spec | {"radius_step": 0.3}])
+
+
+def test_clusters_of_two_heaps(spark):
+    df = spark.createDataFrame([(i, (i % 2) * 50.0 + i / 10, 0.0) for i in range(20)] + [(99, None, 0.0)], "id bigint, x double, y double")
+    table = {r.k: r for r in stats.kmeans_benchmark(df, "id", ["x", "y"], [1, 2, 3]).collect()}
+    heaps = [[(i % 2) * 50.0 + i / 10 for i in range(20) if i % 2 == s] for s in (0, 1)]
+    within = sum(sum((v - sum(h) / 10) ** 2 for v in h) for h in heaps)
+    assert table[2].within_ss == pytest.approx(within) and table[2].calinski_harabasz == pytest.approx((table[1].within_ss - within) / (within / 18))
+    assert sum(r.chosen for r in table.values()) == 1
+    found = stats.kmeans_clusters(df, "id", ["x", "y"], [2])
+    assert {r.id: r.cluster for r in found.collect()} == {i: 1 + i % 2 for i in range(20)}
+    assert [(r.cluster, r.n) for r in stats.cluster_profiles(found, df, "id", ["x"]).orderBy("cluster").collect()] == [(1, 10), (2, 10)]

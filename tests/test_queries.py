@@ -11,6 +11,7 @@ NAMES = """a3_read_feature_pages a8_merge_headers b6_to_number b15_scale_mad b16
 c13_knn c15_facility_access c17_assign_points c18_queen_adjacency d8_safe_corr d11_cramers_v d15_total_variation d17_quantile_type8 d18_outliers_mad d33_morans_i e1_quantile_bins e7_canonical_order e9_knn_overlap_curve
 i1_build_cover i5_overlap_edges i7_components i9_topology_summary i12_ball_profile_missing i14_local_colour i18_local_category_probs i20_fingerprint i23_cover_grid i28_landmark_stability i37_colour_robustness
 i48_threshold_grid i49_weight_sensitivity i57_pair_sample j1_table_contract j3_compare_frames j4_semantic_equivalence
+a12_resolve_readout c12_directed_hausdorff c13_knn_embeddings c19_set_gap d22_ols_factor i30_distance_diagnostics i43_run_matrix i62_scenario_sweep i62_sweep_audit
 f1_byte_order_sort f2_multi_key_sort c20_comembership d32_partitions_equivalent i19_check_cover j7_csv_equivalent""".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
