@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -93,3 +94,17 @@ def squared(a: Sequence[Column], b: Sequence[Column]) -> Column:
 def zero_overlap_chance(m: Column, k: Column) -> Column:
     """C(m - k, k) / C(m, k): that two independent sets of k out of m don't meet."""
     return F.aggregate(F.sequence(F.lit(0), k - 1), F.lit(1.0), lambda p, j: p * (m - k - j) / (m - j))
+
+
+#: Latin letters with marks that Unicode takes apart into a plain letter and marks.
+MARKED = {chr(i): unicodedata.normalize("NFD", chr(i))[0] for i in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if unicodedata.normalize("NFD", chr(i)) != chr(i) and unicodedata.normalize("NFD", chr(i))[0].isascii()}
+
+
+def strip_accents(c: Column) -> Column:
+    """Text with the marks of Latin letters taken off; letters without a plain form (ø, ß) stay, null stays null."""
+    return F.translate(F.regexp_replace(c, r"\p{Mn}+", ""), "".join(MARKED), "".join(MARKED.values()))
+
+
+def valid_utf8(c: Column) -> Column:
+    """Whether bytes are well-formed UTF-8; null for null."""
+    return F.is_valid_utf8(c.cast("string"))

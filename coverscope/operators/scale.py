@@ -49,9 +49,10 @@ def quantiles(df: DataFrame, column: str, levels: Sequence[float], new: str = "q
 
 def with_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
     """df with quantiles as columns. wanted: new column to (column, level)."""
+    out = df
     for new, (column, level) in wanted.items():
-        df = df.crossJoin(F.broadcast(quantiles(df, column, [level]).select(F.col("quantiles")[0].alias(new))))
-    return df
+        out = out.crossJoin(F.broadcast(quantiles(df.select(column), column, [level]).select(F.col("quantiles")[0].alias(new))))
+    return out
 
 
 def average_rank(df: DataFrame, column: str, new: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,11 +12,12 @@ from coverscope.functions.columns import level, mentions_id
 
 
 def normalise_names(df: DataFrame) -> DataFrame:
-    """Lower-case names of letters, digits and single underscores; repeated ones get a number."""
+    """Lower-case names of letters, digits and single underscores, accents taken off; repeated ones get a number."""
     seen: dict[str, int] = {}
     names = []
     for c in df.columns:
-        n = re.sub(r"[^0-9a-z]+", "_", c.lower()).strip("_") or "x"
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c.lower().replace("ß", "ss")) if not unicodedata.combining(x))
+        n = re.sub(r"[^0-9a-z]+", "_", plain).strip("_") or "x"
         seen[n] = seen.get(n, 0) + 1
         names.append(n if seen[n] == 1 else f"{n}_{seen[n]}")
     return df.toDF(*names)

@@ -12,12 +12,18 @@ from coverscope.plans.registry import Registry
 R = Registry()
 
 
-@R.add("b1_normalise_names", "SELECT s_suppkey AS supplier_key, s_name AS s_name, s_acctbal AS s_name_2 FROM supplier")
+@R.add("b1_normalise_names", "SELECT s_suppkey AS supplier_key, s_name AS s_name, s_acctbal AS s_name_2, s_nationkey AS cafe_strasse FROM supplier")
 def _(spark, d):
-    odd = table(spark, d, "supplier").select(F.col("s_suppkey").alias(" Supplier  Key%"), F.col("s_name").alias("S.Name"), F.col("s_acctbal").alias("s name"))
+    odd = table(spark, d, "supplier").select(F.col("s_suppkey").alias(" Supplier  Key%"), F.col("s_name").alias("S.Name"), F.col("s_acctbal").alias("s name"), F.col("s_nationkey").alias("Café-Straße"))
     return tidy.normalise_names(odd)
 
 
+@R.add("h_strip_accents", "SELECT doc_id, md5(strip_accents(text)) AS plain, strip_accents(text) <> text AS changed FROM documents")
+def _(spark, d):
+    plain = C.strip_accents(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.md5(plain).alias("plain"), (plain != F.col("text")).alias("changed"))
+
+
 @R.add("b3_find_key_column", "SELECT 'c_name' AS key_column, (SELECT avg(CASE WHEN regexp_matches(c_name, '^Customer#[0-9]{9}$') THEN 1.0 ELSE 0.0 END) FROM customer)::DOUBLE AS share")
 def _(spark, d):
     return tidy.find_key_column(table(spark, d, "customer"), r"^Customer#[0-9]{9}$", 0.9)

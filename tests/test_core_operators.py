@@ -292,3 +292,25 @@ def test_clusters_of_two_heaps(spark):
     found = stats.kmeans_clusters(df, "id", ["x", "y"], [2])
     assert {r.id: r.cluster for r in found.collect()} == {i: 1 + i % 2 for i in range(20)}
     assert [(r.cluster, r.n) for r in stats.cluster_profiles(found, df, "id", ["x"]).orderBy("cluster").collect()] == [(1, 10), (2, 10)]
+
+
+def test_marks_of_letters(spark):
+    from coverscope.operators import tidy
+
+    df = spark.createDataFrame([("Café Żółć e\u0301 ø",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(C.strip_accents(F.col("t"))).collect()] == ["Cafe Zołc e ø", "", None]
+    assert tidy.normalise_names(df.toDF("Café %")).columns == ["cafe"]
+    b = spark.createDataFrame([(bytearray("é".encode()),), (bytearray(b"\xe9x"),), (None,)], "b binary")
+    assert [r[0] for r in b.select(C.valid_utf8(F.col("b"))).collect()] == [True, False, None]
+
+
+def test_archive_members_with_line_breaks_in_quotes(spark):
+    import io
+    import zipfile
+
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("a-lsoa.csv", 'k,t\n1,"two\nlines, ""quoted"""\n\n2,x\n')
+    df = spark.createDataFrame([("a.zip", bytearray(data.getvalue()))], "path string, content binary")
+    got = files.read_zip_csv(df, "k int, t string", "lsoa").orderBy("k").collect()
+    assert [(r.k, r.t) for r in got] == [(1, 'two\nlines, "quoted"'), (2, "x")]
