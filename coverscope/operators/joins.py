@@ -70,7 +70,7 @@ def grid(spark, **axes: Sequence) -> DataFrame:
 def pairs(df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
     """Unordered pairs of rows (of equal `by`) as <column>_a and <column>_b, a < b. For small tables such as the balls of a cover."""
     side = lambda s: df.withColumnsRenamed({c: f"{c}_{s}" for c in df.columns if c not in by})
-    both = side("a").join(side("b"), list(by)) if by else side("a").crossJoin(F.broadcast(side("b")))
+    both = side("a").join(side("b"), list(by)) if by else side("a").crossJoin(side("b"))
     return both.where(F.col(f"{key}_a") < F.col(f"{key}_b"))
 
 

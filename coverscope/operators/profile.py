@@ -85,7 +85,7 @@ def category_mix(membership: DataFrame, df: DataFrame, item: str, column: str) -
     """ball_id, level, n and share, zero levels included; missing values are the level UNRESOLVED."""
     values = df.select(F.col(item).alias("unit"), fill_category(F.col(column).cast("string")).alias("level"))
     counts = membership.select("ball_id", "unit").join(values, "unit").groupBy("ball_id", "level").agg(F.count("*").alias("n"))
-    full = membership.select("ball_id").distinct().crossJoin(F.broadcast(values.select("level").distinct()))
+    full = membership.select("ball_id").distinct().crossJoin(values.select("level").distinct())
     return full.join(counts, ["ball_id", "level"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("ball_id")))
 
 

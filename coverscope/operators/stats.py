@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coverscope.functions.columns import finite
-from coverscope.operators.scale import average_rank
+from coverscope.operators.scale import average_rank, places
 
 
 def long(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str = "variable", value: str = "value") -> DataFrame:
@@ -129,9 +129,13 @@ def total_variation(mix: DataFrame, group: str, level: str, share: str) -> DataF
 
 def quantile_type8(df: DataFrame, column: str, p: float, by: Sequence[str] = ()) -> DataFrame:
     """The median-unbiased quantile: h = (n + 1/3) p + 1/3, linear between order statistics, counted by value so that equal ones take one row."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by).orderBy("_v")
-    ranked = counts.withColumns({"_hi": F.sum("_c").over(w), "_n": F.sum("_c").over(Window.partitionBy(*by))})
+    if by:
+        counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
+        w = Window.partitionBy(*by).orderBy("_v")
+        ranked = counts.withColumns({"_hi": F.sum("_c").over(w), "_n": F.sum("_c").over(Window.partitionBy(*by))})
+    else:
+        placed = places(df, column).select("_v", F.col("_upto").alias("_hi"))
+        ranked = placed.crossJoin(F.broadcast(placed.agg(F.max("_hi").alias("_n"))))
     h = (F.col("_n") + 1 / 3) * p + 1 / 3
     low = F.least(F.greatest(F.floor(h), F.lit(1)), F.col("_n"))
     high = F.least(low + 1, F.col("_n"))

@@ -314,3 +314,10 @@ def test_archive_members_with_line_breaks_in_quotes(spark):
     df = spark.createDataFrame([("a.zip", bytearray(data.getvalue()))], "path string, content binary")
     got = files.read_zip_csv(df, "k int, t string", "lsoa").orderBy("k").collect()
     assert [(r.k, r.t) for r in got] == [(1, 'two\nlines, "quoted"'), (2, "x")]
+
+
+def test_median_unbiased_quantile_with_and_without_groups(spark):
+    df = spark.createDataFrame([("g", float(v)) for v in (4, 1, 3, 2, 2)] + [("g", None)], "k string, x double").repartition(3)
+    for p, want in ((0.5, 2.0), (0.25, 1.0 + (16 / 3 * 0.25 + 1 / 3 - 1)), (1.0, 4.0), (0.0, 1.0)):
+        assert stats.quantile_type8(df, "x", p).first()["quantile"] == pytest.approx(want)
+        assert stats.quantile_type8(df, "x", p, ["k"]).first()["quantile"] == pytest.approx(want)
