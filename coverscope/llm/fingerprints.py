@@ -36,13 +36,14 @@ def no_hashes() -> Column:
 def shingle_hashes(text: Column, size: int = 5) -> Column:
     """The hash of every shingle, in order."""
     short = lambda s: F.substring(F.md5(s.cast("binary")), 1, DIGITS)
-    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: short(F.array_join(F.slice(w, i, F.lit(size)), " ")))
+    run = lambda w, i: F.concat(F.get(w, i), *[c for j in range(1, size) for c in (F.lit(" "), F.get(w, i + j))])  # noqa: E731  null where fewer words are left
+    runs = lambda w: F.slice(F.transform(w, lambda _, i: short(run(w, i))), F.lit(1), F.size(w) - (size - 1))
     return let(words(text), lambda w: F.when(F.size(w) >= size, runs(w)).when(F.size(w) > 0, F.array(short(F.array_join(w, " ")))).otherwise(no_hashes()))
 
 
 def bottom(hashes: Column, k: int) -> Column:
     """The k smallest distinct hashes, in order."""
-    return F.slice(F.array_sort(F.array_distinct(F.coalesce(hashes, no_hashes()))), 1, k)
+    return F.slice(F.sort_array(F.array_distinct(F.coalesce(hashes, no_hashes()))), 1, k)
 
 
 def sketch(text: Column, k: int = 128, size: int = 5) -> Column:
@@ -57,8 +58,8 @@ def union(a: Column, b: Column, k: int = 128) -> Column:
 def resemblance(a: Column, b: Column, k: int = 128) -> Column:
     """The estimated share of common shingles in all of both, 0 to 1."""
     a, b = F.coalesce(a, no_hashes()), F.coalesce(b, no_hashes())
-    both = lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b))
-    return let(union(a, b, k), lambda u: F.when(F.size(u) == 0, 1.0).otherwise(both(u).cast("double") / F.size(u)))
+    among = lambda u: F.size(F.filter(F.array_intersect(a, b), lambda h: h <= F.element_at(u, -1)))
+    return let(union(a, b, k), lambda u: F.when(F.size(u) == 0, 1.0).otherwise(among(u).cast("double") / F.size(u)))
 
 
 def distinct_shingles(sketched: Column, k: int = 128) -> Column:
@@ -80,7 +81,7 @@ def merged(sketches: DataFrame, keys: Sequence[str], column: str = "sketch", k:
     keys = list(keys)
     hashes = sketches.select(*keys, F.explode_outer(column).alias("_hash")).distinct()
     smallest = hashes.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_hash").asc_nulls_last()))).where(F.col("_n") <= k)
-    return smallest.groupBy(*keys).agg(F.array_sort(F.collect_list("_hash")).alias(column))
+    return smallest.groupBy(*keys).agg(F.sort_array(F.collect_list("_hash")).alias(column))
 
 
 def next_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -119,17 +120,18 @@ def edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     The edited text has the text's last third (code points, rounded down) replaced by as many first ones, or all, of the next
     document. Of several rows with one id that of the least MD5 stands for it as a next document. Both joins use one shuffle of
     the texts, by id; what a document hands on to the one before it is a third of that one's length and a sketch."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    links = next_documents(rows).withColumnRenamed("doc_id", "_id")
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))  # noqa: E731  never null, so that all steps use one partitioning
+    rows = docs.select(F.col(doc_id).alias("doc_id"), key(doc_id).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    links = next_documents(rows).select(key("doc_id").alias("_key"), key("to_id").alias("_to"), "third")
     given = (
-        rows.join(links, F.col("doc_id").eqNullSafe(F.col("_id")))
-        .select("to_id", F.struct(F.md5(F.col("text").cast("binary")).alias("md5"), F.expr("left(text, third)").alias("head"), packed(sketch(F.col("text"), k, size)).alias("sketch")).alias("next"))
-        .groupBy("to_id")
+        rows.join(links, "_key")
+        .select(F.col("_to").alias("_key"), F.struct(F.md5(F.col("text").cast("binary")).alias("md5"), F.expr("left(text, third)").alias("head"), packed(sketch(F.col("text"), k, size)).alias("sketch")).alias("next"))
+        .groupBy("_key")
         .agg(F.min("next").alias("next"))
     )
     third = F.floor(F.length("text") / 3).cast("int")
     return (
-        rows.join(given, F.col("doc_id").eqNullSafe(F.col("to_id")))
+        rows.join(given, "_key")
         .select("doc_id", "text", F.concat(F.left("text", F.length("text") - third), F.left("next.head", third)).alias("edited_text"), F.col("next.sketch").alias("_next"))
         .withColumns({"sketch": sketch(F.col("text"), k, size), "edited_sketch": sketch(F.col("edited_text"), k, size), "next_sketch": unpacked(F.col("_next"))})
         .drop("_next")
