@@ -1,9 +1,11 @@
-"""Ordered covers by balls of one radius, for one or many configurations at once.
+"""Ordered covers by balls of one radius.
 
 Walking the units in order, the first one that no ball covers becomes a landmark; its ball
-holds all units within the radius. Here it is done in rounds: the first `head` uncovered
-units of each configuration are walked (whether one becomes a landmark depends on earlier
-units alone, so the head decides itself), and its landmarks then cover units everywhere.
+holds all units within the radius. Whether a unit becomes one depends on earlier units within
+the radius alone, so many decide at once: in each round the first `head` uncovered units are
+walked, and beyond them every unit that comes first in its grid cell and in all cells around it
+(cells as wide as the radius) is a landmark too. So rounds follow the longest chain of cells
+that wait for each other, not the number of units. sweep.py has many covers of one table.
 """
 
 from __future__ import annotations
@@ -12,12 +14,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coverscope.functions.columns import squared
+from coverscope.operators.bins import canonical_order
 from coverscope.operators.near import MAX_BROADCAST, within_radius
 from coverscope.operators.scratch import cut
+from coverscope.operators.sweep import Sweep
 
 
 def order_key(item: str, seed: int | Column) -> Column:
@@ -25,13 +29,13 @@ def order_key(item: str, seed: int | Column) -> Column:
     return F.md5(F.concat_ws(":", F.col(item).cast("string"), F.lit(seed).cast("string") if isinstance(seed, int) else seed.cast("string")))
 
 
-def landmarks(points: DataFrame, axes: Sequence[str], item: str = "id", order: str | None = None, eps: str = "eps", keys: Sequence[str] = (), head: int = 2048) -> DataFrame:
-    """keys, landmark, ball_id (1 is the first), eps and the axes as c_<axis>, for points with a column eps."""
-    keys = list(keys)
+def landmarks(points: DataFrame, axes: Sequence[str], item: str = "id", order: str | None = None, eps: str = "eps", head: int = 2048) -> DataFrame:
+    """landmark, ball_id (1 is the first), eps and the axes as c_<axis>, for points with a column eps that is the same in all rows."""
     axes = list(axes)
-    schema = points.select(*keys, F.col(item).alias("landmark"), F.col(order or item).alias("_ord"), F.col(eps).alias("eps"), *[F.col(a).alias(f"c_{a}") for a in axes]).schema
-    left = points.select(*keys, item, F.col(order or item).alias("_ord"), F.col(eps).alias("eps"), *axes)
-    found = None
+    at = [f"_cell{i}" for i in range(min(len(axes), 3))]  # some axes will do: points near each other are near on each axis
+    schema = points.select(F.col(item).alias("landmark"), F.col(order or item).alias("_ord"), F.col(eps).alias("eps"), *[F.col(a).alias(f"c_{a}") for a in axes]).schema
+    left = points.select(item, F.col(order or item).alias("_ord"), F.col(eps).alias("eps"), *axes).withColumns({c: F.floor(F.col(a) / F.col(eps)) for c, a in zip(at, axes)})
+    found, n_left = None, left.count()
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_ord", item], ignore_index=True)
@@ -44,31 +48,40 @@ def landmarks(points: DataFrame, axes: Sequence[str], item: str = "id", order: s
         out = pdf.iloc[own]
         return out.rename(columns={item: "landmark"} | {a: f"c_{a}" for a in axes})[schema.names]
 
-    while True:
-        if keys:
-            first = left.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("_ord", item))).where(F.col("_k") <= head).drop("_k")
-        else:
-            first = left.orderBy("_ord", item).limit(head)
-        new = cut(first.groupBy(*keys).applyInPandas(walk, schema))
+    def around(df: DataFrame) -> DataFrame:
+        """df once for each of the cells around its own."""
+        for c in at:
+            df = df.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
+        return df
+
+    while n_left:
+        new = left.orderBy("_ord", item).limit(head).groupBy().applyInPandas(walk, schema)
+        if n_left > head:
+            first = cut(left.groupBy(*at).agg(F.min(F.struct("_ord", F.col(item).alias("landmark"), "eps", *[F.col(a).alias(f"c_{a}") for a in axes])).alias("_first")))
+            earliest = around(first.select(*at, F.struct("_first._ord", "_first.landmark").alias("_rank"))).groupBy(*at).agg(F.min("_rank").alias("_rank"))
+            alone = first.join(earliest, at).where(F.struct("_first._ord", "_first.landmark") == F.col("_rank")).select("_first.*").select(*schema.names)
+            new = new.unionByName(alone).dropDuplicates(["landmark"])
+        new = cut(new)
         found = new if found is None else found.unionByName(new)
+        if n_left <= head:
+            break
         n = new.count()
-        covering = new.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("eps").alias("_eps"), *[f"c_{a}" for a in axes])
+        covering = around(new.select(F.col("eps").alias("_eps"), *[f"c_{a}" for a in axes], *[F.floor(F.col(f"c_{a}") / F.col("eps")).alias(c) for c, a in zip(at, axes)])).withColumnsRenamed({c: f"_{c}" for c in at})
         near = squared([F.col(a) for a in axes], [F.col(f"c_{a}") for a in axes]) <= F.col("_eps") * F.col("_eps")
-        for k in keys:
-            near = near & (F.col(k) == F.col(f"_{k}"))
-        left = cut(left.join(F.broadcast(covering) if n <= MAX_BROADCAST * 10 else covering, near, "left_anti"))
-        if left.isEmpty():
-            break
-    number = Window.partitionBy(*keys).orderBy("_ord", "landmark")  # few: landmarks of one configuration
-    return found.withColumn("ball_id", F.row_number().over(number).cast("bigint")).drop("_ord")
-
-
-def members(points: DataFrame, balls: DataFrame, axes: Sequence[str], item: str = "id", keys: Sequence[str] = ()) -> DataFrame:
-    """keys, ball_id, landmark and unit for all units of each ball. balls: as landmarks() gives them."""
-    p = points.select(*keys, F.col(item).alias("unit"), *axes)
+        for c in at:
+            near = near & (F.col(c) == F.col(f"_{c}"))
+        left = cut(left.join(F.broadcast(covering) if n * 3 ** len(at) <= MAX_BROADCAST * 10 else covering, near, "left_anti"))
+        n_left = left.count()
+    if found is None:
+        return points.sparkSession.createDataFrame([], schema).withColumn("ball_id", F.lit(0).cast("bigint")).drop("_ord")
+    return canonical_order(found, [F.col("_ord"), F.col("landmark")], "ball_id").withColumn("ball_id", F.col("ball_id").cast("bigint")).drop("_ord")
+
+
+def members(points: DataFrame, balls: DataFrame, axes: Sequence[str], item: str = "id") -> DataFrame:
+    """ball_id, landmark and unit for all units of each ball. balls: as landmarks() gives them."""
+    p = points.select(F.col(item).alias("unit"), *axes)
     cell = balls.agg(F.max("eps")).first()[0]
-    joined = within_radius(p, balls, axes, [f"c_{a}" for a in axes], F.col("eps"), keys, cell=cell)
-    return joined.select(*keys, "ball_id", "landmark", "unit")
+    return within_radius(p, balls, axes, [f"c_{a}" for a in axes], F.col("eps"), cell=cell).select("ball_id", "landmark", "unit")
 
 
 def build_cover(points: DataFrame, axes: Sequence[str], eps: float, item: str = "id", order: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -78,14 +91,10 @@ def build_cover(points: DataFrame, axes: Sequence[str], eps: float, item: str =
     return balls, cut(members(points, balls, axes, item))
 
 
-def cover_grid(points: DataFrame, axes: Sequence[str], radii: Sequence[float], replicates: Sequence[int], item: str = "id", seed: int = 20260807, step: int = 1009, head: int = 256) -> tuple[DataFrame, DataFrame]:
-    """(balls, membership) with the keys radius and replicate: all covers advance together."""
-    spark = points.sparkSession
-    grid = spark.createDataFrame([(float(r), int(k)) for r in radii for k in replicates], "radius double, replicate int")
-    keyed = points.select(item, *axes).crossJoin(F.broadcast(grid)).withColumn("eps", F.col("radius"))
-    keyed = cut(keyed.withColumn("_order", order_key(item, F.lit(seed) + step * F.col("replicate"))))
-    balls = cut(landmarks(keyed, axes, item, "_order", keys=["radius", "replicate"], head=head))
-    return balls, cut(members(keyed.drop("eps"), balls, axes, item, ["radius", "replicate"]))
+def cover_grid(points: DataFrame, axes: Sequence[str], radii: Sequence[float], replicates: Sequence[int], item: str = "id", seed: int = 20260807, step: int = 1009) -> tuple[DataFrame, DataFrame]:
+    """(balls, membership) with the keys radius and replicate, of a few covers whose members are wanted as rows; see sweep.Sweep for many."""
+    swept = Sweep(points, axes, radii, replicates, item, seed, step)
+    return swept.balls(), cut(swept.members())
 
 
 def sizes(membership: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coverscope.functions.columns import squared
-from coverscope.operators import cover, scale
+from coverscope.operators import cover, graph, scale
 from coverscope.operators.contract import exclude_values
 from coverscope.operators.cover import order_key
 from coverscope.operators.near import diameter, knn
 from coverscope.operators.scale import quantiles
 from coverscope.operators.scratch import cut
 from coverscope.operators.stats import correlation, long
+from coverscope.operators.sweep import Sweep, common_bits, element_bits
 
 KEYS = ["radius", "replicate"]
 
@@ -35,15 +36,72 @@ def axis_ranges(membership: DataFrame, values: DataFrame, item: str, axes: Seque
     return ball.groupBy(*KEYS, "axis").agg(F.avg("_r").alias("mean_range"), F.min("_r").alias("min_range"), F.max("_r").alias("max_range"))
 
 
+#: The numbers that describe a cover, in the order of cover_diagnostics().
+METRICS = """n_balls n_edges n_components n_joined_components n_isolated largest_component_share min_size median_size mean_size max_size effective_balls effective_share
+normalised_entropy largest_share mean_memberships max_memberships share_multicovered mean_degree max_degree sd_degree edge_density cycle_rank""".split()
+FLAGS = ["connected", "none_isolated", "one_ball", "all_landmarks", "half", "three_quarters"]
+
+
+def cover_diagnostics(counts: DataFrame, radii: Sequence[float], seed: int = 20260807, step: int = 1009) -> DataFrame:
+    """A row of 33 columns for each cover. counts: as Sweep.counts() gives them.
+
+    All covers go through each step together: sums over balls, units and edges by configuration,
+    degrees from both ends of the edges, and components by label rounds over all overlap graphs at once."""
+    counts = cut(counts)
+    size = counts.where("kind = 'ball'").select(*KEYS, F.col("a").alias("node"), "n")
+    edges = counts.where("kind = 'edge'").select(*KEYS, "a", "b")
+    units = counts.where("kind = 'units'").groupBy(*KEYS).agg(F.sum("n").alias("n_units"), (F.sum(F.col("a") * F.col("n")) / F.sum("n")).alias("mean_memberships"), F.max("a").alias("max_memberships"), (F.sum(F.when(F.col("a") > 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("share_multicovered"))
+    shape = size.groupBy(*KEYS).agg(F.count("*").alias("n_balls"), F.min("n").alias("min_size"), F.percentile("n", 0.5).alias("median_size"), F.avg("n").alias("mean_size"), F.max("n").alias("max_size"), (F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("_h"))
+    degree = graph.both_ways(edges, KEYS).groupBy(*KEYS, "node").agg(F.count("*").alias("d")).groupBy(*KEYS).agg((F.sum("d") / 2).cast("bigint").alias("n_edges"), F.max("d").alias("max_degree"), F.sum(F.col("d") * F.col("d")).alias("_dd"))
+    parts = graph.components(size.select(*KEYS, "node"), edges, KEYS).groupBy(*KEYS, "component").agg(F.count("*").alias("_n"))
+    parts = parts.groupBy(*KEYS).agg(F.count("*").alias("n_components"), F.count_if(F.col("_n") > 1).alias("n_joined_components"), F.count_if(F.col("_n") == 1).alias("n_isolated"), F.max("_n").alias("_largest"))
+    places = shape.sparkSession.createDataFrame([(i + 1, float(r)) for i, r in enumerate(radii)], "radius_index int, radius double")
+    rows = shape.join(units, KEYS).join(parts, KEYS).join(degree, KEYS, "left").join(F.broadcast(places), "radius").fillna(0, ["n_edges", "max_degree", "_dd"])
+    b, e, several = F.col("n_balls"), F.col("n_edges"), F.col("n_balls") > 1
+    rows = rows.withColumns(
+        {
+            "seed": (seed + step * F.col("replicate")).cast("bigint"),
+            "largest_component_share": F.col("_largest") / b,
+            "connected": F.col("n_components") == 1,
+            "none_isolated": F.col("n_isolated") == 0,
+            "one_ball": b == 1,
+            "all_landmarks": b == F.col("n_units"),
+            "effective_balls": F.exp("_h"),
+            "effective_share": F.exp("_h") / b,
+            "normalised_entropy": F.when(several, F.col("_h") / F.log(b)).otherwise(0.0),
+            "largest_share": F.col("max_size") / F.col("n_units"),
+            "half": F.col("max_size") / F.col("n_units") >= 0.5,
+            "three_quarters": F.col("max_size") / F.col("n_units") >= 0.75,
+            "mean_degree": 2 * e / b,
+            "sd_degree": F.when(several, F.sqrt(F.greatest(F.lit(0.0), (F.col("_dd") - 4 * e * e / b) / (b - 1)))).otherwise(0.0),
+            "edge_density": F.when(several, 2 * e / (b * (b - 1))).otherwise(0.0),
+            "cycle_rank": e - b + F.col("n_components"),
+        }
+    )
+    return rows.select("radius_index", "radius", "replicate", "seed", "n_units", *METRICS, *FLAGS)
+
+
 def summarise_by_radius(runs: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """radius, metric, mean, sd, q025 and q975 over the replicates."""
     return long(runs, ["radius"], metrics, "metric").groupBy("radius", "metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.percentile("value", 0.025).alias("q025"), F.percentile("value", 0.975).alias("q975"))
 
 
-def diagnostic_summary(runs: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """radius and median, q10 and q90 of each metric."""
+#: Of these metrics the summary has the tenth and ninetieth percentiles too.
+SPREAD = ["n_balls", "n_edges"]
+
+
+def diagnostic_summary(runs: DataFrame, stable: DataFrame | None = None) -> DataFrame:
+    """A row for each radius: n_runs, the median of every metric (<metric>_median), q10, q90 and sd of some, and the rate of every flag, with the columns of stable (radius) beside them."""
     q = lambda c, p, n: F.percentile(c, p).alias(f"{c}_{n}")
-    return runs.groupBy("radius").agg(F.count("*").alias("n_runs"), *[q(c, p, n) for c in metrics for p, n in ((0.5, "median"), (0.1, "q10"), (0.9, "q90"))])
+    rows = runs.groupBy("radius_index", "radius").agg(
+        F.count("*").alias("n_runs"),
+        F.max("n_units").alias("n_units"),
+        *[q(c, 0.5, "median") for c in METRICS],
+        *[q(c, p, n) for c in SPREAD for p, n in ((0.1, "q10"), (0.9, "q90"))],
+        F.stddev_samp("n_balls").alias("n_balls_sd"),
+        *[F.avg(F.col(c).cast("double")).alias(f"{c}_rate") for c in FLAGS],
+    )
+    return rows if stable is None else rows.join(stable, "radius", "left")
 
 
 def audit_sample(df: DataFrame, item: str, n: int, seed: int) -> DataFrame:
@@ -51,18 +109,23 @@ def audit_sample(df: DataFrame, item: str, n: int, seed: int) -> DataFrame:
     return df.select(item, order_key(item, seed).alias("_k")).orderBy("_k", item).limit(n).select(item)
 
 
-def set_stability(sets: DataFrame, element: Sequence[str], name: str) -> DataFrame:
-    """radius, and mean, median, q10 and least Jaccard of the sets of all pairs of replicates; two empty sets are alike. sets: keys and elements, once each.
+def bit_stability(bits: DataFrame, runs: DataFrame, name: str) -> DataFrame:
+    """radius, n_pairs, and mean, median, q10 and least Jaccard of the sets of all pairs of replicates; two empty sets are alike.
 
-    The pairs of replicates share elements by an equi join; what grows is the square of the number of replicates."""
-    size = sets.groupBy(*KEYS).agg(F.count("*").alias("n"))
-    a = sets.select("radius", F.col("replicate").alias("ra"), *element)
-    b = sets.select("radius", F.col("replicate").alias("rb"), *element)
-    common = a.join(b, ["radius", *element]).where("ra < rb").groupBy("radius", "ra", "rb").agg(F.count("*").alias("i"))
+    bits: radius, replicate, bucket and bitmap (see sweep.py); runs: radius and replicate of all sets, empty ones too."""
+    bits = cut(bits)
+    size = runs.join(bits.groupBy(*KEYS).agg(F.sum(F.bitmap_count("bitmap")).alias("n")), KEYS, "left").fillna(0, ["n"])
     pairs = size.select("radius", F.col("replicate").alias("ra"), F.col("n").alias("na")).join(size.select("radius", F.col("replicate").alias("rb"), F.col("n").alias("nb")), "radius").where("ra < rb")
-    both = pairs.join(common, ["radius", "ra", "rb"], "left").withColumn("i", F.coalesce("i", F.lit(0)))
-    j = F.coalesce(F.col("i") / F.nullif(F.col("na") + F.col("nb") - F.col("i"), F.lit(0)), F.lit(1.0))
-    return both.select("radius", j.alias("_j")).groupBy("radius").agg(F.avg("_j").alias(f"{name}_mean"), F.percentile("_j", 0.5).alias(f"{name}_median"), F.percentile("_j", 0.1).alias(f"{name}_q10"), F.min("_j").alias(f"{name}_min"))
+    both = pairs.join(common_bits(bits), ["radius", "ra", "rb"], "left").fillna(0, ["common"])
+    j = F.coalesce(F.col("common") / F.nullif(F.col("na") + F.col("nb") - F.col("common"), F.lit(0)), F.lit(1.0))
+    return both.select("radius", j.alias("_j")).groupBy("radius").agg(F.count("*").alias("n_pairs"), F.avg("_j").alias(f"{name}_mean"), F.percentile("_j", 0.5).alias(f"{name}_median"), F.percentile("_j", 0.1).alias(f"{name}_q10"), F.min("_j").alias(f"{name}_min"))
+
+
+def sweep_stability(swept: Sweep, sample: DataFrame, item: str = "id") -> DataFrame:
+    """radius, n_pairs, and the stability of the shared balls of a sample (cover_*) and of the landmarks (landmark_*)."""
+    runs = swept.work.select(F.explode("radii").alias("radius"), "replicate")
+    shared = bit_stability(swept.pair_bits(sample, item), runs, "cover")
+    return shared.join(bit_stability(element_bits(swept.balls().select(*KEYS, "landmark"), "landmark"), runs, "landmark").drop("n_pairs"), "radius")
 
 
 def comembership(membership: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -148,17 +211,126 @@ def arithmetic_grid(spark, start: float, stop: float, step: float) -> DataFrame:
     return spark.range(1, n + 2).select(F.col("id").cast("int").alias("radius_index"), F.round(F.lit(start) + (F.col("id") - 1) * step, 9).alias("radius"))
 
 
-def transition_report(summary: DataFrame, share: str, components: str) -> DataFrame:
-    """milestone and radius: first single component, and where the largest ball's share first reaches 40, 50, 60 and 75 %."""
-    first = lambda ok, name: F.struct(F.lit(name).alias("milestone"), F.min(F.when(ok, F.col("radius"))).alias("radius"))
-    found = [first(F.col(components) == 1, "connected"), *[first(F.col(share) >= s / 100, f"share_{s}") for s in (40, 50, 60, 75)]]
-    return summary.agg(F.array(*found).alias("_r")).select(F.inline("_r"))
-
-
-def radius_review(summary: DataFrame, share: str, radius: float) -> DataFrame:
-    """One row: the nearest grid radius to a proposal, its share, and where it lies in the band of 40 to 60 %."""
-    at = summary.agg(F.min_by(F.struct("radius", F.col(share).alias("share")), F.struct(F.abs(F.col("radius") - radius), "radius")).alias("r")).select("r.*")
-    return at.withColumn("position", F.when(F.col("share") < 0.4, "BELOW_BAND").when(F.col("share") > 0.6, "ABOVE_BAND").otherwise("INSIDE_BAND")).withColumn("proposed", F.lit(float(radius)))
+#: Names and roles of the transitions, which readers of the report look for.
+TRANSITIONS = {
+    "first_nontrivial_topology": "topology_transition",
+    "cover_stability_trough": "order_sensitivity_transition",
+    "peak_multicover": "overlap_transition",
+    "connected_rate_ge_0_50": "descriptive_only",
+    "connected_rate_ge_0_95": "descriptive_only",
+    "no_isolate_rate_ge_0_50": "descriptive_only",
+    "no_isolate_rate_ge_0_95": "descriptive_only",
+    "median_balls_le_20": "descriptive_only",
+    "median_balls_le_10": "descriptive_only",
+    "median_balls_le_5": "descriptive_only",
+    "one_ball_rate_ge_0_50": "collapse_transition",
+}
+TARGETS = [0.40, 0.50, 0.60, 0.75]
+
+
+def transition_report(summary: DataFrame) -> DataFrame:
+    """transition, radius (null if there is none) and role. summary: as diagnostic_summary() gives it, with cover_mean.
+
+    The trough and the peak lie between the first radius with any structure and those at which half of the
+    covers are one ball; of equal values (to nine digits) the smaller radius counts."""
+    first = lambda ok: F.min(F.when(ok, F.col("radius")))
+    start = summary.agg(first((F.col("share_multicovered_median") > 0) | (F.col("n_edges_median") > 0) | (F.col("n_balls_median") < F.col("n_units"))).alias("_start"))
+    rows = summary.crossJoin(F.broadcast(start))
+    inside = (F.col("radius") >= F.col("_start")) & (F.col("one_ball_rate") < 0.5)
+    best = lambda c: F.min_by("radius", F.when(inside, F.struct(F.round(c, 9), "radius")))
+    found = [
+        F.max("_start"),
+        best(F.col("cover_mean")),
+        best(-F.col("share_multicovered_median")),
+        *[first(F.col(c) >= x) for c in ("connected_rate", "none_isolated_rate") for x in (0.5, 0.95)],
+        *[first(F.col("n_balls_median") <= x) for x in (20, 10, 5)],
+        first(F.col("one_ball_rate") >= 0.5),
+    ]
+    listed = F.array(*[F.struct(F.lit(k).alias("transition"), r.alias("radius"), F.lit(role).alias("role")) for (k, role), r in zip(TRANSITIONS.items(), found, strict=True)])
+    return rows.agg(listed.alias("_r")).select(F.inline("_r"))
+
+
+def dominance_crossings(summary: DataFrame, n_axes: int, targets: Sequence[float] = TARGETS, share: str = "largest_share_median") -> DataFrame:
+    """target, radius where the share first reaches it (interpolated in the logarithm), the bracketing radii and shares, status, radius by root of the axes, role."""
+    w = Window.orderBy("radius")  # a row for each radius of the grid
+    rows = summary.select("radius", F.col(share).alias("share"), F.lag("radius").over(w).alias("_r"), F.lag(share).over(w).alias("_s"))
+    at = [rows.where(F.col("share") >= t).agg(F.min_by(F.struct("radius", "share", "_r", "_s"), "radius").alias("x")).select(F.lit(float(t)).alias("target"), "x.*") for t in targets]
+    found = reduce(DataFrame.unionByName, at)
+    between = F.exp(F.log("_r") + (F.col("target") - F.col("_s")) / (F.col("share") - F.col("_s")) * (F.log("radius") - F.log("_r")))
+    status = (
+        F.when(F.col("radius").isNull(), "NO_CROSSING_IN_GRID")
+        .when(F.col("_r").isNull(), "CROSSING_AT_OR_BELOW_GRID_MINIMUM")
+        .when(F.col("share") <= F.col("_s"), "NONMONOTONE_LOCAL_SHARE_USED_UPPER_BRACKET")
+        .otherwise("LOG_RADIUS_INTERPOLATED")
+    )
+    out = found.withColumn("status", status).withColumn("reference_radius", F.when(F.col("status") == "LOG_RADIUS_INTERPOLATED", between).otherwise(F.col("radius")))
+    return out.select(
+        "target",
+        "reference_radius",
+        F.col("_r").alias("lower_radius"),
+        F.col("radius").alias("upper_radius"),
+        F.col("_s").alias("lower_share"),
+        F.col("share").alias("upper_share"),
+        "status",
+        (F.col("reference_radius") / n_axes**0.5).alias("radius_per_root_axes"),
+        F.when(F.abs(F.col("target") - 0.5) < 1e-12, "PRIMARY").otherwise("SENSITIVITY").alias("role"),
+    )
+
+
+def resolution_reference(summary: DataFrame, crossings: DataFrame) -> DataFrame:
+    """One row: the radius of the half-way crossing, the band between those of 40 and 60 % (null unless both exist), and the nearest radius of the grid (by logarithm) with its figures."""
+    of = lambda t: F.max(F.when(F.abs(F.col("target") - t) < 1e-12, F.col("reference_radius")))
+    row = crossings.agg(of(0.5).alias("reference_radius"), of(0.4).alias("_a"), of(0.6).alias("_b"), F.max(F.when(F.col("role") == "PRIMARY", F.col("radius_per_root_axes"))).alias("radius_per_root_axes"))
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    row = row.select("reference_radius", "radius_per_root_axes", F.when(both, F.least("_a", "_b")).alias("band_lower"), F.when(both, F.greatest("_a", "_b")).alias("band_upper"))
+    gap = F.abs(F.log("radius") - F.log("reference_radius"))
+    nearest = summary.crossJoin(F.broadcast(row.select("reference_radius"))).where("reference_radius IS NOT NULL").agg(F.min_by(F.struct("radius", "n_balls_median", "effective_balls_median", "largest_share_median", "cover_mean"), F.struct(F.round(gap, 12), "radius")).alias("x"))
+    return row.crossJoin(F.broadcast(nearest)).select("reference_radius", "radius_per_root_axes", "band_lower", "band_upper", F.col("x.radius").alias("nearest_radius"), *[F.col(f"x.{c}").alias(f"nearest_{c}") for c in ("n_balls_median", "effective_balls_median", "largest_share_median", "cover_mean")])
+
+
+def radius_review(reference: DataFrame, proposed: float, n_axes: int) -> DataFrame:
+    """One row: a proposed radius against the reference and its band. Nothing is approved by it."""
+    return reference.select(
+        F.lit(float(proposed)).alias("proposed"),
+        F.lit(float(proposed) / n_axes**0.5).alias("radius_per_root_axes"),
+        "reference_radius",
+        (F.abs(F.lit(float(proposed)) - F.col("reference_radius")) / F.col("reference_radius")).alias("relative_difference"),
+        "band_lower",
+        "band_upper",
+        F.coalesce(F.lit(float(proposed)).between(F.col("band_lower"), F.col("band_upper")), F.lit(False)).alias("inside_band"),
+        F.when(F.col("band_lower").isNull(), "NO_BAND").when(F.lit(float(proposed)) < F.col("band_lower"), "BELOW_BAND").when(F.lit(float(proposed)) > F.col("band_upper"), "ABOVE_BAND").otherwise("INSIDE_BAND").alias("position"),
+        F.lit(False).alias("approved"),
+    )
+
+
+def review_checks(summary: DataFrame, review: DataFrame, tolerance: float = 1e-8, dominance: float = 0.75) -> DataFrame:
+    """kind ('integrity' or 'flag'), name and outcome of a review at the exact radius. Integrity must hold for the evidence to be complete; flags only describe."""
+    exact = summary.crossJoin(F.broadcast(review.select("proposed"))).where(F.abs(F.col("radius") - F.col("proposed")) <= tolerance).drop("proposed")
+    row = review.join(F.broadcast(exact.limit(1)), F.lit(True), "left")
+    bounded = lambda c: F.coalesce(F.col(c).between(0, 1), F.lit(False))
+    c = F.coalesce
+    integrity = {
+        "exact_radius_evaluated": F.col("radius").isNotNull(),
+        "exact_radius_positive": c(F.col("radius") > 0, F.lit(False)),
+        "one_ball_rate_bounded": bounded("one_ball_rate"),
+        "median_balls_at_least_one": c(F.col("n_balls_median") >= 1, F.lit(False)),
+        "median_effective_balls_at_least_one": c(F.round("effective_balls_median", 9) >= 1, F.lit(False)),
+        "largest_share_bounded": bounded("largest_share_median"),
+        "cover_stability_bounded": bounded("cover_mean"),
+        "band_valid": c((F.col("band_lower") > 0) & (F.col("band_upper") > F.col("band_lower")), F.lit(False)),
+        "not_approved_by_itself": ~F.col("approved"),
+    }
+    flags = {
+        "outside_band": ~F.col("inside_band"),
+        "one_ball_observed": c(F.col("one_ball_rate") > 0, F.lit(False)),
+        "median_balls_at_most_one": c(F.col("n_balls_median") <= 1, F.lit(False)),
+        "median_effective_balls_at_most_one": c(F.round("effective_balls_median", 9) <= 1, F.lit(False)),
+        "dominant_ball": c(F.col("largest_share_median") >= dominance, F.lit(False)),
+        "some_covers_not_connected": c(F.col("connected_rate") < 1, F.lit(False)),
+        "some_balls_isolated": c(F.col("none_isolated_rate") < 1, F.lit(False)),
+    }
+    listed = [F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), value.alias("outcome")) for kind, group in (("integrity", integrity), ("flag", flags)) for name, value in group.items()]
+    return row.select(F.inline(F.array(*listed)))
 
 
 def window_summary(runs: DataFrame, metrics: Sequence[str], low: float, high: float, nearest: float) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from coverscope.functions.columns import squared
-from coverscope.operators import bins, contrast, cover, near, profile, scratch, stability
+from coverscope.operators import bins, contrast, cover, near, profile, scratch, stability, sweep
 from coverscope.plans.covers import COVER, canonical
 from coverscope.plans.frames import AXES, POINTS, UNITS, points, units, xy, x_of, y_of
 from coverscope.plans.registry import Registry
@@ -15,6 +15,8 @@ from coverscope.plans.statistics import rounded
 
 R = Registry()
 RADII, REPLICATES = [1.4, 1.5, 1.6], [1, 2, 3]
+#: The grid of the diagnostics: from hundreds of balls to a single one.
+WIDE, ORDERS = [0.75, 1.0, 1.25, 1.5, 1.75, 2.0, 2.5, 3.0, 4.0, 6.0], [1, 2, 3, 4, 5]
 
 GRID = (
     POINTS
@@ -48,10 +50,42 @@ def runs(p, m):
     return size.groupBy("radius", "replicate").agg(F.count("*").alias("n_balls"), F.max("s").alias("_max"), F.avg("s").alias("mean_size")).crossJoin(F.broadcast(n)).select("radius", "replicate", "n_balls", (F.col("_max") / F.col("n")).alias("largest_share"), "mean_size")
 
 
-@R.add("i23_cover_grid", G + "SELECT radius, replicate, n_balls, round(largest_share, 6) AS largest_share, round(mean_size, 6) AS mean_size FROM runs")
+def values(xs) -> str:
+    return "(VALUES " + ", ".join(f"({x})" for x in xs) + ")"
+
+
+WIDE_GRID = GRID.replace("(VALUES (1.4), (1.5), (1.6))", values(WIDE)).replace("(VALUES (1), (2), (3))", values(ORDERS))
+DIAGNOSTICS = f"""{WIDE_GRID}, lk AS (SELECT DISTINCT a.radius, a.replicate, a.ball_id AS a, b.ball_id AS b FROM gm a JOIN gm b ON a.radius = b.radius AND a.replicate = b.replicate AND a.unit = b.unit AND a.ball_id < b.ball_id),
+lw AS (SELECT radius, replicate, a AS node, b AS other FROM lk UNION ALL SELECT radius, replicate, b, a FROM lk),
+rch AS (SELECT radius, replicate, ball_id AS node, ball_id AS other FROM gballs UNION SELECT r.radius, r.replicate, r.node, e.other FROM rch r JOIN lw e ON r.radius = e.radius AND r.replicate = e.replicate AND r.other = e.node),
+lb AS (SELECT radius, replicate, node, min(other) AS c FROM rch GROUP BY ALL), cs AS (SELECT radius, replicate, c, count(*) AS n FROM lb GROUP BY ALL),
+cc AS (SELECT radius, replicate, count(*) AS n_components, count(*) FILTER (n > 1) AS n_joined_components, count(*) FILTER (n = 1) AS n_isolated, max(n) AS largest FROM cs GROUP BY ALL),
+dg AS (SELECT b.radius, b.replicate, b.ball_id, count(other) AS d FROM gballs b LEFT JOIN lw ON lw.radius = b.radius AND lw.replicate = b.replicate AND node = ball_id GROUP BY ALL),
+dd AS (SELECT radius, replicate, (sum(d) / 2)::BIGINT AS n_edges, avg(d) AS mean_degree, max(d) AS max_degree, coalesce(stddev_samp(d), 0) AS sd_degree FROM dg GROUP BY ALL),
+mu AS (SELECT radius, replicate, count(*) AS n_units, avg(k) AS mean_memberships, max(k) AS max_memberships, avg((k > 1)::INT) AS share_multicovered FROM (SELECT radius, replicate, unit, count(*) AS k FROM gm GROUP BY ALL) GROUP BY ALL),
+ps AS (SELECT *, n / sum(n) OVER (PARTITION BY radius, replicate) AS p FROM gsize),
+sz AS (SELECT radius, replicate, count(*) AS n_balls, min(n) AS min_size, median(n) AS median_size, avg(n) AS mean_size, max(n) AS max_size, -sum(p * ln(p)) AS h FROM ps GROUP BY ALL),
+dx AS (SELECT list_position([{', '.join(map(str, WIDE))}], radius)::INT AS radius_index, radius, replicate, 20260807 + 1009 * replicate AS seed, n_units, n_balls, n_edges, n_components, n_joined_components, n_isolated, largest / n_balls AS largest_component_share,
+  n_components = 1 AS connected, n_isolated = 0 AS none_isolated, n_balls = 1 AS one_ball, n_balls = n_units AS all_landmarks, min_size, median_size, mean_size, max_size, exp(h) AS effective_balls, exp(h) / n_balls AS effective_share,
+  CASE WHEN n_balls > 1 THEN h / ln(n_balls) ELSE 0 END AS normalised_entropy, max_size / n_units AS largest_share, max_size / n_units >= 0.5 AS half, max_size / n_units >= 0.75 AS three_quarters, mean_memberships, max_memberships, share_multicovered,
+  mean_degree, max_degree, sd_degree, CASE WHEN n_balls > 1 THEN n_edges / (n_balls * (n_balls - 1) / 2) ELSE 0 END AS edge_density, n_edges - n_balls + n_components AS cycle_rank FROM sz JOIN cc USING (radius, replicate) JOIN dd USING (radius, replicate) JOIN mu USING (radius, replicate))"""
+DX = f"WITH RECURSIVE {DIAGNOSTICS} "
+EXACT = ["largest_component_share", "mean_size", "effective_balls", "effective_share", "normalised_entropy", "largest_share", "mean_memberships", "share_multicovered", "mean_degree", "sd_degree", "edge_density"]
+
+
+def wide(spark, d):
+    """(points, the sweep of the wide grid)."""
+    p = points(spark, d).persist()
+    return p, sweep.Sweep(p, AXES, WIDE, ORDERS)
+
+
+def diagnostics(spark, d):
+    return stability.cover_diagnostics(wide(spark, d)[1].counts(), WIDE)
+
+
+@R.add("i23_cover_grid", DX + f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in EXACT)}) FROM dx")
 def i23(spark, d):
-    p, _, m = grid(spark, d)
-    return rounded(runs(p, m), "largest_share", "mean_size")
+    return rounded(diagnostics(spark, d), *EXACT)
 
 
 @R.add("i24_outcome_stats", G + ", b AS (SELECT radius, replicate, ball_id, avg(a2) AS m, count(*) AS n, stddev_samp(a2) AS s, max(a2) - min(a2) AS r FROM gm JOIN points ON unit = id GROUP BY ALL) SELECT radius, replicate, count(*) AS n_balls, round(min(m), 6) AS min_colour, round(max(m), 6) AS max_colour, round(stddev_samp(m), 6) AS sd_colour, round(avg(n), 6) AS mean_size, round(avg(s) FILTER (n > 1), 6) AS within_sd, round(avg(r) FILTER (n > 1), 6) AS within_range FROM b GROUP BY ALL")
@@ -66,16 +100,12 @@ def _(spark, d):
     return rounded(stability.axis_ranges(m, p, "id", AXES), "mean_range", "min_range", "max_range")
 
 
-@R.add("i26_summarise_by_radius", G + ", l AS (SELECT radius, unnest(['n_balls', 'largest_share']) AS metric, unnest([n_balls::DOUBLE, largest_share]) AS v FROM runs) SELECT radius, metric, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, round(quantile_cont(v, 0.025), 6) AS q025, round(quantile_cont(v, 0.975), 6) AS q975 FROM l GROUP BY ALL")
-def _(spark, d):
-    p, _, m = grid(spark, d)
-    return rounded(stability.summarise_by_radius(runs(p, m), ["n_balls", "largest_share"]), "mean", "sd", "q025", "q975")
+METRIC_LIST = ", ".join(f"'{c}'" for c in stability.METRICS)
 
 
-@R.add("i27_diagnostic_summary", G + "SELECT radius, count(*) AS n_runs, median(n_balls) AS n_balls_median, round(quantile_cont(n_balls, 0.1), 6) AS n_balls_q10, round(quantile_cont(n_balls, 0.9), 6) AS n_balls_q90 FROM runs GROUP BY radius")
+@R.add("i26_summarise_by_radius", DX + f", l AS (SELECT radius, unnest([{METRIC_LIST}]) AS metric, unnest([{', '.join(f'{c}::DOUBLE' for c in stability.METRICS)}]) AS v FROM dx) SELECT radius, metric, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, round(quantile_cont(v, 0.025), 6) AS q025, round(quantile_cont(v, 0.975), 6) AS q975 FROM l GROUP BY ALL")
 def _(spark, d):
-    p, _, m = grid(spark, d)
-    return rounded(stability.diagnostic_summary(runs(p, m), ["n_balls"]), "n_balls_q10", "n_balls_q90")
+    return rounded(stability.summarise_by_radius(diagnostics(spark, d), stability.METRICS), "mean", "sd", "q025", "q975")
 
 
 SAMPLE = "sample AS (SELECT id FROM points ORDER BY md5(id || ':7'), id LIMIT 256)"
@@ -86,26 +116,59 @@ def _(spark, d):
     return stability.audit_sample(points(spark, d), "id", 256, 7)
 
 
-def _jaccard(sets):
-    return f""", sz AS (SELECT radius, replicate, count(*) AS n FROM {sets} GROUP BY ALL), it AS (SELECT a.radius, a.replicate AS ra, b.replicate AS rb, count(*) AS i FROM {sets} a JOIN {sets} b ON a.radius = b.radius AND a.e = b.e AND a.replicate < b.replicate GROUP BY ALL),
-j AS (SELECT x.radius, coalesce(i, 0) / (x.n + y.n - coalesce(i, 0)) AS j FROM sz x JOIN sz y ON x.radius = y.radius AND x.replicate < y.replicate LEFT JOIN it ON it.radius = x.radius AND it.ra = x.replicate AND it.rb = y.replicate)"""
+def _jaccard(sets, name):
+    return f""", {name}n AS (SELECT radius, replicate, count(*) AS n FROM {sets} GROUP BY ALL), {name}z AS (SELECT radius, replicate, coalesce(n, 0) AS n FROM cfg LEFT JOIN {name}n USING (radius, replicate)),
+{name}i AS (SELECT a.radius, a.replicate AS ra, b.replicate AS rb, count(*) AS i FROM {sets} a JOIN {sets} b ON a.radius = b.radius AND a.e = b.e AND a.replicate < b.replicate GROUP BY ALL),
+{name}j AS (SELECT x.radius, CASE WHEN x.n + y.n = 0 THEN 1 ELSE coalesce(i, 0) / (x.n + y.n - coalesce(i, 0)) END AS j FROM {name}z x JOIN {name}z y ON x.radius = y.radius AND x.replicate < y.replicate LEFT JOIN {name}i t ON t.radius = x.radius AND t.ra = x.replicate AND t.rb = y.replicate)"""
 
 
-@R.add("i28_landmark_stability", G + ", s AS (SELECT radius, replicate, landmark AS e FROM gballs)" + _jaccard("s") + " SELECT radius, round(avg(j), 6) AS landmark_mean, round(median(j), 6) AS landmark_median, round(quantile_cont(j, 0.1), 6) AS landmark_q10, round(min(j), 6) AS landmark_min FROM j GROUP BY radius")
+LANDMARK_SETS = ", ls AS (SELECT radius, replicate, landmark AS e FROM gballs)" + _jaccard("ls", "l_")
+PAIR_SETS = f", {SAMPLE}, sm AS (SELECT * FROM gm WHERE unit IN (SELECT id FROM sample)), pss AS (SELECT DISTINCT a.radius, a.replicate, (a.unit, b.unit) AS e FROM sm a JOIN sm b ON a.radius = b.radius AND a.replicate = b.replicate AND a.ball_id = b.ball_id AND a.unit < b.unit)" + _jaccard("pss", "p_")
+STABLE = ("mean", "median", "q10", "min")
+
+
+def _stable(name, t):
+    return f"round(avg(j), 6) AS {name}_mean, round(median(j), 6) AS {name}_median, round(quantile_cont(j, 0.1), 6) AS {name}_q10, round(min(j), 6) AS {name}_min FROM {t} GROUP BY radius"
+
+
+def sampled(p):
+    """The 256 units whose pairs stand for all, with their axes."""
+    return p.join(F.broadcast(stability.audit_sample(p, "id", 256, 7)), "id")
+
+
+@R.add("i28_landmark_stability", f"WITH RECURSIVE {WIDE_GRID}{LANDMARK_SETS} SELECT radius, count(*) AS n_pairs, " + _stable("landmark", "l_j"))
 def _(spark, d):
-    _, b, _ = grid(spark, d)
-    return rounded(stability.set_stability(b.select("radius", "replicate", "landmark"), ["landmark"], "landmark"), *[f"landmark_{x}" for x in ("mean", "median", "q10", "min")])
+    s = wide(spark, d)[1]
+    bits = sweep.element_bits(s.balls().select("radius", "replicate", "landmark"), "landmark")
+    return rounded(stability.bit_stability(bits, s.work.select(F.explode("radii").alias("radius"), "replicate"), "landmark"), *[f"landmark_{x}" for x in STABLE])
 
 
-@R.add(
-    "i28_cover_stability",
-    G + f", {SAMPLE}, sm AS (SELECT * FROM gm WHERE unit IN (SELECT id FROM sample)), s AS (SELECT DISTINCT a.radius, a.replicate, (a.unit, b.unit) AS e FROM sm a JOIN sm b ON a.radius = b.radius AND a.replicate = b.replicate AND a.ball_id = b.ball_id AND a.unit < b.unit)" + _jaccard("s") + " SELECT radius, round(avg(j), 6) AS cover_mean, round(min(j), 6) AS cover_min FROM j GROUP BY radius",
-)
+@R.add("i28_cover_stability", f"WITH RECURSIVE {WIDE_GRID}{PAIR_SETS} SELECT radius, count(*) AS n_pairs, " + _stable("cover", "p_j"))
 def _(spark, d):
-    p, _, m = grid(spark, d)
-    sample = stability.audit_sample(p, "id", 256, 7).withColumnRenamed("id", "unit")
-    pairs = stability.comembership(m.join(F.broadcast(sample), "unit"))
-    return rounded(stability.set_stability(pairs, ["id1", "id2"], "cover"), "cover_mean", "cover_min").select("radius", "cover_mean", "cover_min")
+    p, s = wide(spark, d)
+    return rounded(stability.bit_stability(s.pair_bits(sampled(p)), s.work.select(F.explode("radii").alias("radius"), "replicate"), "cover"), *[f"cover_{x}" for x in STABLE])
+
+
+MEDIANS = ", ".join(f"median({c}) AS {c}_median" for c in stability.METRICS)
+RATES = ", ".join(f"avg({c}::INT) AS {c}_rate" for c in stability.FLAGS)
+SPREADS = ", ".join(f"quantile_cont({c}, {p}) AS {c}_{n}" for c in stability.SPREAD for p, n in ((0.1, "q10"), (0.9, "q90")))
+SUMMARY = f"""{PAIR_SETS}{LANDMARK_SETS}, sy AS (SELECT radius_index, radius, count(*) AS n_runs, max(n_units) AS n_units, {MEDIANS}, {SPREADS}, stddev_samp(n_balls) AS n_balls_sd, {RATES} FROM dx GROUP BY ALL),
+st AS (SELECT * FROM (SELECT radius, count(*) AS n_pairs, avg(j) AS cover_mean, median(j) AS cover_median, quantile_cont(j, 0.1) AS cover_q10, min(j) AS cover_min FROM p_j GROUP BY radius) JOIN (SELECT radius, avg(j) AS landmark_mean, median(j) AS landmark_median, quantile_cont(j, 0.1) AS landmark_q10, min(j) AS landmark_min FROM l_j GROUP BY radius) USING (radius)),
+su AS (SELECT * FROM sy JOIN st USING (radius))"""
+SU = DX + SUMMARY
+
+
+def summary(spark, d):
+    p, s = wide(spark, d)
+    return stability.diagnostic_summary(stability.cover_diagnostics(s.counts(), WIDE), stability.sweep_stability(s, sampled(p)))
+
+
+REAL = [f"{c}_median" for c in stability.METRICS] + [f"{c}_{n}" for c in stability.SPREAD for n in ("q10", "q90")] + ["n_balls_sd"] + [f"{c}_rate" for c in stability.FLAGS] + [f"{k}_{x}" for k in ("cover", "landmark") for x in STABLE]
+
+
+@R.add("i27_diagnostic_summary", SU + f" SELECT radius_index, radius, n_runs, n_units, n_pairs, {', '.join(f'round({c}, 6) AS {c}' for c in REAL)} FROM su")
+def _(spark, d):
+    return rounded(summary(spark, d), *REAL)
 
 
 GAP = "sqrt((a.z1-b.z1)*(a.z1-b.z1) + (a.z2-b.z2)*(a.z2-b.z2) + (a.z3-b.z3)*(a.z3-b.z3))"
@@ -130,22 +193,57 @@ def _(spark, d):
     return rounded(stability.geometric_grid(stability.distance_diagnostics(points(spark, d), "id", AXES), 11), "radius")
 
 
-SUMMARY = ", sm AS (SELECT radius, median(largest_share) AS share, median(n_balls) AS balls FROM runs GROUP BY radius)"
+FROM_START = "CASE WHEN radius >= start AND one_ball_rate < 0.5 THEN {} END"
+CROSSED = f""", rw AS (SELECT radius, largest_share_median AS s, lag(radius) OVER (ORDER BY radius) AS r0, lag(largest_share_median) OVER (ORDER BY radius) AS s0 FROM su),
+cx AS (SELECT target, arg_min((radius, s, r0, s0), radius) FILTER (s >= target) AS x FROM rw, (VALUES (0.4::DOUBLE), (0.5), (0.6), (0.75)) v(target) GROUP BY target),
+ct AS (SELECT target, x[1] AS r1, x[2] AS s1, x[3] AS r0, x[4] AS s0, CASE WHEN x IS NULL OR x[1] IS NULL THEN 'NO_CROSSING_IN_GRID' WHEN x[3] IS NULL THEN 'CROSSING_AT_OR_BELOW_GRID_MINIMUM' WHEN x[2] <= x[4] THEN 'NONMONOTONE_LOCAL_SHARE_USED_UPPER_BRACKET' ELSE 'LOG_RADIUS_INTERPOLATED' END AS status FROM cx),
+cr AS (SELECT *, CASE WHEN status = 'LOG_RADIUS_INTERPOLATED' THEN exp(ln(r0) + (target - s0) / (s1 - s0) * (ln(r1) - ln(r0))) ELSE r1 END AS ref FROM ct),
+rf AS (SELECT (SELECT ref FROM cr WHERE target = 0.5) AS ref, (SELECT CASE WHEN count(ref) = 2 THEN min(ref) END FROM cr WHERE target IN (0.4, 0.6)) AS lo, (SELECT CASE WHEN count(ref) = 2 THEN max(ref) END FROM cr WHERE target IN (0.4, 0.6)) AS hi)"""
+FIRST = "min(radius) FILTER ({})"
+REPORT = [FIRST.format("radius = start")] + [f"arg_min(radius, ({FROM_START.format(c)}, radius)) FILTER (radius >= start AND one_ball_rate < 0.5)" for c in ("round(cover_mean, 9)", "round(-share_multicovered_median, 9)")] + [FIRST.format(c) for c in ("connected_rate >= 0.5", "connected_rate >= 0.95", "none_isolated_rate >= 0.5", "none_isolated_rate >= 0.95", "n_balls_median <= 20", "n_balls_median <= 10", "n_balls_median <= 5", "one_ball_rate >= 0.5")]
 
 
-def summary(spark, d):
-    p, _, m = grid(spark, d)
-    return runs(p, m).groupBy("radius").agg(F.percentile("largest_share", 0.5).alias("share"), F.percentile("n_balls", 0.5).alias("balls"))
+@R.add("i32_transition_report", SU + ", s0 AS (SELECT *, (SELECT min(radius) FROM su WHERE share_multicovered_median > 0 OR n_edges_median > 0 OR n_balls_median < n_units) AS start FROM su) " + " UNION ALL ".join(f"SELECT '{k}' AS transition, coalesce({r}, -1) AS radius, '{role}' AS role FROM s0" for (k, role), r in zip(stability.TRANSITIONS.items(), REPORT, strict=True)))
+def _(spark, d):
+    return stability.transition_report(summary(spark, d)).fillna(-1.0, ["radius"])
 
 
-@R.add("i32_transition_report", G + SUMMARY + " SELECT 'connected' AS milestone, coalesce(min(radius) FILTER (balls = 1), -1) AS radius FROM sm UNION ALL SELECT 'share_' || s, coalesce(min(radius) FILTER (share >= s / 100.0), -1) FROM sm, (VALUES (40), (50), (60), (75)) v(s) GROUP BY s")
+@R.add("i32_dominance_crossings", SU + CROSSED + " SELECT target, round(ref, 6) AS reference_radius, r0 AS lower_radius, r1 AS upper_radius, round(s0, 6) AS lower_share, round(s1, 6) AS upper_share, status, round(ref / sqrt(3), 6) AS radius_per_root_axes, CASE WHEN target = 0.5 THEN 'PRIMARY' ELSE 'SENSITIVITY' END AS role FROM cr")
 def _(spark, d):
-    return stability.transition_report(summary(spark, d), "share", "balls").fillna(-1.0, ["radius"])
+    return rounded(stability.dominance_crossings(summary(spark, d), 3), "reference_radius", "lower_share", "upper_share", "radius_per_root_axes")
+
+
+NEAREST = "x AS (SELECT arg_min((radius, n_balls_median, effective_balls_median, largest_share_median, cover_mean), (round(abs(ln(radius) - ln(ref)), 12), radius)) AS x FROM su, rf)"
+
+
+@R.add("i32_resolution_reference", SU + CROSSED + f", {NEAREST} SELECT round(ref, 6) AS reference_radius, round(ref / sqrt(3), 6) AS radius_per_root_axes, round(lo, 6) AS band_lower, round(hi, 6) AS band_upper, x[1] AS nearest_radius, x[2] AS nearest_n_balls_median, round(x[3], 6) AS nearest_effective_balls_median, round(x[4], 6) AS nearest_largest_share_median, round(x[5], 6) AS nearest_cover_mean FROM rf, x")
+def _(spark, d):
+    s = scratch.cut(summary(spark, d))
+    return rounded(stability.resolution_reference(s, stability.dominance_crossings(s, 3)), "reference_radius", "radius_per_root_axes", "band_lower", "band_upper", "nearest_effective_balls_median", "nearest_largest_share_median", "nearest_cover_mean")
+
+
+PROPOSED = 1.5
+
+
+def reviewed(spark, d):
+    s = scratch.cut(summary(spark, d))
+    return s, stability.radius_review(stability.resolution_reference(s, stability.dominance_crossings(s, 3)), PROPOSED, 3)
+
+
+@R.add("i33_radius_review", SU + CROSSED + f" SELECT {PROPOSED}::DOUBLE AS proposed, round({PROPOSED} / sqrt(3), 6) AS radius_per_root_axes, round(ref, 6) AS reference_radius, round(abs({PROPOSED} - ref) / ref, 6) AS relative_difference, round(lo, 6) AS band_lower, round(hi, 6) AS band_upper, coalesce({PROPOSED} BETWEEN lo AND hi, false) AS inside_band, CASE WHEN lo IS NULL THEN 'NO_BAND' WHEN {PROPOSED} < lo THEN 'BELOW_BAND' WHEN {PROPOSED} > hi THEN 'ABOVE_BAND' ELSE 'INSIDE_BAND' END AS position, false AS approved FROM rf")
+def _(spark, d):
+    return rounded(reviewed(spark, d)[1], "radius_per_root_axes", "reference_radius", "relative_difference", "band_lower", "band_upper")
+
+
+CHECKS = {
+    "integrity": {"exact_radius_evaluated": "count(*) = 1", "exact_radius_positive": "max(radius) > 0", "one_ball_rate_bounded": "max(one_ball_rate) BETWEEN 0 AND 1", "median_balls_at_least_one": "max(n_balls_median) >= 1", "median_effective_balls_at_least_one": "round(max(effective_balls_median), 9) >= 1", "largest_share_bounded": "max(largest_share_median) BETWEEN 0 AND 1", "cover_stability_bounded": "max(cover_mean) BETWEEN 0 AND 1", "band_valid": "max(lo) > 0 AND max(hi) > max(lo)", "not_approved_by_itself": "true"},
+    "flag": {"outside_band": f"NOT coalesce({PROPOSED} BETWEEN max(lo) AND max(hi), false)", "one_ball_observed": "max(one_ball_rate) > 0", "median_balls_at_most_one": "max(n_balls_median) <= 1", "median_effective_balls_at_most_one": "round(max(effective_balls_median), 9) <= 1", "dominant_ball": "max(largest_share_median) >= 0.75", "some_covers_not_connected": "max(connected_rate) < 1", "some_balls_isolated": "max(none_isolated_rate) < 1"},
+}
 
 
-@R.add("i33_radius_review", G + SUMMARY + " SELECT radius, round(share, 6) AS share, CASE WHEN share < 0.4 THEN 'BELOW_BAND' WHEN share > 0.6 THEN 'ABOVE_BAND' ELSE 'INSIDE_BAND' END AS position, 1.52 AS proposed FROM sm WHERE radius = 1.5")
+@R.add("i33_review_checks", SU + CROSSED + " " + " UNION ALL ".join(f"SELECT '{kind}' AS kind, '{name}' AS name, coalesce({how}, false) AS outcome FROM su, rf WHERE radius = {PROPOSED}" for kind, group in CHECKS.items() for name, how in group.items()))
 def _(spark, d):
-    return rounded(stability.radius_review(summary(spark, d), "share", 1.52), "share")
+    return stability.review_checks(*reviewed(spark, d))
 
 
 ISOLATED = ", ge AS (SELECT DISTINCT a.radius, a.replicate, a.ball_id FROM gm a JOIN gm b ON a.radius = b.radius AND a.replicate = b.replicate AND a.unit = b.unit AND a.ball_id <> b.ball_id), iso AS (SELECT radius, replicate, ball_id FROM gballs EXCEPT SELECT * FROM ge)"
