@@ -84,10 +84,10 @@ def members(points: DataFrame, balls: DataFrame, axes: Sequence[str], item: str
     return within_radius(p, balls, axes, [f"c_{a}" for a in axes], F.col("eps"), cell=cell).select("ball_id", "landmark", "unit")
 
 
-def build_cover(points: DataFrame, axes: Sequence[str], eps: float, item: str = "id", order: str | None = None) -> tuple[DataFrame, DataFrame]:
+def build_cover(points: DataFrame, axes: Sequence[str], eps: float, item: str = "id", order: str | None = None, head: int = 2048) -> tuple[DataFrame, DataFrame]:
     """(balls, membership) of one cover."""
     p = points.withColumn("eps", F.lit(float(eps)))
-    balls = cut(landmarks(p, axes, item, order))
+    balls = cut(landmarks(p, axes, item, order, head=head))
     return balls, cut(members(points, balls, axes, item))
 
 

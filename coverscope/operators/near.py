@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coverscope.functions.columns import squared
-from coverscope.operators.scratch import cut, folder
+from coverscope.operators.scratch import cut
 
 #: Up to so many centres are sent to all tasks; more go by grid cells.
 MAX_BROADCAST = 20_000
@@ -34,72 +34,213 @@ def within_radius(points: DataFrame, centres: DataFrame, axes: Sequence[str], ce
     return p.join(q, [*keys, *cells]).where(near).drop(*cells)
 
 
-def knn(df: DataFrame, item: str, axes: Sequence[str], k: int, by: str | None = None) -> DataFrame:
-    """item, neighbour, distance and rank of the k nearest other rows of each row (of its class, if by is given); ties by id.
-
-    For few axes: candidates come from grid cells; rows whose k-th candidate is beyond the
-    searched radius go on with twice the radius."""
-    keys = [by] if by else []
-    base = df.select(item, *keys, *[F.col(a).cast("double").alias(a) for a in axes])
-    spans = base.agg(F.count("*").alias("n"), *[(F.max(a) - F.min(a)).alias(a) for a in axes]).first()
-    n, wide = spans["n"], [float(spans[a] or 0) for a in axes]
-    if by:  # the sparsest class rules the first radius
-        n = base.groupBy(by).count().agg(F.expr("percentile(count, 0.25)")).first()[0] or n
-    diameter = float(np.sqrt(sum(w * w for w in wide))) or 1.0
-    radius = max(diameter * 1e-9, float(np.prod([w or 1.0 for w in wide]) * 3 * k / max(n, 1)) ** (1 / len(axes)) / 2)
-    others = base.select(F.col(item).alias("neighbour"), *keys, *[F.col(a).alias(f"_{a}") for a in axes])
-    wanted, done = base, None
-    while True:
-        last = radius >= diameter
-        pairs = within_radius(wanted, others, axes, [f"_{a}" for a in axes], F.lit(radius), keys, MAX_BROADCAST + 1, radius).where(F.col(item) != F.col("neighbour"))
-        found = pairs.select(item, "neighbour", F.sqrt(squared([F.col(a) for a in axes], [F.col(f"_{a}") for a in axes])).alias("distance"))
-        ranked = cut(found.withColumn("rank", F.row_number().over(Window.partitionBy(item).orderBy("distance", "neighbour"))).where(F.col("rank") <= k))
-        full = ranked.groupBy(item).agg(F.count("*").alias("_n")).where(F.lit(last) | (F.col("_n") == k)).select(item)
-        part = ranked.join(full, item, "left_semi")
-        done = part if done is None else done.unionByName(part)
-        wanted = cut(wanted.join(full, item, "left_anti"))
-        if last or wanted.isEmpty():
-            return done
-        radius *= 2
+#: Rows that place the cuts between leaves; leaves; points of a leaf, unless the leaves would be too many; queries that are sent to another leaf in one group: at most about so many.
+SAMPLE, LEAVES, LEAF, GROUP = 50_000, 4096, 2048, 100_000
 
 
-def knn_search(df: DataFrame, queries: DataFrame, item: str, vector: str, k: int, block: int = 512) -> DataFrame:
-    """query, neighbour, distance and rank of the k rows nearest to each query vector, itself left out; exact, ties by id.
+def tree(x: np.ndarray, parts: int) -> tuple | int:
+    """Nested (axis, cut, left, right): halves of the widest axis, down to about parts leaves; leaves are numbered from 0."""
+    number = iter(range(2 * max(parts, 1)))
 
-    The queries go out in blocks, each against all rows; a task gives k rows for each query of
-    the block. A block's result is written as soon as the block is full, so the driver holds one block."""
-    spark = df.sparkSession
-    out, part = folder(spark, "knn"), []
-    ranked = Window.partitionBy("query").orderBy("distance", "neighbour")
+    def halve(x: np.ndarray, parts: int) -> tuple | int:
+        wide = x.max(axis=0) - x.min(axis=0) if len(x) else np.zeros(1)
+        if parts < 2 or not wide.max() > 0:
+            return next(number)
+        axis = int(wide.argmax())
+        values = x[:, axis]
+        cut_ = np.partition(values, (len(values) - 1) // 2)[(len(values) - 1) // 2]
+        if cut_ == values.max():
+            cut_ = values[values < cut_].max()
+        return axis, float(cut_), halve(x[values <= cut_], parts // 2), halve(x[values > cut_], parts - parts // 2)
+
+    return halve(x, parts)
+
+
+def leaf_of(x: np.ndarray, node: tuple | int) -> np.ndarray:
+    out, stack = np.zeros(len(x), np.int32), [(node, np.arange(len(x)))]
+    while stack:
+        node, at = stack.pop()
+        if isinstance(node, int):
+            out[at] = node
+        else:
+            left = x[at, node[0]] <= node[1]
+            stack += [(node[2], at[left]), (node[3], at[~left])]
+    return out
+
+
+def all_squared(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    d2 = np.zeros((len(q), len(x)))
+    for i in range(x.shape[1]):
+        d2 += (q[:, i, None] - x[None, :, i]) ** 2
+    return d2
+
+
+def nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, at_once: int = 2**22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query the (squared distances, ids) of its k nearest of x, ties by id."""
+    for start in range(0, len(q), step := max(1, at_once // max(1, len(x)))):
+        d2 = all_squared(q[start : start + step], x)
+        last = np.partition(d2, k - 1, axis=1)[:, k - 1] if len(x) > k else np.full(len(d2), np.inf)
+        row, col = np.nonzero(d2 <= last[:, None])
+        order = np.lexsort((ids[col], d2[row, col], row))
+        row, col = row[order], col[order]
+        for r, (a, b) in enumerate(zip(np.searchsorted(row, np.arange(len(d2))), np.searchsorted(row, np.arange(len(d2)), "right"), strict=True)):
+            own = col[a : min(b, a + k)]
+            yield d2[r, own], ids[own]
+
+
+def nearest_in(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, part: int = 512) -> list[tuple[np.ndarray, np.ndarray]]:
+    """As nearest(), for many points: both sides are cut into parts, and a part's queries meet only the parts that can hold one of their nearest."""
+    if len(x) <= 4 * part:
+        return list(nearest(q, x, ids, k))
+    cuts = tree(x, len(x) // part)
+    own, asked = leaf_of(x, cuts), leaf_of(q, cuts)
+    order = np.argsort(own, kind="stable")
+    names, starts = np.unique(own[order], return_index=True)
+    members = np.split(order, starts[1:])
+    low, high = np.stack([x[m].min(axis=0) for m in members]), np.stack([x[m].max(axis=0) for m in members])
+    out: list = [None] * len(q)
+    for leaf in np.unique(asked):
+        at = np.flatnonzero(asked == leaf)
+        mine = members[int(np.searchsorted(names, leaf))] if leaf in names else order[:0]
+        reach = max((d[-1] if len(d) == k else np.inf for d, _ in nearest(q[at], x[mine], ids[mine], k)), default=np.inf) if len(mine) else np.inf
+        gap = np.maximum(0, np.maximum(low - q[at].max(axis=0), q[at].min(axis=0) - high))
+        found = np.concatenate([members[i] for i in np.flatnonzero((gap**2).sum(axis=1) <= reach)])
+        for i, pair in zip(at, nearest(q[at], x[found], ids[found], k), strict=True):
+            out[i] = pair
+    return out
+
+
+def knn(df: DataFrame, item: str, axes: Sequence[str], k: int, by: str | None = None, leaf: int = LEAF) -> DataFrame:
+    """item, neighbour, distance and rank of the k nearest other rows of each row (of its class, if by is given); ties by id. Rows with a null axis or class are left out.
+
+    For few axes. Points are dealt into leaves of bounded size by the cuts of a balanced tree, which a bounded
+    sample places; a leaf answers its own points, and a point whose k-th neighbour is farther than the border
+    of another leaf's box asks there too. Of points at one place only the k + 1 smallest ids can be anyone's
+    neighbours, so a crowded place neither fills a leaf nor is searched more than once."""
+    spark, keys, axes, most = df.sparkSession, [by] if by else [], list(axes), k + 1
+    base = df.select(item, *keys, *[F.col(a).cast("double").alias(a) for a in axes]).dropna(subset=[*keys, *axes])
+    crowd = Window.partitionBy(*keys, *axes).orderBy(item)
+    few = cut(base.withColumn("_n", F.row_number().over(crowd)).where(F.col("_n") <= most))
+    n, n_places = few.agg(F.count("*"), F.count_if(F.col("_n") == 1)).first()
+    parts = min(LEAVES, -(-n // leaf))
+    kind = few.schema[item].dataType.simpleString()
+    named = ", ".join(f"`{c}` {few.schema[c].dataType.simpleString()}" for c in [*keys, item, *axes])
+    cuts: tuple | int = 0
+    if parts > 1:
+        share = few if n <= SAMPLE else few.where(F.pmod(F.xxhash64(item, F.lit("cuts")), F.lit(n)) < SAMPLE)
+        cuts = tree(share.select(*axes).toPandas().to_numpy(float), parts)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(_leaf=leaf_of(pdf[axes].to_numpy(float), cuts))
+
+    dealt = cut(few.select(*keys, item, *axes, (F.col("_n") == 1).alias("_asks")).mapInPandas(deal, f"{named}, _asks boolean, _leaf int"))
+
+    def answers(pdf: pd.DataFrame, found: list, **more) -> pd.DataFrame:
+        return pd.DataFrame({c: pdf[c] for c in [*keys, item]} | more | {"_d2": [d for d, _ in found], "_ids": [i for _, i in found]})
 
-    def answer(rows: list) -> None:
-        shared = spark.sparkContext.broadcast((np.array([x[0] for x in rows], np.int64), np.array([x[1] for x in rows], np.float64)))
-
-        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            for pdf in batches:
-                x, own = np.stack(pdf[vector].to_numpy()).astype(np.float64), pdf[item].to_numpy()
-                found = []
-                for i, row in enumerate(q):
-                    d = np.sqrt(((x - row) ** 2).sum(axis=1))
-                    d[own == ids[i]] = np.inf
-                    at = np.lexsort((own, d))[:k]
-                    found.append((i, at[np.isfinite(d[at])], d))
-                yield pd.DataFrame({"query": np.concatenate([np.full(len(at), ids[i]) for i, at, _ in found]), "neighbour": np.concatenate([own[at] for _, at, _ in found]), "distance": np.concatenate([d[at] for _, at, d in found])})
-
-        near = df.select(item, vector).where(F.col(vector).isNotNull()).mapInPandas(search, "query bigint, neighbour bigint, distance double")
-        near.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).write.mode("append").parquet(out)
-        shared.unpersist()
-
-    for r in queries.select(item, vector).where(F.col(vector).isNotNull()).toLocalIterator():
-        part.append((r[0], r[1]))
-        if len(part) == block:
-            answer(part)
-            part = []
-    if part:
-        answer(part)
-    spark.createDataFrame([], "query bigint, neighbour bigint, distance double, rank int").write.mode("append").parquet(out)  # so that no queries give a table too
-    return spark.read.schema("query bigint, neighbour bigint, distance double, rank int").parquet(out)
+    def at_home(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks = pdf[pdf["_asks"]]
+        found = nearest_in(asks[axes].to_numpy(float), pdf[axes].to_numpy(float), pdf[item].to_numpy(), most)
+        return answers(asks, found, **{a: asks[a] for a in axes}, _leaf=asks["_leaf"], _reach=[d[-1] if len(d) == most else np.inf for d, _ in found])
+
+    keyed = ", ".join(f"`{c}` {few.schema[c].dataType.simpleString()}" for c in [*keys, item])
+    home = cut(dealt.groupBy(*keys, "_leaf").applyInPandas(at_home, f"{named}, _leaf int, _reach double, _d2 array<double>, _ids array<{kind}>"))
+    zipped = F.zip_with("_d2", "_ids", lambda d, i: F.struct(d.alias("d"), i.alias("i")))
+    found = home.select(*keys, item, *axes, zipped.alias("_found"))
+    if parts > 1:
+        boxes = dealt.groupBy(*keys, F.col("_leaf").alias("_to")).agg(*[f(a).alias(f"_{side}{i}") for i, a in enumerate(axes) for side, f in (("lo", F.min), ("hi", F.max))])
+        gap = F.lit(0.0)
+        for i, a in enumerate(axes):
+            out = F.greatest(F.col(f"_lo{i}") - F.col(a), F.col(a) - F.col(f"_hi{i}"), F.lit(0.0))
+            gap = gap + out * out
+        asked = home.select(*keys, item, *axes, "_leaf", "_reach")
+        sent = asked.join(boxes, keys) if keys else asked.crossJoin(F.broadcast(boxes))  # LEAVES boxes at most
+        sent = cut(sent.where((F.col("_leaf") != F.col("_to")) & (gap <= F.col("_reach"))).select(*keys, item, *axes, "_reach", F.col("_to").alias("_leaf")))
+        slices = sent.groupBy(*keys, "_leaf").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("_of"))
+        sent = sent.join(F.broadcast(slices), [*keys, "_leaf"]).withColumn("_slice", F.pmod(F.xxhash64(item), F.col("_of")).cast("int")).drop("_of")
+        again = slices.select(*keys, "_leaf", F.col("_of").alias("_copies"))
+        there = dealt.join(F.broadcast(again), [*keys, "_leaf"]).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies", "_asks")
+
+        def abroad(asks: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+            found = nearest_in(asks[axes].to_numpy(float), pdf[axes].to_numpy(float), pdf[item].to_numpy(), most)
+            return answers(asks, [(d[d <= r], i[d <= r]) for (d, i), r in zip(found, asks["_reach"], strict=True)])
+
+        groups = [*keys, "_leaf", "_slice"]
+        far = sent.groupBy(*groups).cogroup(there.groupBy(*groups)).applyInPandas(abroad, f"{keyed}, _d2 array<double>, _ids array<{kind}>")
+        more = far.groupBy(*keys, item).agg(F.flatten(F.collect_list(zipped)).alias("_more"))
+        found = found.join(more, [*keys, item], "left").withColumn("_found", F.slice(F.sort_array(F.concat("_found", F.coalesce("_more", F.array().cast(f"array<struct<d:double,i:{kind}>>")))), 1, most)).drop("_more")
+    if base.count() > n_places:  # rows at one place share its answer
+        found = base.join(found.drop(item), [*keys, *axes])
+    others = F.slice(F.filter("_found", lambda x: x["i"] != F.col(item)), 1, k)
+    rows = found.select(item, F.posexplode(others).alias("rank", "_x"))
+    return rows.select(item, F.col("_x.i").alias("neighbour"), F.sqrt("_x.d").alias("distance"), (F.col("rank") + 1).alias("rank"))
+
+
+#: Rows of a tile of a vector search, and tiles of queries that are broadcast: at most.
+TILE, TILES_SENT = 1024, 32
+
+
+def tiles(df: DataFrame, item: str, vector: str, size: int = TILE) -> DataFrame:
+    """tile, ids and vectors packed as bytes (row by row); about size rows to a tile."""
+    kind = df.schema[item].dataType.simpleString()
+    rows = df.select(F.col(item).alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
+    n = max(1, -(-rows.count() // size))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"tile": pdf["tile"].iloc[:1], "ids": [pdf["id"].to_numpy()], "data": [np.stack(pdf["v"].to_numpy()).astype(np.float64).tobytes()]})
+
+    return cut(rows.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).groupBy("tile").applyInPandas(pack, f"tile int, ids array<{kind}>, data binary"))
+
+
+def knn_search(df: DataFrame, queries: DataFrame, item: str, vector: str, k: int) -> DataFrame:
+    """query, neighbour, distance and rank of the k rows nearest to each query vector, itself left out; exact, ties by id; null vectors are left out.
+
+    Tiles of queries meet tiles of rows. A matrix product gives squared distances up to rounding; rows that can be
+    among the k nearest by them are measured again, coordinate by coordinate. A task keeps k rows for each query of
+    a tile over all row tiles that it sees, and a window keeps the k nearest of all."""
+    kind = df.schema[item].dataType.simpleString()
+    asked, rows = tiles(queries, item, vector), tiles(df, item, vector)
+    wanted = asked.withColumnsRenamed({"tile": "_tile", "ids": "_ids", "data": "_data"})
+    if asked.count() <= TILES_SENT:
+        met = rows.repartition(3 * df.sparkSession.sparkContext.defaultParallelism, "tile").crossJoin(F.broadcast(wanted))
+    else:  # a task sees one tile of queries and about 16 of rows
+        pairs = rows.crossJoin(wanted)
+        met = pairs.repartition("_tile", F.floor(F.col("tile") / 16)).sortWithinPartitions("_tile")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict = {}
+
+        def rows_of(tile: int) -> pd.DataFrame:
+            names, d, i = best.pop(tile)
+            return pd.DataFrame({"query": np.repeat(names, [len(x) for x in d]), "neighbour": np.concatenate(i), "distance": np.concatenate(d)})
+
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                names, ids = np.asarray(row["_ids"]), np.asarray(row["ids"])
+                q, x = (np.frombuffer(row[c]).reshape(len(n), -1) for c, n in (("_data", names), ("data", ids)))
+                if row["_tile"] not in best:
+                    if len(best) >= TILES_SENT:
+                        yield rows_of(next(iter(best)))
+                    best[row["_tile"]] = (names, [np.zeros(0)] * len(names), [ids[:0]] * len(names))
+                _, d, near = best[row["_tile"]]
+                qq, xx = (q * q).sum(axis=1), (x * x).sum(axis=1)
+                rough = qq[:, None] + xx[None, :] - 2 * (q @ x.T)
+                slack = 1e-12 * x.shape[1] * (qq[:, None] + xx[None, :])
+                top = min(k + 1, len(ids)) - 1  # itself may be among them
+                last = np.partition(rough + slack, top, axis=1)[:, top]
+                for j in range(len(names)):
+                    can = np.flatnonzero((rough[j] - slack[j] <= last[j]) & (ids != names[j]))
+                    exact = np.concatenate([d[j], np.sqrt(((x[can] - q[j]) ** 2).sum(axis=1))])
+                    both = np.concatenate([near[j], ids[can]])
+                    order = np.lexsort((both, exact))[:k]
+                    d[j], near[j] = exact[order], both[order]
+        for tile in list(best):
+            yield rows_of(tile)
+
+    found = met.mapInPandas(search, f"query {kind}, neighbour {kind}, distance double")
+    ranked = Window.partitionBy("query").orderBy("distance", "neighbour")
+    return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
 
 def facility_access(queries: DataFrame, facilities: DataFrame, item: str, facility: str, xy: Sequence[str], thresholds: Sequence[float], scales: Sequence[float], max_radius: float, ks: Sequence[int] = (1, 3, 5)) -> DataFrame:

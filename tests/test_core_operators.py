@@ -251,7 +251,7 @@ def test_vector_search_equals_all_pairs(spark):
 
     x = np.random.default_rng(9).normal(size=(70, 4)).round(2)
     df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(99, None)], "id bigint, v array<double>").repartition(3)
-    got = near.knn_search(df, df.where("id % 5 = 0"), "id", "v", 3, block=4).collect()
+    got = near.knn_search(df, df.where("id % 5 = 0"), "id", "v", 3).collect()
     for q in range(0, 70, 5):
         d = ((x - x[q]) ** 2).sum(axis=1)
         want = [int(i) for i in np.lexsort((np.arange(70), d)) if i != q][:3]
