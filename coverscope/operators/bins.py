@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coverscope.operators.scale import quantiles
+from coverscope.operators.scale import group_quantiles, quantiles
 from coverscope.operators.scratch import cut
 
 
@@ -15,7 +15,7 @@ def quantile_bins(df: DataFrame, x: str, n: int = 10, new: str = "bin", by: Sequ
     """df with the number of the interval (lowest, b1], (b1, b2] ... between the distinct type-7 quantiles; the least value is in the first."""
     levels = [i / n for i in range(n + 1)]
     if by:
-        out = df.join(df.groupBy(*by).agg(F.array_distinct(F.percentile(F.col(x), F.lit(levels))).alias("_breaks")), list(by))
+        out = df.join(group_quantiles(df, by, x, levels, "_breaks").withColumn("_breaks", F.array_distinct("_breaks")), list(by))
     else:
         out = df.crossJoin(F.broadcast(quantiles(df, x, levels, "_breaks").select(F.array_distinct("_breaks").alias("_breaks"))))
     above = F.size(F.filter(F.slice("_breaks", 2, n), lambda b: F.col(x) > b))
@@ -41,6 +41,28 @@ def canonical_order(df: DataFrame, item: str | Sequence[Column], new: str = "poi
     return ranged.join(F.broadcast(offsets), "_p").withColumn(new, F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy(*order))).drop("_p", "_before")
 
 
+def prefix_scan(df: DataFrame, order: Sequence[str], states: dict[str, tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
+    """df with running values along an order, in each group of `by`. states: new column to ('last', column), the last value that is not null, or ('sum', column).
+
+    Rows are range-partitioned by group and order. Each partition folds its own rows, its end
+    state goes on to the later partitions (one row for each partition of a group), and rows add
+    what came before; no task sees all rows of a long group."""
+    order, by = list(order), list(by)
+    ranged = cut(df.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()))
+    so_far = Window.partitionBy("_p", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.struct("_p", *by)  # equal also where a key of the group is null
+    ends = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_e{i}") if how == "last" else F.sum(c).alias(f"_e{i}") for i, (how, c) in enumerate(states.values())]
+    carries = [F.last(f"_e{i}", ignorenulls=True).over(earlier).alias(f"_c{i}") if how == "last" else F.sum(f"_e{i}").over(earlier).alias(f"_c{i}") for i, (how, _) in enumerate(states.values())]
+    carried = ranged.groupBy("_p", *by).agg(*ends).select(at.alias("_at"), *carries)
+    out = ranged.withColumn("_at", at)
+    for i, (how, c) in enumerate(states.values()):
+        out = out.withColumn(f"_w{i}", (F.last(c, ignorenulls=True) if how == "last" else F.sum(c)).over(so_far))
+    out = out.join(carried, "_at")
+    new = {name: F.coalesce(f"_w{i}", f"_c{i}") if how == "last" else F.coalesce(F.col(f"_w{i}") + F.col(f"_c{i}"), f"_w{i}", f"_c{i}") for i, (name, (how, _)) in enumerate(states.items())}
+    return out.withColumns(new).drop("_p", "_at", *[f"_{x}{i}" for x in "wc" for i in range(len(states))])
+
+
 def first_crossing(curve: DataFrame, x: str, y: str, target: float) -> DataFrame:
     """crossing and status of the first point where y reaches the target, interpolated in log x. curve: a row for each grid point."""
     w = Window.orderBy(x)

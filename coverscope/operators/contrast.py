@@ -42,10 +42,49 @@ def contrasts(balls: DataFrame, axes: Sequence[str], edges: DataFrame | None = N
 
 
 def threshold_grid(found: DataFrame, gaps: Sequence[float], distances: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """gap, distance, n_pairs and n_qualifying (gap below, axis distance above, both strictly)."""
-    cells = F.explode(F.array(*[F.struct(F.lit(float(g)).alias("gap"), F.lit(float(x)).alias("distance")) for g in gaps for x in distances])).alias("c")
-    rows = found.select(*by, "score_gap", "axis_distance", cells)
-    return rows.groupBy(*by, F.col("c.gap").alias("gap"), F.col("c.distance").alias("distance")).agg(F.count("*").alias("n_pairs"), F.count_if((F.col("score_gap") < F.col("c.gap")) & (F.col("axis_distance") > F.col("c.distance"))).alias("n_qualifying"))
+    """gap, distance, n_pairs and n_qualifying (gap below, axis distance above, both strictly) for each group.
+
+    Each pair falls into one bin of a histogram (the first gap that lets it pass, the number of distances it
+    exceeds); the counts of all cells are sums over the bins, so pairs aren't multiplied by cells."""
+    gaps, distances = sorted(float(g) for g in gaps), sorted(float(x) for x in distances)
+    first = F.lit(len(gaps))
+    for i, g in reversed(list(enumerate(gaps))):
+        first = F.when(F.col("score_gap") < g, i).otherwise(first)
+    beyond = sum((F.when(F.col("axis_distance") > x, 1).otherwise(0) for x in distances), F.lit(0))
+    bins = found.groupBy(*by, first.alias("_g"), beyond.alias("_x")).agg(F.count("*").alias("_n"))
+    cell = lambda i, j: F.sum(F.when((F.col("_g") <= i) & (F.col("_x") > j), F.col("_n")).otherwise(0))
+    cells = [F.struct(F.lit(g).alias("gap"), F.lit(x).alias("distance"), F.sum("_n").alias("n_pairs"), cell(i, j).alias("n_qualifying")) for i, g in enumerate(gaps) for j, x in enumerate(distances)]
+    return bins.groupBy(*by).agg(F.array(*cells).alias("_r")).select(*by, F.inline("_r"))
+
+
+SPREAD = {"median": 0.5, "q10": 0.1, "q90": 0.9}
+
+
+def spread(rows: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Of each group: n_runs, and median, q10, q90, least and largest of each column."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n_runs"), *[F.percentile(c, p).alias(f"{c}_{n}") for c in columns for n, p in SPREAD.items()], *[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("min", F.min), ("max", F.max))])
+
+
+def robustness_cells(cells: DataFrame) -> DataFrame:
+    """cells (radius, replicate, gap, distance, n_pairs, n_qualifying) to the spread over the replicates, and the share of runs with a qualifying pair."""
+    rows = cells.withColumn("prevalence", F.col("n_qualifying") / F.col("n_pairs"))
+    some = rows.groupBy("radius", "gap", "distance").agg(F.avg((F.col("n_qualifying") > 0).cast("double")).alias("share_any"))
+    return spread(rows, ["radius", "gap", "distance"], ["n_qualifying", "prevalence"]).join(some, ["radius", "gap", "distance"])
+
+
+def robustness_overall(runs: DataFrame) -> DataFrame:
+    """metric and value over all covers: how many, share of orders with a qualifying pair at every radius, and least, median and largest prevalence."""
+    every = runs.groupBy("replicate").agg(F.every(F.col("n_qualifying") > 0).alias("all")).agg(F.avg(F.col("all").cast("double")).alias("share_of_orders_nonzero_at_all_radii"))
+    one = runs.agg(F.count("*").cast("double").alias("covers"), F.min("prevalence").alias("prevalence_min"), F.percentile("prevalence", 0.5).alias("prevalence_median"), F.max("prevalence").alias("prevalence_max")).crossJoin(every)
+    return one.unpivot([], one.columns, "metric", "value")
+
+
+def weight_subsets(sensitivity: DataFrame, least: Sequence[float], distances: Sequence[float]) -> DataFrame:
+    """least_weight, distance, n_schemes and least, median and largest number of qualifying pairs over the schemes whose weights are all at least so large."""
+    bounds = F.explode(F.array(*[F.lit(float(x)) for x in least])).alias("bound")
+    rows = sensitivity.select("*", bounds).where(F.col("least_weight") >= F.col("bound"))
+    long_ = rows.unpivot(["bound"], [f"n_{d:g}" for d in distances], "_d", "n").withColumn("distance", F.substring("_d", 3, 9).cast("double"))
+    return long_.groupBy(F.col("bound").alias("least_weight"), "distance").agg(F.count("*").alias("n_schemes"), F.min("n").alias("n_min"), F.percentile("n", 0.5).alias("n_median"), F.max("n").alias("n_max"))
 
 
 def weight_simplex(spark, step: float = 0.05) -> DataFrame:

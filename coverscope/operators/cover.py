@@ -147,3 +147,11 @@ def covers_equal(a: DataFrame, b: DataFrame) -> DataFrame:
     left = a.select("landmark", "unit").exceptAll(b.select("landmark", "unit")).agg(F.count("*").alias("only_a"))
     right = b.select("landmark", "unit").exceptAll(a.select("landmark", "unit")).agg(F.count("*").alias("only_b"))
     return left.crossJoin(right).withColumn("equal", (F.col("only_a") == 0) & (F.col("only_b") == 0))
+
+
+def compare_covers(a: DataFrame, b: DataFrame) -> DataFrame:
+    """landmark, and how many of its members both memberships have, and either alone; a row for each landmark of either."""
+    side = lambda m, name: m.select("landmark", "unit", F.lit(1).alias(name))
+    both = side(a, "_a").join(side(b, "_b"), ["landmark", "unit"], "full")
+    x, y = F.col("_a").isNotNull(), F.col("_b").isNotNull()
+    return both.groupBy("landmark").agg(F.count_if(x & y).alias("n_both"), F.count_if(x & ~y).alias("only_a"), F.count_if(~x & y).alias("only_b"))

@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from coverscope.functions.columns import fill_category, squared
 from coverscope.operators import cover, graph
 from coverscope.operators.joins import pairs
+from coverscope.operators.scale import group_quantiles
+from coverscope.operators.scratch import cut
 from coverscope.operators.stats import long
 
 
 def resolution_metrics(balls: DataFrame, n: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Effective number of balls exp(H), its share of the balls, normalised entropy, largest share of units and its flags. balls: keys and ball_size; n: one row with n units."""
-    total = balls.groupBy(*keys).agg(F.sum("ball_size").alias("_t"), F.count("*").alias("n_balls"), F.max("ball_size").alias("_max"))
-    joined = balls.join(total, list(keys)) if keys else balls.crossJoin(F.broadcast(total))
-    p = F.col("ball_size") / F.col("_t")
-    out = joined.groupBy(*keys).agg(F.sum(-p * F.log(p)).alias("_h"), F.max("n_balls").alias("n_balls"), F.max("_max").alias("_max")).crossJoin(F.broadcast(n))
+    s = F.col("ball_size")
+    out = balls.groupBy(*keys).agg((F.log(F.sum(s)) - F.sum(s * F.log(s)) / F.sum(s)).alias("_h"), F.count("*").alias("n_balls"), F.max(s).alias("_max")).crossJoin(F.broadcast(n))
     share = F.col("_max") / F.col("n")
     return out.select(
         *keys,
@@ -60,8 +60,8 @@ def topology_summary(balls: DataFrame, membership: DataFrame, edges: DataFrame,
     labels = graph.components(balls.select(*keys, F.col("ball_id").alias("node")), edges, keys)
     comps = labels.groupBy(*keys, "component").agg(F.count("*").alias("_n")).groupBy(*keys).agg(F.count("*").alias("n_components"), F.count_if(F.col("_n") == 1).alias("n_isolated"), F.max("_n").alias("largest_component"))
     links = edges.groupBy(*keys).agg(F.count("*").alias("n_edges"))
-    p = F.col("ball_size") / F.sum("ball_size").over(Window.partitionBy(*keys))
-    effective = size.select(*keys, p.alias("_p")).groupBy(*keys).agg(F.exp(F.sum(-F.col("_p") * F.log("_p"))).alias("effective_balls"))
+    n = F.col("ball_size")
+    effective = size.groupBy(*keys).agg(F.exp(F.log(F.sum(n)) - F.sum(n * F.log(n)) / F.sum(n)).alias("effective_balls"))
     if keys:
         out = shape.join(units, keys).join(comps, keys).join(effective, keys).join(links, keys, "left")
     else:
@@ -124,9 +124,9 @@ def profile_wide(balls: DataFrame, membership: DataFrame, edges: DataFrame, valu
     return balls.select("ball_id", "landmark").join(cover.sizes(membership), "ball_id").join(comp, "ball_id").join(degree, "ball_id").join(wide, "ball_id").join(modes, "ball_id").withColumn("isolated", F.col("degree") == 0)
 
 
-def profile_matrix(profile: DataFrame, balls: Sequence[int]) -> DataFrame:
-    """variable by ball: the standardised differences, a column for each of the given balls."""
-    return profile.groupBy("variable").pivot("ball_id", list(balls)).agg(F.first("standardised_difference"))
+def profile_matrix(profile: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """ball by variable: the standardised differences of all balls, a column for each of the given variables."""
+    return profile.groupBy("ball_id").pivot("variable", list(variables)).agg(F.first("standardised_difference"))
 
 
 def ball_spread(membership: DataFrame, places: DataFrame) -> DataFrame:
@@ -157,10 +157,60 @@ def ball_adjacency(membership: DataFrame, adjacency: DataFrame) -> DataFrame:
 
 
 def cross_adjacency(membership: DataFrame, adjacency: DataFrame) -> DataFrame:
-    """a < b of balls, and the number of adjacent pairs with one unit in either ball alone."""
-    pair = adjacency.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    pair = pair.unionByName(pair.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    """a < b of balls, and the number of adjacent pairs of units with one end in either ball, each pair once; shared members count in both. adjacency: a, b once each."""
+    pair = adjacency.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u <> v").distinct()
     m = membership.select("unit", "ball_id")
-    crossed = pair.join(m.withColumnsRenamed({"unit": "u", "ball_id": "a"}), "u").join(m.withColumnsRenamed({"unit": "v", "ball_id": "b"}), "v").where("a < b")
-    alone = crossed.join(m.withColumnsRenamed({"unit": "u", "ball_id": "b"}), ["u", "b"], "left_anti").join(m.withColumnsRenamed({"unit": "v", "ball_id": "a"}), ["v", "a"], "left_anti")
-    return alone.groupBy("a", "b").agg(F.count("*").alias("n_cross"))
+    met = pair.join(m.withColumnsRenamed({"unit": "u", "ball_id": "_x"}), "u").join(m.withColumnsRenamed({"unit": "v", "ball_id": "_y"}), "v").where("_x <> _y")
+    return met.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"), "u", "v").distinct().groupBy("a", "b").agg(F.count("*").alias("n_cross"))
+
+
+def membership_moran(membership: DataFrame, adjacency: DataFrame) -> DataFrame:
+    """ball_id and Moran's I of being in the ball, with row-standardised weights over all units that have neighbours; null if all or none of them are in it.
+
+    Only sums are needed: over the members, of the reciprocal degrees of their neighbours, and of those neighbours that are members too."""
+    both = graph.both_ways(adjacency.select("a", "b"))
+    degree = both.groupBy("node").agg(F.count("*").alias("d"))
+    n = degree.agg(F.count("*").alias("n"))
+    weight = both.join(degree.withColumnsRenamed({"node": "other", "d": "_d"}), "other").groupBy("node").agg(F.sum(1 / F.col("_d")).alias("w"))
+    m = membership.select("ball_id", F.col("unit").alias("node"))
+    size = m.join(weight, "node").groupBy("ball_id").agg(F.count("*").alias("k"), F.sum("w").alias("_w"))
+    inside = m.join(both.join(degree, "node"), "node").join(m.select("ball_id", F.col("node").alias("other")), ["ball_id", "other"]).groupBy("ball_id").agg(F.sum(1 / F.col("d")).alias("_s"))
+    p = F.col("k") / F.col("n")
+    value = (F.coalesce("_s", F.lit(0.0)) - p * F.col("_w")) / F.nullif(F.col("n") * p * (1 - p), F.lit(0.0))
+    return size.join(inside, "ball_id", "left").crossJoin(F.broadcast(n)).select("ball_id", value.alias("moran"))
+
+
+def exclusive_gaps(membership: DataFrame, places: DataFrame) -> DataFrame:
+    """a < b of balls with members of their own, and the least and median distance (km) from a's own members to the nearest of b's own. places: unit, x and y in metres.
+
+    The nearest distances of all pairs are looked up together, keyed by (pair, unit): members of b lie in
+    grid cells about as wide as b is sparse, each width twice the last, and who finds none looks on in the next."""
+    at = cut(membership.select("ball_id", "unit").join(places.select("unit", "x", "y"), "unit"))
+    size = at.groupBy("ball_id").agg(F.count("*").alias("_n"), *[f(c).alias(f"_{name}{c}") for c in "xy" for name, f in (("lo", F.min), ("hi", F.max))])
+    wide = at.agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xy"]).first()
+    end = 2 * (float(wide["x"] or 0) + float(wide["y"] or 0)) + 1.0
+    area = F.greatest(F.col("_hix") - F.col("_lox"), F.lit(1.0)) * F.greatest(F.col("_hiy") - F.col("_loy"), F.lit(1.0))
+    target = size.select(F.col("ball_id").alias("b"), (2 * F.sqrt(area / F.col("_n"))).alias("_cell"))
+    balls = cut(at.groupBy("unit").agg(F.collect_list("ball_id").alias("_in")))  # as many as the packing of the space allows
+    others = at.withColumnRenamed("ball_id", "b").join(balls, "unit").select("b", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("_in").alias("_out"))
+    strength = cover.edges(membership)
+    sizes = size.select("ball_id", "_n")
+    pair = pairs(sizes, "ball_id").withColumnsRenamed({"ball_id_a": "a", "ball_id_b": "b"}).join(strength, ["a", "b"], "left").withColumn("_s", F.coalesce("strength", F.lit(0)))
+    pair = pair.where((F.col("_n_a") > F.col("_s")) & (F.col("_n_b") > F.col("_s"))).select("a", "b")
+    asked = pair.join(at.withColumnRenamed("ball_id", "a"), "a").join(balls, "unit").where(~F.array_contains("_in", F.col("b"))).join(target, "b").select("a", "b", "unit", "x", "y", "_cell")
+    wanted, done, wider = cut(asked), None, 1.0
+    while True:
+        cell = lambda c: F.floor(F.col(c) / (F.col("_cell") * wider))  # noqa: B023, E731
+        home = others.join(target, "b").withColumns({"_cx": cell("_x"), "_cy": cell("_y")}).drop("_cell")
+        look = wanted.withColumns({"_cx": F.explode(F.sequence(cell("x") - 1, cell("x") + 1))}).withColumn("_cy", F.explode(F.sequence(cell("y") - 1, cell("y") + 1)))
+        d = F.sqrt(squared([F.col("x"), F.col("y")], [F.col("_x"), F.col("_y")]))
+        met = look.join(home, ["b", "_cx", "_cy"]).where(~F.array_contains("_out", F.col("a")) & (d <= F.col("_cell") * wider))
+        found = cut(met.groupBy("a", "b", "unit").agg(F.min(d).alias("d")))
+        done = found if done is None else done.unionByName(found)
+        wanted = cut(wanted.join(found.select("a", "b", "unit"), ["a", "b", "unit"], "left_anti"))
+        left = wanted.agg(F.count("*"), F.min("_cell")).first()
+        if not left[0] or left[1] * wider > end:
+            break
+        wider *= 2
+    km = done.select("a", "b", (F.col("d") / 1000).alias("km"))
+    return km.groupBy("a", "b").agg(F.min("km").alias("min_exclusive_km")).join(group_quantiles(km, ["a", "b"], "km", [0.5], "_q").select("a", "b", F.get("_q", F.lit(0)).alias("median_exclusive_km")), ["a", "b"])

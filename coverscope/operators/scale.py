@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,14 +39,83 @@ def places(df: DataFrame, column: str) -> DataFrame:
     return ranged.join(F.broadcast(offsets), "_p").select("_v", "_n", (F.col("_before") + within).alias("_upto"))
 
 
+#: Up to so many values of a column or a group are left to Spark's exact percentile in one task.
+SMALL = 200_000
+#: Accuracy of the approximate percentiles that bracket exact ones, and values inside all brackets that may be collected.
+ACCURACY, INSIDE = 10_000, 1_000_000
+
+
+def bracketed(values: DataFrame, n: int, levels: Sequence[float]) -> list[float] | None:
+    """Exact type-7 quantiles of the n values of the column _v, from two scans and no shuffle of them; None if the brackets don't do.
+
+    Approximate percentiles on either side of each level bracket its order statistics; the values
+    below a bracket are counted, those inside it are collected with their counts."""
+    ends = sorted({min(1.0, max(0.0, p + side * 2 / ACCURACY)) for p in levels for side in (-1, 1)})
+    at = dict(zip(ends, values.agg(F.percentile_approx("_v", ends, ACCURACY)).first()[0], strict=True))
+    boxes = [(at[max(0.0, p - 2 / ACCURACY)] if p > 2 / ACCURACY else float("-inf"), at[min(1.0, p + 2 / ACCURACY)] if p < 1 - 2 / ACCURACY else float("inf")) for p in levels]
+    held = [F.col("_v").between(*b) for b in boxes]
+    inside = reduce(lambda a, b: a | b, held)
+    row = values.agg(F.count_if(inside).alias("inside"), *[F.count_if(F.col("_v") < b[0]).alias(f"below{i}") for i, b in enumerate(boxes)]).first()
+    if row["inside"] > INSIDE:
+        return None
+    found = values.where(inside).groupBy("_v").agg(F.count("*").alias("c")).toPandas().sort_values("_v")
+    out = []
+    for i, (p, (lo, hi)) in enumerate(zip(levels, boxes, strict=True)):
+        own = found[(found["_v"] >= lo) & (found["_v"] <= hi)]
+        upto, h = own["c"].cumsum().to_numpy() + row[f"below{i}"], p * (n - 1)
+        a, b = (int(np.searchsorted(upto, k, "right")) for k in (int(np.floor(h)), int(np.ceil(h))))
+        if not len(own) or np.floor(h) < row[f"below{i}"] or b >= len(own):
+            return None
+        x, y = own["_v"].iloc[a], own["_v"].iloc[b]
+        out.append(float(x + (y - x) * (h - np.floor(h))))
+    return out
+
+
 def quantiles(df: DataFrame, column: str, levels: Sequence[float], new: str = "quantiles") -> DataFrame:
-    """One row with an array: the type-7 quantiles of a column at the levels, nulls where it has no values. Read from the places of its values."""
+    """One row with an array: the type-7 quantiles of a column at the levels, nulls where it has no values; exact at any size.
+
+    Few values (counted) go to one percentile; many are bracketed; should that not do, they are read from the places of the values."""
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("_v"))
+    n = values.count()
+    if n <= SMALL:
+        none = F.array(*[F.lit(None).cast("double")] * len(levels))
+        return values.agg(F.coalesce(F.percentile("_v", F.lit([float(p) for p in levels])), none).alias(new))
+    found = bracketed(values, n, levels)
+    if found is not None:
+        return df.sparkSession.createDataFrame([(found,)], f"{new} array<double>")
     placed = places(df, column)
     rows = placed.crossJoin(F.broadcast(placed.agg((F.max("_upto") - 1).alias("_last"))))
     at = lambda i: F.min(F.when(F.col("_upto") > i, F.col("_v").cast("double")))
-    found = rows.agg(F.max("_last").alias("_last"), *[at(f(F.lit(p) * F.col("_last"))).alias(f"_{side}{i}") for i, p in enumerate(levels) for side, f in (("a", F.floor), ("b", F.ceil))])
+    ends = rows.agg(F.max("_last").alias("_last"), *[at(f(F.lit(p) * F.col("_last"))).alias(f"_{side}{i}") for i, p in enumerate(levels) for side, f in (("a", F.floor), ("b", F.ceil))])
     share = lambda p: F.lit(p) * F.col("_last") - F.floor(F.lit(p) * F.col("_last"))
-    return found.select(F.array(*[F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * share(p) for i, p in enumerate(levels)]).alias(new))
+    return ends.select(F.array(*[F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * share(p) for i, p in enumerate(levels)]).alias(new))
+
+
+def group_quantiles(df: DataFrame, keys: Sequence[str], column: str, levels: Sequence[float], new: str = "quantiles", small: int = SMALL) -> DataFrame:
+    """keys and an array: the type-7 quantiles of a column in each group with values (a null key is a group).
+
+    Groups of up to `small` values go to percentile. The values of larger ones are counted, range-partitioned by
+    (group, value) and placed by sums within and before the partitions, so no task holds a large group."""
+    keys, levels = list(keys), [float(p) for p in levels]
+    rows = df.select(*keys, F.col(column).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    direct = lambda x: x.groupBy(*keys).agg(F.percentile("_v", F.lit(levels)).alias(new))
+    large = cut(rows.groupBy(*keys).agg(F.count("*").alias("_size")).where(F.col("_size") > small))
+    if large.isEmpty():
+        return direct(rows)
+    named = [f"_k{i}" for i in range(len(keys))]
+    large = large.withColumnsRenamed(dict(zip(keys, named, strict=True)))
+    same = reduce(lambda a, b: a & b, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(keys, named, strict=True)])
+    values = rows.join(large, same).groupBy(*named, "_size", "_v").agg(F.count("*").alias("_n"))
+    ranged = cut(values.repartitionByRange(*named, "_v").withColumn("_p", F.spark_partition_id()))
+    part = ranged.groupBy("_p", *named).agg(F.sum("_n").alias("_own"))
+    before = part.select(F.struct("_p", *named).alias("_at"), (F.sum("_own").over(Window.partitionBy(*named).orderBy("_p")) - F.col("_own")).alias("_before"))  # a row for each partition of a group
+    upto = F.sum("_n").over(Window.partitionBy("_p", *named).orderBy("_v"))
+    placed = ranged.withColumn("_upto", upto).withColumn("_at", F.struct("_p", *named)).join(before, "_at").withColumn("_upto", F.col("_upto") + F.col("_before"))
+    h = lambda p: F.lit(p) * (F.col("_size") - 1)
+    at = lambda i: F.min(F.when(F.col("_upto") > i, F.col("_v")))
+    ends = placed.groupBy(*named, "_size").agg(*[at(f(h(p))).alias(f"_{side}{i}") for i, p in enumerate(levels) for side, f in (("a", F.floor), ("b", F.ceil))])
+    many = ends.select(*[F.col(a).alias(b) for a, b in zip(named, keys, strict=True)], F.array(*[F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (h(p) - F.floor(h(p))) for i, p in enumerate(levels)]).alias(new))
+    return direct(rows.join(large, same, "left_anti")).unionByName(many)
 
 
 def with_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:

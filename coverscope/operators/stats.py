@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coverscope.functions.columns import finite
-from coverscope.operators.scale import average_rank, places
+from coverscope.operators.scale import average_rank, group_quantiles, places
 
 
 def long(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str = "variable", value: str = "value") -> DataFrame:
@@ -18,20 +18,10 @@ def long(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str =
 
 
 def describe_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return (
-        long(df, [], columns)
-        .groupBy("variable")
-        .agg(
-            F.count("value").alias("n"),
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("sd"),
-            F.min("value").alias("min"),
-            F.percentile("value", 0.25).alias("p25"),
-            F.percentile("value", 0.5).alias("median"),
-            F.percentile("value", 0.75).alias("p75"),
-            F.max("value").alias("max"),
-        )
-    )
+    rows = long(df, [], columns)
+    plain = rows.groupBy("variable").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"))
+    q = group_quantiles(rows, ["variable"], "value", [0.25, 0.5, 0.75], "_q")
+    return plain.join(F.broadcast(q), "variable", "left").select("variable", "n", "mean", "sd", "min", *[F.get("_q", F.lit(i)).alias(c) for i, c in enumerate(("p25", "median", "p75"))], "max")
 
 
 def summary_table(df: DataFrame, columns: Sequence[str], digits: int = 2) -> DataFrame:
@@ -150,14 +140,14 @@ def outliers(df: DataFrame, item: str, columns: Sequence[str], method: str = "ma
     """id, variable, value, centre, scale, lower, upper, score, flag and status. A MAD score is flagged from the threshold on, an IQR value strictly outside."""
     rows = long(df, [item], columns).withColumn("value", finite(F.col("value")))
     if method == "mad":
-        med = rows.groupBy("variable").agg(F.percentile("value", 0.5).alias("centre"))
+        med = group_quantiles(rows, ["variable"], "value", [0.5], "_q").select("variable", F.get("_q", F.lit(0)).alias("centre"))
         off = rows.join(F.broadcast(med), "variable")
-        scale = off.groupBy("variable").agg((1.4826 * F.percentile(F.abs(F.col("value") - F.col("centre")), 0.5)).alias("scale"))
+        scale = group_quantiles(off.withColumn("_off", F.abs(F.col("value") - F.col("centre"))), ["variable"], "_off", [0.5], "_q").select("variable", (1.4826 * F.get("_q", F.lit(0))).alias("scale"))
         out = off.join(F.broadcast(scale), "variable").withColumns({"lower": F.col("centre") - threshold * F.col("scale"), "upper": F.col("centre") + threshold * F.col("scale")})
         score = F.abs(F.col("value") - F.col("centre")) / F.nullif(F.col("scale"), F.lit(0.0))
         flag, zero = score >= threshold, "zero_robust_scale"
     else:
-        q = rows.groupBy("variable").agg(F.percentile("value", F.lit([0.25, 0.5, 0.75])).alias("_q"))
+        q = group_quantiles(rows, ["variable"], "value", [0.25, 0.5, 0.75], "_q")
         out = rows.join(F.broadcast(q), "variable").withColumns({"centre": F.col("_q")[1], "scale": F.col("_q")[2] - F.col("_q")[0]})
         out = out.withColumns({"lower": F.col("_q")[0] - threshold * F.col("scale"), "upper": F.col("_q")[2] + threshold * F.col("scale")})
         score = F.greatest(F.col("lower") - F.col("value"), F.col("value") - F.col("upper"), F.lit(0.0)) / F.nullif(F.col("scale"), F.lit(0.0))

@@ -197,10 +197,10 @@ def _(spark, d):
     return cover.fingerprint(b, m, cover.edges(m))
 
 
-@R.add("i21_covers_equal", "SELECT 0::BIGINT AS only_a, 0::BIGINT AS only_b, true AS equal")
+@R.add("i21_covers_equal", W + "SELECT landmark, count(*) AS n_both, 0::BIGINT AS only_a, 0::BIGINT AS only_b FROM member GROUP BY landmark")
 def _(spark, d):
     p, _, m = canonical(spark, d)
-    return cover.covers_equal(m, cover.build_cover(p.repartition(5, "category"), AXES, EPS)[1])
+    return cover.compare_covers(m, cover.build_cover(p.repartition(5, "category"), AXES, EPS, head=7)[1])
 
 
 @R.add("i22_order_key", f"WITH {POINTS} SELECT id, row_number() OVER (ORDER BY md5(id || ':' || '20261816'), id) AS place FROM points")
@@ -228,10 +228,10 @@ def _(spark, d):
     return rounded(profile.mix_summary(profile.category_mix(m, p, "id", "category")).select("ball_id", "modal_level", "modal_share", (F.col("modal_share") < 0.5).alias("mixed")))
 
 
-@R.add("i61_profile_matrix", f"WITH RECURSIVE {COVER}, {PROFILE} SELECT variable, " + ", ".join(f'round(max(diff) FILTER (ball_id = {i}), 6) AS "{i}"' for i in (1, 2, 3)) + " FROM prof GROUP BY variable")
+@R.add("i61_profile_matrix", f"WITH RECURSIVE {COVER}, {PROFILE} SELECT ball_id, " + ", ".join(f"round(max(diff) FILTER (variable = '{v}'), 6) AS {v}" for v in ("a1", "a2", "urgent")) + " FROM prof GROUP BY ball_id")
 def _(spark, d):
     p, _, m = canonical(spark, d)
-    return rounded(profile.profile_matrix(profile.ball_profile_long(m, p, "id", ["a1", "a2", "urgent"]), [1, 2, 3]))
+    return rounded(profile.profile_matrix(profile.ball_profile_long(m, p, "id", ["a1", "a2", "urgent"]), ["a1", "a2", "urgent"]), "a1", "a2", "urgent")
 
 
 @R.add("e5_representative", W + ", c AS (SELECT ball_id, avg(z1) AS m1, avg(z2) AS m2, avg(z3) AS m3 FROM member JOIN points ON unit = id GROUP BY ball_id) SELECT ball_id, arg_min(unit, (round((z1-m1)*(z1-m1) + (z2-m2)*(z2-m2) + (z3-m3)*(z3-m3), 9), unit)) AS medoid FROM member JOIN points ON unit = id JOIN c USING (ball_id) GROUP BY ball_id")

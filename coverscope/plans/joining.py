@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from coverscope.functions.columns import squared
-from coverscope.operators import contract, cover, geo, graph, joins, near
+from coverscope.operators import contract, cover, geo, graph, joins, near, scale, scratch
 from coverscope.plans.covers import COVER, canonical
 from coverscope.plans.frames import AXES, POINTS, UNITS, points, table, units, x_of, xy, y_of
 from coverscope.plans.registry import Registry
 from coverscope.plans.statistics import rounded
+from coverscope.sources import files
 
 R = Registry()
 
@@ -146,11 +147,14 @@ ACCESS = f"""{XY_C}, pair AS (SELECT id, fid, {DIST} AS d FROM q, f), rk AS (SEL
 @R.add(
     "c15_facility_access",
     f"""WITH {ACCESS} SELECT id, min(fid) FILTER (k = 1) AS nearest_id, round(min(d) FILTER (k = 1), 6) AS distance_1, round(min(d) FILTER (k = 3), 6) AS distance_3, round(min(d) FILTER (k = 5), 6) AS distance_5,
-count(*) FILTER (d <= 2000) AS n_within_2000, count(*) FILTER (d <= 5000) AS n_within_5000, count(*) FILTER (d <= 10000) AS n_within_10000, round(coalesce(sum(exp(-d / 2000)) FILTER (d <= 10000), 0), 6) AS access_2000 FROM rk GROUP BY id""",
+{', '.join(f'count(*) FILTER (d <= {t}) AS n_within_{t}' for t in (500, 1000, 2000, 5000, 10000))}, {', '.join(f'round(coalesce(sum(exp(-d / {s})) FILTER (d <= 10000), 0), 6) AS access_{s}' for s in (1000, 2000))},
+(SELECT s_name FROM supplier WHERE s_suppkey = min(fid) FILTER (k = 1)) AS nearest_name FROM rk GROUP BY id""",
 )
 def c15(spark, d):
     q, f = places(spark, d)
-    return rounded(near.facility_access(q, f, "id", "fid", ["x", "y"], [2000, 5000, 10000], [2000], 10000))
+    found = near.facility_access(q, f, "id", "fid", ["x", "y"], [500, 1000, 2000, 5000, 10000], [1000, 2000], 10000)
+    named = table(spark, d, "supplier").select(F.col("s_suppkey").alias("nearest_id"), F.col("s_name").alias("nearest_name"))
+    return rounded(found.join(named, "nearest_id", "left"), *[c for c, kind in found.dtypes if kind == "double"])
 
 
 @R.add("c16_audit_access", f"WITH {ACCESS} SELECT count(*) FILTER (n < 5) AS n_beyond, count(*) AS n, round(max(d1), 6) AS max_nearest FROM (SELECT id, count(*) FILTER (d <= 10000) AS n, min(d) AS d1 FROM rk GROUP BY id)")
@@ -208,39 +212,51 @@ def _(spark, d):
 
 
 KNN2 = f"""{POINTS}, g AS (SELECT *, {xy('id')} FROM points),
-ka AS (SELECT * FROM (SELECT a.id, b.id AS neighbour, row_number() OVER (PARTITION BY a.id ORDER BY (a.z1-b.z1)*(a.z1-b.z1) + (a.z2-b.z2)*(a.z2-b.z2) + (a.z3-b.z3)*(a.z3-b.z3), b.id) AS rank FROM g a JOIN g b ON a.id <> b.id) WHERE rank <= 20),
-kb AS (SELECT * FROM (SELECT a.id, b.id AS neighbour, row_number() OVER (PARTITION BY a.id ORDER BY (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y), b.id) AS rank FROM g a JOIN g b ON a.id <> b.id) WHERE rank <= 20)"""
+ka AS (SELECT * FROM (SELECT a.id, b.id AS neighbour, row_number() OVER (PARTITION BY a.id ORDER BY (a.z1-b.z1)*(a.z1-b.z1) + (a.z2-b.z2)*(a.z2-b.z2) + (a.z3-b.z3)*(a.z3-b.z3), b.id) AS rank FROM g a JOIN g b ON a.id <> b.id) WHERE rank <= 100),
+kb AS (SELECT * FROM (SELECT a.id, b.id AS neighbour, row_number() OVER (PARTITION BY a.id ORDER BY (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y), b.id) AS rank FROM g a JOIN g b ON a.id <> b.id) WHERE rank <= 100)"""
 
 
-def two_systems(spark, d, k=20):
+def two_systems(spark, d, k=100):
     p = points(spark, d).withColumns({"x": x_of(F.col("id")), "y": y_of(F.col("id"))}).persist()
     return near.knn(p, "id", AXES, k), near.knn(p, "id", ["x", "y"], k), p
 
 
-CURVE = f"WITH {KNN2}, en AS (SELECT ka.id, greatest(ka.rank, kb.rank) AS k FROM ka JOIN kb USING (id, neighbour)), c AS (SELECT g.id, k.k, (SELECT count(*) FROM en WHERE en.id = g.id AND en.k <= k.k) AS s FROM g, range(1, 21) k(k)) SELECT k::INT AS k, round(avg(s / (2 * k - s)), 6) AS mean_jaccard, round(avg((s = 0)::INT), 6) AS zero_share, round(avg(s), 6) AS mean_shared FROM c GROUP BY k"
+CURVE = f"WITH {KNN2}, en AS (SELECT ka.id, greatest(ka.rank, kb.rank) AS k FROM ka JOIN kb USING (id, neighbour)), c AS (SELECT g.id, k.k, (SELECT count(*) FROM en WHERE en.id = g.id AND en.k <= k.k) AS s FROM g, range(1, 101) k(k)) SELECT k::INT AS k, round(avg(s / (2 * k - s)), 6) AS mean_jaccard, round(avg((s = 0)::INT), 6) AS zero_share, round(avg(s), 6) AS mean_shared FROM c GROUP BY k"
 
 
 @R.add("e9_knn_overlap_curve", CURVE)
 def e9(spark, d):
     a, b, _ = two_systems(spark, d)
-    return rounded(joins.knn_overlap_curve(a, b, "id", 20))
+    return rounded(joins.knn_overlap_curve(a, b, "id", 100))
 
 
-@R.add("i54_overlap_curve", CURVE + " HAVING k IN (1, 5, 10, 20)")
+@R.add("i54_overlap_curve", CURVE + " HAVING k IN (1, 5, 10, 20, 25, 50, 75, 100)")
 def _(spark, d):
-    return e9(spark, d).where(F.col("k").isin(1, 5, 10, 20))
+    return e9(spark, d).where(F.col("k").isin(1, 5, 10, 20, 25, 50, 75, 100))
+
+
+#: Numbers of neighbours at which the two systems are compared.
+KS = [10, 20, 50, 100]
+SHARED = "sh AS (SELECT g.id, class, k::INT AS k, count(en.id) AS s FROM g CROSS JOIN (VALUES (10), (20), (50), (100)) v(k) LEFT JOIN (SELECT ka.id, greatest(ka.rank, kb.rank) AS r FROM ka JOIN kb USING (id, neighbour)) en ON en.id = g.id AND en.r <= k GROUP BY ALL)"
+
+
+def shared_of(a, b, p):
+    """id, class, k and s, the neighbours that a unit has in both systems among the first k, for each k of KS."""
+    met = a.select("id", "neighbour", F.col("rank").alias("_a")).join(b.select("id", "neighbour", F.col("rank").alias("_b")), ["id", "neighbour"])
+    counts = met.groupBy("id").agg(*[F.count_if(F.greatest("_a", "_b") <= k).alias(str(k)) for k in KS])
+    rows = p.select("id", "class").join(counts, "id", "left").fillna(0, [str(k) for k in KS])
+    return rows.unpivot(["id", "class"], [str(k) for k in KS], "k", "s").withColumn("k", F.col("k").cast("int"))
 
 
 @R.add(
     "i52_peer_overlap",
-    f"WITH {KNN2}, s AS (SELECT g.id, class, (SELECT count(*) FROM ka JOIN kb USING (id, neighbour) WHERE ka.id = g.id) AS s FROM g) SELECT class, count(*) AS n, round(avg(s / (40 - s)), 6) AS mean_jaccard, round(median(s / (40 - s)), 6) AS median_jaccard, round(avg((s = 0)::INT), 6) AS zero_share FROM s GROUP BY class",
+    f"WITH {KNN2}, {SHARED} SELECT class, k, count(*) AS n, round(avg(s / (2 * k - s)), 6) AS mean_jaccard, round(median(s / (2 * k - s)), 6) AS median_jaccard, round(avg((s = 0)::INT), 6) AS zero_share FROM sh GROUP BY class, k",
 )
 def _(spark, d):
-    a, b, p = two_systems(spark, d)
-    shared = a.join(b.select("id", "neighbour"), ["id", "neighbour"]).groupBy("id").agg(F.count("*").alias("s"))
-    rows = p.select("id", "class").join(shared, "id", "left").withColumn("s", F.coalesce("s", F.lit(0)))
-    j = F.col("s") / (40 - F.col("s"))
-    return rounded(rows.groupBy("class").agg(F.count("*").alias("n"), F.avg(j).alias("mean_jaccard"), F.percentile(j, 0.5).alias("median_jaccard"), F.avg((F.col("s") == 0).cast("double")).alias("zero_share")))
+    rows = shared_of(*two_systems(spark, d)).withColumn("j", F.col("s") / (2 * F.col("k") - F.col("s")))
+    out = rows.groupBy("class", "k").agg(F.count("*").alias("n"), F.avg("j").alias("mean_jaccard"), F.avg((F.col("s") == 0).cast("double")).alias("zero_share"))
+    middle = scale.group_quantiles(rows, ["class", "k"], "j", [0.5], "_q").select("class", "k", F.get("_q", F.lit(0)).alias("median_jaccard"))
+    return rounded(out.join(middle, ["class", "k"]))
 
 
 GEO = "km AS (SELECT ka.id, ka.neighbour, ka.rank, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) / 1000 AS km FROM ka JOIN g a ON a.id = ka.id JOIN g b ON b.id = ka.neighbour)"
@@ -253,16 +269,32 @@ def neighbour_km(topology, p):
     return topology.join(own, "id").join(other, "neighbour").withColumn("km", F.sqrt(squared([F.col("x"), F.col("y")], [F.col("_x"), F.col("_y")])) / 1000)
 
 
-@R.add("i53_knn_geography", f"WITH {KNN2}, {GEO} SELECT id, round(median(km), 6) AS median_km, round(avg((km > 25)::INT), 6) AS share_25, round(avg((km > 50)::INT), 6) AS share_50 FROM km GROUP BY id")
+FAR = [25, 50, 100]
+
+
+@R.add("i53_knn_geography", f"WITH {KNN2}, {GEO}, {SHARED} SELECT id, round(median(km), 6) AS median_km, " + ", ".join(f"round(avg((km > {k})::INT), 6) AS share_{k}" for k in FAR) + ", any_value(s) AS shared, round(any_value(s / (40 - s)), 6) AS jaccard FROM km JOIN (SELECT id, s FROM sh WHERE k = 20) USING (id) WHERE rank <= 20 GROUP BY id")
 def _(spark, d):
-    a, _, p = two_systems(spark, d)
+    a, b, p = two_systems(spark, d)
     far = lambda k: F.avg((F.col("km") > k).cast("double")).alias(f"share_{k}")
-    return rounded(neighbour_km(a, p).groupBy("id").agg(F.percentile("km", 0.5).alias("median_km"), far(25), far(50)))
+    rows = neighbour_km(a.where("rank <= 20"), p).groupBy("id").agg(F.percentile("km", 0.5).alias("median_km"), *[far(k) for k in FAR])  # of 20 neighbours each
+    shared = shared_of(a, b, p).where("k = 20").select("id", F.col("s").alias("shared"), (F.col("s") / (40 - F.col("s"))).alias("jaccard"))
+    return rounded(rows.join(shared, "id"))
+
+
+@R.add("i53_k_summary", f"WITH {KNN2}, {GEO}, {SHARED}, x AS (SELECT v.k::INT AS k, count(*) AS n_links, round(avg(km), 6) AS mean_km, round(median(km), 6) AS median_km, " + ", ".join(f"round(avg((km > {k})::INT), 6) AS share_{k}" for k in FAR) + " FROM km, (VALUES (10), (20), (50), (100)) v(k) WHERE rank <= v.k GROUP BY v.k), y AS (SELECT k, round(avg(s), 6) AS mean_shared, round(avg(s / (2 * k - s)), 6) AS mean_jaccard, round(avg((s = 0)::INT), 6) AS zero_share FROM sh GROUP BY k) SELECT * FROM x JOIN y USING (k)")
+def _(spark, d):
+    a, b, p = two_systems(spark, d)
+    links = neighbour_km(a, p).select("km", F.explode(F.filter(F.array(*[F.lit(k) for k in KS]), lambda k: F.col("rank") <= k)).alias("k"))
+    by = links.groupBy("k").agg(F.count("*").alias("n_links"), F.avg("km").alias("mean_km"), *[F.avg((F.col("km") > k).cast("double")).alias(f"share_{k}") for k in FAR])
+    middle = scale.group_quantiles(links, ["k"], "km", [0.5], "_q").select("k", F.get("_q", F.lit(0)).alias("median_km"))
+    s = F.col("s")
+    shared = shared_of(a, b, p).groupBy("k").agg(F.avg("s").alias("mean_shared"), F.avg(s / (2 * F.col("k") - s)).alias("mean_jaccard"), F.avg((s == 0).cast("double")).alias("zero_share"))
+    return rounded(by.join(middle, "k").join(shared, "k"))
 
 
-@R.add("i56_long_links", f"WITH {KNN2}, {GEO} SELECT DISTINCT least(id, neighbour) AS a, greatest(id, neighbour) AS b, round(km, 6) AS km FROM km ORDER BY km DESC, a, b LIMIT 500")
+@R.add("i56_long_links", f"WITH {KNN2}, {GEO} SELECT DISTINCT least(id, neighbour) AS a, greatest(id, neighbour) AS b, round(km, 6) AS km FROM km WHERE rank <= 20 ORDER BY km DESC, a, b LIMIT 500")
 def _(spark, d):
-    a, _, p = two_systems(spark, d)
+    a, _, p = two_systems(spark, d, 20)
     links = neighbour_km(a, p).select(F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b"), F.round("km", 6).alias("km")).distinct()
     return links.orderBy(F.desc("km"), "a", "b").limit(500)
 
@@ -333,10 +365,13 @@ def _(spark, d):
     return contract.verify_expected(observed, rows.unionByName(fixed))
 
 
-@R.add("j7_csv_equivalent", "WITH t AS (SELECT c_acctbal AS a, c_acctbal::VARCHAR::DOUBLE AS b FROM customer), n AS (SELECT count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS n_both, count(*) FILTER (abs(a - b) > 1e-11 OR (a IS NULL) <> (b IS NULL)) AS mismatches FROM t) SELECT 'c_acctbal' AS variable, n_both, mismatches, CASE WHEN mismatches = 0 THEN 'EXACT' ELSE 'FAIL' END AS status FROM n")
+@R.add("j7_csv_equivalent", "SELECT unnest(['c_acctbal', 'c_name', 'c_mktsegment']) AS variable, count(*) AS n_both, 0::BIGINT AS n_only_a, 0::BIGINT AS n_only_b, 0::BIGINT AS mismatches, 'EXACT' AS status FROM customer")
 def _(spark, d):
     c = table(spark, d, "customer")
-    return contract.compare_frames(c, c.withColumn("c_acctbal", F.col("c_acctbal").cast("string").cast("double")), "c_custkey", ["c_acctbal"], 1e-11).select("variable", "n_both", "mismatches", "status")
+    columns, out = ["c_acctbal", "c_name", "c_mktsegment"], scratch.folder(spark, "files")
+    files.write_table(c.select("c_custkey", *columns), out)
+    back = files.read_table(spark, out, "c_custkey bigint, c_acctbal double, c_name string, c_mktsegment string")
+    return contract.compare_frames(c, back, "c_custkey", columns, 1e-11).select("variable", "n_both", "n_only_a", "n_only_b", "mismatches", "status")
 
 
 @R.add("j8_exclude_values", "SELECT c_custkey FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")
@@ -349,10 +384,10 @@ def _(spark, d):
     return contract.scan_status(table(spark, d, "events"), "event_type")
 
 
-@R.add("j10_order_invariance", "SELECT 0::BIGINT AS only_a, 0::BIGINT AS only_b, true AS equal")
+@R.add("j10_order_invariance", f"WITH RECURSIVE {COVER} SELECT landmark, count(*) AS n_both, 0::BIGINT AS only_a, 0::BIGINT AS only_b FROM member GROUP BY landmark")
 def _(spark, d):
     p, _, m = canonical(spark, d)
-    return cover.covers_equal(m, cover.build_cover(p.repartition(7, F.xxhash64("label")), AXES, 1.5)[1])
+    return cover.compare_covers(m, cover.build_cover(p.repartition(7, F.xxhash64("label")), AXES, 1.5)[1])
 
 
 @R.add("j11_qa_summary", "SELECT unnest(['rows', 'unique_keys', 'repeated_keys', 'malformed_keys', 'missing_c_acctbal']) AS metric, unnest([count(*), count(DISTINCT c_name), count(c_name) - count(DISTINCT c_name), count(*) FILTER (NOT regexp_matches(c_name, '^Customer#[0-9]{9}$')), count(*) FILTER (c_acctbal IS NULL)]) AS value FROM customer")

@@ -8,7 +8,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from coverscope.operators import scratch
+from coverscope.operators import bins, scratch
 from coverscope.plans.frames import table
 from coverscope.plans.joining import squares
 from coverscope.plans.registry import Registry
@@ -48,9 +48,8 @@ def pages(spark, d, size=400):
 @R.add("a3_read_feature_pages", "SELECT c_custkey AS code, CASE WHEN c_custkey % 7 = 0 THEN '-' ELSE c_name END AS name, c_custkey * 2.0::DOUBLE AS x, c_custkey + 0.5::DOUBLE AS y FROM customer")
 def _(spark, d):
     out = scratch.folder(spark, "files")
-    pages(spark, d).select("value").repartition(4).write.text(out)
-    lines = spark.read.text(out).select(F.explode(F.from_json("value", "features array<struct<attributes: struct<code: bigint, name: string>, geometry: struct<x: double, y: double>>>")["features"]).alias("f"))
-    return lines.select("f.attributes.code", F.coalesce("f.attributes.name", F.lit("-")).alias("name"), "f.geometry.x", "f.geometry.y")
+    pages(spark, d).write.partitionBy("page").text(out)  # a file for each page
+    return files.read_feature_pages(spark, f"{out}/page=*", {"code": "bigint", "name": "string"}, geometry=True).select("code", F.coalesce("name", F.lit("-")).alias("name"), "x", "y")
 
 
 @R.add("a4_audit_pages", "WITH t AS (SELECT count(*) AS t FROM customer) SELECT (c_custkey // 400)::DOUBLE AS page, count(*) AS n, least(400, max(t) - (c_custkey // 400) * 400)::BIGINT AS expected, count(*) = least(400, max(t) - (c_custkey // 400) * 400) AS passed FROM customer, t GROUP BY c_custkey // 400 UNION ALL SELECT -1.0, count(DISTINCT c_custkey), count(*), true FROM customer")
@@ -86,14 +85,42 @@ def _(spark, d):
     return cells.detect_code_column(sheet(spark, d), "^NATION_[0-9]+$", 10)
 
 
-@R.add("a7_resolve_header_tokens", "SELECT 'region' AS token, 2 AS col FROM nation WHERE n_nationkey = 0 UNION ALL SELECT 'totaln', 3 FROM nation WHERE n_nationkey = 0")
+def census(spark, d):
+    """Customers by nation and segment as a sheet, a column for each nation: names of regions over the first of their nations alone (merged cells), names of nations, then counts."""
+    n = bins.canonical_order(table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")), [F.col("n_regionkey"), F.col("n_nationkey")], "_place").select("n_nationkey", "n_regionkey", "n_name", "r_name", (F.col("_place") + 1).cast("int").alias("col"))
+    first = n.groupBy("n_regionkey").agg(F.min("col").alias("_first"))
+    top = n.join(first, "n_regionkey").select(F.lit(1).alias("row"), "col", F.when(F.col("col") == F.col("_first"), F.col("r_name")).otherwise("").alias("value"))
+    names = n.select(F.lit(2).alias("row"), "col", F.col("n_name").alias("value"))
+    c = table(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
+    segments = bins.canonical_order(c.select("c_mktsegment").distinct(), "c_mktsegment", "_place").select("c_mktsegment", (F.col("_place") + 2).cast("int").alias("row"))
+    body = c.join(segments, "c_mktsegment").join(n.select(F.col("n_nationkey").alias("c_nationkey"), "col"), "c_nationkey").select("row", "col", F.col("n").cast("string").alias("value"))
+    stub = segments.select("row", F.lit(1).alias("col"), F.col("c_mktsegment").alias("value"))
+    return top.unionByName(names).unionByName(body).unionByName(stub).select(F.lit("census").alias("sheet"), "row", "col", "value")
+
+
+NATIONS = "n AS (SELECT n_nationkey, n_regionkey, n_name, r_name, (1 + row_number() OVER (ORDER BY n_regionkey, n_nationkey))::INT AS col FROM nation JOIN region ON n_regionkey = r_regionkey)"
+
+
+@R.add("a7_resolve_header_tokens", f"WITH {NATIONS} SELECT regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') AS token, col FROM n WHERE n_regionkey >= 2 UNION ALL SELECT regexp_replace(lower(r_name), '[^a-z0-9]', '', 'g'), min(col) FROM n GROUP BY r_name")
+def _(spark, d):
+    wanted = table(spark, d, "nation").where("n_regionkey >= 2").select(F.col("n_name").alias("token")).unionByName(table(spark, d, "region").select(F.upper("r_name").alias("token")))
+    return cells.resolve_header_tokens(census(spark, d).where("row <= 2"), wanted)
+
+
+@R.add("a8_merge_headers", f"WITH {NATIONS} SELECT 'census' AS sheet, col, r_name || ' | ' || n_name AS label FROM n")
+def _(spark, d):
+    return cells.merge_headers(census(spark, d).where("row <= 2"))
+
+
+@R.add("e13_forward_fill", f"WITH {NATIONS} SELECT 'census' AS sheet, 1 AS \"row\", col, r_name AS filled FROM n UNION ALL SELECT 'census', 2, col, n_name FROM n")
 def _(spark, d):
-    return cells.resolve_header_tokens(sheet(spark, d).where("row = 2"), spark.createDataFrame([("Region",), ("TOTAL N",)], "token string"))
+    return cells.fill_right(census(spark, d).where("row <= 2")).select("sheet", "row", "col", "filled")
 
 
-@R.add("a8_merge_headers", "SELECT 's1' AS sheet, unnest([1, 2, 3, 4]) AS col, unnest(['Area', 'Counts | Region', 'Counts | Total (n)', 'Counts | Odd']) AS label FROM nation WHERE n_nationkey = 0")
+@R.add("e13_prefix_scan", "SELECT o_orderkey, last_value(CASE WHEN o_orderpriority = '1-URGENT' THEN o_custkey END IGNORE NULLS) OVER w AS last_urgent, sum((o_totalprice * 100)::BIGINT) OVER w::BIGINT AS running_cents FROM orders WINDOW w AS (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)")
 def _(spark, d):
-    return cells.merge_headers(sheet(spark, d).where("row <= 2"))
+    o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_custkey")).alias("_urgent"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("_cents"))
+    return bins.prefix_scan(o, ["o_orderkey"], {"last_urgent": ("last", "_urgent"), "running_cents": ("sum", "_cents")}).select("o_orderkey", "last_urgent", "running_cents")
 
 
 @R.add("a9_select_covered_columns", "SELECT 's1' AS sheet, 2 AS col, 'Counts | Region' AS label, count(*) AS n FROM nation UNION ALL SELECT 's1', 3, 'Counts | Total (n)', count(*) FROM nation")

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from coverscope.functions.columns import squared
-from coverscope.operators import bins, contrast, cover, near, profile, scratch, stability, sweep
+from coverscope.operators import bins, contrast, cover, near, profile, scale, scratch, stability, stats, sweep
 from coverscope.plans.covers import COVER, canonical
 from coverscope.plans.frames import AXES, POINTS, UNITS, points, units, xy, x_of, y_of
 from coverscope.plans.registry import Registry
@@ -264,10 +264,10 @@ def i34(spark, d):
     return rounded(stability.membership_stability(m, isolated(b, m)), "mean_memberships", "mean_isolated", "isolation_frequency")
 
 
-@R.add("i36_focal_tables", G + MEM + " SELECT ms.*, label FROM ms JOIN points ON unit = id WHERE unit % 100 = 0")
+@R.add("i36_focal_tables", G + MEM + " SELECT ms.*, label FROM ms JOIN points ON unit = id WHERE unit % 20 = 0")
 def _(spark, d):
-    labels = points(spark, d).select(F.col("id").alias("unit"), "label").where("unit % 100 = 0")
-    return i34(spark, d).join(F.broadcast(labels), "unit")
+    labels = points(spark, d).select(F.col("id").alias("unit"), "label").where("unit % 20 = 0")
+    return i34(spark, d).join(labels, "unit")
 
 
 @R.add(
@@ -375,7 +375,7 @@ def _(spark, d):
     return stability.scenario_audit(units(spark, d), scenarios(spark, d), SWEEP)
 
 
-BALLZ = ", bz AS (SELECT ball_id, avg(z1) AS z1, avg(z2) AS z2, avg(z3) AS z3 FROM member JOIN points ON unit = id GROUP BY ball_id), sc AS (SELECT *, (z1 + z2 + z3) / 3 AS s FROM bz), pr AS (SELECT x.ball_id AS a, y.ball_id AS b, abs(x.s - y.s) AS score_gap, sqrt((x.z1-y.z1)**2 + (x.z2-y.z2)**2 + (x.z3-y.z3)**2) AS axis_distance, sqrt((x.z1-x.s-y.z1+y.s)**2 + (x.z2-x.s-y.z2+y.s)**2 + (x.z3-x.s-y.z3+y.s)**2) AS profile_distance, x.z1 - y.z1 AS d1, x.z2 - y.z2 AS d2, x.z3 - y.z3 AS d3 FROM sc x JOIN sc y ON x.ball_id < y.ball_id)"
+BALLZ = ", bz AS (SELECT ball_id, avg(z1) AS z1, avg(z2) AS z2, avg(z3) AS z3 FROM member JOIN points ON unit = id GROUP BY ball_id), sc AS (SELECT *, (z1 + z2 + z3) / 3 AS s FROM bz), pr AS (SELECT x.ball_id AS a, y.ball_id AS b, abs(x.s - y.s) AS score_gap, sqrt((x.z1-y.z1)**2 + (x.z2-y.z2)**2 + (x.z3-y.z3)**2) AS axis_distance, sqrt((x.z1-x.s-y.z1+y.s)**2 + (x.z2-x.s-y.z2+y.s)**2 + (x.z3-x.s-y.z3+y.s)**2) AS profile_distance, x.z1 - y.z1 AS d1, x.z2 - y.z2 AS d2, x.z3 - y.z3 AS d3, (abs(x.z1) > 0.1 AND abs(y.z1) > 0.1 AND sign(x.z1) <> sign(y.z1))::INT + (abs(x.z2) > 0.1 AND abs(y.z2) > 0.1 AND sign(x.z2) <> sign(y.z2))::INT + (abs(x.z3) > 0.1 AND abs(y.z3) > 0.1 AND sign(x.z3) <> sign(y.z3))::INT AS sign_disagreements FROM sc x JOIN sc y ON x.ball_id < y.ball_id)"
 C = f"WITH RECURSIVE {COVER}{BALLZ} "
 
 
@@ -384,10 +384,15 @@ def ball_axes(spark, d):
     return cover.ball_means(m, p, "id", AXES), cover.edges(m)
 
 
-@R.add("i47_contrasts", C + "SELECT a, b, round(score_gap, 6) AS score_gap, round(axis_distance, 6) AS axis_distance, round(profile_distance, 6) AS profile_distance, score_gap <= 0.25 AND profile_distance >= 1 AS candidate, coalesce(strength, 0) AS strength FROM pr LEFT JOIN edge USING (a, b)")
+MIX = ", mx AS (SELECT ball_id, category, count(*) / sum(count(*)) OVER (PARTITION BY ball_id) AS p FROM member JOIN points ON unit = id GROUP BY ball_id, category), tv AS (SELECT x.ball_id AS a, y.ball_id AS b, sum(least(x.p, y.p)) AS c FROM mx x JOIN mx y ON x.category = y.category AND x.ball_id < y.ball_id GROUP BY ALL)"
+
+
+@R.add("i47_contrasts", C.rstrip() + MIX + " SELECT a, b, round(score_gap, 6) AS score_gap, round(axis_distance, 6) AS axis_distance, round(profile_distance, 6) AS profile_distance, sign_disagreements, score_gap <= 0.25 AND profile_distance >= 1 AS candidate, coalesce(strength, 0) AS strength, round(1 - coalesce(c, 0), 6) AS category_variation FROM pr LEFT JOIN edge USING (a, b) LEFT JOIN tv USING (a, b)")
 def _(spark, d):
-    means, edges = ball_axes(spark, d)
-    return rounded(contrast.contrasts(means, AXES, edges)).drop("sign_disagreements")
+    p, _, m = canonical(spark, d)
+    mix = profile.category_mix(m, p, "id", "category")
+    variation = stats.total_variation(mix.withColumnRenamed("ball_id", "ball"), "ball", "level", "share").withColumnRenamed("total_variation", "category_variation")
+    return rounded(contrast.contrasts(cover.ball_means(m, p, "id", AXES), AXES, cover.edges(m)).join(variation, ["a", "b"]))
 
 
 GAPS, DISTANCES = [0.05, 0.1, 0.15, 0.2, 0.25, 0.3], [1.0, 1.5, 2.0, 2.5, 3.0]
@@ -406,6 +411,12 @@ def _(spark, d):
     return contrast.weight_sensitivity(contrast.weighted_pairs(ball_axes(spark, d)[0], AXES, contrast.weight_simplex(spark)), 0.25, [1, 2, 3])
 
 
+@R.add("i49_weight_subsets", C + WEIGHTS + ", se AS (SELECT scheme, lw, count(*) FILTER (gap < 0.25 AND ad > 1) AS n_1, count(*) FILTER (gap < 0.25 AND ad > 2) AS n_2, count(*) FILTER (gap < 0.25 AND ad > 3) AS n_3 FROM wp GROUP BY ALL), lo AS (SELECT b::DOUBLE AS least_weight, unnest([1.0::DOUBLE, 2, 3]) AS distance, unnest([n_1, n_2, n_3]) AS n FROM se, (VALUES (0.0), (0.1), (0.2)) v(b) WHERE lw >= b) SELECT least_weight, distance, count(*) AS n_schemes, min(n) AS n_min, median(n) AS n_median, max(n) AS n_max FROM lo GROUP BY ALL")
+def _(spark, d):
+    each = contrast.weight_sensitivity(contrast.weighted_pairs(ball_axes(spark, d)[0], AXES, contrast.weight_simplex(spark)), 0.25, [1, 2, 3])
+    return contrast.weight_subsets(each, [0.0, 0.1, 0.2], [1, 2, 3])
+
+
 @R.add("i50_pair_frequency", C + WEIGHTS + " SELECT a, b, round(avg((gap < 0.25 AND ad > 1)::INT), 6) AS frequency FROM wp WHERE lw >= 0.2 GROUP BY ALL")
 def _(spark, d):
     return rounded(contrast.pair_frequency(contrast.weighted_pairs(ball_axes(spark, d)[0], AXES, contrast.weight_simplex(spark)), 0.25, 1.0))
@@ -416,19 +427,47 @@ def _(spark, d):
     return contrast.nearest_comparators(contrast.contrasts(ball_axes(spark, d)[0], AXES))
 
 
-@R.add(
-    "i51_contrast_robustness",
-    G + ", sc AS (SELECT *, (z1 + z2 + z3) / 3 AS s FROM gbm), pr AS (SELECT x.radius, x.replicate, abs(x.s - y.s) AS gap, sqrt((x.z1-y.z1)**2 + (x.z2-y.z2)**2 + (x.z3-y.z3)**2) AS ad FROM sc x JOIN sc y ON x.radius = y.radius AND x.replicate = y.replicate AND x.ball_id < y.ball_id) SELECT radius, replicate, count(*) AS n_pairs, count(*) FILTER (gap < 0.25 AND ad > 1) AS n_qualifying, round(count(*) FILTER (gap < 0.25 AND ad > 1) / count(*), 6) AS prevalence FROM pr GROUP BY ALL",
-)
+CELLS = ", sc AS (SELECT *, (z1 + z2 + z3) / 3 AS s FROM gbm), pr AS (SELECT x.radius, x.replicate, abs(x.s - y.s) AS gap, sqrt((x.z1-y.z1)**2 + (x.z2-y.z2)**2 + (x.z3-y.z3)**2) AS ad FROM sc x JOIN sc y ON x.radius = y.radius AND x.replicate = y.replicate AND x.ball_id < y.ball_id), ce AS (SELECT radius, replicate, g::DOUBLE AS gap, x::DOUBLE AS distance, count(*) AS n_pairs, count(*) FILTER (pr.gap < g AND ad > x) AS n_qualifying FROM pr, (VALUES (0.05), (0.1), (0.15), (0.2), (0.25), (0.3)) v(g), (VALUES (1), (1.5), (2), (2.5), (3)) w(x) GROUP BY ALL), ma AS (SELECT radius, replicate, n_balls, n_pairs, n_qualifying, n_qualifying / n_pairs AS prevalence FROM ce JOIN runs USING (radius, replicate) WHERE gap = 0.25 AND distance = 1)"
+SPREADS_OF = lambda c: f"round(median({c}), 6) AS {c}_median, round(quantile_cont({c}, 0.1), 6) AS {c}_q10, round(quantile_cont({c}, 0.9), 6) AS {c}_q90, round(min({c}), 6) AS {c}_min, round(max({c}), 6) AS {c}_max"
+KEYS = ["radius", "replicate"]
+
+
+def threshold_cells(spark, d):
+    """(30 cells of each cover of the grid, its cell of gap 0.25 and distance 1 with the number of balls and the prevalence)."""
+    p, b, m = grid(spark, d)
+    found = contrast.contrasts(cover.ball_means(m, p, "id", AXES, KEYS), AXES, by=KEYS)
+    cells = scratch.cut(contrast.threshold_grid(found, GAPS, DISTANCES, KEYS))
+    balls = b.groupBy(*KEYS).agg(F.count("*").alias("n_balls"))
+    main = cells.where("gap = 0.25 AND distance = 1").join(balls, KEYS).select(*KEYS, "n_balls", "n_pairs", "n_qualifying", (F.col("n_qualifying") / F.col("n_pairs")).alias("prevalence"))
+    return cells, main
+
+
+@R.add("i51_contrast_robustness", G + CELLS + " SELECT radius, replicate, n_balls, n_pairs, n_qualifying, round(prevalence, 6) AS prevalence FROM ma")
 def _(spark, d):
-    p, _, m = grid(spark, d)
-    keys = ["radius", "replicate"]
-    found = contrast.contrasts(cover.ball_means(m, p, "id", AXES, keys), AXES, by=keys)
-    cell = contrast.threshold_grid(found, [0.25], [1.0], keys)
-    return rounded(cell.select(*keys, "n_pairs", "n_qualifying", (F.col("n_qualifying") / F.col("n_pairs")).alias("prevalence")), "prevalence")
+    return rounded(threshold_cells(spark, d)[1], "prevalence")
+
+
+@R.add("i51_threshold_cells", G + CELLS + " SELECT radius, replicate, gap, distance, n_pairs, n_qualifying FROM ce")
+def _(spark, d):
+    return threshold_cells(spark, d)[0]
+
+
+@R.add("i51_by_cell", G + CELLS + f", cp AS (SELECT *, n_qualifying / n_pairs AS prevalence FROM ce) SELECT radius, gap, distance, count(*) AS n_runs, {SPREADS_OF('n_qualifying')}, {SPREADS_OF('prevalence')}, round(avg((n_qualifying > 0)::INT), 6) AS share_any FROM cp GROUP BY ALL")
+def _(spark, d):
+    return rounded(contrast.robustness_cells(threshold_cells(spark, d)[0]))
+
+
+@R.add("i51_by_radius", G + CELLS + f" SELECT radius, count(*) AS n_runs, {SPREADS_OF('n_balls')}, {SPREADS_OF('n_qualifying')}, {SPREADS_OF('prevalence')} FROM ma GROUP BY radius")
+def _(spark, d):
+    return rounded(contrast.spread(threshold_cells(spark, d)[1], ["radius"], ["n_balls", "n_qualifying", "prevalence"]))
+
+
+@R.add("i51_overall", G + CELLS + ", ev AS (SELECT replicate, bool_and(n_qualifying > 0) AS ok FROM ma GROUP BY replicate) SELECT unnest(['covers', 'share_of_orders_nonzero_at_all_radii', 'prevalence_min', 'prevalence_median', 'prevalence_max']) AS metric, unnest([count(*)::DOUBLE, (SELECT avg(ok::INT) FROM ev), round(min(prevalence), 6), round(median(prevalence), 6), round(max(prevalence), 6)]) AS value FROM ma")
+def _(spark, d):
+    return rounded(contrast.robustness_overall(threshold_cells(spark, d)[1]), "value")
 
 
-PAIRS = f"""dr AS (SELECT k AS pair, n, ('0x' || substr(md5(k || ':a11'), 1, 12))::BIGINT % n AS i, ('0x' || substr(md5(k || ':b11'), 1, 12))::BIGINT % n AS j0 FROM range(0, 2000) r(k), (SELECT count(*) AS n FROM points)), pp AS (SELECT pair, i, CASE WHEN i = j0 THEN (j0 + 1) % n ELSE j0 END AS j FROM dr),
+PAIRS = f"""dr AS (SELECT k AS pair, n, ('0x' || substr(md5(k || ':a11'), 1, 12))::BIGINT % n AS i, ('0x' || substr(md5(k || ':b11'), 1, 12))::BIGINT % n AS j0 FROM range(0, 500000) r(k), (SELECT count(*) AS n FROM points)), pp AS (SELECT pair, i, CASE WHEN i = j0 THEN (j0 + 1) % n ELSE j0 END AS j FROM dr),
 pos AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS p, {xy('id')} FROM points), ps AS (SELECT pair, a.id AS a, b.id AS b, round(sqrt((a.z1-b.z1)*(a.z1-b.z1) + (a.z2-b.z2)*(a.z2-b.z2) + (a.z3-b.z3)*(a.z3-b.z3)), 6) AS config_distance, round(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) / 1000, 6) AS km FROM pp JOIN pos a ON a.p = i JOIN pos b ON b.p = j)"""
 
 
@@ -436,23 +475,36 @@ def pair_distances(spark, d):
     p = stability.with_positions(points(spark, d).withColumns({"x": x_of(F.col("id")), "y": y_of(F.col("id"))}), "id").select("id", "position", "x", "y", *AXES)
     a = p.select([F.col(c).alias("a" if c == "id" else f"_a{c}") for c in p.columns])
     b = p.select([F.col(c).alias("b" if c == "id" else f"_b{c}") for c in p.columns])
-    pairs = stability.pair_sample(p, 2000, 11).join(a, F.col("i") == F.col("_aposition")).join(b, F.col("j") == F.col("_bposition"))
+    pairs = stability.pair_sample(p, 500_000, 11).join(a, F.col("i") == F.col("_aposition")).join(b, F.col("j") == F.col("_bposition"))
     gap = lambda cs: F.sqrt(squared([F.col(f"_a{c}") for c in cs], [F.col(f"_b{c}") for c in cs]))
     return pairs.select("pair", "a", "b", F.round(gap(AXES), 6).alias("config_distance"), F.round(gap(["x", "y"]) / 1000, 6).alias("km"))
 
 
-@R.add("i57_pair_sample", f"WITH RECURSIVE {COVER}, {PAIRS} SELECT ps.*, (SELECT count(*) FROM member m JOIN member n ON m.ball_id = n.ball_id WHERE m.unit = ps.a AND n.unit = ps.b)::INT AS shared FROM ps")
+SHARE = ", cm AS (SELECT m.unit AS a, n.unit AS b, count(*) AS c FROM member m JOIN member n ON m.ball_id = n.ball_id GROUP BY ALL)"
+
+
+@R.add("i57_pair_sample", f"WITH RECURSIVE {COVER}, {PAIRS}{SHARE} SELECT ps.*, coalesce(c, 0)::INT AS shared FROM ps LEFT JOIN cm USING (a, b)")
 def _(spark, d):
     return stability.shared_balls(pair_distances(spark, d), canonical(spark, d)[2], "a", "b")
 
 
-@R.add(
-    "i58_distance_deciles",
-    f"WITH {POINTS}, {PAIRS}, br AS (SELECT list_distinct(quantile_cont(config_distance, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1])) AS br FROM ps), bb AS (SELECT ps.*, least(1 + len(list_filter(list_sort(br)[2:], lambda q: config_distance > q)), len(br) - 1)::INT AS bin FROM ps, br) SELECT bin, count(*) AS n, round(avg(km), 6) AS mean_km, round(median(km), 6) AS median_km FROM bb GROUP BY bin",
-)
+def _deciles(on):
+    return f"""SELECT '{on}' AS conditioning, least(1 + len(list_filter(list_sort(br)[2:], lambda q: {on} > q)), len(br) - 1)::INT AS bin, count(*) AS n, round(median(config_distance), 6) AS median_config, round(median(km), 6) AS median_km, round(avg(km), 6) AS mean_km, round(avg((km > 50)::INT), 6) AS share_50, round(avg((km > 100)::INT), 6) AS share_100, round(avg((shared > 0)::INT), 6) AS share_shared
+FROM sp, (SELECT list_distinct(quantile_cont({on}, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1])) AS br FROM ps) GROUP BY ALL"""
+
+
+@R.add("i58_distance_deciles", f"WITH RECURSIVE {COVER}, {PAIRS}{SHARE}, sp AS (SELECT ps.*, coalesce(c, 0) AS shared FROM ps LEFT JOIN cm USING (a, b)) " + _deciles("config_distance") + " UNION ALL " + _deciles("km"))
 def _(spark, d):
-    binned = bins.quantile_bins(pair_distances(spark, d), "config_distance")
-    return rounded(binned.groupBy("bin").agg(F.count("*").alias("n"), F.avg("km").alias("mean_km"), F.percentile("km", 0.5).alias("median_km")))
+    rows, out = scratch.cut(stability.shared_balls(pair_distances(spark, d), canonical(spark, d)[2], "a", "b")), None
+    for on in ("config_distance", "km"):
+        binned = bins.quantile_bins(rows, on)
+        far = lambda k: F.avg((F.col("km") > k).cast("double")).alias(f"share_{k}")
+        found = binned.groupBy("bin").agg(F.count("*").alias("n"), F.avg("km").alias("mean_km"), far(50), far(100), F.avg((F.col("shared") > 0).cast("double")).alias("share_shared"))
+        for c, new in (("config_distance", "median_config"), ("km", "median_km")):
+            found = found.join(scale.group_quantiles(binned, ["bin"], c, [0.5], "_q").select("bin", F.get("_q", F.lit(0)).alias(new)), "bin")
+        found = found.withColumn("conditioning", F.lit(on))
+        out = found if out is None else out.unionByName(found)
+    return rounded(out)
 
 
 def ground(spark, d):
@@ -469,15 +521,6 @@ def _(spark, d):
     return rounded(profile.ball_spread(m, xy_))
 
 
-@R.add(
-    "i60_contrast_spatial",
-    f"WITH RECURSIVE {COVER}{CENTRE} SELECT x.ball_id AS a, y.ball_id AS b, coalesce(strength, 0) AS shared_members, round(coalesce(strength, 0) / (x.n + y.n - coalesce(strength, 0)), 6) AS jaccard, round(sqrt((x.cx-y.cx)**2 + (x.cy-y.cy)**2) / 1000, 6) AS centroid_km FROM ce x JOIN ce y ON x.ball_id < y.ball_id LEFT JOIN edge ON a = x.ball_id AND b = y.ball_id",
-)
-def _(spark, d):
-    xy_, _, m = ground(spark, d)
-    return rounded(profile.pair_spread(m, xy_))
-
-
 NEAR_KM = 2000.0
 ADJACENT = f", pl AS (SELECT id, {xy('id')} FROM points), ad AS (SELECT p.id AS a, q.id AS b FROM pl p JOIN pl q ON p.id < q.id AND (p.x-q.x)*(p.x-q.x) + (p.y-q.y)*(p.y-q.y) <= {NEAR_KM**2})"
 
@@ -500,11 +543,32 @@ def _(spark, d):
     return rounded(profile.ball_adjacency(m, adjacency(places)))
 
 
+@R.add("i59_ball_moran", f"""WITH RECURSIVE {COVER}{ADJACENT}, bw AS (SELECT a AS u, b AS v FROM ad UNION ALL SELECT b, a FROM ad), un AS (SELECT DISTINCT u FROM bw), fl AS (SELECT ball_id, u, (EXISTS (SELECT 1 FROM member m WHERE m.unit = u AND m.ball_id = balls.ball_id))::INT AS f FROM un, balls),
+z AS (SELECT ball_id, u, f - avg(f) OVER (PARTITION BY ball_id) AS z FROM fl), lg AS (SELECT x.ball_id, bw.u, avg(x.z) AS lag FROM bw JOIN z x ON x.u = bw.v GROUP BY ALL) SELECT z.ball_id, round(sum(z * lag) / sum(z * z), 6) AS moran FROM z JOIN lg ON lg.ball_id = z.ball_id AND lg.u = z.u GROUP BY z.ball_id""")
+def _(spark, d):
+    places, _, m = ground(spark, d)
+    return rounded(profile.membership_moran(m, adjacency(places)))
+
+
+CROSS = f"{ADJACENT}, xr AS (SELECT DISTINCT least(m.ball_id, n.ball_id) AS a, greatest(m.ball_id, n.ball_id) AS b, ad.a AS u, ad.b AS v FROM ad JOIN member m ON m.unit = ad.a JOIN member n ON n.unit = ad.b AND m.ball_id <> n.ball_id), xc AS (SELECT a, b, count(*) AS n_cross FROM xr GROUP BY a, b)"
+
+
+@R.add("i60_cross_adjacency", f"WITH RECURSIVE {COVER}{CROSS} SELECT * FROM xc")
+def _(spark, d):
+    places, _, m = ground(spark, d)
+    return profile.cross_adjacency(m, adjacency(places))
+
+
 @R.add(
-    "i60_cross_adjacency",
-    f"""WITH RECURSIVE {COVER}{ADJACENT}, bw AS (SELECT a AS u, b AS v FROM ad UNION ALL SELECT b, a FROM ad), cr AS (SELECT m.ball_id AS a, n.ball_id AS b, u, v FROM bw JOIN member m ON m.unit = u JOIN member n ON n.unit = v AND m.ball_id < n.ball_id)
-SELECT a, b, count(*) AS n_cross FROM cr WHERE NOT EXISTS (SELECT 1 FROM member k WHERE k.unit = u AND k.ball_id = cr.b) AND NOT EXISTS (SELECT 1 FROM member k WHERE k.unit = v AND k.ball_id = cr.a) GROUP BY a, b""",
+    "i60_contrast_spatial",
+    f"""WITH RECURSIVE {COVER}{CENTRE}{CROSS}, pq AS (SELECT x.ball_id AS a, y.ball_id AS b, gx.unit, gx.x, gx.y FROM balls x JOIN balls y ON x.ball_id < y.ball_id JOIN gx ON gx.ball_id = x.ball_id ANTI JOIN member k ON k.unit = gx.unit AND k.ball_id = y.ball_id),
+qq AS (SELECT x.ball_id AS a, y.ball_id AS b, gx.x, gx.y FROM balls x JOIN balls y ON x.ball_id < y.ball_id JOIN gx ON gx.ball_id = y.ball_id ANTI JOIN member k ON k.unit = gx.unit AND k.ball_id = x.ball_id),
+gp AS (SELECT pq.a, pq.b, unit, min(sqrt((pq.x-qq.x)*(pq.x-qq.x) + (pq.y-qq.y)*(pq.y-qq.y))) / 1000 AS km FROM pq JOIN qq ON pq.a = qq.a AND pq.b = qq.b GROUP BY ALL), gs AS (SELECT a, b, min(km) AS lo, median(km) AS mid FROM gp GROUP BY ALL)
+SELECT x.ball_id AS a, y.ball_id AS b, coalesce(strength, 0) AS shared_members, round(coalesce(strength, 0) / (x.n + y.n - coalesce(strength, 0)), 6) AS jaccard, round(sqrt((x.cx-y.cx)**2 + (x.cy-y.cy)**2) / 1000, 6) AS centroid_km,
+coalesce(round(lo, 6), -1) AS min_exclusive_km, coalesce(round(mid, 6), -1) AS median_exclusive_km, coalesce(n_cross, 0) AS n_cross
+FROM ce x JOIN ce y ON x.ball_id < y.ball_id LEFT JOIN edge e ON e.a = x.ball_id AND e.b = y.ball_id LEFT JOIN gs ON gs.a = x.ball_id AND gs.b = y.ball_id LEFT JOIN xc ON xc.a = x.ball_id AND xc.b = y.ball_id""",
 )
 def _(spark, d):
     places, _, m = ground(spark, d)
-    return profile.cross_adjacency(m, adjacency(places))
+    found = profile.pair_spread(m, places).join(profile.exclusive_gaps(m, places), ["a", "b"], "left").join(profile.cross_adjacency(m, adjacency(places)), ["a", "b"], "left")
+    return rounded(found, "jaccard", "centroid_km", "min_exclusive_km", "median_exclusive_km").fillna(-1.0, ["min_exclusive_km", "median_exclusive_km"]).fillna(0, ["n_cross"])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coverscope.functions.columns import to_number
+from coverscope.operators.bins import prefix_scan
 from coverscope.operators.joins import ContractError
 from coverscope.operators.scratch import cut
 from coverscope.operators.stats import partitions_equivalent
@@ -34,10 +35,15 @@ def resolve_header_tokens(headers: DataFrame, tokens: DataFrame) -> DataFrame:
     return found.select("token", "col")
 
 
+def fill_right(headers: DataFrame) -> DataFrame:
+    """headers with `filled`: the cell's own text, or else the last one left of it in its row; null before the first."""
+    rows = headers.withColumn("_text", F.nullif(F.trim("value"), F.lit("")))
+    return prefix_scan(rows, ["col"], {"filled": ("last", "_text")}, ["sheet", "row"]).drop("_text")
+
+
 def merge_headers(headers: DataFrame) -> DataFrame:
     """sheet, col and label: each header row filled to the right, the distinct labels of a column joined with ' | '."""
-    w = Window.partitionBy("sheet", "row").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
-    filled = headers.withColumn("value", F.last(F.nullif(F.trim("value"), F.lit("")), ignorenulls=True).over(w)).where("value is not null")
+    filled = fill_right(headers).select("sheet", "row", "col", F.col("filled").alias("value")).where("value is not null")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("row", "value"))), lambda x: x["value"])
     return filled.groupBy("sheet", "col").agg(F.array_join(F.array_distinct(parts), " | ").alias("label"))
 
