@@ -6,7 +6,8 @@ punctuation marks, both per node. Both ratios are smoothed along the page with a
 fused by a product of logarithms, and each path gets the mean of its nodes, times a weight:
 menus, footers, sidebars, forms and page headers, told by their element, weigh nothing;
 article and main weigh more; an element whose class, id or role has more words of page
-furniture than of articles weighs less. Paths at or above a share of the standard deviation
+furniture than of articles weighs less. A form, a header or such a class that holds all the
+prose of a page is its wrapper, and lowers nothing. Paths at or above a share of the standard deviation
 (and of the best path) are content.
 
 The text is made of the content paths' nodes. The smallest element with nearly all of them
@@ -17,7 +18,8 @@ something below the home lowers their path's weight.
 Character references are decoded; white space inside a block (line breaks too) becomes one
 space; blocks are trimmed and joined in page order by a newline. A null or empty page, or
 one without text, gives an empty string. Unclosed tags close as HTML's own rules have it
-(a paragraph ends at the next block); a tag without its end stops at the next one. Time
+(a paragraph ends at the next block); a tag without its end stops at the next one; scripts and
+styles that never end hide the rest of the page, other elements without text don't. Time
 grows with the page's length, however its tags are nested or broken. Pages don't depend on
 each other, so repeated rows get equal results. A column main_text gives way to the result.
 """
@@ -38,10 +40,13 @@ from coverscope.llm.shared import schema_of
 ATTRS = r"(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+(?:>|(?=<)|\Z)"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*+>?"
-    rf"|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|object|select|title|head)\b{ATTRS}.*?(?:</(?P=raw)\s*+>|\Z)"
     rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*+)(?P<attrs>{ATTRS})",
     re.S | re.I,
 )
+#: Elements whose content is no text of the page, and the end of each.
+RAW = {t: re.compile(rf"</{t}\s*+>", re.I) for t in "script style noscript template textarea svg iframe object select title".split()}
+#: Of these, the ones that last to the end of the page if they are never closed; of a title that is not, the text up to the next tag goes; of the others only the tag.
+CODE = ("script", "style")
 HINT = re.compile(r"(?<!\S)(class|id|role)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -51,6 +56,8 @@ ENDS_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "
 SHUTS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Elements that by HTML's own meaning hold no article.
 NEVER = frozenset("nav footer aside form button menu dialog".split())
+#: Of what lowers a path, the elements that can wrap a whole page.
+WRAPS = frozenset(("form", "header"))
 #: Blocks that are a part of an article, not its home.
 PARTS = frozenset("p li h1 h2 h3 h4 h5 h6 td th tr tbody pre dd dt caption figcaption".split())
 WHOLE = frozenset(("", "html", "body"))
@@ -61,15 +68,18 @@ AGAINST = frozenset(
 FOR = frozenset("article body content contents entry main page post story text".split())
 HINTED, CONTAINER = 0.05, 4.0
 MARKS = ".,;:!?"
+#: Characters of a block (with a mark) that read like prose; prose that a page has at least where it has an article; how many times more of it a lowered element must have to be taken for the article.
+PROSE, ENOUGH, MORE = 40, 100, 4
 
 
 class Node:
-    """An element: path is a number, equal for equal paths; weight is that of its path; holds is where the nearest block starts, itself included."""
+    """An element: path is a number, equal for equal paths; own is its factor and weight that of its path; low is the nearest element that lowers it, itself included, barred whether one of those can be no article's home."""
 
-    __slots__ = ("tag", "path", "weight", "parent", "depth", "block", "inner", "chars", "inside")
+    __slots__ = ("tag", "path", "own", "wraps", "weight", "low", "barred", "parent", "depth", "block", "inner", "chars", "inside")
 
-    def __init__(self, tag: str, path: int, weight: float, parent: Node | None, inner: bool):
-        self.tag, self.path, self.weight, self.parent, self.inner = tag, path, weight, parent, inner
+    def __init__(self, tag: str, path: int, own: float, wraps: bool, parent: Node | None, inner: bool):
+        self.tag, self.path, self.own, self.wraps, self.parent, self.inner = tag, path, own, wraps, parent, inner
+        self.weight, self.low, self.barred = 1.0, None, False
         self.depth = parent.depth + 1 if parent else 0
         self.block = self if parent is None or tag in BLOCK else parent.block
         self.chars, self.inside = 0, False
@@ -81,17 +91,52 @@ def hint(attrs: str) -> int:
     return sum(w in FOR for w in words) - sum(w in AGAINST for w in words)
 
 
-def own_weight(tag: str, attrs: str, inner: bool) -> float:
-    """What an element multiplies the weight of paths through it by; inner: it is inside an article or main element."""
+def own_weight(tag: str, attrs: str, inner: bool) -> tuple[float, bool]:
+    """What an element multiplies the weight of paths through it by, and whether it may be a mere wrapper of the article; inner: it is inside an article or main element."""
     if tag in NEVER or tag == "header" and not inner:
-        return 0.0
+        return 0.0, tag in WRAPS
     low = HINTED if attrs and tag not in ("html", "body", "main") and hint(attrs) < 0 else 1.0
-    return low * (CONTAINER if tag in ("article", "main") and not inner else 1.0)
+    return low * (CONTAINER if tag in ("article", "main") and not inner else 1.0), low < 1
+
+
+def weigh(every: list[Node], found: list[tuple[Node, str, int]]) -> None:
+    """Gives each element the weight of its path.
+
+    A form, a page header or a class word lowers what it holds only beside something else that reads like an article: on a
+    page with hardly any prose elsewhere, the lowered element with the most of it is taken for a wrapper and lowers nothing."""
+
+    def settle(free: set[Node]) -> None:
+        for node in every[1:]:
+            up, lowers = node.parent, node.own < 1 and node not in free
+            node.weight = up.weight * (1.0 if node in free else node.own)
+            node.low = node if lowers else up.low
+            node.barred = up.barred or lowers and not node.wraps
+
+    settle(set())
+    size: Counter = Counter()
+    marked = set()
+    for _, t, block in found:
+        size[block] += len(t.strip())
+        if any(c in t for c in MARKS):
+            marked.add(block)
+    prose = [(n, len(t.strip())) for n, t, block in found if size[block] >= PROSE and block in marked]
+    plain, lowered = sum(k for n, k in prose if n.low is None), Counter()
+    for n, k in prose:
+        if n.low is not None and not n.barred:
+            lowered[n.low] += k
+    if plain < ENOUGH and lowered:
+        best, most = max(lowered.items(), key=lambda x: x[1])
+        if MORE * plain < most:
+            free, node = set(), best
+            while node is not None:
+                free.add(node)
+                node = node.parent.low
+            settle(free)
 
 
 def nodes(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
     """The elements, parents first, and the text nodes: element, decoded text, number of the block."""
-    top = Node("", 0, 1.0, None, False)
+    top = Node("", 0, 1.0, False, None, False)
     every, found, paths, open_ = [top], [], {}, Counter()
     at, block, last = top, 0, 0
 
@@ -110,11 +155,25 @@ def nodes(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
             up = up.parent
         return up
 
-    for m in TOKEN.finditer(page):
+    never_closed: set[str] = set()
+    start = 0
+    while m := TOKEN.search(page, start):
         text(m.start())
-        last = m.end()
+        start = last = m.end()
         tag = (m["tag"] or "").lower()
-        if not tag:
+        if not tag or tag == "head":  # what is in a head is told by its own elements, wherever the head ends
+            continue
+        if tag in RAW:
+            if not m["end"]:
+                shut = None if tag in never_closed else RAW[tag].search(page, last)
+                if shut:
+                    start = last = shut.end()
+                else:
+                    never_closed.add(tag)
+                    if tag in CODE:
+                        start = last = len(page)
+                    elif tag == "title":
+                        start = last = (page.find("<", last) + 1 or len(page) + 1) - 1
             continue
         if tag in BLOCK:
             block += 1
@@ -143,11 +202,11 @@ def nodes(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
         attrs = m["attrs"]
         classes = next((x[2] or x[3] or x[4] or "" for x in HINT.finditer(attrs) if x[1].lower() == "class"), "") if "lass" in attrs.lower() else ""
         path = paths.setdefault((at.path, tag, re.sub(r"[0-9]+", "", classes)), len(paths) + 1)
-        weight = at.weight * own_weight(tag, attrs, at.inner)
-        at = Node(tag, path, weight, at, at.inner or tag in ("article", "main"))
+        at = Node(tag, path, *own_weight(tag, attrs, at.inner), at, at.inner or tag in ("article", "main"))
         every.append(at)
         open_[tag] += 1
     text(len(page))
+    weigh(every, found)
     return every, found
 
 

@@ -71,6 +71,31 @@ def test_html_words_of_a_class_are_weighed(name):
     assert html_extract.main_text(page) == ARTICLE_TEXT
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>T</title><meta charset=utf-8><body>{}</body></html>",
+        "<html><head><style>p{{}}</style><body><div>{}</div>",
+        "<html><head><title>T<body>{}</body></html>",
+        "<body><noscript>{}",
+        "<body><p><svg><path d=x></p>{}</body>",
+        "<body><select><option>{}</body>",
+        "<body><object data=x>{}</body>",
+        "<body><form action=x><nav>Menu</nav>{}<footer>f</footer></form></body>",
+        '<body><form><div class="page-form"><div class="ad">Buy!</div>{}</div></form></body>',
+        '<body><div class="social-notices">{}</div><p>One short plain line.</p></body>',
+        '<body><header><div class="share">{}</div></header></body>',
+    ],
+)
+def test_html_no_article_is_lost(page):
+    assert ARTICLE_TEXT in html_extract.main_text(page.format(ARTICLE))
+
+
+def test_html_comments_stay_out_beside_a_short_article():
+    page = f"<body><div>{ARTICLE}</div><div class=comments>{'<p>So true, so very true, I could not agree more with it.</p>' * 60}</div><form><p>Write a comment, please; it will be read by us all.</p></form></body>"
+    assert html_extract.main_text(page) == ARTICLE_TEXT
+
+
 def test_html_paths_decide(monkeypatch):
     page = f"<div><ul><li><a>Home</a></li><li><a>Shop</a></li><li><a>About</a></li></ul></div><nav>Menu</nav><div><div>{ARTICLE * 3}</div><div>{"<a>Next</a> " * 12}</div></div><footer>f</footer>"
     assert html_extract.main_text(page) == "\n".join([ARTICLE_TEXT] * 3)
@@ -94,7 +119,7 @@ def test_html_ratios_equal_the_plain_rule():
         assert html_extract.path_scores(np.array(path), np.array(chars, float), np.array(marks, float), 1.5) == pytest.approx(want)
 
 
-@pytest.mark.parametrize("part", ["<a ", "<div>", '<a "', "<b><div></div>", "<!", "<p>x, y. ", "<ul><li>a, b. ", "</x></div>", "<a '\"", "<p><table><td><b><div></div>"])
+@pytest.mark.parametrize("part", ["<a ", "<div>", '<a "', "<b><div></div>", "<!", "<p>x, y. ", "<ul><li>a, b. ", "</x></div>", "<a '\"", "<p><table><td><b><div></div>", "<select><option>x", "<title>t "])
 def test_html_time_grows_with_the_length(part):
     def seconds(n):
         page, start = "<div>" * 2000 + part * n + "end", time.process_time()
