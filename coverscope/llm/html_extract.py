@@ -68,7 +68,7 @@ AGAINST = frozenset(
 FOR = frozenset("article body content contents entry main page post story text".split())
 HINTED, CONTAINER = 0.05, 4.0
 MARKS = ".,;:!?"
-#: Characters of a block (with a mark) that read like prose; prose that a page has at least where it has an article; how many times more of it a lowered element must have to be taken for the article.
+#: Characters of a block (with a mark) that read like prose; prose that a page has at least where it has an article; how many times more of it than there is other text a lowered element must have to be taken for the article.
 PROSE, ENOUGH, MORE = 40, 100, 4
 
 
@@ -121,12 +121,13 @@ def weigh(every: list[Node], found: list[tuple[Node, str, int]]) -> None:
             marked.add(block)
     prose = [(n, len(t.strip())) for n, t, block in found if size[block] >= PROSE and block in marked]
     plain, lowered = sum(k for n, k in prose if n.low is None), Counter()
+    text = sum(len(t.strip()) for n, t, _ in found if n.low is None)
     for n, k in prose:
         if n.low is not None and not n.barred:
             lowered[n.low] += k
     if plain < ENOUGH and lowered:
         best, most = max(lowered.items(), key=lambda x: x[1])
-        if MORE * plain < most:
+        if MORE * text < most:
             free, node = set(), best
             while node is not None:
                 free.add(node)
