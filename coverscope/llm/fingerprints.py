@@ -125,7 +125,7 @@ def edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     links = next_documents(rows).select(key("doc_id").alias("_key"), key("to_id").alias("_to"), "third")
     given = (
         rows.join(links, "_key")
-        .select(F.col("_to").alias("_key"), F.struct(F.md5(F.col("text").cast("binary")).alias("md5"), F.expr("left(text, third)").alias("head"), packed(sketch(F.col("text"), k, size)).alias("sketch")).alias("next"))
+        .select(F.col("_to").alias("_key"), F.struct(F.md5(F.col("text").cast("binary")).alias("md5"), F.expr("left(text, third)").alias("head"), packed(sketch(F.col("text"), k, size)).alias("sketch"), "doc_id").alias("next"))  # the id, so that both joins read the same columns of one shuffle
         .groupBy("_key")
         .agg(F.min("next").alias("next"))
     )
