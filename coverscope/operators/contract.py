@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from coverscope.functions.columns import finite
 from coverscope.operators.joins import ContractError
 
 
-def table_contract(df: DataFrame, key: str | None = None, min_rows: int = 1, exact_rows: int | None = None, required: Sequence[str] = (), non_missing: Sequence[str] = (), numeric: Sequence[str] = (), positive: Sequence[str] = (), non_negative: Sequence[str] = (), integer_like: Sequence[str] = (), bounds: dict[str, tuple[float, float]] | None = None, varying: Sequence[str] = (), tidy: Sequence[str] = ()) -> DataFrame:
-    """check, violations and passed for each rule."""
+def rules_of(df: DataFrame, min_rows: int = 1, exact_rows: int | None = None, required: Sequence[str] = (), non_missing: Sequence[str] = (), numeric: Sequence[str] = (), positive: Sequence[str] = (), non_negative: Sequence[str] = (), integer_like: Sequence[str] = (), bounds: dict[str, tuple[float, float]] | None = None, varying: Sequence[str] = (), tidy: Sequence[str] = ()) -> dict[str, Column]:
+    """Aggregates that count violations, by the name of the rule."""
     absent = [c for c in required if c not in df.columns]
     n = F.count("*")
     bad = lambda c, ok: F.count_if(F.col(c).isNotNull() & ~F.coalesce(ok, F.lit(False)))
     rules = {"min_rows": F.when(n >= min_rows, 0).otherwise(1), "required_columns": F.lit(len(absent))}
     if exact_rows is not None:
         rules["exact_rows"] = F.abs(n - exact_rows)
-    if key:
-        rules[f"unique:{key}"] = n - F.count_distinct(key)
     rules |= {f"non_missing:{c}": F.count_if(F.col(c).isNull()) for c in non_missing}
     rules |= {f"finite:{c}": F.count_if(finite(F.col(c)).isNull()) for c in numeric}
     rules |= {f"positive:{c}": bad(c, F.col(c) > 0) for c in positive}
@@ -29,10 +28,45 @@ def table_contract(df: DataFrame, key: str | None = None, min_rows: int = 1, exa
     rules |= {f"bounds:{c}": bad(c, F.col(c).between(lo, hi)) for c, (lo, hi) in (bounds or {}).items()}
     rules |= {f"varying:{c}": F.when(F.min(c) < F.max(c), 0).otherwise(1) for c in varying}
     rules |= {f"trimmed:{c}": bad(c, F.col(c) == F.trim(F.col(c))) for c in tidy}
+    return rules
+
+
+def table_contract(df: DataFrame, key: str | None = None, **spec) -> DataFrame:
+    """check, violations and passed for each rule of spec (see rules_of); one aggregate job."""
+    rules = rules_of(df, **spec)
+    if key:
+        rules[f"unique:{key}"] = F.count("*") - F.count_distinct(key)
     one = df.agg(*[v.cast("bigint").alias(k) for k, v in rules.items()])
     return one.unpivot([], [f"`{k}`" for k in rules], "check", "violations").withColumn("passed", F.col("violations") == 0)
 
 
+def write_checked(df: DataFrame, path: str, key: str | None = None, **spec) -> DataFrame:
+    """Writes df as Parquet to path if all rules of spec hold; the report (check, violations, passed). A broken table is an error and leaves nothing behind.
+
+    The rules are observed while the rows are written to a staging path beside it, so the table is computed once;
+    a unique key needs its own column read again from there. Only then the staging path gets its name."""
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    target, staged = hadoop(path), hadoop(f"{path}.staging-{uuid.uuid4().hex}")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        raise ContractError(f"{path} exists")
+    rules, seen = rules_of(df, **spec), Observation()
+    try:
+        df.observe(seen, *[v.cast("bigint").alias(k) for k, v in rules.items()]).write.parquet(staged.toString())
+        found = dict(seen.get)
+        if key:
+            found[f"unique:{key}"] = spark.read.parquet(staged.toString()).agg(F.count("*") - F.count_distinct(key)).first()[0]
+        failed = [k for k, v in found.items() if v]
+        if failed:
+            raise ContractError(", ".join(failed))
+        if not fs.rename(staged, target):
+            raise ContractError(f"{path} could not be published")
+    finally:
+        fs.delete(staged, True)
+    return spark.createDataFrame([(k, int(v), True) for k, v in found.items()], "check string, violations bigint, passed boolean")
+
+
 def enforce(report: DataFrame) -> None:
     """Raises if a check of a report failed."""
     failed = [r["check"] for r in report.where(~F.col("passed")).collect()]

@@ -148,11 +148,18 @@ def comembership_frequency(pairs: DataFrame, runs: DataFrame) -> DataFrame:
     return pairs.groupBy("radius", "id1", "id2").agg(F.count("*").alias("runs_together")).join(F.broadcast(n), "radius").withColumn("frequency", F.col("runs_together") / F.col("_n")).drop("_n")
 
 
-def colour_robustness(colours: DataFrame, canonical: DataFrame, variable: str) -> DataFrame:
-    """For each configuration: RMSE, MAE and correlation of the local colours with the canonical ones."""
-    both = colours.select(*KEYS, "unit", F.col(variable).alias("_a")).join(canonical.select("unit", F.col(variable).alias("_b")), "unit")
+def colour_robustness(colours: DataFrame, canonical: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """variable, and for each configuration RMSE, MAE and correlation of the local colours with the canonical ones; all variables in one join."""
+    a = long(colours, [*KEYS, "unit"], variables, value="_a")
+    b = long(canonical, ["unit"], variables, value="_b")
     d = F.col("_a") - F.col("_b")
-    return both.groupBy(*KEYS).agg(F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), correlation(F.col("_a"), F.col("_b")).alias("pearson"))
+    return a.join(b, ["unit", "variable"]).groupBy("variable", *KEYS).agg(F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), correlation(F.col("_a"), F.col("_b")).alias("pearson"))
+
+
+def robustness_by_radius(rows: DataFrame) -> DataFrame:
+    """variable, radius, n_runs, and median, q10 and q90 of RMSE, MAE and correlation over the replicates."""
+    levels = {"median": 0.5, "q10": 0.1, "q90": 0.9}
+    return rows.groupBy("variable", "radius").agg(F.count("*").alias("n_runs"), *[F.percentile(c, p).alias(f"{c}_{n}") for c in ("rmse", "mae", "pearson") for n, p in levels.items()])
 
 
 def point_stability(colours: DataFrame, variable: str) -> DataFrame:
@@ -341,7 +348,7 @@ def window_summary(runs: DataFrame, metrics: Sequence[str], low: float, high: fl
 
 
 def robustness_delta(windows: DataFrame, scenario: str, primary: str) -> DataFrame:
-    """Each scenario's means less those of the primary one: difference, absolute, relative."""
+    """Each scenario's means less those of the primary one: difference, absolute, relative. windows: scenario, metric and mean."""
     base = windows.where(F.col(scenario) == primary).select("metric", F.col("mean").alias("_p"))
     d = F.col("mean") - F.col("_p")
     return windows.join(base, "metric").select(scenario, "metric", "mean", d.alias("difference"), F.abs(d).alias("absolute"), (d / F.nullif(F.abs(F.col("_p")), F.lit(0.0))).alias("relative"))

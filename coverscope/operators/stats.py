@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coverscope.functions.columns import finite
+from coverscope.functions.columns import finite, squared
 from coverscope.operators.scale import average_rank, group_quantiles, places
+from coverscope.operators.scratch import cut
 
 
 def long(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str = "variable", value: str = "value") -> DataFrame:
@@ -240,41 +242,100 @@ def ols(df: DataFrame, y: str, terms: dict[str, Column]) -> DataFrame:
     return df.sparkSession.createDataFrame([(t, float(b), float(e), float(r2), float(adj), float(aic)) for t, b, e in zip(names, beta, se, strict=True)], "term string, coefficient double, std_error double, r2 double, adj_r2 double, aic double")
 
 
-def _vectors(df: DataFrame, item: str, axes: Sequence[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-
-    return VectorAssembler(inputCols=list(axes), outputCol="features").transform(df.select(item, *axes).dropna())
+def seeds(points: DataFrame, item: str, axes: Sequence[str], k: int, starts: Sequence[int], seed: int) -> dict[int, list[tuple]]:
+    """For each start the first k centres: each next one is drawn with a chance that grows as its squared distance to those before it.
+
+    The draw is a race of exponential clocks set by a hash of the id, so it doesn't depend on the order of rows; all starts share a pass for each centre."""
+    centres: dict[int, list[tuple]] = {s: [] for s in starts}
+    for turn in range(k):
+        race = []
+        for s in starts:
+            share = (F.conv(F.substring(F.md5(F.concat_ws(":", F.col(item).cast("string"), F.lit(f"{seed}:{s}:{turn}"))), 1, 13), 16, 10).cast("double") + 0.5) / 16.0**13
+            near = F.least(*[squared([F.col(a) for a in axes], [F.lit(x) for x in c]) for c in centres[s]], F.lit(float("inf"))) if centres[s] else F.lit(1.0)
+            race.append(F.min_by(F.struct(*axes), F.when(near > 0, F.struct(-F.log(share) / near, item))).alias(f"s{s}"))
+        row = points.agg(*race).first()
+        for s in starts:
+            if row[f"s{s}"] is not None:  # else fewer places than centres
+                centres[s].append(tuple(row[f"s{s}"]))
+    return centres
+
+
+def lloyd_step(points: DataFrame, axes: Sequence[str], centres: dict[tuple, np.ndarray]) -> DataFrame:
+    """config (its place in centres), cluster, n, within_ss and the sum of each axis, for all configurations at once; a point goes to its nearest centre, the first of equals.
+
+    A task adds up its own points, so what moves is a row for each task, configuration and cluster."""
+    known, axes = list(centres.values()), list(axes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = [np.zeros((len(c), 2 + len(axes))) for c in known]
+        for pdf in batches:
+            x = pdf[axes].to_numpy(float)
+            for c, t in zip(known, total, strict=True):
+                d2 = np.zeros((len(x), len(c)))
+                for i in range(len(axes)):
+                    d2 += (x[:, i, None] - c[None, :, i]) ** 2
+                own = d2.argmin(axis=1)
+                for column, weight in enumerate((None, d2[np.arange(len(x)), own], *x.T)):
+                    t[:, column] += np.bincount(own, weight, minlength=len(c))
+        for i, t in enumerate(total):
+            yield pd.DataFrame({"config": i, "cluster": np.arange(len(t)), "n": t[:, 0].astype(np.int64), "within_ss": t[:, 1]} | {a: t[:, 2 + j] for j, a in enumerate(axes)})
+
+    sums = points.select(*axes).mapInPandas(run, "config int, cluster int, n bigint, within_ss double, " + ", ".join(f"`{a}` double" for a in axes))
+    return sums.groupBy("config", "cluster").agg(F.sum("n").alias("n"), F.sum("within_ss").alias("within_ss"), *[F.sum(a).alias(a) for a in axes])
+
+
+def lloyd(df: DataFrame, item: str, axes: Sequence[str], ks: Sequence[int], starts: int = 3, seed: int = 7, rounds: int = 50) -> dict[int, tuple[float, np.ndarray, list[int]]]:
+    """For each k the best of several starts: (within-cluster sum of squares, centres, sizes). All k and starts advance together, a job for each round.
+
+    The driver holds the centres alone (the sum of ks x starts rows). Clusters that lose all points keep their centre."""
+    points = cut(df.select(item, *[F.col(a).cast("double").alias(a) for a in axes]).dropna())
+    first = seeds(points, item, list(axes), max(ks), range(starts), seed)
+    centres = {(k, s): np.array(c[:k], float) for k in ks for s, c in first.items() if c}
+    moving, sizes, within = set(centres), {}, {}
+    for _ in range(rounds + 1):
+        part = {key: centres[key] for key in centres if key in moving}
+        names, new = list(part), {key: (c.copy(), np.zeros(len(c)), np.zeros(len(c), int)) for key, c in part.items()}
+        for r in lloyd_step(points, axes, part).collect():
+            c, ss, n = new[names[r["config"]]]
+            ss[r["cluster"]], n[r["cluster"]] = r["within_ss"], r["n"]
+            if r["n"]:
+                c[r["cluster"]] = [r[a] / r["n"] for a in axes]
+        for key, (c, ss, n) in new.items():
+            within[key], sizes[key] = float(ss.sum()), [int(x) for x in n]
+            if np.allclose(c, centres[key], rtol=0, atol=1e-12):
+                moving.discard(key)
+            else:
+                centres[key] = c
+        if not moving:
+            break
+    best = {k: min((key for key in centres if key[0] == k), key=lambda key: (round(within[key], 9), key[1]), default=None) for k in ks}
+    return {k: (within[key], centres[key], sizes[key]) for k, key in best.items() if key is not None}
 
 
 def kmeans_benchmark(df: DataFrame, item: str, axes: Sequence[str], ks: Sequence[int], seed: int = 7) -> DataFrame:
     """k, within_ss, total_ss, between_share, calinski_harabasz, smallest and largest cluster for each k (1: total alone), and chosen for the k of the largest index (the least of equals). Rows with a null axis are left out."""
-    from pyspark.ml.clustering import KMeans
+    return _benchmark(df, axes, lloyd(df, item, axes, ks, seed=seed))
+
 
-    vectors = _vectors(df, item, axes).persist()
-    n, total = vectors.agg(F.count("*"), sum((F.var_pop(a) for a in axes), F.lit(0.0))).first()
+def _benchmark(df: DataFrame, axes: Sequence[str], found: dict) -> DataFrame:
+    base = df.select(*[F.col(a).cast("double").alias(a) for a in axes]).dropna()
+    n, total = base.agg(F.count("*"), sum((F.var_pop(a) for a in axes), F.lit(0.0))).first()
     rows = []
-    for k in ks:
-        if k == 1:
-            rows.append((1, n * total, n * total, 0.0, None, n, n))
-            continue
-        model = KMeans(k=k, seed=seed, maxIter=50).fit(vectors)
-        within, sizes = model.summary.trainingCost, model.summary.clusterSizes
-        rows.append((k, within, n * total, 1 - within / (n * total), ((n * total - within) / (k - 1)) / (within / (n - k)), min(sizes), max(sizes)))
-    vectors.unpersist()
+    for k, (within, _, sizes) in sorted(found.items()):
+        index = None if k == 1 or within == 0 else ((n * total - within) / (k - 1)) / (within / (n - k))
+        rows.append((k, within, n * total, 1 - within / (n * total) if total else 0.0, index, min(sizes), max(sizes)))
     best = min((r for r in rows if r[4] is not None), key=lambda r: (-r[4], r[0]), default=(None,))[0]
     return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows], "k int, within_ss double, total_ss double, between_share double, calinski_harabasz double, smallest bigint, largest bigint, chosen boolean")
 
 
 def kmeans_clusters(df: DataFrame, item: str, axes: Sequence[str], ks: Sequence[int], seed: int = 7) -> DataFrame:
     """item and cluster (from 1, by the first centre coordinate) under the k that kmeans_benchmark chooses."""
-    from pyspark.ml.clustering import KMeans
-
-    k = kmeans_benchmark(df, item, axes, ks, seed).where("chosen").first()["k"]
-    vectors = _vectors(df, item, axes)
-    model = KMeans(k=k, seed=seed, maxIter=50).fit(vectors)
-    place = {i: n for n, i in enumerate(sorted(range(k), key=lambda i: tuple(model.clusterCenters()[i])), 1)}
-    number = F.element_at(F.create_map(*[F.lit(x) for pair in place.items() for x in pair]), F.col("prediction"))
-    return model.transform(vectors).select(item, number.alias("cluster"))
+    found = lloyd(df, item, axes, ks, seed=seed)
+    k = _benchmark(df, axes, found).where("chosen").first()["k"]
+    centres = sorted(map(tuple, found[k][1]))
+    base = df.select(item, *[F.col(a).cast("double").alias(a) for a in axes]).dropna()
+    near = F.array_min(F.array(*[F.struct(squared([F.col(a) for a in axes], [F.lit(float(x)) for x in c]).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres, 1)]))
+    return base.select(item, near["i"].alias("cluster"))
 
 
 def cluster_profiles(clusters: DataFrame, df: DataFrame, item: str, columns: Sequence[str]) -> DataFrame:

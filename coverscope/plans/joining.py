@@ -180,6 +180,30 @@ def _(spark, d):
     return geo.assign_points(places(spark, d)[0], squares(spark, d), "id", "polygon", "ring", 10000.0).fillna(-1, ["polygon"])
 
 
+def frames(spark, d):
+    """30 km squares that hold suppliers, with a 10 km hole in the middle, and in every second one an island of 4 km in it."""
+    _, f = places(spark, d)
+    c = f.select(F.floor(F.col("x") / 30000).alias("cx"), F.floor(F.col("y") / 30000).alias("cy")).distinct()
+    corner = lambda i, j: F.struct((F.col("cx") * 30000.0 + i).alias("x"), (F.col("cy") * 30000.0 + j).alias("y"))
+    square = lambda a, b: F.array(corner(a, a), corner(b, a), corner(b, b), corner(a, b))
+    rings = F.when(F.col("cx") % 2 == 0, F.array(square(0, 30000), square(10000, 20000), square(13000, 17000))).otherwise(F.array(square(0, 30000), square(10000, 20000)))
+    return c.select((10000 + F.col("cx") * 100 + F.col("cy")).alias("polygon"), rings.alias("rings"))
+
+
+FRAMES = "fr AS (SELECT DISTINCT floor(x / 30000)::BIGINT AS cx, floor(y / 30000)::BIGINT AS cy FROM f), inf AS (SELECT q.id, 10000 + cx * 100 + cy AS polygon FROM q JOIN fr ON floor(q.x / 30000) = cx AND floor(q.y / 30000) = cy WHERE NOT (q.x - cx * 30000 BETWEEN 10000 AND 20000 AND q.y - cy * 30000 BETWEEN 10000 AND 20000) OR cx % 2 = 0 AND q.x - cx * 30000 BETWEEN 13000 AND 17000 AND q.y - cy * 30000 BETWEEN 13000 AND 17000)"
+
+
+@R.add("c17_rings", f"WITH {XY_C}, {FRAMES} SELECT q.id, coalesce(polygon, -1) AS polygon, (polygon IS NOT NULL)::BIGINT AS n_hits FROM q LEFT JOIN inf USING (id)")
+def _(spark, d):
+    return geo.assign_points(places(spark, d)[0], frames(spark, d), "id", "polygon", "rings", 10000.0).fillna(-1, ["polygon"])
+
+
+@R.add("c17_ambiguous", f"WITH {XY_C}, {SQUARES}, {FRAMES}, al AS (SELECT * FROM inf UNION ALL SELECT q.id, cx * 100 + cy FROM q JOIN sq ON floor(q.x / 10000) = cx AND floor(q.y / 10000) = cy) SELECT id, polygon, false AS boundary, count(*) OVER (PARTITION BY id) AS n_hits FROM al QUALIFY n_hits > 1")
+def _(spark, d):
+    both = frames(spark, d).unionByName(squares(spark, d).select("polygon", F.array("ring").alias("rings")))
+    return geo.ambiguous_points(places(spark, d)[0], both, "id", "polygon", "rings", 10000.0)
+
+
 @R.add("c18_queen_adjacency", f"WITH {XY_C}, {SQUARES} SELECT a, b FROM adj")
 def _(spark, d):
     return geo.queen_adjacency(squares(spark, d), "polygon", "ring", 10000.0)
@@ -317,6 +341,13 @@ def _(spark, d):
     return contract.table_contract(table(spark, d, "orders"), key="o_orderkey", required=["o_orderkey"], non_missing=["o_custkey"], positive=["o_totalprice"], integer_like=["o_totalprice"], bounds={"o_totalprice": (1000, 300000)})
 
 
+@R.add("j1_checked_write", "SELECT unnest(['min_rows', 'required_columns', 'non_missing:o_custkey', 'positive:o_totalprice', 'bounds:o_totalprice', 'unique:o_orderkey']) AS \"check\", 0::BIGINT AS violations, true AS passed, count(*) AS n_published FROM orders")
+def _(spark, d):
+    out = scratch.folder(spark, "published")
+    report = contract.write_checked(table(spark, d, "orders"), out, key="o_orderkey", required=["o_orderkey"], non_missing=["o_custkey"], positive=["o_totalprice"], bounds={"o_totalprice": (0, 1e9)})
+    return report.crossJoin(spark.read.parquet(out).agg(F.count("*").alias("n_published")))
+
+
 @R.add("j2_input_contract", f"WITH {UNITS} SELECT unnest(['min_rows', 'required_columns', 'unique:id', 'non_missing:label', 'finite:a1', 'finite:urgent', 'varying:a2', 'trimmed:label']) AS \"check\", unnest([0, 0, 0, 0, 0, count(*) FILTER (urgent IS NULL), 0, 0]) AS violations, unnest([true, true, true, true, true, count(*) FILTER (urgent IS NULL) = 0, true, true]) AS passed FROM units")
 def _(spark, d):
     return contract.table_contract(units(spark, d), key="id", required=["id", "label", "a1"], non_missing=["label"], numeric=["a1", "urgent"], varying=["a2"], tidy=["label"])

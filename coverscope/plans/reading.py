@@ -59,13 +59,19 @@ def _(spark, d):
     return out.withColumn("page", F.coalesce("page", F.lit(-1)).cast("double"))
 
 
-@R.add("a5_read_geojson", "WITH f AS (SELECT DISTINCT floor((((s_suppkey*7919) % 10007 * 10 + 0.5)::DOUBLE) / 10000)::BIGINT AS cx, floor((((s_suppkey*104729) % 10009 * 10 + 0.5)::DOUBLE) / 10000)::BIGINT AS cy FROM supplier) SELECT cx * 100 + cy AS polygon, 4::INT AS n_corners, cx * 10000.0::DOUBLE AS x0, cy * 10000.0::DOUBLE AS y0 FROM f")
+@R.add("a5_read_geojson", "WITH f AS (SELECT DISTINCT floor((((s_suppkey*7919) % 10007 * 10 + 0.5)::DOUBLE) / 10000)::BIGINT AS cx, floor((((s_suppkey*104729) % 10009 * 10 + 0.5)::DOUBLE) / 10000)::BIGINT AS cy FROM supplier) SELECT cx * 100 + cy AS polygon, (CASE WHEN cy % 3 = 0 THEN 3 WHEN cy % 3 = 1 THEN 2 ELSE 1 END)::INT AS n_rings, (CASE WHEN cy % 3 = 0 THEN 12 WHEN cy % 3 = 1 THEN 8 ELSE 4 END)::INT AS n_corners, cx * 10000.0::DOUBLE AS x0, cy * 10000.0::DOUBLE AS y0 FROM f")
 def _(spark, d):
+    """Squares as GeoJSON: some with a hole, some of two parts, some plain."""
     corners = F.transform("ring", lambda p: F.array(p["x"], p["y"]))
-    feature = F.struct(F.struct("polygon").alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(corners).alias("coordinates")).alias("geometry"))
-    text = squares(spark, d).groupBy((F.col("polygon") % 5).alias("part")).agg(F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("value"))
-    got = files.read_geojson(text, "value", {"polygon": "bigint"})
-    return got.select("polygon", F.size("ring").alias("n_corners"), F.get("ring", F.lit(0))["x"].alias("x0"), F.get("ring", F.lit(0))["y"].alias("y0"))
+    hole = F.transform("ring", lambda p: F.array((p["x"] + F.get("ring", F.lit(0))["x"] + F.get("ring", F.lit(2))["x"]) / 3, (p["y"] + F.get("ring", F.lit(0))["y"] + F.get("ring", F.lit(2))["y"]) / 3))
+    part = F.transform("ring", lambda p: F.array(p["x"] + 1e6, p["y"]))
+    text = F.when(F.col("polygon") % 100 % 3 == 0, F.to_json(F.array(F.array(corners, hole), F.array(part)))).when(F.col("polygon") % 100 % 3 == 1, F.to_json(F.array(corners, hole))).otherwise(F.to_json(F.array(corners)))
+    kind = F.when(F.col("polygon") % 100 % 3 == 0, "MultiPolygon").otherwise("Polygon")
+    feature = F.concat(F.lit('{"type": "Feature", "properties": {"polygon": '), F.col("polygon").cast("string"), F.lit('}, "geometry": {"type": "'), kind, F.lit('", "coordinates": '), text, F.lit("}}"))
+    pages_ = squares(spark, d).select("polygon", feature.alias("feature")).groupBy((F.col("polygon") % 5).alias("part")).agg(F.concat(F.lit('{"features": ['), F.array_join(F.collect_list("feature"), ", "), F.lit("]}")).alias("value"))
+    got = files.read_geojson(pages_, "value", {"polygon": "bigint"})
+    first = F.get(F.get("rings", F.lit(0)), F.lit(0))
+    return got.select("polygon", F.size("rings").alias("n_rings"), F.size(F.flatten("rings")).alias("n_corners"), first["x"].alias("x0"), first["y"].alias("y0"))
 
 
 def sheet(spark, d):

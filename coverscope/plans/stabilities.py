@@ -88,10 +88,17 @@ def i23(spark, d):
     return rounded(diagnostics(spark, d), *EXACT)
 
 
-@R.add("i24_outcome_stats", G + ", b AS (SELECT radius, replicate, ball_id, avg(a2) AS m, count(*) AS n, stddev_samp(a2) AS s, max(a2) - min(a2) AS r FROM gm JOIN points ON unit = id GROUP BY ALL) SELECT radius, replicate, count(*) AS n_balls, round(min(m), 6) AS min_colour, round(max(m), 6) AS max_colour, round(stddev_samp(m), 6) AS sd_colour, round(avg(n), 6) AS mean_size, round(avg(s) FILTER (n > 1), 6) AS within_sd, round(avg(r) FILTER (n > 1), 6) AS within_range FROM b GROUP BY ALL")
+NARROW = DIAGNOSTICS.replace(WIDE_GRID, GRID).replace(", ".join(map(str, WIDE)), ", ".join(map(str, RADII)))
+GRAPH = ["n_edges", "n_components", "n_isolated", "mean_degree", "sd_degree", "connected"]
+
+
+@R.add("i24_outcome_stats", f"WITH RECURSIVE {NARROW}, bb AS (SELECT radius, replicate, ball_id, avg(a2) AS m, count(*) AS n, stddev_samp(a2) AS s, max(a2) - min(a2) AS r FROM gm JOIN points ON unit = id GROUP BY ALL), ou AS (SELECT radius, replicate, count(*) AS n_balls, round(min(m), 6) AS min_colour, round(max(m), 6) AS max_colour, round(stddev_samp(m), 6) AS sd_colour, round(avg(n), 6) AS mean_size, round(avg(s) FILTER (n > 1), 6) AS within_sd, round(avg(r) FILTER (n > 1), 6) AS within_range, round(max(m) - min(m), 6) AS colour_range FROM bb GROUP BY ALL) SELECT ou.*, n_edges, n_components, n_isolated, round(mean_degree, 6) AS mean_degree, round(sd_degree, 6) AS sd_degree, connected FROM ou JOIN dx USING (radius, replicate)")
 def _(spark, d):
-    p, _, m = grid(spark, d)
-    return rounded(stability.outcome_stats(m, p, "id", "a2"), "min_colour", "max_colour", "sd_colour", "mean_size", "within_sd", "within_range")
+    p = points(spark, d).persist()
+    s = sweep.Sweep(p, AXES, RADII, REPLICATES)
+    rows = stability.outcome_stats(scratch.cut(s.members()), p, "id", "a2").withColumn("colour_range", F.col("max_colour") - F.col("min_colour"))
+    graphs = stability.cover_diagnostics(s.counts(), RADII).select("radius", "replicate", *GRAPH)
+    return rounded(rows.join(graphs, ["radius", "replicate"]), "min_colour", "max_colour", "sd_colour", "mean_size", "within_sd", "within_range", "colour_range", "mean_degree", "sd_degree")
 
 
 @R.add("i25_axis_ranges", G + ", l AS (SELECT id, unnest(['z1', 'z2', 'z3']) AS axis, unnest([z1, z2, z3]) AS v FROM points), b AS (SELECT radius, replicate, ball_id, axis, max(v) - min(v) AS r, count(*) AS n FROM gm JOIN l ON unit = id GROUP BY ALL) SELECT radius, replicate, axis, round(avg(r), 6) AS mean_range, round(min(r), 6) AS min_range, round(max(r), 6) AS max_range FROM b WHERE n > 1 GROUP BY ALL")
@@ -290,9 +297,33 @@ def colours(spark, d):
     return cover.local_colour(m, p, "id", ["a1"], ["radius", "replicate"]), cover.local_colour(canonical(spark, d)[2], p, "id", ["a1"])
 
 
-@R.add("i37_colour_robustness", K + "SELECT radius, replicate, round(sqrt(avg((a1 - c) ** 2)), 6) AS rmse, round(avg(abs(a1 - c)), 6) AS mae, round(corr(a1, c), 6) AS pearson FROM glocal JOIN canon USING (unit) GROUP BY ALL")
+#: Readouts: the axes and a column for each category.
+LEVELS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+READOUTS = ["a1", "a2", "a3", *[f"category_{v}" for v in LEVELS]]
+ALL = f"""{CANON}, lv AS (SELECT id, unnest([{', '.join(f"'{c}'" for c in READOUTS)}]) AS variable, unnest([a1::DOUBLE, a2::DOUBLE, a3::DOUBLE, {', '.join(f"(category = '{v}')::INT::DOUBLE" for v in LEVELS)}]) AS v FROM points),
+gb2 AS (SELECT radius, replicate, ball_id, variable, avg(v) AS m FROM gm JOIN lv ON unit = id GROUP BY ALL), gl2 AS (SELECT radius, replicate, unit, variable, avg(m) AS v FROM gm JOIN gb2 USING (radius, replicate, ball_id) GROUP BY ALL),
+cb2 AS (SELECT ball_id, variable, avg(v) AS m FROM member JOIN lv ON unit = id GROUP BY ALL), cl2 AS (SELECT unit, variable, avg(m) AS c FROM member JOIN cb2 USING (ball_id) GROUP BY ALL),
+rb AS (SELECT variable, radius, replicate, sqrt(avg((v - c) ** 2)) AS rmse, avg(abs(v - c)) AS mae, corr(v, c) AS pearson FROM gl2 JOIN cl2 USING (unit, variable) GROUP BY ALL)"""
+
+
+def robustness(spark, d):
+    p, _, m = grid(spark, d)
+    p = scale.one_hot(p, "category")
+    return stability.colour_robustness(cover.local_colour(m, p, "id", READOUTS, ["radius", "replicate"]), cover.local_colour(canonical(spark, d)[2], p, "id", READOUTS), READOUTS)
+
+
+@R.add("i37_colour_robustness", f"WITH RECURSIVE {ALL} SELECT variable, radius, replicate, round(rmse, 6) AS rmse, round(mae, 6) AS mae, round(pearson, 6) AS pearson FROM rb")
 def i37(spark, d):
-    return rounded(stability.colour_robustness(*colours(spark, d), "a1"), "rmse", "mae", "pearson")
+    return rounded(robustness(spark, d), "rmse", "mae", "pearson")
+
+
+QS = ", ".join(f"round({'median(' + c + ')' if n == 'median' else f'quantile_cont({c}, {p})'}, 6) AS {c}_{n}" for c in ("rmse", "mae", "pearson") for n, p in (("median", 0.5), ("q10", 0.1), ("q90", 0.9)))
+
+
+@R.add("i37_by_radius", f"WITH RECURSIVE {ALL} SELECT variable, radius, count(*) AS n_runs, {QS} FROM rb GROUP BY ALL")
+def _(spark, d):
+    rows = stability.robustness_by_radius(robustness(spark, d))
+    return rounded(rows, *[c for c, kind in rows.dtypes if kind == "double" and c != "radius"])
 
 
 @R.add("i38_point_stability", K + "SELECT radius, unit, round(mean, 6) AS mean, round(sd, 6) AS sd, round(q10, 6) AS q10, round(q90, 6) AS q90 FROM ps")
@@ -312,10 +343,9 @@ def _(spark, d):
     return rounded(stability.order_robustness(rounded(p, "q10", "q90", digits=9), rounded(canon, "a1", digits=9), "a1"), "mean_abs_difference", "share_inside")
 
 
-@R.add("i41_family_robustness", K + ", r AS (SELECT 'a1_' || radius || '_' || replicate AS variable, corr(a1, c) AS pearson FROM glocal JOIN canon USING (unit) GROUP BY radius, replicate) SELECT 'a1' AS family, count(*) AS n, round(min(pearson), 6) AS worst, round(median(pearson), 6) AS median FROM r")
+@R.add("i41_family_robustness", f"WITH RECURSIVE {ALL} SELECT CASE WHEN variable LIKE 'category%' THEN 'category' ELSE variable END AS family, count(*) AS n, round(min(pearson), 6) AS worst, round(median(pearson), 6) AS median FROM rb GROUP BY family")
 def _(spark, d):
-    rows = stability.colour_robustness(*colours(spark, d), "a1").select(F.concat_ws("_", F.lit("a1"), "radius", "replicate").alias("variable"), "pearson")
-    return rounded(stability.family_robustness(rows, "^([a-z0-9]+)_"), "worst", "median")
+    return rounded(stability.family_robustness(robustness(spark, d), "^(category)_"), "worst", "median")
 
 
 WIN = ", l AS (SELECT radius, unnest(['n_balls', 'mean_size']) AS metric, unnest([n_balls::DOUBLE, mean_size]) AS v FROM runs WHERE radius BETWEEN 1.45 AND 1.65)"
@@ -370,6 +400,13 @@ def _(spark, d):
     return rounded(stability.scenario_sweep(scenarios(spark, d), AXES, [1.5], [1, 2]), "largest_share")
 
 
+@R.add("i42_robustness_delta", f"WITH RECURSIVE {SCENARIOS}, sc AS (" + " UNION ALL ".join(SHARES.format(*x) for x in (("primary", "points", "runs"), ("without_machinery", "p2", "runs2"), ("robust", "p3", "runs3"))) + "), me AS (SELECT scenario, unnest(['n_balls', 'largest_share']) AS metric, unnest([n_balls::DOUBLE, largest_share]) AS v FROM sc), mm AS (SELECT scenario, metric, avg(v) AS mean FROM me GROUP BY ALL) SELECT a.scenario, metric, round(a.mean, 6) AS mean, round(a.mean - b.mean, 6) AS difference, round(abs(a.mean - b.mean), 6) AS absolute, round((a.mean - b.mean) / abs(b.mean), 6) AS relative FROM mm a JOIN mm b USING (metric) WHERE b.scenario = 'primary'")
+def _(spark, d):
+    rows = rounded(stability.scenario_sweep(scenarios(spark, d), AXES, [1.5], [1, 2]), "largest_share")
+    means = stats.long(rows, ["scenario"], ["n_balls", "largest_share"], "metric").groupBy("scenario", "metric").agg(F.avg("value").alias("mean"))
+    return rounded(stability.robustness_delta(means, "scenario", "primary"))
+
+
 @R.add("i62_sweep_audit", f"WITH {UNITS} " + " UNION ALL ".join(AUDIT.format(*x) for x in (("primary", "z", "units"), ("without_machinery", "z", "(SELECT * FROM units WHERE category <> 'MACHINERY')"), ("robust", "mad", "units"))))
 def _(spark, d):
     return stability.scenario_audit(units(spark, d), scenarios(spark, d), SWEEP)

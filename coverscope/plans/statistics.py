@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from coverscope.functions import columns as C
@@ -187,6 +188,17 @@ def _(spark, d):
     return stats.cluster_profiles(found, p, "id", AXES)
 
 
+FIRST = "f AS (SELECT id, z1, z2, z3, row_number() OVER (ORDER BY id) AS place FROM points), ce AS (SELECT k::INT AS k, place - 1 AS cluster, z1, z2, z3 FROM f, (VALUES (2), (3), (4)) v(k) WHERE place <= k)"
+
+
+@R.add("d20_lloyd_step", f"WITH {POINTS}, {FIRST}, nr AS (SELECT p.id, p.z1, p.z2, p.z3, ce.k, arg_min(cluster, ((p.z1-ce.z1)**2 + (p.z2-ce.z2)**2 + (p.z3-ce.z3)**2, cluster)) AS cluster, min((p.z1-ce.z1)**2 + (p.z2-ce.z2)**2 + (p.z3-ce.z3)**2) AS d FROM points p, ce GROUP BY ALL) SELECT k, cluster::INT AS cluster, count(*) AS n, round(sum(d), 6) AS within_ss, round(avg(z1), 6) AS z1, round(avg(z2), 6) AS z2, round(avg(z3), 6) AS z3 FROM nr GROUP BY k, cluster")
+def _(spark, d):
+    p = points(spark, d)
+    first = np.array([[r[a] for a in AXES] for r in p.orderBy("id").limit(4).collect()])
+    step = stats.lloyd_step(p, AXES, {k: first[:k] for k in (2, 3, 4)}).where("n > 0")
+    return rounded(step.select((F.col("config") + 2).alias("k"), "cluster", "n", "within_ss", *[(F.col(a) / F.col("n")).alias(a) for a in AXES]))
+
+
 FIT = "SELECT regr_count(z1, m) AS n, regr_slope(z1, m) AS b, regr_intercept(z1, m) AS a, regr_r2(z1, m) AS r2, regr_sxx(z1, m) AS sxx, regr_syy(z1, m) * (1 - regr_r2(z1, m)) AS rss, avg(m) AS mx FROM (SELECT z1, (category = 'MACHINERY')::INT::DOUBLE AS m FROM points)"
 
 

@@ -81,12 +81,14 @@ def audit_pages(rows: DataFrame, page: str, key: str, page_size: int) -> DataFra
 
 
 def read_geojson(text: DataFrame, column: str, fields: dict[str, str]) -> DataFrame:
-    """The properties and the outer ring (array of x, y) of each polygon feature in rows of GeoJSON text."""
+    """The properties and the rings (arrays of x, y: all rings of all parts, holes too) of each Polygon and MultiPolygon in rows of GeoJSON text; other features are an error."""
     properties = ", ".join(f"`{k}`: {v}" for k, v in fields.items())
-    schema = f"features array<struct<properties: struct<{properties}>, geometry: struct<type: string, coordinates: {RING}>>>"
-    f = text.select(F.explode(F.from_json(column, schema)["features"]).alias("f")).where("f.geometry.type = 'Polygon'")
-    ring = F.transform(F.get("f.geometry.coordinates", F.lit(0)), lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
-    return f.select("f.properties.*", ring.alias("ring"))
+    schema = f"features array<struct<properties: struct<{properties}>, geometry: struct<type: string, coordinates: string>>>"
+    f = text.select(F.explode(F.from_json(column, schema)["features"]).alias("f")).select("f.*")
+    kind, raw = F.col("geometry.type"), F.col("geometry.coordinates")
+    rings = F.when(kind == "Polygon", F.from_json(raw, RING)).when(kind == "MultiPolygon", F.flatten(F.from_json(raw, f"array<{RING}>"))).otherwise(F.raise_error(F.concat(F.lit("not a polygon: "), F.coalesce(kind, F.lit("no geometry")))).cast(RING))
+    point = lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
+    return f.select("properties.*", F.transform(rings, lambda r: F.transform(r, point)).alias("rings"))
 
 
 def file_manifest(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
