@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coverscope.functions.columns import squared
@@ -35,7 +35,7 @@ def landmarks(points: DataFrame, axes: Sequence[str], item: str = "id", order: s
     at = [f"_cell{i}" for i in range(min(len(axes), 3))]  # some axes will do: points near each other are near on each axis
     schema = points.select(F.col(item).alias("landmark"), F.col(order or item).alias("_ord"), F.col(eps).alias("eps"), *[F.col(a).alias(f"c_{a}") for a in axes]).schema
     left = points.select(item, F.col(order or item).alias("_ord"), F.col(eps).alias("eps"), *axes).withColumns({c: F.floor(F.col(a) / F.col(eps)) for c, a in zip(at, axes)})
-    found, n_left = None, left.count()
+    found, n_left, n_found, walks = None, left.count(), 0, 0
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_ord", item], ignore_index=True)
@@ -56,16 +56,16 @@ def landmarks(points: DataFrame, axes: Sequence[str], item: str = "id", order: s
 
     while n_left:
         new = left.orderBy("_ord", item).limit(head).groupBy().applyInPandas(walk, schema)
-        if n_left > head:
+        if n_left > head and walks:  # few large balls need no more than the first walk
             first = cut(left.groupBy(*at).agg(F.min(F.struct("_ord", F.col(item).alias("landmark"), "eps", *[F.col(a).alias(f"c_{a}") for a in axes])).alias("_first")))
             earliest = around(first.select(*at, F.struct("_first._ord", "_first.landmark").alias("_rank"))).groupBy(*at).agg(F.min("_rank").alias("_rank"))
             alone = first.join(earliest, at).where(F.struct("_first._ord", "_first.landmark") == F.col("_rank")).select("_first.*").select(*schema.names)
             new = new.unionByName(alone).dropDuplicates(["landmark"])
         new = cut(new)
-        found = new if found is None else found.unionByName(new)
+        found, walks, n = new if found is None else found.unionByName(new), walks + 1, new.count()
+        n_found += n
         if n_left <= head:
             break
-        n = new.count()
         covering = around(new.select(F.col("eps").alias("_eps"), *[f"c_{a}" for a in axes], *[F.floor(F.col(f"c_{a}") / F.col("eps")).alias(c) for c, a in zip(at, axes)])).withColumnsRenamed({c: f"_{c}" for c in at})
         near = squared([F.col(a) for a in axes], [F.col(f"c_{a}") for a in axes]) <= F.col("_eps") * F.col("_eps")
         for c in at:
@@ -74,7 +74,11 @@ def landmarks(points: DataFrame, axes: Sequence[str], item: str = "id", order: s
         n_left = left.count()
     if found is None:
         return points.sparkSession.createDataFrame([], schema).withColumn("ball_id", F.lit(0).cast("bigint")).drop("_ord")
-    return canonical_order(found, [F.col("_ord"), F.col("landmark")], "ball_id").withColumn("ball_id", F.col("ball_id").cast("bigint")).drop("_ord")
+    if n_found <= MAX_BROADCAST:  # counted: one task may number them
+        numbered = found.withColumn("ball_id", F.row_number().over(Window.orderBy("_ord", "landmark")))
+    else:
+        numbered = canonical_order(found, [F.col("_ord"), F.col("landmark")], "ball_id")
+    return numbered.withColumn("ball_id", F.col("ball_id").cast("bigint")).drop("_ord")
 
 
 def members(points: DataFrame, balls: DataFrame, axes: Sequence[str], item: str = "id") -> DataFrame:
