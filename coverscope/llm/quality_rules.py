@@ -98,9 +98,15 @@ def frequent_lines(docs: DataFrame, text: str, host: str, min_docs: int, share:
     )
 
 
+def row_key(*columns: str) -> Column:
+    """16 bytes that tell rows apart: nulls are marked, and each value has its length before it, so that no two rows spell the same."""
+    spelt = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in (F.col(c).cast("string") for c in columns)]
+    return F.unhex(F.md5(F.concat(*spelt)))
+
+
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = 5, share: float = 0.05, min_kept: float = 0.5) -> DataFrame:
     """Each row of docs (id, host, text) with the word rules, n_removed_words, clean_text, depleted and kept."""
-    docs = docs.select(doc_id, host, text).withColumn("_key", F.xxhash64(doc_id, host, text))
+    docs = docs.select(doc_id, host, text).withColumn("_key", row_key(doc_id, host, text))
     limits = frequent_lines(docs, text, host, min_docs, share).withColumnRenamed("_host", "_h").withColumnRenamed("line_hash", "_l")
     hits = (
         host_lines(docs, text, host)
