@@ -52,18 +52,36 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(codes), np.array(starts)
 
 
-def hash_long(x: np.ndarray) -> np.ndarray:
-    """XXH64 of numbers of 8 bytes with seed 42: what xxhash64() gives for a bigint."""
+def hash_long(x: np.ndarray, seed: np.ndarray | int = 42) -> np.ndarray:
+    """XXH64 of numbers of 8 bytes: what xxhash64() gives for a bigint, and for several when each one's hash seeds the next."""
     p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
     with np.errstate(over="ignore"):
         k = x.view(np.uint64) * p2
-        h = (np.uint64(42) + p5 + np.uint64(8)) ^ (((k << np.uint64(31)) | (k >> np.uint64(33))) * p1)
+        h = (np.asarray(seed, np.uint64) + p5 + np.uint64(8)) ^ (((k << np.uint64(31)) | (k >> np.uint64(33))) * p1)
         h = ((h << np.uint64(27)) | (h >> np.uint64(37))) * p1 + p4
         h = (h ^ (h >> np.uint64(33))) * p2
         h = (h ^ (h >> np.uint64(29))) * p3
     return h ^ (h >> np.uint64(32))
 
 
+def pairs(context: np.ndarray, word: np.ndarray, counts: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, and the place of each given one among them (or how often each stands).
+
+    Where a pair fits into one number of 63 bits, one sort does; else both columns are sorted."""
+    width = int(word.max(initial=0)) + 1
+    if (int(context.max(initial=0)) + 1) * width < 1 << 63:
+        key, more = np.unique(context * width + word, return_inverse=not counts, return_counts=counts)
+        return *np.divmod(key, width), more
+    order = np.lexsort((word, context))
+    c, w = context[order], word[order]
+    new = np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])])
+    if counts:
+        return c[new], w[new], np.diff(np.append(np.flatnonzero(new), len(order)))
+    at = np.empty(len(order), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return c[new], w[new], at
+
+
 @dataclass
 class Part:
     """A shard: its file, and length and lower bits of each sequence in it."""
@@ -107,10 +125,10 @@ class Level:
             out[own] = np.where(i < 0, -1, i + self.offsets[s])
         return out
 
-    def find(self, context: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
-        """Indices of n-grams, -1 for those that the level doesn't have. size: of the vocabulary."""
+    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Indices of n-grams, -1 for those that the level doesn't have."""
         out = np.full(len(context), -1, np.int64)
-        for s, own in self._each((hash_long(context * size + word) & np.uint64((1 << self.bits) - 1)).astype(np.int64)):
+        for s, own in self._each((hash_long(word, hash_long(context)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)):
             part = self.parts[s]
             # callers sort by context: a run of equal ones is looked up once
             own_context = context[own]
@@ -177,7 +195,7 @@ class Model:
         if n == 2:
             return word
         shorter, out = self.suffix(n - 1, context), np.full(len(index), -1, np.int64)
-        out[shorter >= 0] = self.levels[n - 2].find(shorter[shorter >= 0], word[shorter >= 0], self.size)
+        out[shorter >= 0] = self.levels[n - 2].find(shorter[shorter >= 0], word[shorter >= 0])
         return out
 
     def conditional(self, n: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -187,7 +205,7 @@ class Model:
         out, real = np.zeros(len(word)), context >= 0
         known = np.full(len(word), -1, np.int64)
         both = real & (word >= 0)
-        known[both] = self.levels[n - 1].find(context[both], word[both], self.size)
+        known[both] = self.levels[n - 1].find(context[both], word[both])
         seen = known >= 0
         out[seen] = -self.levels[n - 1].array(known[seen], "probs") / STEPS
         shorter = np.full(len(word), -1, np.int64)
@@ -214,8 +232,8 @@ class Model:
             gram = np.full(len(codes), -1, np.int64)
             if n <= len(self.levels):
                 both = np.flatnonzero((context >= 0) & (kept >= 0))
-                key, at = np.unique(context[both] * self.size + kept[both], return_inverse=True)
-                gram[both] = self.levels[n - 1].find(key // self.size, key % self.size, self.size)[at]
+                c, w, at = pairs(context[both], kept[both])
+                gram[both] = self.levels[n - 1].find(c, w)[at]
             orders.append((context, gram))
         return starts, word, kept, orders
 
@@ -275,39 +293,48 @@ def _bits(n: int, per_shard: int) -> int:
     return max(0, int(np.ceil(np.log2(max(n, 1) / per_shard))))
 
 
-def _merged(parts: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+Counts = tuple[np.ndarray, ...]  # columns of a key, then how often it stands
+
+
+def _added(*counts: np.ndarray) -> Counts:
+    """Distinct keys with the sums of their counts."""
+    *key, n = counts
+    *key, at = np.unique(*key, return_inverse=True) if len(key) == 1 else pairs(*key)
+    return *key, np.bincount(at, n, len(key[0])).astype(np.int64)
+
+
+def _merged(parts: Iterator[Counts], most: int = 1 << 21) -> Iterator[Counts]:
     """Counts of fewer, larger parts: successive ones are added up until they have more than `most` keys."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[Counts] = []
     for part in parts:
         held.append(part)
-        if sum(len(k) for k, _ in held) > most:
-            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            held = [(keys, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64))]
-            if len(keys) > most // 2:
+        if sum(len(p[0]) for p in held) > most:
+            held = [_added(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+            if len(held[0][0]) > most // 2:
                 yield held.pop()
     yield from held
 
 
-def _counted(docs: DataFrame, run, what: str, cutoff: int) -> DataFrame:
-    """The keys with their sums, as a written table. run gives the keys and counts of batches."""
+def _counted(docs: DataFrame, run, key: list[str], cutoff: int) -> DataFrame:
+    """The keys with their sums n, as a written table. run gives the keys and counts of batches."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, n in _merged(run(batches)):
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], [what, "n"])
+        for counts in _merged(run(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in counts], [*key, "n"])
 
-    return written(docs.mapInArrow(rows, f"{what} bigint, n bigint").groupBy(what).agg(F.sum("n").alias("n")).where(F.col("n") >= cutoff), "ngrams")
+    return written(docs.mapInArrow(rows, ", ".join(f"{c} bigint" for c in [*key, "n"])).groupBy(*key).agg(F.sum("n").alias("n")).where(F.col("n") >= cutoff), "ngrams")
 
 
 def train(docs: DataFrame, text: str = "text", order: int = 3, cutoff: int = 2, prior: float = 50.0, per_shard: int = 1 << 20) -> Model:
     """The model of the texts of docs."""
     docs, folder = docs.select(F.col(text).alias("text")), f"{shared_dir(docs.sparkSession)}/trie"
 
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[Counts]:
         for b in batches:
             for c in chunks(b, "text", CHUNK_BYTES):
                 yield np.unique(tokens(c["text"].to_pylist())[0].view(np.int64), return_counts=True)
 
-    words = _counted(docs, count_words, "code", 1)
+    words = _counted(docs, count_words, ["code"], 1)
     size, n_tokens = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     bits = _bits(size, per_shard)
 
@@ -327,9 +354,9 @@ def train(docs: DataFrame, text: str = "text", order: int = 3, cutoff: int = 2,
 
 def _grow(model: Model, docs: DataFrame, n: int, per_shard: int, folder: str) -> None:
     """Adds level n."""
-    size, known = max(model.size, 1), replace(model, levels=list(model.levels))
+    known = replace(model, levels=list(model.levels))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[Counts]:
         for b in batches:
             for c in chunks(b, "text", CHUNK_BYTES):
                 _, _, kept, orders = known.read(c["text"].to_pylist(), n)
@@ -337,9 +364,9 @@ def _grow(model: Model, docs: DataFrame, n: int, per_shard: int, folder: str) ->
                 both = (context >= 0) & (kept >= 0)
                 if n > 2:  # an n-gram is no more frequent than its last n - 1 words
                     both &= orders[-2][1] >= 0
-                yield np.unique(context[both] * size + kept[both], return_counts=True)
+                yield pairs(context[both], kept[both], counts=True)
 
-    grams = _counted(docs, count, "key", model.cutoff)
+    grams = _counted(docs, count, ["context", "word"], model.cutoff)
     below = known.levels[-1]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,29 +379,28 @@ def _grow(model: Model, docs: DataFrame, n: int, per_shard: int, folder: str) ->
         totals[own["context"] - below.offsets[shard]] = own["total"]
         return len(totals), {"totals": _small(totals)}, {}
 
-    sums = grams.groupBy(F.expr(f"key div {size}").alias("context")).agg(F.sum("n").alias("total"))
+    sums = grams.groupBy("context").agg(F.sum("n").alias("total"))
     totals = _shards(sums.mapInArrow(place, "shard int, context bigint, total bigint"), build_totals, len(below.parts), folder)
     empty = {i: save(folder, {"totals": np.zeros(p.n, np.uint32)}) for i, p in enumerate(below.parts) if p.n and not totals[i].n}
     below.totals = [Part(p.n, *empty[i], {}) if i in empty else totals[i] for i, p in enumerate(below.parts)]
     bits = _bits(grams.count(), per_shard)
 
     def build(shard: int, own: dict) -> tuple[int, dict, dict]:
-        order_ = np.argsort(own["key"])
-        key, times = own["key"][order_], own["n"][order_]
-        context, word = key // size, key % size
+        order_ = np.lexsort((own["word"], own["context"]))
+        context, word, times = (own[c][order_] for c in ("context", "word", "n"))
         contexts, starts = np.unique(context, return_index=True)
-        pointers = np.append(starts, len(key)).astype(np.uint64)
+        pointers = np.append(starts, len(word)).astype(np.uint64)
         # each successor counts from the last one of the context before
-        last = word[np.append(starts[1:], len(key)) - 1].astype(np.uint64) + np.uint64(1)
+        last = word[np.append(starts[1:], len(word)) - 1].astype(np.uint64) + np.uint64(1)
         base = np.concatenate([np.zeros(1, np.uint64), np.cumsum(last, dtype=np.uint64)[:-1]])
         successors = np.repeat(base, np.diff(pointers).astype(np.int64)) + word.astype(np.uint64) + np.uint64(1)
         lower = known.conditional(n - 1, known.suffix(n - 1, context) if n > 2 else np.full(len(word), -1, np.int64), word)
         total = below.array(context, "totals", totals=True)
         p = (times + known.prior * 10**lower) / (total + known.prior)
         arrays = {"probs": np.minimum(np.rint(-np.log10(p) * STEPS), 65535).astype(np.uint16)}
-        return len(key), arrays, {"contexts": _sequence(arrays, "contexts", contexts.astype(np.uint64)), "pointers": _sequence(arrays, "pointers", pointers), "successors": _sequence(arrays, "successors", successors)}
+        return len(word), arrays, {"contexts": _sequence(arrays, "contexts", contexts.astype(np.uint64)), "pointers": _sequence(arrays, "pointers", pointers), "successors": _sequence(arrays, "successors", successors)}
 
-    rows = grams.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(1 << bits)).cast("int"))
+    rows = grams.withColumn("shard", F.pmod(F.xxhash64("context", "word"), F.lit(1 << bits)).cast("int"))
     model.levels.append(Level(_shards(rows, build, 1 << bits, folder), bits))
 
 

@@ -603,17 +603,31 @@ def test_model_equals_the_plain_formula(spark, order, per_shard):
         assert r.base_score == pytest.approx(base, abs=1e-9) and r.lm_score == pytest.approx(full, abs=2e-3 * len(w))
 
 
-def test_parts_of_counts_are_added_up():
+@pytest.mark.parametrize("far", [0, 1 << 62])
+def test_parts_of_counts_are_added_up(far):
+    """far: numbers so large that a pair doesn't fit into 63 bits."""
     rng = np.random.default_rng(4)
-    parts = [np.unique(rng.integers(0, 50, 30), return_counts=True) for _ in range(40)]
-    got = Counter()
-    for keys, n in lm_trie._merged(iter(parts), most=60):
-        assert len(set(keys.tolist())) == len(keys)
-        got.update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
-    want = Counter()
-    for keys, n in parts:
-        want.update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
+    parts = [lm_trie.pairs(rng.integers(0, 9, 30) + far, rng.integers(0, 9, 30) + far, counts=True) for _ in range(40)]
+    told = lambda c, w, n: dict(zip(zip(c.tolist(), w.tolist(), strict=True), n.tolist(), strict=True))
+    got, want = Counter(), Counter()
+    for part in lm_trie._merged(iter(parts), most=60):
+        assert len(told(*part)) == len(part[2])
+        got.update(told(*part))
+    for part in parts:
+        assert part[2].sum() == 30 and list(told(*part)) == sorted(told(*part))
+        want.update(told(*part))
     assert got == want
+    context, word = rng.integers(0, 5, 200) + far, rng.integers(0, 5, 200) + far
+    c, w, at = lm_trie.pairs(context, word)
+    assert (c[at] == context).all() and (w[at] == word).all() and len(set(zip(c.tolist(), w.tolist(), strict=True))) == len(c)
+
+
+def test_hashes_of_pairs_are_those_of_spark(spark):
+    rows = [(1, 2), (2, 1), (1 << 62, 3), (0, 0), (7, 1 << 61)]
+    df = spark.createDataFrame(rows, "context bigint, word bigint")
+    a = np.array(rows, np.int64)
+    got = lm_trie.hash_long(a[:, 1].copy(), lm_trie.hash_long(a[:, 0].copy())).view(np.int64)
+    assert got.tolist() == [r.h for r in df.select(F.xxhash64("context", "word").alias("h")).collect()]
 
 
 def test_model_of_nothing(spark, odd, empty):
@@ -754,6 +768,15 @@ def test_line_frequency_and_rules_on_odd_rows(spark, odd, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_rows_that_differ_in_where_a_null_stands_stay_apart(spark):
+    """Ten documents of host h hold a line; a row whose host is that text, and whose text is null, holds none."""
+    rows = [(i, "one frequent line", "h") for i in range(10)] + [(i, None, "one frequent line") for i in range(10)] + [(None, None, None), (1, "2:x", "3"), (1, "x", "32:")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert df.select(quality_rules.row_key("doc_id", "source", "text").alias("k")).distinct().count() == len(rows)
+    got = quality_rules.quality_rules(df).collect()
+    assert len(got) == len(rows) and sorted(r.n_removed_words for r in got) == [0] * 13 + [3] * 10
+
+
 def test_boilerplate_lines_deplete_documents(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
