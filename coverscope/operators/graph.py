@@ -31,16 +31,21 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) ->
             return labels
 
 
-def context(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, degree, weighted_degree, strongest neighbour (the smaller id of equals) and neighbours."""
+def context(nodes: DataFrame, edges: DataFrame, max_listed: int = 10_000) -> DataFrame:
+    """node, degree, weighted_degree, strongest neighbour (the smaller id of equals) and neighbours.
+
+    neighbours is null for a node with more than max_listed of them, so that no hub's ids stand in one
+    value; both_ways has them all as rows."""
     both = both_ways(edges)
     per = both.groupBy("node").agg(
         F.count("*").alias("degree"),
         F.sum("strength").alias("weighted_degree"),
         F.min_by("other", F.struct(-F.col("strength"), "other")).alias("strongest"),
-        F.array_join(F.array_sort(F.collect_list("other")), ",").alias("neighbours"),
     )
-    return nodes.select("node").join(per, "node", "left").withColumns({"degree": F.coalesce("degree", F.lit(0)), "weighted_degree": F.coalesce("weighted_degree", F.lit(0))})
+    few = both.join(per.where(F.col("degree") <= max_listed).select("node"), "node", "left_semi")
+    listed = few.groupBy("node").agg(F.array_join(F.array_sort(F.collect_list("other")), ",").alias("neighbours"))
+    out = nodes.select("node").join(per, "node", "left").join(listed, "node", "left")
+    return out.withColumns({"degree": F.coalesce("degree", F.lit(0)), "weighted_degree": F.coalesce("weighted_degree", F.lit(0))})
 
 
 def degree_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:

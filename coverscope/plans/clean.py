@@ -24,6 +24,13 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(plain).alias("plain"), (plain != F.col("text")).alias("changed"))
 
 
+@R.add("h_valid_utf8", "SELECT doc_id, text = '' OR unicode(text) < 128 AS rest_is_valid, text IS NOT NULL AS is_valid FROM documents WHERE text IS NOT NULL")
+def _(spark, d):
+    """A text without its first byte is valid if that byte was a whole character."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    return docs.select("doc_id", C.valid_utf8(F.expr("substring(cast(text AS binary), 2)")).alias("rest_is_valid"), C.valid_utf8(F.col("text")).alias("is_valid"))
+
+
 @R.add("b3_find_key_column", "SELECT 'c_name' AS key_column, (SELECT avg(CASE WHEN regexp_matches(c_name, '^Customer#[0-9]{9}$') THEN 1.0 ELSE 0.0 END) FROM customer)::DOUBLE AS share")
 def _(spark, d):
     return tidy.find_key_column(table(spark, d, "customer"), r"^Customer#[0-9]{9}$", 0.9)

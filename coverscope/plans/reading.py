@@ -160,3 +160,20 @@ def _(spark, d):
     m = files.file_manifest(spark, f"{d}/region.parquet").persist()
     listed = m.unionByName(m.select(F.concat("path", F.lit(".gone")).alias("path"), "bytes", "sha256"))
     return files.verify_manifest(listed, m)
+
+
+@R.add(
+    "a15_immutable_manifest",
+    "SELECT c_nationkey::INT AS role, CASE WHEN c_nationkey % 5 = 4 THEN 'CHANGED' WHEN c_nationkey % 5 = 3 THEN 'DUPLICATE' WHEN c_nationkey % 2 = 1 THEN 'MUTABLE' ELSE 'OK' END AS status, count(DISTINCT 1) AS n FROM customer WHERE c_nationkey % 5 <> 2 GROUP BY c_nationkey"
+    " UNION ALL SELECT c_nationkey::INT, 'UNLISTED', 1 FROM customer WHERE c_nationkey % 5 = 2 GROUP BY c_nationkey UNION ALL SELECT c_nationkey::INT, 'MISSING', 1 FROM customer GROUP BY c_nationkey",
+)
+def _(spark, d):
+    """Customers in a file for each nation, against a list with changed hashes, files listed twice, left out or gone, and marks."""
+    out, nation = scratch.folder(spark, "files"), F.regexp_extract("path", "c_nationkey=([0-9]+)", 1).cast("int")
+    table(spark, d, "customer").repartition("c_nationkey").write.partitionBy("c_nationkey").parquet(out)
+    found = files.file_manifest(spark, out, "*.parquet")
+    key, mark = nation % 5, F.when(nation % 2 == 0, "Yes").otherwise("no")
+    listed = found.where(key != 2).select("path", F.when(key == 4, F.reverse("sha256")).otherwise(F.upper("sha256")).alias("sha256"), mark.alias("immutable"))
+    gone = found.select(F.concat("path", F.lit(".gone")).alias("path"), "sha256", F.lit("yes").alias("immutable"))
+    checked = files.verify_manifest(listed.unionByName(listed.where(key == 3)).unionByName(gone), found, immutable=True)
+    return checked.groupBy(nation.alias("role"), "status").agg(F.count("*").alias("n"))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
+import re
 import zipfile
 from collections.abc import Iterator, Sequence
 from itertools import islice
 
 import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -91,15 +94,54 @@ def read_geojson(text: DataFrame, column: str, fields: dict[str, str]) -> DataFr
     return f.select("properties.*", F.transform(rings, lambda r: F.transform(r, point)).alias("rings"))
 
 
-def file_manifest(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """path, bytes and sha256 of the files of a folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+#: Larger files are hashed piece by piece: a value of Spark holds at most 2 GB.
+WHOLE_BYTES = 256 << 20
+
+
+def _streamed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """path, bytes and sha256 of files, each read in pieces of 8 MB."""
+    for pdf in batches:
+        digests = []
+        for path in pdf["path"]:
+            local = re.match(r"file:/+(?=[^/])", path)
+            store, at = (pafs.LocalFileSystem(), "/" + path[local.end() :]) if local else pafs.FileSystem.from_uri(path)
+            digest = hashlib.sha256()
+            with store.open_input_stream(at) as f:
+                while piece := f.read(8 << 20):
+                    digest.update(piece)
+            digests.append(digest.hexdigest())
+        yield pdf.assign(sha256=digests)
 
 
-def verify_manifest(expected: DataFrame, found: DataFrame) -> DataFrame:
-    """path and status: OK, MISSING, UNLISTED, CHANGED or DUPLICATE (listed more than once)."""
-    listed = expected.groupBy("path").agg(F.first("sha256").alias("_e"), F.count("*").alias("_n"))
-    both = listed.join(found.select("path", F.col("sha256").alias("_f")), "path", "full")
-    status = F.when(F.col("_n") > 1, "DUPLICATE").when(F.col("_f").isNull(), "MISSING").when(F.col("_e").isNull(), "UNLISTED").when(F.col("_e") != F.col("_f"), "CHANGED").otherwise("OK")
+def file_manifest(spark: SparkSession, folder: str, pattern: str = "*", whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """path, bytes and sha256 of the files of a folder, whatever their size. A file above whole_bytes is a stream of one task.
+
+    Empty files have no row: Spark's reader leaves them out. A listed empty file is MISSING to verify_manifest."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
+    small = files.where(F.col("length") <= whole_bytes).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > whole_bytes).select("path", F.col("length").alias("bytes")).repartition("path")
+    return small.unionByName(large.mapInPandas(_streamed, "path string, bytes bigint, sha256 string"))
+
+
+def verify_manifest(expected: DataFrame, found: DataFrame, roles: Sequence[str] | None = None, immutable: bool = False) -> DataFrame:
+    """path and status: OK, MISSING, UNLISTED, CHANGED, MUTABLE or DUPLICATE (listed more than once).
+
+    roles: only files listed with one of these roles are judged; files listed with another role aren't unlisted.
+    immutable: a file must be marked in the column of that name by yes or true (in any case); without the
+    column all are MUTABLE. Hashes are compared in lower case, without blanks around them. A listed null hash is
+    CHANGED, a null path is MISSING. An empty manifest leaves every file UNLISTED."""
+    marked = F.upper(F.trim(F.col("immutable").cast("string"))).isin("YES", "TRUE") if "immutable" in expected.columns else F.lit(False)
+    chosen = F.coalesce(F.col("role").cast("string").isin(list(roles)), F.lit(False)) if roles is not None else F.lit(True)
+    listed = expected.groupBy("path").agg(
+        F.min(F.lower(F.trim("sha256"))).alias("_e"), F.count("*").alias("_n"), F.every(F.coalesce(marked, F.lit(False))).alias("_fixed"), F.some(chosen).alias("_chosen")
+    )
+    both = listed.join(found.select("path", F.lower("sha256").alias("_f")), "path", "full").where(F.coalesce("_chosen", F.lit(True)))
+    status = (
+        F.when(F.col("_n") > 1, "DUPLICATE")
+        .when(F.col("_f").isNull(), "MISSING")
+        .when(F.col("_n").isNull(), "UNLISTED")
+        .when(~F.col("_e").eqNullSafe(F.col("_f")), "CHANGED")
+        .when(F.lit(immutable) & ~F.col("_fixed"), "MUTABLE")
+        .otherwise("OK")
+    )
     return both.select("path", status.alias("status"))

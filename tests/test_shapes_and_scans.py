@@ -1,5 +1,6 @@
 """Rings, checked writes, clusters, quantiles, scans, histograms and spatial closure, against plain versions."""
 
+import hashlib
 import itertools
 import os
 
@@ -130,3 +131,51 @@ def test_spatial_closure_equals_plain_versions(spark):
     for b, us in balls.items():
         flags = spark.createDataFrame([(u, float(u in us)) for u in at], "node bigint, value double")
         assert moran[b] == pytest.approx(graph.morans_i(flags, adjacency).first()["morans_i"])
+
+
+@pytest.mark.parametrize("whole_bytes", [1 << 28, 3])
+def test_manifest_has_the_hash_of_every_file(spark, tmp_path, whole_bytes):
+    """Beyond whole_bytes files are read in pieces; an empty file has no row (see the docstring)."""
+    (tmp_path / "sub folder").mkdir()
+    content = {"a.bin": b"abc", "sub folder/b c.bin": b"x" * 20_000_000, "empty.bin": b""}
+    for name, data in content.items():
+        (tmp_path / name).write_bytes(data)
+    got = files.file_manifest(spark, str(tmp_path), whole_bytes=whole_bytes).collect()
+    assert {(r.path.split(str(tmp_path) + "/")[1], r.bytes, r.sha256) for r in got} == {(n, len(x), hashlib.sha256(x).hexdigest()) for n, x in content.items() if x}
+
+
+def test_verify_manifest_roles_marks_and_odd_rows(spark):
+    listed = spark.createDataFrame(
+        [("a", " AB ", "input", "TRUE"), ("b", "cd", "input", "no"), ("c", "ef", "output", "yes"), ("d", None, "input", "yes"), ("e", "aa", "input", "yes"), ("e", "aa", "input", "yes"), (None, "aa", "input", "yes"), ("g", "aa", None, None)],
+        "path string, sha256 string, role string, immutable string",
+    )
+    found = spark.createDataFrame([("a", "ab"), ("b", "cd"), ("c", "ee"), ("d", "cd"), ("e", "aa"), ("f", "aa"), ("g", "aa")], "path string, sha256 string")
+    told = lambda **more: {r.path: r.status for r in files.verify_manifest(listed, found, **more).collect()}
+    all_ = {"a": "OK", "b": "OK", "c": "CHANGED", "d": "CHANGED", "e": "DUPLICATE", "f": "UNLISTED", "g": "OK", None: "MISSING"}
+    assert told() == all_
+    assert told(immutable=True) == all_ | {"b": "MUTABLE", "g": "MUTABLE"}
+    assert told(roles=["output"]) == {"c": "CHANGED", "f": "UNLISTED"}
+    bare = files.verify_manifest(listed.drop("immutable"), found, immutable=True).collect()
+    assert "OK" not in {r.status for r in bare}
+    assert {r.status for r in files.verify_manifest(listed.limit(0), found).collect()} == {"UNLISTED"}
+
+
+def test_neighbours_of_a_hub_are_not_listed(spark):
+    edges = spark.createDataFrame([(0, i, i % 3) for i in range(1, 30)] + [(1, 2, 5)], "a int, b int, strength int")
+    nodes = spark.range(31).select(F.col("id").cast("int").alias("node"))
+    got = {r.node: r for r in graph.context(nodes, edges, max_listed=5).collect()}
+    assert len(got) == 31 and got[0].degree == 29 and got[0].neighbours is None and got[0].strongest == 2
+    assert got[1].neighbours == "0,2" and got[1].weighted_degree == 6 and got[30].degree == 0
+
+
+def test_ols_with_covariates_equals_least_squares(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 2))
+    y = 1 + 2 * x[:, 0] - x[:, 1] + 0.5 * x[:, 0] * x[:, 1] + rng.normal(size=200)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in np.column_stack([x, y])] + [(None, 1.0, 2.0)], "p double, q double, y double")
+    got = stats.ols(df, "y", {"p": F.col("p"), "q": F.col("q"), "pq": F.col("p") * F.col("q")}).collect()
+    design = np.column_stack([np.ones(200), x, x[:, 0] * x[:, 1]])
+    beta, rss = np.linalg.lstsq(design, y, rcond=None)[:2]
+    se = np.sqrt(np.diag(np.linalg.inv(design.T @ design)) * rss[0] / 196)
+    assert [r.coefficient for r in got] == pytest.approx(beta.tolist()) and [r.std_error for r in got] == pytest.approx(se.tolist())
+    assert got[0].r2 == pytest.approx(1 - rss[0] / ((y - y.mean()) ** 2).sum())
