@@ -90,7 +90,13 @@ class EliasFano:
         h = (x >> np.uint64(self.low_bits)).astype(np.int64)
         known = np.flatnonzero(h < int(self.zeros[-1]))  # further up there are no numbers
         h = h[known]
-        lo, end = self._zero(h - 1) + 1 - h, self._zero(h) - h
+        at = self._zero(h - 1) + 1
+        rest = self.high[at >> 6] >> (at & 63).astype(np.uint64)
+        # the set bits from here on: their zero is in the same word as a rule
+        end = at + np.bitwise_count(rest & ~(rest + np.uint64(1)))
+        further = np.flatnonzero(end >> 6 != at >> 6)
+        end[further] = self._zero(h[further])
+        lo, end = at - h, end - h
         want, hi = x[known] & np.uint64((1 << self.low_bits) - 1), end.copy()
         while len(open_ := np.flatnonzero(lo < hi)):
             middle = (lo[open_] + hi[open_]) // 2

@@ -35,21 +35,13 @@ from pyspark.sql import functions as F
 from coverscope.llm.elias_fano import EliasFano, mapped, save
 from coverscope.llm.shared import chunks, schema_of, shared_dir, written
 
-#: A word has no blank, so the end of a text is none.
-END = xxhash.xxh64_intdigest(b" ")
 CHUNK_BYTES = 6_000_000
 STEPS = 4096
-
-
-def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Token codes of all texts, and where each text starts (one more at the end)."""
-    codes, starts = [], [0]
-    for t in texts:
-        words = (t or "").encode("utf-8", "replace").lower().split()
-        codes.append(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
-        codes.append(np.array([END], np.uint64))
-        starts.append(starts[-1] + len(words) + 1)
-    return np.concatenate(codes), np.array(starts)
+#: Of bytes: is it ASCII white space. Of lengths up to 8: the bits of so many bytes.
+BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Longer words are hashed one by one.
+LONG = 256
 
 
 def hash_long(x: np.ndarray, seed: np.ndarray | int = 42) -> np.ndarray:
@@ -64,6 +56,39 @@ def hash_long(x: np.ndarray, seed: np.ndarray | int = 42) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: The end of a text: as the hash of a word without a byte, which no word is.
+END = hash_long(np.zeros(1, np.uint64), 0)[0]
+
+
+def hash_words(data: bytes, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Codes of words by where they begin and how long they are: eight bytes a step, each step's hash seeds the next, the length the first. data needs seven bytes more at its end."""
+    eight, codes = np.ndarray(len(data) - 7, "<u8", data, strides=1), size.astype(np.uint64)
+    left, done = np.flatnonzero(size <= LONG), 0
+    while len(left):
+        value = eight[first[left] + done] & BYTES[np.minimum(size[left] - done, 8)]
+        codes[left] = hash_long(value, codes[left])
+        done += 8
+        left = left[size[left] > done]
+    for i in np.flatnonzero(size > LONG):
+        codes[i] = xxhash.xxh64_intdigest(data[first[i] : first[i] + size[i]])
+    return codes
+
+
+def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Token codes of all texts, and where each text starts (one more at the end)."""
+    parts = [(t or "").encode("utf-8", "replace").lower() for t in texts]
+    data = b"\n".join([*parts, bytes(7)])
+    inside = ~BLANK[np.frombuffer(data, np.uint8)]
+    inside[-7:] = False
+    edges = np.flatnonzero(np.diff(inside, prepend=False))
+    first, after = edges[::2], edges[1::2]
+    of_text = np.searchsorted(np.cumsum([len(p) + 1 for p in parts]), first, "right")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(of_text, minlength=len(parts)) + 1)])
+    codes = np.full(starts[-1], END, np.uint64)
+    codes[np.arange(len(first)) + of_text] = hash_words(data, first, after - first)
+    return codes, starts
+
+
 def pairs(context: np.ndarray, word: np.ndarray, counts: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs in order, and the place of each given one among them (or how often each stands).
 
@@ -109,7 +134,8 @@ class Level:
         self.offsets = np.cumsum([0, *(p.n for p in self.parts)])
 
     def _each(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(shard, kind="stable")
+        # 16 bits are sorted by radix
+        order = np.argsort(shard.astype(np.uint16) if len(self.parts) <= 1 << 16 else shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(len(self.parts) + 1))
         for s in np.flatnonzero(np.diff(cuts)):
             if self.parts[s].n:
@@ -171,6 +197,32 @@ class Level:
         return context, word
 
 
+@dataclass
+class Found:
+    """Which n-grams end at tokens: some tokens, what the distinct n-grams have (as a rule their index, -1: not in the model), and the place of each token's among them."""
+
+    tokens: np.ndarray
+    index: np.ndarray
+    at: np.ndarray
+
+    def of_tokens(self, n: int, none: float = -1) -> np.ndarray:
+        out = np.full(n, none, self.index.dtype)
+        out[self.tokens] = self.index[self.at]
+        return out
+
+    def before(self, starts: np.ndarray, none: float = -1) -> np.ndarray:
+        """For every token what the token before it in its text has."""
+        out = np.roll(self.of_tokens(int(starts[-1]), none), 1)
+        out[starts[:-1]] = none
+        return out
+
+    def values(self, value, none: float) -> np.ndarray:
+        """value(indices) for the distinct n-grams, none for those not in the model."""
+        out, real = np.full(len(self.index), none), self.index >= 0
+        out[real] = value(self.index[real])
+        return out
+
+
 @dataclass
 class Model:
     levels: list[Level]
@@ -216,39 +268,36 @@ class Model:
         out[rest & real] += self.backoff(n, context[rest & real])
         return out
 
-    def read(self, texts: list[str | None], upto: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """Text starts, token indices, and for each order from 2 the context of every token and the n-gram it makes (-1: none)."""
+    def read(self, texts: list[str | None], upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[Found]]:
+        """Text starts, indices of the distinct tokens, the place of each token among them, and the n-grams that end at tokens for each order."""
         codes, starts = tokens(texts)
-        distinct, back = np.unique(codes, return_inverse=True)
-        ids = self.levels[0].find_codes(distinct)
+        codes, back = np.unique(codes, return_inverse=True)
+        ids = self.levels[0].find_codes(codes)
         usual = np.full(len(ids), False)
         usual[ids >= 0] = self.levels[0].array(ids[ids >= 0], "counts") >= self.cutoff
-        word, kept = ids[back], np.where(usual, ids, -1)[back]  # rarer words are in no n-gram
-        begin = np.zeros(len(codes), bool)
-        begin[starts[:-1]] = True
-        orders, gram = [], kept
+        # rarer words are in no n-gram
+        orders = [Found(np.arange(len(back)), np.where(usual, ids, -1), back)]
+        kept = orders[0].of_tokens(len(back))
         for n in range(2, upto + 1):
-            context = np.where(begin, -1, np.roll(gram, 1))
-            gram = np.full(len(codes), -1, np.int64)
-            if n <= len(self.levels):
-                both = np.flatnonzero((context >= 0) & (kept >= 0))
-                c, w, at = pairs(context[both], kept[both])
-                gram[both] = self.levels[n - 1].find(c, w)[at]
-            orders.append((context, gram))
-        return starts, word, kept, orders
+            context = orders[-1].before(starts)
+            both = np.flatnonzero((context >= 0) & (kept >= 0))
+            c, w, at = pairs(context[both], kept[both])
+            orders.append(Found(both, self.levels[n - 1].find(c, w), at))
+        return starts, ids, back, orders
 
     def score(self, texts: list[str | None]) -> dict[str, np.ndarray]:
-        starts, word, _, orders = self.read(texts, len(self.levels))
-        base = self.word_prob(word)
+        starts, ids, back, orders = self.read(texts, len(self.levels))
+        base = self.word_prob(ids)[back]
         best = base
-        for n, (context, gram) in enumerate(orders, 2):
-            seen, real = gram >= 0, context >= 0
-            best = best.copy()
-            rest = real & ~seen
-            best[rest] += self.backoff(n, context[rest])
-            best[seen] = -self.levels[n - 1].array(gram[seen], "probs") / STEPS
+        for n, (below, own) in enumerate(zip(orders, orders[1:], strict=False), 2):
+            # what is known of a distinct n-gram is looked up once
+            weight = Found(below.tokens, below.values(lambda i: self.backoff(n, i), 0.0), below.at).before(starts, 0.0)
+            best = best + weight
+            log_p = own.values(lambda i: -self.levels[n - 1].array(i, "probs") / STEPS, 0.0)
+            seen = (own.index >= 0)[own.at]
+            best[own.tokens[seen]] = log_p[own.at[seen]]
         add = lambda x: np.add.reduceat(x, starts[:-1])
-        return {"n_tokens": np.diff(starts), "n_known": add((word >= 0).astype(np.int64)), "base_score": add(base), "score": add(best)}
+        return {"n_tokens": np.diff(starts), "n_known": add((ids >= 0).astype(np.int64)[back]), "base_score": add(base), "score": add(best)}
 
 
 def _sequence(arrays: dict, name: str, values: np.ndarray) -> tuple[int, int]:
@@ -359,11 +408,10 @@ def _grow(model: Model, docs: DataFrame, n: int, per_shard: int, folder: str) ->
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[Counts]:
         for b in batches:
             for c in chunks(b, "text", CHUNK_BYTES):
-                _, _, kept, orders = known.read(c["text"].to_pylist(), n)
-                context = orders[-1][0]
-                both = (context >= 0) & (kept >= 0)
-                if n > 2:  # an n-gram is no more frequent than its last n - 1 words
-                    both &= orders[-2][1] >= 0
+                starts, _, back, orders = known.read(c["text"].to_pylist(), n - 1)
+                context, kept = orders[-1].before(starts), orders[0].of_tokens(len(back))
+                # an n-gram is no more frequent than its last n - 1 words
+                both = (context >= 0) & (orders[-1].of_tokens(len(back)) >= 0)
                 yield pairs(context[both], kept[both], counts=True)
 
     grams = _counted(docs, count, ["context", "word"], model.cutoff)

@@ -786,3 +786,13 @@ def test_boilerplate_lines_deplete_documents(spark):
     got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
     assert all(r.kept == (i % 4 != 0) for i, r in got.items())
     assert got[1].n_removed_words == 30 and "\n" not in got[1].clean_text and got[2].clean_text == rows[2][1]
+
+
+def test_lm_tokens_are_the_words_between_blanks():
+    texts = [None, "", " \t", "a b\x0bA  c" + "d" * 30, "é ÉÀ x" * 3, "w" * 300 + " " + "w" * 300 + " " + "w" * 301, "a\x00b a\x00", "abcdefgh abcdefgh1 abcdefg a b\x1cq"]
+    codes, starts = lm_trie.tokens(texts)
+    want = [w for t in texts for w in [*(t or "").encode().lower().split(), b""]]
+    assert np.diff(starts).tolist() == [len((t or "").encode().split()) + 1 for t in texts]
+    assert len(codes) == len(want) and len(set(zip(codes.tolist(), want, strict=True))) == len(set(codes.tolist())) == len(set(want))
+    alone = np.concatenate([lm_trie.tokens([t])[0] for t in texts])
+    assert (alone == codes).all() and lm_trie.tokens([])[1].tolist() == [0]
