@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from coverscope.operators import ground, profile
+from coverscope.operators import ground, near, profile
 
 RADIUS = 12.0
 
@@ -46,3 +46,31 @@ def test_adjacency_in_balls_without_pairs(random_ground, sizes):
 def test_cross_adjacency_without_pairs(random_ground, sizes):
     places, m, pairs = random_ground
     assert table(ground.cross_adjacency(m, places, RADIUS, sizes), "a", "b") == table(profile.cross_adjacency(m, pairs), "a", "b")
+
+
+def test_facility_access_in_parts_equals_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    q, f = rng.integers(0, 40, size=(90, 2)) * 1.0, rng.integers(0, 40, size=(70, 2)) * 1.0
+    side = lambda x, name: spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], f"{name} bigint, x double, y double")
+    monkeypatch.setattr(near, "within_radius", None)  # a row for each pair in range is not wanted
+    got = near.facility_access(side(q, "id"), side(f, "fid"), "id", "fid", ["x", "y"], [3, 5], [2], 25.0, sizes=(8, 16)).collect()
+    d = np.sqrt(((q[:, None] - f[None]) ** 2).sum(axis=2))
+    assert len(got) == 90
+    for r in got:
+        own = d[r.id]
+        order = np.lexsort((np.arange(70), own))
+        assert r.nearest_id == order[0] and [r.distance_1, r.distance_3, r.distance_5] == [own[order[i]] for i in (0, 2, 4)]
+        assert [r.n_within_3, r.n_within_5] == [(own <= 3).sum(), (own <= 5).sum()]
+        assert r.access_2 == pytest.approx(np.exp(-own[own <= 25] / 2).sum())
+
+
+def test_nearest_distances_of_sets_far_apart_meet_few_leaves(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x, y = rng.random((400, 2)) * [10, 10], rng.random((500, 2)) * [10, 10] + [30, 30]
+    x[:50] = x[0]
+    side = lambda z: spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(z)], "id bigint, x double, y double")
+    monkeypatch.setattr(near, "within_radius", None)  # doubled radii make all cells one before such sets meet
+    monkeypatch.setattr(near, "GROUP", 7)
+    got = {r.id: r.d for r in near.nearest_distance(side(x), side(y), "id", ["x", "y"], 0, 20).collect()}
+    want = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2)).min(axis=1)
+    assert len(got) == 400 and np.allclose([got[i] for i in range(400)], want)
