@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coverscope.operators import graph
@@ -19,6 +19,7 @@ from coverscope.operators.scratch import cut
 
 #: Rows of a part of either side, distances held at once, cells that are broadcast: at most about so many.
 HOME, OTHERS, AT_ONCE, CELLS_SENT = 1024, 8192, 2**20, 100_000
+WHOLE = 2**40  #: a part that holds all rows of its cell
 
 
 def width(places: DataFrame, xy: Sequence[str], least: float, wanted: int = 512) -> float:
@@ -46,6 +47,10 @@ def meet(home: DataFrame, others: DataFrame, item: str, other: str, xy: Sequence
     h = h.join(parts, cells).withColumns({"_i": part(item, "_n"), "_j": each("_m")}).drop("_n", "_m")
     o = o.join(parts, cells).withColumns({"_j": part(other, "_m"), "_i": each("_n")}).drop("_n", "_m")
     keys = [*cells, "_i", "_j"]
+    # numbers of partitions of its own: the rows that meet are few and small beside the work, so Spark would join partitions by their size
+    spark = home.sparkSession
+    n = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    h, o = h.repartition(n, *keys), o.repartition(n, *keys)
     return h.groupBy(*keys).cogroup(o.groupBy(*keys)).applyInPandas(fn, schema)
 
 
@@ -183,3 +188,76 @@ def cross_adjacency(membership: DataFrame, places: DataFrame, radius: float, siz
     cell = width(rows, ["x", "y"], 1.5 * radius)
     met = meet(rows, rows, "unit", "unit", ["x", "y"], radius, cell, crossed, "a bigint, b bigint, n bigint", sizes)
     return met.groupBy("a", "b").agg((F.sum("n") / 2).cast("bigint").alias("n_cross")).where("n_cross > 0")
+
+
+def exclusive_gaps(membership: DataFrame, places: DataFrame, home: int = HOME // 2, wanted: int = 512) -> DataFrame:
+    """profile.exclusive_gaps, without a row for each unit and pair of balls. places: unit, x and y.
+
+    Units in the same balls are alike, so a part of a cell looks up the nearest place of each kind of unit around it, and the nearest of b's
+    own is the least over the kinds that are in b and not in a. What it finds within the radius it counts by pair and distance; a unit
+    with pairs left over lists them and looks on in four times the radius, among the kinds that those pairs still need. The larger the radius, the rarer these kinds."""
+    xy = ["x", "y"]
+    rows = placed(membership, places).where(F.size("_in") > 0).dropna(subset=xy).withColumn("_in", F.sort_array("_in"))
+    named = cut(membership.select(F.col("ball_id").cast("bigint").alias("ball_id")).distinct().withColumn("_rank", F.row_number().over(Window.orderBy("ball_id")) - 1))  # a row for each ball
+    n = max(1, named.count())
+    ranks = cut(rows.select("unit", *xy, F.explode("_in").alias("ball_id")).join(named, "ball_id").groupBy("unit", *xy).agg(F.sort_array(F.collect_list(F.col("_rank").cast("bigint"))).alias("_in")))
+    kinds = cut(ranks.select("_in").distinct().withColumn("_kind", F.monotonically_increasing_id()))
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+    side = lambda own, other: kinds.select("_kind", "_in", F.explode("_in").alias(own)).select("_kind", own, F.explode(F.array_except(every, F.col("_in"))).alias(other)).where("a < b")
+    code = (F.col("a") * n + F.col("b")).alias("code")
+    sought = cut(side("b", "a").select("_kind", code))  # the pairs in which a kind is b's own
+    asks = side("a", "b").select("_kind", code).join(sought.select("code").distinct(), "code").groupBy("_kind").agg(F.collect_list("code").alias("ask"))
+    dealt = cut(ranks.join(kinds, "_in"))
+    sites = cut(dealt.select(*xy, "_kind", "_in").distinct().withColumn("_site", F.monotonically_increasing_id()))
+    look, found = dealt.join(asks, "_kind").select("unit", *xy, "ask"), None
+    radius = width(dealt, xy, 0.0, wanted)
+    schema = f"code bigint, d2 double, n bigint, unit {ranks.schema['unit'].dataType.simpleString()}, x double, y double, ask array<bigint>"
+
+    def nearest_of(reach: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+        def run(h: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+            if not len(h):
+                return pd.DataFrame(columns=["code", "d2", "n", "unit", *xy, "ask"])
+            o = o.sort_values("_kind", ignore_index=True)
+            _, first = np.unique(o["_kind"].to_numpy(), return_index=True)
+            inside = np.zeros((len(first), n), bool)
+            for i, own in enumerate(o["_in"].iloc[first]):
+                inside[i, own] = True
+            d2 = np.concatenate([np.minimum.reduceat(d, first, axis=1) for _, d in distances(h, o, xy)]) if len(o) else np.zeros((len(h), 0))
+            size = [len(x) for x in h["ask"]]
+            at, codes = np.repeat(np.arange(len(h)), size), np.concatenate(h["ask"].to_list()).astype(np.int64)
+            order = np.argsort(codes, kind="stable")
+            at, codes = at[order], codes[order]
+            best = np.full(len(codes), np.inf)
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(codes) != 0]))
+            for lo, hi in zip(starts, np.append(starts[1:], len(codes)), strict=True):
+                a, b = divmod(int(codes[lo]), n)
+                kind = np.flatnonzero(inside[:, b] & ~inside[:, a])
+                if len(kind):
+                    best[lo:hi] = d2[np.ix_(at[lo:hi], kind)].min(axis=1)
+            done = best <= reach * reach
+            counts = pd.DataFrame({"code": codes[done], "d2": best[done]}).value_counts(sort=False).rename("n").reset_index()
+            left = pd.Series(codes[~done]).groupby(at[~done]).agg(list)
+            more = h.iloc[left.index][["unit", *xy]].assign(ask=left.to_numpy())
+            rest, none = [None] * len(more), [None] * len(counts)
+            known = {c: pd.array([*counts[c], *rest], kind) for c, kind in (("code", "Int64"), ("d2", "Float64"), ("n", "Int64"))}
+            return pd.DataFrame(known | {c: pd.Series([*none, *more[c]], dtype=object) for c in ("unit", *xy, "ask")})
+
+        return run
+
+    while True:
+        met = cut(meet(look, sites, "unit", "_site", xy, radius, radius, nearest_of(radius), schema, (home, WHOLE)))
+        part = met.where("code is not null").select("code", "d2", "n")
+        found = part if found is None else found.unionByName(part)
+        look = met.where("code is null").select("unit", *xy, "ask")
+        if look.isEmpty():
+            break
+        still = sought.join(look.select(F.explode("ask").alias("code")).distinct(), "code").select("_kind").distinct()
+        sites, radius = cut(sites.join(still, "_kind", "left_semi")), radius * 4
+    found = cut(found.groupBy("code", "d2").agg(F.sum("n").alias("n")))
+    upto = F.sum("n").over(Window.partitionBy("code").orderBy("d2"))
+    placed_ = found.withColumn("_upto", upto).join(found.groupBy("code").agg(F.sum("n").alias("_size")), "code")
+    at = lambda i: F.min(F.when(F.col("_upto") > i, F.sqrt("d2")))
+    half = (F.col("_size") - 1) / 2
+    gaps = placed_.groupBy("code").agg((F.min(F.sqrt("d2")) / 1000).alias("min_exclusive_km"), ((at(F.floor(half)) + at(F.ceil(half))) / 2000).alias("median_exclusive_km"))
+    of = lambda c: named.select(F.col("ball_id").alias(c), F.col("_rank").alias(f"_{c}"))
+    return gaps.withColumns({"_a": F.floor(F.col("code") / n), "_b": F.col("code") % n}).join(of("a"), "_a").join(of("b"), "_b").select("a", "b", "min_exclusive_km", "median_exclusive_km")

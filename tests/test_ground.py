@@ -48,6 +48,16 @@ def test_cross_adjacency_without_pairs(random_ground, sizes):
     assert table(ground.cross_adjacency(m, places, RADIUS, sizes), "a", "b") == table(profile.cross_adjacency(m, pairs), "a", "b")
 
 
+@pytest.mark.parametrize("home, wanted", [(7, 2), (ground.HOME, 512)])
+def test_exclusive_gaps_without_a_row_for_each_unit_and_pair(random_ground, home, wanted):
+    places, m, _ = random_ground
+    placed = places.dropna()
+    inside = m.unionByName(m.where("ball_id = 2").selectExpr("7L ball_id", "unit")).join(placed.select("unit"), "unit").select("ball_id", "unit")  # the same members twice: no gap either way
+    want = table(profile.exclusive_gaps(inside, placed), "a", "b")
+    assert len(want) > 10 and (2, 7) not in want
+    assert table(ground.exclusive_gaps(inside, placed, home, wanted), "a", "b") == want
+
+
 def test_facility_access_in_parts_equals_all_pairs(spark, monkeypatch):
     rng = np.random.default_rng(2)
     q, f = rng.integers(0, 40, size=(90, 2)) * 1.0, rng.integers(0, 40, size=(70, 2)) * 1.0
