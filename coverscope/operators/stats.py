@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -260,27 +260,57 @@ def seeds(points: DataFrame, item: str, axes: Sequence[str], k: int, starts: Seq
     return centres
 
 
+#: Points that are compared with the centres at once, so that what is computed of them stays in a core's cache.
+NEAR_AT_ONCE = 8192
+
+
+def packed_points(points: DataFrame, axes: Sequence[str]) -> DataFrame:
+    """data: the axes of about 10,000 points in one row, axis by axis, as rounds read them again and again."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch({"data": pa.array([np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns]).astype(np.float64).tobytes()], pa.binary())})
+
+    return points.select(*[F.col(a).cast("double").alias(a) for a in axes]).mapInArrow(pack, "data binary")
+
+
 def lloyd_step(points: DataFrame, axes: Sequence[str], centres: dict[tuple, np.ndarray]) -> DataFrame:
-    """config (its place in centres), cluster, n, within_ss and the sum of each axis, for all configurations at once; a point goes to its nearest centre, the first of equals.
+    """config (its place in centres), cluster, n, within_ss and the sum of each axis, for all configurations at once; a point goes to its nearest centre, the first of equals."""
+    return packed_step(packed_points(points, axes), axes, centres)
+
 
-    A task adds up its own points, so what moves is a row for each task, configuration and cluster."""
+def packed_step(packed: DataFrame, axes: Sequence[str], centres: dict[tuple, np.ndarray]) -> DataFrame:
+    """lloyd_step of packed_points. A task adds up its own points, so what moves is a row for each task, configuration and cluster."""
     known, axes = list(centres.values()), list(axes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def own(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each point: its nearest centre and the squared distance to it."""
+        to, least = np.zeros(x.shape[1], np.int64), np.full(x.shape[1], np.inf)
+        for j, centre in enumerate(c):
+            d2 = np.zeros(x.shape[1])
+            for column, at in zip(x, centre, strict=True):
+                apart = column - at
+                d2 += apart * apart
+            to[d2 < least] = j
+            np.minimum(least, d2, out=least)
+        return to, least
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros((len(c), 2 + len(axes))) for c in known]
-        for pdf in batches:
-            x = pdf[axes].to_numpy(float)
-            for c, t in zip(known, total, strict=True):
-                d2 = np.zeros((len(x), len(c)))
-                for i in range(len(axes)):
-                    d2 += (x[:, i, None] - c[None, :, i]) ** 2
-                own = d2.argmin(axis=1)
-                for column, weight in enumerate((None, d2[np.arange(len(x)), own], *x.T)):
-                    t[:, column] += np.bincount(own, weight, minlength=len(c))
-        for i, t in enumerate(total):
-            yield pd.DataFrame({"config": i, "cluster": np.arange(len(t)), "n": t[:, 0].astype(np.int64), "within_ss": t[:, 1]} | {a: t[:, 2 + j] for j, a in enumerate(axes)})
-
-    sums = points.select(*axes).mapInPandas(run, "config int, cluster int, n bigint, within_ss double, " + ", ".join(f"`{a}` double" for a in axes))
+        for b in batches:
+            for row in b.column("data"):
+                whole = np.frombuffer(row.as_buffer()).reshape(len(axes), -1)
+                for start in range(0, whole.shape[1], NEAR_AT_ONCE):
+                    x = whole[:, start : start + NEAR_AT_ONCE]
+                    for c, t in zip(known, total, strict=True):
+                        to, least = own(x, c)
+                        for column, weight in enumerate((None, least, *x)):
+                            t[:, column] += np.bincount(to, weight, minlength=len(c))
+        rows = np.concatenate(total)
+        config, cluster = (np.concatenate(v).astype(np.int32) for v in ([np.full(len(c), i) for i, c in enumerate(known)], [np.arange(len(c)) for c in known]))
+        yield pa.record_batch({"config": config, "cluster": cluster, "n": rows[:, 0].astype(np.int64), "within_ss": rows[:, 1].copy()} | {a: rows[:, 2 + i].copy() for i, a in enumerate(axes)})
+
+    sums = packed.mapInArrow(run, "config int, cluster int, n bigint, within_ss double, " + ", ".join(f"`{a}` double" for a in axes))
     return sums.groupBy("config", "cluster").agg(F.sum("n").alias("n"), F.sum("within_ss").alias("within_ss"), *[F.sum(a).alias(a) for a in axes])
 
 
@@ -290,12 +320,13 @@ def lloyd(df: DataFrame, item: str, axes: Sequence[str], ks: Sequence[int], star
     The driver holds the centres alone (the sum of ks x starts rows). Clusters that lose all points keep their centre."""
     points = cut(df.select(item, *[F.col(a).cast("double").alias(a) for a in axes]).dropna())
     first = seeds(points, item, list(axes), max(ks), range(starts), seed)
+    packed = cut(packed_points(points, axes))
     centres = {(k, s): np.array(c[:k], float) for k in ks for s, c in first.items() if c}
     moving, sizes, within = set(centres), {}, {}
     for _ in range(rounds + 1):
         part = {key: centres[key] for key in centres if key in moving}
         names, new = list(part), {key: (c.copy(), np.zeros(len(c)), np.zeros(len(c), int)) for key, c in part.items()}
-        for r in lloyd_step(points, axes, part).collect():
+        for r in packed_step(packed, axes, part).collect():
             c, ss, n = new[names[r["config"]]]
             ss[r["cluster"]], n[r["cluster"]] = r["within_ss"], r["n"]
             if r["n"]:

@@ -26,3 +26,20 @@ def test_pairs_within_a_radius_come_part_by_part(spark):
     got = near.pairs_within(side(x, "id"), side(y, "fid"), "id", "fid", ["x", "y"], 5.0, sizes=(4, 7))
     i, j = np.nonzero(((x[:, None] - y[None]) ** 2).sum(axis=2) <= 25)  # some lie exactly 5 apart
     assert sorted(map(tuple, got.collect())) == list(zip(i.tolist(), j.tolist(), strict=True))
+
+
+def test_a_round_of_k_means_reads_packed_points_in_parts(spark, monkeypatch):
+    from coverscope.operators import stats
+
+    monkeypatch.setattr(stats, "NEAR_AT_ONCE", 7)
+    x = np.random.default_rng(6).integers(0, 9, size=(50, 2)) * 1.0
+    packed = stats.packed_points(spark.createDataFrame(x.tolist(), "x double, y double"), ["x", "y"])
+    assert packed.count() < 50
+    centres = {(k, 0): x[:k] + 0.5 for k in (1, 3)}
+    got = {(r.config, r.cluster): (r.n, r.within_ss, r.x, r.y) for r in stats.packed_step(packed, ["x", "y"], centres).collect()}
+    for i, c in enumerate(centres.values()):
+        d2 = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+        own = d2.argmin(axis=1)  # lattice points: some are as near to two centres, and the first one has them
+        for j in range(len(c)):
+            mine = own == j
+            assert np.allclose(got[i, j], (mine.sum(), d2[mine, j].sum(), *x[mine].sum(axis=0)))
