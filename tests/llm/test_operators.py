@@ -188,6 +188,29 @@ def test_a_fragment_in_an_earlier_document_hides_no_passage(spark):
         assert source < d and (wrong or docs[d][a:b] == docs[source][t:u])
 
 
+def test_fragments_in_earlier_documents_hide_no_passage_with_edits(spark):
+    rng = random.Random(21)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(n)]
+    whole = text(120)
+    fuzzy = [f"new{i}" if i % 15 == 7 else w for i, w in enumerate(whole)]
+    pieces = [text(9) + whole[i : i + 9] + text(9) for i in range(0, 117, 3)]  # each holds a seed at most, and all are taken by them
+    docs = [*pieces, text(10) + whole + text(20), text(10) + whole + text(20), text(5) + fuzzy + text(12)]
+    rows = substring_dedup.passages(spark.createDataFrame([(i, " ".join(v)) for i, v in enumerate(docs)], "doc_id bigint, text string")).collect()
+    last = [(r.start, r.end, r.source_id) for r in rows if r.doc_id == len(docs) - 1]
+    assert len(last) == 1 and last[0][2] == len(pieces) and last[0][0] <= 12 and last[0][1] >= 118
+
+
+def test_the_least_of_windows_with_equal_ones_in_them():
+    rng = np.random.default_rng(4)
+    for width in (2, 3, 50, 1 << 60):
+        h = rng.integers(0, width, 200).astype(np.uint64)
+        kmers, at = substring_dedup.seeds(h, 1, 1)
+        assert at.tolist() == list(range(200))
+        for window in (2, 7, 10):
+            want = sorted({i + int(kmers[i : i + window].argmin()) for i in range(200 - window + 1)})
+            assert substring_dedup.seeds(h, 1, window)[1].tolist() == want
+
+
 def test_chains_equal_the_quadratic_rule():
     rng = np.random.default_rng(2)
     for _ in range(60):
