@@ -175,3 +175,14 @@ def test_vector_search_by_tiles(spark, sent, monkeypatch):
         got.setdefault(r["query"], []).append(r["neighbour"])
     want = {i: [j for _, j in sorted((round(float(np.sqrt(((x[i] - x[j]) ** 2).sum())), 12), j) for j in range(150) if j != i)[:5]] for i in range(0, 150, 2)}
     assert got == want
+
+
+def test_many_blocks_stay_where_they_are_and_chunks_go_to_them(spark):
+    rng = np.random.default_rng(12)
+    points = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(rng.normal(size=(2000, 2)).round(3))], "id long, x double, y double")
+    few, many = (sweep.Sweep(points, ["x", "y"], [0.5, 1.0, 2.0], [1, 2], block=b) for b in (4096, 20))
+    assert many.blocks.count() > sweep.SENT and many.work.count() == 2 < few.work.count()
+    assert "Exchange hashpartitioning" not in sweep.met_with(many.work, many.blocks)._jdf.queryExecution().toString()
+    order = ["radius", "replicate", "kind", "a", "b", "n"]
+    rows = [sorted(map(tuple, s.counts().select(*order).where("kind <> 'units'").collect())) for s in (few, many)]
+    assert rows[0] == rows[1]
