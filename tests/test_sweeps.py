@@ -186,3 +186,11 @@ def test_many_blocks_stay_where_they_are_and_chunks_go_to_them(spark):
     order = ["radius", "replicate", "kind", "a", "b", "n"]
     rows = [sorted(map(tuple, s.counts().select(*order).where("kind <> 'units'").collect())) for s in (few, many)]
     assert rows[0] == rows[1]
+
+
+def test_scenarios_count_balls_without_a_row_for_each_membership(spark, monkeypatch):
+    points, _ = cloud(spark, 300, 9)
+    want = {(r.radius, r.replicate): (r.b, r.m) for r in cover.cover_grid(points, AXES, [0.9], [1, 2])[1].groupBy("radius", "replicate", "ball_id").count().groupBy("radius", "replicate").agg({"ball_id": "count", "count": "max"}).toDF("radius", "replicate", "m", "b").selectExpr("radius", "replicate", "least(b, m) b", "greatest(b, m) m").collect()}
+    monkeypatch.setattr(sweep.Sweep, "members", lambda self: pytest.fail("a row for each membership"))
+    got = {(r.radius, r.replicate): (r.n_balls, round(r.largest_share * 300)) for r in stability.scenario_sweep({"all": points}, AXES, [0.9], [1, 2]).collect()}
+    assert {k: tuple(sorted(v)) for k, v in got.items()} == want
