@@ -200,6 +200,31 @@ def test_fragments_in_earlier_documents_hide_no_passage_with_edits(spark):
     assert len(last) == 1 and last[0][2] == len(pieces) and last[0][0] <= 12 and last[0][1] >= 118
 
 
+def test_periodic_runs_lie_on_few_diagonals(spark):
+    rng = random.Random(31)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(n)]
+    one, two, two_long = ["la"] * 73, ["tick", "tock"] * 40, ["tick", "tock"] * 150
+    docs = [text(9) + one + text(20), text(5) + two + text(8), text(30) + ["la"] * 400 + text(9), text(20) + two_long + text(6)]
+    rows = {r.doc_id: r for r in substring_dedup.passages(spark.createDataFrame([(i, " ".join(v)) for i, v in enumerate(docs)], "doc_id bigint, text string")).collect()}
+    assert {i: (r.start, r.end) for i, r in rows.items()} == {2: (30, 430), 3: (20, 320)}
+    for i, lo, hi, most in ((2, 30, 430, 20), (3, 20, 320, 20)):  # a span for each run before: 351 and more than 200
+        spans = [tuple(x) for x in rows[i].spans]
+        assert len(spans) <= most
+        assert all(any(a <= j and j + 50 <= b for a, b, *_ in spans) for j in range(lo, hi - 49))
+        assert all(wrong or docs[i][a:b] == docs[source][t:u] for a, b, source, t, u, wrong in spans)
+
+
+def test_of_equal_stretches_of_pairs_the_first_document_stands_for_all(spark):
+    words = lambda *x: np.array(x, "<u2").tobytes()
+    rows = [(1, d, s + 0, s + 3) for d, s in ((5, 2), (3, 1), (9, 2))] + [(2, 9, 50, 52)]
+    body = [11, 12, 13, 14, 15]
+    texts = {5: words(1, 7, *body, 8), 3: words(7, *body, 8), 9: words(1, 6, *body, 8, *[0] * 60)}  # the third has another word before
+    sources = spark.createDataFrame(rows, "key bigint, source_id bigint, _p int, _q int")
+    codes = spark.createDataFrame([(d, bytearray(t)) for d, t in texts.items()], "id bigint, codes binary")
+    found = sorted(map(tuple, substring_dedup.first_of_shapes(sources, codes, 2, 25, 1).collect()))
+    assert found == [(1, 3, 1, 4), (1, 9, 2, 5), (2, 9, 50, 52)]
+
+
 def test_the_least_of_windows_with_equal_ones_in_them():
     rng = np.random.default_rng(4)
     for width in (2, 3, 50, 1 << 60):
