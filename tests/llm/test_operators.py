@@ -207,22 +207,36 @@ def test_periodic_runs_lie_on_few_diagonals(spark):
     docs = [text(9) + one + text(20), text(5) + two + text(8), text(30) + ["la"] * 400 + text(9), text(20) + two_long + text(6)]
     rows = {r.doc_id: r for r in substring_dedup.passages(spark.createDataFrame([(i, " ".join(v)) for i, v in enumerate(docs)], "doc_id bigint, text string")).collect()}
     assert {i: (r.start, r.end) for i, r in rows.items()} == {2: (30, 430), 3: (20, 320)}
-    for i, lo, hi, most in ((2, 30, 430, 20), (3, 20, 320, 20)):  # a span for each run before: 351 and more than 200
+    for i, lo, hi, most in ((2, 30, 430, 20), (3, 20, 320, 20)):  # a span for each run before
         spans = [tuple(x) for x in rows[i].spans]
         assert len(spans) <= most
         assert all(any(a <= j and j + 50 <= b for a, b, *_ in spans) for j in range(lo, hi - 49))
         assert all(wrong or docs[i][a:b] == docs[source][t:u] for a, b, source, t, u, wrong in spans)
 
 
-def test_of_equal_stretches_of_pairs_the_first_document_stands_for_all(spark):
-    words = lambda *x: np.array(x, "<u2").tobytes()
-    rows = [(1, d, s + 0, s + 3) for d, s in ((5, 2), (3, 1), (9, 2))] + [(2, 9, 50, 52)]
-    body = [11, 12, 13, 14, 15]
-    texts = {5: words(1, 7, *body, 8), 3: words(7, *body, 8), 9: words(1, 6, *body, 8, *[0] * 60)}  # the third has another word before
-    sources = spark.createDataFrame(rows, "key bigint, source_id bigint, _p int, _q int")
-    codes = spark.createDataFrame([(d, bytearray(t)) for d, t in texts.items()], "id bigint, codes binary")
-    found = sorted(map(tuple, substring_dedup.first_of_shapes(sources, codes, 2, 25, 1).collect()))
-    assert found == [(1, 3, 1, 4), (1, 9, 2, 5), (2, 9, 50, 52)]
+def test_frequent_pairs_go_to_the_first_with_each_extent_of_equal_words(spark):
+    rng = np.random.default_rng(9)
+    middle, k = [7, 7, 8, 9], 2  # the pair lies at its ends
+    texts, rows = {}, []
+    for d in range(40):
+        left, right = rng.integers(0, 2, (2, 18)).tolist()
+        texts[d], n = [*left, *middle, *right], len(left)
+        rows.append((5, d, n, n + 2))
+    codes = spark.createDataFrame([(d, bytearray(np.array(t, "<u2").tobytes())) for d, t in texts.items()], "id bigint, codes binary")
+    open_, sources = (spark.createDataFrame(rows, f"key bigint, {x}") for x in ("doc_id bigint, p int, q int", "source_id bigint, _p int, _q int"))
+    whole = {(r.doc_id, r.source_id) for r in substring_dedup.pair_matches(open_, sources, codes, k, 99).collect()}
+    assert whole == {(a, b) for a in range(40) for b in range(a)}
+    found = {(r.doc_id, r.source_id) for r in substring_dedup.pair_matches(open_, sources, codes, k, 1).collect()}
+    assert found < whole and {a for a, _ in found} == set(range(1, 40))
+
+    def extent(a, b):
+        same = [x == y for x, y in zip(texts[a], texts[b], strict=True)]
+        left, right = same[:18][::-1], same[22:]
+        steps = substring_dedup.AROUND
+        return [max(n for n in steps if all(x[:n])) for x in (left, right)]
+
+    for a, b in whole:
+        assert any(all(x >= y for x, y in zip(extent(a, c), extent(a, b), strict=True)) for d, c in found if d == a)
 
 
 def test_the_least_of_windows_with_equal_ones_in_them():
