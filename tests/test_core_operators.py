@@ -1,7 +1,9 @@
 """Operators on small tables with known results."""
 
 import math
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -321,3 +323,13 @@ def test_median_unbiased_quantile_with_and_without_groups(spark):
     for p, want in ((0.5, 2.0), (0.25, 1.0 + (16 / 3 * 0.25 + 1 / 3 - 1)), (1.0, 4.0), (0.0, 1.0)):
         assert stats.quantile_type8(df, "x", p).first()["quantile"] == pytest.approx(want)
         assert stats.quantile_type8(df, "x", p, ["k"]).first()["quantile"] == pytest.approx(want)
+
+
+def test_the_nearest_of_a_leaf_are_found_in_little_memory():
+    x = np.random.default_rng(3).random((2048, 3))
+    tracemalloc.start()
+    found = list(near.nearest(x, x, np.arange(2048), 2))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [i[0] for _, i in found] == list(range(2048))
+    assert peak < 16e6  # four million distances at once before
