@@ -1,6 +1,7 @@
 """Results that grow with the square of a table: nothing of that size is shuffled."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from coverscope.operators import near
 from coverscope.plans import covers
@@ -18,6 +19,15 @@ def test_comembership_unfolds_pairs_once_without_a_shuffle(spark):
     assert "Generate" in top and "Aggregate" not in top  # no distinct over the pairs
 
 
+def test_comembership_lies_in_files_of_a_fifth_of_a_byte_a_pair(spark, tmp_path):
+    membership = spark.range(20_000).select((F.col("id") % 3).alias("ball_id"), F.col("id").alias("unit"))
+    membership = membership.union(spark.range(0, 20_000, 2).select(F.lit(3), "id"))
+    covers.comembership(membership, F.col("id1") % 20 == 0).write.option("compression", "snappy").parquet(f"{tmp_path}/pairs")
+    n = spark.read.parquet(f"{tmp_path}/pairs").count()
+    assert n > 4_000_000
+    assert sum(x.stat().st_size for x in tmp_path.rglob("*.parquet") if x.is_file()) < 0.25 * n
+
+
 def test_pairs_within_a_radius_come_part_by_part(spark):
     rng = np.random.default_rng(5)
     x, y = (rng.integers(-20, 20, size=(n, 2)) * 1.0 for n in (60, 50))
