@@ -239,6 +239,33 @@ def test_frequent_pairs_go_to_the_first_with_each_extent_of_equal_words(spark):
         assert any(all(x >= y for x, y in zip(extent(a, c), extent(a, b), strict=True)) for d, c in found if d == a)
 
 
+def test_frequent_pairs_lose_no_source_and_no_span(spark, monkeypatch):
+    rng = random.Random(41)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(n)]
+    whole = text(90)
+    docs = [text(9) + whole[i : i + 9] + text(9) for i in range(0, 88, 3)]  # each holds a seed at most, and all are taken by them
+    for i in range(24):  # every one is like some earlier ones beyond changed, lost and new words
+        own = [w if (j * 7 + i % 6) % 11 else rng.choice(["eins", "zwei"]) for j, w in enumerate(whole)]
+        for _ in range(i % 3):
+            cut = rng.randrange(len(own))
+            own[cut : cut + 1] = [] if i % 2 else text(2)
+        docs.append(text(rng.randint(5, 15)) + own[rng.randint(0, 8) :] + text(8))
+    table = spark.createDataFrame([(i, " ".join(v)) for i, v in enumerate(docs)], "doc_id bigint, text string").persist()
+    joined, rows = substring_dedup.pair_matches, []
+
+    def counted(*given):
+        rows.append(joined(*given).persist())
+        return rows[-1]
+
+    monkeypatch.setattr(substring_dedup, "pair_matches", counted)
+    found = []
+    for each in (0, 1 << 40):  # all pairs are frequent, none is
+        monkeypatch.setattr(substring_dedup, "EACH", each)
+        found.append(sorted(map(str, substring_dedup.passages(table).collect())))
+    assert found[0] == found[1] and len(found[0]) > 15
+    assert rows[0].count() < rows[1].count()
+
+
 def test_the_least_of_windows_with_equal_ones_in_them():
     rng = np.random.default_rng(4)
     for width in (2, 3, 50, 1 << 60):
